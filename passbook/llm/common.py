@@ -34,6 +34,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df dealt out anew, so that a join above gets a shuffle of its own on this side and Spark can split its hot keys."""
+    return df.repartition(shuffle_partitions(df.sparkSession))
+
+
 def row_key() -> list:
     """Columns that tell a document's rows apart: null ids are kept, and ids that repeat with other texts differ."""
     return [

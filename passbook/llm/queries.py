@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe
+from passbook.llm import bpe, neardup, toxicity
 from passbook.llm.common import table
 
 
@@ -16,6 +16,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows whose crc32 of the id is divisible by 5 are not trained on."""
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs.select("doc_id", "text"), weights).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 3-word shingles link at 0.85."""
+    return neardup.clusters(table(spark, sf_dir, "documents"), neardup.Join(k=3, percent=85))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text and their decoding, as digests."""
     import public_tokenizers
@@ -24,7 +36,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_byte_bpe,)}
+    return {f.__name__: f for f in (op1_toxicity, op5_minhash_near_dedup, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,15 +14,16 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits, for words without punctuation.
+_IS_MARK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, 2 * CHUNK)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            a = np.full(n, base, np.uint64)
+            a = np.full(max(n, 2 * CHUNK), base, np.uint64)
             a[0] = 1
             _powers[name] = np.cumprod(a, dtype=np.uint64)
     return _powers["up"][:n], _powers["down"][:n]
@@ -75,26 +76,30 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
         yield ids, b" ".join(parts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts in UTF-8: hashes of the words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and each text's word count."""
+def word_hashes(texts: list[bytes], plain: bool = False, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in UTF-8: hashes of the words [^\\x20\\x09-\\x0D]+ (plain: cut at ASCII punctuation too) with A-Z lower-cased, and each text's word count.
+
+    With stems the hashes have a row for whole words and one for the first so many bytes of each.
+    """
     out, counts = [], np.zeros(len(texts), np.int64)
     for ids, joined in _pieces(texts):
         data = np.frombuffer(joined.lower(), np.uint8)
         blank = np.ones(len(data) + 2, bool)
-        blank[1:-1] = _IS_BLANK[data]
+        blank[1:-1] = (_IS_MARK if plain else _IS_BLANK)[data]
         edges = np.flatnonzero(blank[1:] != blank[:-1])
         s, e = edges[0::2], edges[1::2]
         if not len(s):
             continue
         p = prefix_sums(data)
         _, down = powers(len(data))
-        out.append(mix((p[e] - p[s]) * down[s] + (e - s).astype(np.uint64)))
+        part = [mix((p[x] - p[s]) * down[s] + (x - s).astype(np.uint64)) for x in (e, *(np.minimum(e, s + k) for k in stems))]
+        out.append(np.stack(part) if stems else part[0])
         if len(ids) == 1:
             counts[ids[0]] += len(s)
         else:
             ends = np.cumsum([len(texts[i]) + 1 for i in ids])
             counts[ids] += np.bincount(np.searchsorted(ends, s, side="right"), minlength=len(ids))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+    return (np.concatenate(out, axis=-1) if out else np.zeros((1 + len(stems), 0) if stems else 0, np.uint64)), counts
 
 
 def shingles(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
