@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe, neardup, toxicity
+from passbook.llm import bpe, neardup, suffix_dedup, toxicity
 from passbook.llm.common import table
 
 
@@ -35,8 +35,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True, keep=["doc_id"])
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in no string of 200 bytes that also starts elsewhere, as digests."""
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_minhash_near_dedup, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op5_minhash_near_dedup, op8_byte_bpe, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
