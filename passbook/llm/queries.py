@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe, neardup, suffix_dedup, toxicity
+from passbook.llm import bpe, maxscore, neardup, suffix_dedup, toxicity, urlfilter
 from passbook.llm.common import table
 
 
@@ -23,6 +23,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), weights).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+#: The rules of op2_url_filters: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the longest fitting rule on every page's url; allow where none fits."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 3-word shingles link at 0.85."""
     return neardup.clusters(table(spark, sf_dir, "documents"), neardup.Join(k=3, percent=85))
@@ -40,9 +57,42 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every fiftieth vector with all others."""
+    vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_minhash_near_dedup, op8_byte_bpe, op9_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op5_minhash_near_dedup, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(str(r) for r in URL_RULES)
+    return {
+        "op2_url_filters": f"""
+            WITH cut AS (
+                SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+            ), parts AS (
+                SELECT page_id,
+                    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+                FROM cut
+            ), rules(rule_host, rule_path, verdict) AS (VALUES {rules}), fits AS (
+                SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                    arg_max(verdict, length(rule_host || rule_path)) AS verdict
+                FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+                GROUP BY page_id
+            )
+            SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)""",
+        "op10_top_k": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), scored AS (
+                SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+                FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+            )
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    }
