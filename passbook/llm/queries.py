@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe, maxscore, neardup, suffix_dedup, toxicity, urlfilter
+from passbook.llm import bpe, maxscore, neardup, spotsigs, suffix_dedup, toxicity, urlfilter
 from passbook.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.clusters(table(spark, sf_dir, "documents"), neardup.Join(k=3, percent=85))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of every document and of its edited text."""
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text and their decoding, as digests."""
     import public_tokenizers
@@ -64,7 +69,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op5_minhash_near_dedup, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op5_minhash_near_dedup, op6_document_fingerprints, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
