@@ -26,28 +26,42 @@ REMEMBERED = 400_000
 
 
 class PerfectHash:
-    """Minimal perfect hash of byte strings: keys that collide at a level go on to the next one.
+    """Minimal perfect hash of keys, given as distinct 64-bit hashes: keys that collide at a level go on to the next one.
 
     Each level is a bit array with two bits for each key left; a key alone on its bit is placed
     there, and its slot is the number of bits set before it. Keys that were not given may land
     on any slot, so callers compare what is stored there.
     """
 
-    def __init__(self, keys: list[bytes]):
+    def __init__(self, left: np.ndarray):
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
-        self.n, base = len(keys), 0
-        left = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
         if len(np.unique(left)) != len(left):
             raise ValueError("keys repeat")
         while len(left):
             size = 2 * len(left) + 1
             spot = self._spot(left, len(self.levels), size)
             alone = np.bincount(spot, minlength=size) == 1
-            before = base + np.concatenate([[0], np.cumsum(alone)[:-1]])
-            self.levels.append((size, alone, before))
-            base += int(alone.sum())
+            self._add(alone)
             left = left[~alone[spot]]
 
+    def _add(self, alone: np.ndarray) -> None:
+        base = self.levels[-1][2][-1] if self.levels else 0
+        self.levels.append((len(alone), alone, base + np.concatenate([[0], np.cumsum(alone)])))
+
+    def to_bytes(self) -> bytes:
+        """Each level's count of bits as 4 bytes, then its bits."""
+        return b"".join(size.to_bytes(4, "little") + np.packbits(alone).tobytes() for size, alone, _ in self.levels)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> PerfectHash:
+        out, at = cls(np.zeros(0, np.uint64)), 0
+        while at < len(raw):
+            size = int.from_bytes(raw[at : at + 4], "little")
+            end = at + 4 + (size + 7) // 8
+            out._add(np.unpackbits(np.frombuffer(raw[at + 4 : end], np.uint8))[:size].astype(bool))
+            at = end
+        return out
+
     @staticmethod
     def _spot(h: np.ndarray, level: int, size: int) -> np.ndarray:
         h = (h ^ np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -124,8 +138,9 @@ class Codec:
         self.ranks = read_ranks(vocabulary)
         self.split = regex.compile(pattern).findall
         tokens = list(self.ranks)
-        self.table = PerfectHash(tokens)
-        slot = self.table.slots(np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64))
+        hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
+        self.table = PerfectHash(hashes)
+        slot = self.table.slots(hashes)
         self.entry: list[bytes] = [b""] * len(tokens)
         self.id_at: list[int] = [0] * len(tokens)
         for t, s in zip(tokens, slot.tolist()):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe, maxscore, neardup, spotsigs, suffix_dedup, toxicity, urlfilter
+from passbook.llm import bpe, maxscore, neardup, spotsigs, suffix_dedup, tokenfile, toxicity, urlfilter
 from passbook.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to files with a perfect-hash index and read back."""
+    path = tokenfile.write(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return tokenfile.summary(spark, path)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text and their decoding, as digests."""
     import public_tokenizers
@@ -69,7 +75,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op5_minhash_near_dedup, op6_document_fingerprints, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
