@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe, maxscore, neardup, spotsigs, suffix_dedup, tokenfile, toxicity, urlfilter
+from passbook.llm import bpe, licences, maxscore, mixing, neardup, spotsigs, suffix_dedup, tokenfile, toxicity, urlfilter
 from passbook.llm.common import table
 
 
@@ -40,6 +40,17 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's calibrated probability under raked source, language and topic weights, and whether it is kept."""
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
+def op4_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in a document where a licence rule is met."""
+    return licences.scan(table(spark, sf_dir, "documents"), *licences.known_rules(spark))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 3-word shingles link at 0.85."""
     return neardup.clusters(table(spark, sf_dir, "documents"), neardup.Join(k=3, percent=85))
@@ -75,7 +86,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_licence_scans, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
