@@ -19,7 +19,7 @@ def _vocabulary(name: str) -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows whose crc32 of the id is divisible by 5 are not trained on."""
     docs = table(spark, sf_dir, "documents")
-    weights = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.score(docs.select("doc_id", "text"), weights).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 

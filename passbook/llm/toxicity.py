@@ -38,6 +38,8 @@ class Ftrl:
     seed: int = 7
 
 
+#: The bias where nothing was learnt: no text is called toxic.
+UNTRAINED = -5.0
 #: Bytes that are left of a word as its stem.
 STEMS = (5, 7)
 
@@ -87,17 +89,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: Ftrl) -> np.ndarray:
     return out
 
 
-def train(rows: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
-    """rows(doc_id, text, toxic): the nonzero weights as (feature, weight); feature 2**bits is the bias.
+def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
+    """docs(doc_id, text) and labels(doc_id, toxic): the nonzero weights as (feature, weight); feature 2**bits is the bias.
 
-    Null labels are left out, null texts count as empty, repeated rows count once. With no rows
-    at all the result is the bias alone, at 0.
+    The sample is drawn from the labels alone, at most p.max_rows ids, so its join with the texts
+    is a broadcast of a proven size. Null ids and labels are left out, of an id's labels the
+    greatest counts, null texts count as empty, repeated rows count once. Without labelled texts
+    there are no weights.
     """
-    usable = rows.where("toxic is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(p.seed))
-    toxic = usable.where("toxic = 1").orderBy(order, "text").limit(p.max_rows // 2)
-    clean = usable.where("toxic <> 1").orderBy(order, "text").limit(p.max_rows - p.max_rows // 2)
-    sample = toxic.unionByName(clean).dropDuplicates(["doc_id", "text", "toxic"])
+    toxic = known.where("toxic = 1").orderBy(order, "doc_id").limit(p.max_rows // 2)
+    clean = known.where("toxic <> 1").orderBy(order, "doc_id").limit(p.max_rows - p.max_rows // 2)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(toxic.unionByName(clean)), "doc_id").dropDuplicates(["doc_id", "text"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
@@ -114,13 +119,15 @@ def train(rows: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
 def score(docs: DataFrame, weights: DataFrame, p: Ftrl = Ftrl(), threshold: float = 0.5) -> DataFrame:
     """docs with score (0 to 1, higher: likelier toxic) and predicted (1 if score >= threshold).
 
-    Null and empty texts have no features and get the bias alone. Columns of docs named score or
+    Null and empty texts have no features and get the bias alone; without weights every text gets a low score. Columns of docs named score or
     predicted are replaced; others stay.
     """
     # at most 2**bits + 1 rows by construction
     got = weights.toPandas()
     table = np.zeros((1 << p.bits) + 1, np.float32)
     table[got["feature"].to_numpy(np.int64)] = got["weight"].to_numpy(np.float32)
+    if not len(got):
+        table[-1] = UNTRAINED
     at = np.flatnonzero(table)
     shared = docs.sparkSession.sparkContext.broadcast((at, table[at]))
     own = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
@@ -146,9 +153,3 @@ def score(docs: DataFrame, weights: DataFrame, p: Ftrl = Ftrl(), threshold: floa
 def held_out() -> F.Column:
     """Whether a row is kept from training: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows that training may see."""
-    seen = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").where(~held_out()).join(seen.hint("shuffle_hash"), "doc_id")
