@@ -24,8 +24,7 @@ def parse_decimal(c: Column | str) -> Column:
     raw = strip(filled(c))
     low = F.lower(raw)
     cleaned = F.regexp_replace(raw, r"[^0-9.\-]", "")
-    # three decimal fields would not hold every number: 28 digits before the point and 10 after
-    number = cleaned.try_cast("decimal(38,10)") if hasattr(cleaned, "try_cast") else F.expr("null")
+    number = cleaned.try_cast("decimal(38,10)")
     rounded = F.bround(number, 2).cast(MONEY)
     signed = F.when(raw.startswith("(") & raw.endswith(")"), -F.abs(rounded)).otherwise(rounded)
     nothing = low.isin(*EMPTY_AMOUNTS)
@@ -135,13 +134,10 @@ def channel(description: Column, cheque: Column) -> Column:
 
 
 def shown_channel(description: Column) -> Column:
+    """The first transfer word in a description, in title case, else Other."""
     up = F.upper(filled(description))
-    out = None
-    for name in ("UPI", "NEFT", "IMPS", "RTGS", "CHEQUE", "CASH"):
-        shown = F.lit(name if len(name) == 4 and name not in ("CASH",) else name.title())
-        shown = F.lit(name) if name == "UPI" else shown
-        out = F.when(F.contains(up, F.lit(name)), shown) if out is None else out.when(F.contains(up, F.lit(name)), shown)
-    return out.otherwise("Other")
+    names = ["UPI", "NEFT", "IMPS", "RTGS", "CHEQUE", "CASH"]
+    return F.coalesce(*(F.when(F.contains(up, F.lit(n)), F.lit(n.title())) for n in names), F.lit("Other"))
 
 
 def voucher_number(existing: Column, day: Column, row: Column, id_: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from passbook.functions.text import filled, strip
 from passbook.functions.values import MONEY
 
-_ORDER = F.struct("row_number", "id")
+def _order() -> Column:
+    return F.struct("row_number", "id")
 
 
 def _active() -> Column:
@@ -39,7 +40,7 @@ def reconcile(transactions: DataFrame, openings: DataFrame | None = None) -> Dat
 
     Without a closing balance the last balance that a row has is the statement's.
     """
-    last = F.max_by("balance", F.when(F.col("balance").isNotNull(), _ORDER))
+    last = F.max_by("balance", F.when(F.col("balance").isNotNull(), _order()))
     sums = transactions.where(_active()).groupBy("session_id").agg(_total("debit_amount").alias("total_debit"), _total("credit_amount").alias("total_credit"), last.alias("_last"))
     if openings is None:
         none = F.lit(None).cast(MONEY)
@@ -53,14 +54,14 @@ def reconcile(transactions: DataFrame, openings: DataFrame | None = None) -> Dat
 
 def statement_summary(transactions: DataFrame) -> DataFrame:
     """Per session: counts, totals, opening (from the first active row) and closing balance, and what needs attention."""
-    first = F.min_by(F.struct("balance", "debit_amount", "credit_amount"), _ORDER)
+    first = F.min_by(F.struct("balance", "debit_amount", "credit_amount"), _order())
     errors = F.col("validation_status") == "Invalid"
     sums = transactions.where(_active()).groupBy("session_id").agg(
         F.count("*").alias("transactions"),
         _total("debit_amount").alias("debit"),
         _total("credit_amount").alias("credit"),
         first.alias("_first"),
-        F.max_by("balance", F.when(F.col("balance").isNotNull(), _ORDER)).alias("closing"),
+        F.max_by("balance", F.when(F.col("balance").isNotNull(), _order())).alias("closing"),
         _count(unmatched()).alias("unmatched"),
         _count(errors).alias("errors"),
         _count(F.col("duplicate_status").isin("Suspected", "Confirmed duplicate")).alias("duplicates"),

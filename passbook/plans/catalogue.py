@@ -3,13 +3,533 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from passbook.functions import text, values
+from passbook.operators import duplicates, ledgers, parsing, review, summaries, validation, vouchers
+from passbook.plans import bindings as b
+from passbook.sources import raw
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+_M = "DECIMAL(28,2)"
+_STMT = f"WITH stmt AS ({b.STMT}) "
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+# --- raw rows -------------------------------------------------------------------------------------
+
+_LINES = """WITH docs AS (SELECT doc_id, replace(text, ', ', '  ') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) AS i FROM docs),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS row_number, list_filter(list_transform(string_split_regex(trim(line), '\\s{2,}|\\t+'), lambda c: trim(c)), lambda c: c <> '') AS cells FROM l WHERE trim(line) <> '')"""
+
+
+@_query("s1_text_rows", _LINES + " SELECT doc_id, row_number, len(cells) AS n_cells, array_to_string(cells, '|') AS cells FROM r")
+def s1_text_rows(spark, sf_dir):
+    rows = raw.text_rows(b.lines(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", F.col("row_number").cast("long").alias("row_number"), F.size("cells").cast("long").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
+
+
+@_query("s2_rectangular", _LINES + " SELECT doc_id, row_number, max(len(cells)) OVER (PARTITION BY doc_id) AS width, array_to_string(cells, '|') || repeat('|', max(len(cells)) OVER (PARTITION BY doc_id) - len(cells)) AS cells FROM r")
+def s2_rectangular(spark, sf_dir):
+    rows = raw.rectangular(raw.text_rows(b.lines(spark, sf_dir), "doc_id"), "doc_id")
+    return rows.select("doc_id", F.col("row_number").cast("long").alias("row_number"), F.size("cells").cast("long").alias("width"), F.array_join("cells", "|").alias("cells"))
+
+
+@_query("s3_clean_table", f"WITH raw AS ({b.RAW}) SELECT doc_id, row_number, trim(regexp_replace(c1, '\\s+', ' ', 'g')) || '|' || c2 AS cells FROM raw")
+def s3_clean_table(spark, sf_dir):
+    rows = raw.clean_table(b.raw_rows(spark, sf_dir))
+    return rows.select("doc_id", "row_number", F.concat_ws("|", F.get("cells", F.lit(1)), F.get("cells", F.lit(2))).alias("cells"))
+
+
+# --- scalar functions -----------------------------------------------------------------------------
+
+_NUM = "regexp_replace({c}, '[^0-9.\\-]', '', 'g')"
+_VALUE = "CASE WHEN {n} IN ('', '-', '.', '-.') THEN 0 WHEN starts_with({c}, '(') AND ends_with({c}, ')') THEN -abs(round_even(TRY_CAST({n} AS DECIMAL(38,10)), 2)) ELSE round_even(TRY_CAST({n} AS DECIMAL(38,10)), 2) END"
+
+
+def _value(c: str) -> str:
+    return _VALUE.format(c=c, n=_NUM.format(c=c))
+
+
+@_query(
+    "p10_parse_decimal",
+    f"WITH raw AS ({b.RAW}), cells AS (SELECT doc_id, row_number, unnest([c3, c4, c5, c7]) AS t, unnest([3, 4, 5, 7]) AS i FROM raw) "
+    f"SELECT doc_id, row_number, CAST(i AS INT) AS i, CAST({_value('t')} AS {_M}) AS value, ({_value('t')}) IS NULL AS error FROM cells",
+)
+def p10_parse_decimal(spark, sf_dir):
+    cells = b.raw_rows(spark, sf_dir).select("doc_id", "row_number", F.posexplode("cells").alias("i", "t")).where("i in (3, 4, 5, 7)")
+    return cells.select("doc_id", "row_number", "i", values.parse_decimal("t").alias("v")).select("doc_id", "row_number", "i", "v.value", "v.error")
+
+
+@_query("p9_parse_date", f"WITH raw AS ({b.RAW}) SELECT doc_id, row_number, CAST(try_strptime(replace(replace(c0, '-', '/'), '.', '/'), '%d/%m/%Y') AS DATE) AS day FROM raw")
+def p9_parse_date(spark, sf_dir):
+    return b.raw_rows(spark, sf_dir).select("doc_id", "row_number", values.parse_date(F.get("cells", F.lit(0))).alias("day"))
+
+
+@_query(
+    "f_text_forms",
+    "SELECT doc_id, trim(regexp_replace(lower(t), '[^a-z0-9/]+', ' ', 'g')) AS header, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS plain, trim(regexp_replace(lower(t), '[^a-z0-9&]+', ' ', 'g')) AS basic, "
+    "regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS clean, regexp_replace(regexp_replace(trim(t), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS file FROM (SELECT doc_id, text AS t FROM documents)",
+)
+def f_text_forms(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", text.normalize_header("text").alias("header"), text.normalize_table_header("text").alias("plain"), text.basic_normalize("text").alias("basic"), text.strip_control("text").alias("clean"), text.safe_filename("text").alias("file"))
+
+
+def _masked(c: str) -> str:
+    for n in range(8, 19):
+        for _ in range(2):  # neighbours share the border that the pattern takes
+            c = f"regexp_replace({c}, '(^|[^0-9])[0-9]{{{n - 4}}}([0-9]{{4}})($|[^0-9])', '\\1{'•' * (n - 4)}\\2\\3', 'g')"
+    return c
+
+
+@_query("f10_mask", f"SELECT doc_id, {_masked('text')} AS masked FROM documents")
+def f10_mask(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.mask_account_numbers("text").alias("masked"))
+
+
+_NOISE = ["\\b(?:upi|neft|imps|rtgs|ach|ecs|pos|atm|txn|trf|transfer)\\b", "\\b[a-z0-9._%+-]+@[a-z0-9.-]+\\b", "\\b(?:utr|rrn|ref|chq|cheque)\\s*[:#-]?\\s*[a-z0-9-]+\\b", "\\b\\d{1,2}[-/]\\d{1,2}[-/]\\d{2,4}\\b", "\\b\\d{7,}\\b", "[^a-z0-9& ]+"]
+
+
+def _denoised(c: str) -> str:
+    c = f"lower({c})"
+    for p in _NOISE:
+        c = f"regexp_replace({c}, '{p}', ' ', 'g')"
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+@_query("f7_normalize", _STMT + f"SELECT id, {_denoised('description')} AS norm FROM stmt")
+def f7_normalize(spark, sf_dir):
+    return b.statements(spark, sf_dir).select("id", text.normalize("description").alias("norm"))
+
+
+@_query(
+    "f14_voucher_fields",
+    _STMT
+    + f"""SELECT id, CASE WHEN contains(lower(description), 'sms charge') THEN 'Payment' WHEN contains(lower(description), 'interest received') THEN 'Receipt' WHEN debit_amount <> 0 THEN 'Payment' ELSE 'Receipt' END AS kind,
+    CASE WHEN cheque_number <> '' THEN 'Cheque' WHEN contains(upper(description), 'UPI') THEN 'UPI' WHEN contains(upper(description), 'NEFT') THEN 'NEFT' ELSE 'Others' END AS channel,
+    CASE WHEN contains(upper(description), 'UPI') THEN 'Upi' WHEN contains(upper(description), 'NEFT') THEN 'Neft' WHEN contains(upper(description), 'CHEQUE') THEN 'Cheque' ELSE 'Other' END AS shown,
+    CASE WHEN tally_voucher_number <> '' THEN tally_voucher_number ELSE 'BST-' || strftime(transaction_date, '%Y%m%d') || '-' || CASE WHEN row_number = 0 THEN upper(id) WHEN row_number >= 10000 THEN CAST(row_number AS STRING) ELSE lpad(CAST(row_number AS STRING), 5, '0') END END AS number,
+    CAST(CASE WHEN debit_amount <> 0 THEN debit_amount WHEN credit_amount <> 0 THEN -credit_amount ELSE 0 END AS {_M}) AS bank, coalesce(CAST(balance AS STRING), '') AS shown_balance FROM stmt""",
+)
+def f14_voucher_fields(spark, sf_dir):
+    c = F.col
+    none = F.lit(None).cast("boolean")
+    return b.statements(spark, sf_dir).select(
+        "id", values.voucher_type(c("description"), c("debit_amount"), none, none).alias("kind"), values.channel(c("description"), c("cheque_number")).alias("channel"), values.shown_channel(c("description")).alias("shown"),
+        values.voucher_number(c("tally_voucher_number"), c("transaction_date"), c("row_number"), c("id")).alias("number"), values.signed_amounts(c("debit_amount"), c("credit_amount"))["bank"].alias("bank"), values.format_decimal("balance").alias("shown_balance"),
+    )
+
+
+# --- parsing --------------------------------------------------------------------------------------
+
+_PARSED = f"""WITH raw AS ({b.RAW}), kept AS (SELECT *, trim(regexp_replace(c1, '\\s+', ' ', 'g')) AS d1 FROM raw WHERE row_number > 6 AND c1 <> 'Closing Balance'),
+v AS (SELECT *, CAST(try_strptime(replace(replace(c0, '-', '/'), '.', '/'), '%d/%m/%Y') AS DATE) AS day, {_value('c3')} AS dv, {_value('c4')} AS cv, {_value('c5')} AS av, {_value('c7')} AS bv, c0 = '' AND c3 || c4 || c5 = '' AS cont FROM kept),
+w AS (SELECT *, CASE WHEN dv <> 0 OR cv <> 0 THEN abs(dv) WHEN c5 <> '' AND (starts_with(c6, 'D') OR av < 0) THEN abs(av) ELSE 0 END AS debit,
+    CASE WHEN dv <> 0 OR cv <> 0 THEN abs(cv) WHEN c5 <> '' AND NOT (starts_with(c6, 'D') OR av < 0) AND starts_with(c6, 'C') THEN abs(av) ELSE 0 END AS credit FROM v),
+e AS (SELECT *, CASE WHEN day IS NULL THEN 'invalid transaction date ''' || c0 || '''' WHEN dv IS NULL THEN 'Invalid amount: ' || c3
+    WHEN NOT coalesce(dv <> 0 OR cv <> 0, FALSE) AND c5 <> '' AND NOT (starts_with(c6, 'D') OR av < 0) AND NOT starts_with(c6, 'C') THEN 'amount direction is neither DR nor CR'
+    WHEN debit <> 0 AND credit <> 0 THEN 'both debit and credit have values' WHEN debit = 0 AND credit = 0 THEN 'transaction has no amount' WHEN c7 <> '' AND bv IS NULL THEN 'Invalid amount: ' || c7 END AS error FROM w),
+a AS (SELECT *, max(CASE WHEN error IS NULL AND NOT cont THEN row_number END) OVER (PARTITION BY doc_id ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM e),
+j AS (SELECT doc_id, anchor, string_agg(d1, ' ' ORDER BY row_number) AS more, string_agg(CASE WHEN c2 <> '' THEN c2 END, ' ' ORDER BY row_number) AS refs FROM a WHERE cont AND anchor IS NOT NULL GROUP BY ALL)"""
+
+
+@_query(
+    "p7_parse",
+    _PARSED
+    + f""" SELECT a.doc_id, a.row_number, day AS transaction_date, d1 || coalesce(' ' || more, '') AS description, trim(c2 || coalesce(' ' || refs, '')) AS reference_number,
+    CAST(debit AS {_M}) AS debit_amount, CAST(credit AS {_M}) AS credit_amount, CAST(CASE WHEN c7 <> '' THEN bv END AS {_M}) AS balance, CASE WHEN debit <> 0 THEN 'Payment' ELSE 'Receipt' END AS voucher_type
+    FROM a LEFT JOIN j ON a.doc_id = j.doc_id AND a.row_number = j.anchor WHERE error IS NULL AND NOT cont""",
+)
+def p7_parse(spark, sf_dir):
+    good, _ = parsing.parse(b.raw_rows(spark, sf_dir), b.raw_mapping(spark, sf_dir))
+    return good.select("doc_id", "row_number", "transaction_date", "description", "reference_number", "debit_amount", "credit_amount", "balance", "voucher_type")
+
+
+@_query("p7_warnings", _PARSED + " SELECT doc_id, row_number, 'Row ' || CAST(row_number AS STRING) || ': ' || error AS message FROM a WHERE error IS NOT NULL AND NOT (cont AND anchor IS NOT NULL)")
+def p7_warnings(spark, sf_dir):
+    return parsing.parse(b.raw_rows(spark, sf_dir), b.raw_mapping(spark, sf_dir))[1]
+
+
+# --- validation and summaries ---------------------------------------------------------------------
+
+_NO = "opposite_ledger = ''"
+_REVIEW = f"""list_filter([CASE WHEN transaction_date IS NULL THEN 'Invalid or missing date' END, CASE WHEN debit_amount <> 0 AND credit_amount <> 0 THEN 'Both debit and credit are entered' WHEN debit_amount = 0 AND credit_amount = 0 THEN 'Missing amount' END,
+    CASE WHEN voucher_type = 'Unassigned' THEN 'Missing voucher type' WHEN voucher_type = 'Payment' AND debit_amount = 0 THEN 'Payment voucher must contain a debit/withdrawal' WHEN voucher_type = 'Receipt' AND credit_amount = 0 THEN 'Receipt voucher must contain a credit/deposit' END,
+    {{ledgers}}], lambda x: x IS NOT NULL) AS errors,
+    list_filter([CASE WHEN transaction_date < DATE '2024-01-03' THEN 'Transaction is outside the selected period' END, CASE WHEN description = '' THEN 'Missing description' END, {{unmatched}},
+    CASE WHEN opposite_ledger <> '' AND (matching_confidence = 0 OR contains(lower(opposite_ledger), 'suspense')) THEN 'Unmatched ledger uses Suspense a/c' END,
+    CASE duplicate_status WHEN 'Suspected' THEN 'Possible duplicate' WHEN 'Confirmed duplicate' THEN 'Confirmed duplicate' END], lambda x: x IS NOT NULL) AS warnings"""
+_NUMERIC = "regexp_full_match({c}, '[0-9]+')"
+_LEDGER_ERRORS = "CASE WHEN bank_ledger = '' THEN '{b}' END, CASE WHEN opposite_ledger = '' THEN '{o}' WHEN regexp_full_match(opposite_ledger, '[0-9]+') THEN 'Opposite ledger must be a Tally ledger name, not a numeric index' WHEN lower(opposite_ledger) = lower(bank_ledger) THEN 'Bank and opposite ledgers cannot be the same' END"
+
+
+def _review_sql(strict: bool) -> str:
+    found = _REVIEW.format(ledgers=_LEDGER_ERRORS.format(b="Missing bank ledger", o="Missing opposite ledger") if strict else "NULL", unmatched="NULL" if strict else f"CASE WHEN {_NO} THEN 'Opposite ledger is unmatched' END")
+    return (
+        _STMT
+        + f", found AS (SELECT *, {found} FROM stmt) SELECT id, CASE WHEN ignored THEN 'Warning' WHEN len(errors) > 0 THEN 'Invalid' WHEN len(warnings) > 0 THEN 'Warning' ELSE 'Valid' END AS validation_status, "
+        "CASE WHEN ignored THEN 'Ignored by user' WHEN len(errors) + len(warnings) = 0 THEN 'Ready' ELSE array_to_string(errors || warnings, '; ') END AS validation_message FROM found"
+    )
+
+
+@_query("v1_review", _review_sql(False))
+def v1_review(spark, sf_dir):
+    return validation.review(b.statements(spark, sf_dir), start=date(2024, 1, 3)).select("id", "validation_status", "validation_message")
+
+
+@_query("v1_review_strict", _review_sql(True))
+def v1_review_strict(spark, sf_dir):
+    return validation.review(b.statements(spark, sf_dir), start=date(2024, 1, 3), require_ledgers=True).select("id", "validation_status", "validation_message")
+
+
+_EXPORT = (
+    _STMT
+    + f""", found AS (SELECT *, list_filter([CASE WHEN transaction_date IS NULL THEN 'Invalid or missing transaction date' WHEN transaction_date < DATE '2024-01-03' THEN 'Transaction is outside the selected export period' END,
+    CASE WHEN debit_amount <> 0 AND credit_amount <> 0 THEN 'Both debit and credit are entered' WHEN debit_amount = 0 AND credit_amount = 0 THEN 'Voucher amount is zero or missing' END, {_LEDGER_ERRORS.format(b='Bank ledger is missing', o='Opposite ledger is missing')},
+    CASE WHEN voucher_type = 'Unassigned' THEN 'Voucher type is missing or unsupported' WHEN voucher_type = 'Payment' AND debit_amount = 0 THEN 'Payment voucher must contain a debit/withdrawal' WHEN voucher_type = 'Receipt' AND credit_amount = 0 THEN 'Receipt voucher must contain a credit/deposit' END], lambda x: x IS NOT NULL) AS errors,
+    list_filter([CASE duplicate_status WHEN 'Confirmed duplicate' THEN 'Confirmed duplicate has not been ignored or marked unique' WHEN 'Suspected' THEN 'Possible duplicate has not been confirmed' END,
+    CASE WHEN matching_confidence = 0 OR contains(lower(opposite_ledger), 'suspense') THEN 'Unmatched ledger uses Suspense a/c' END, CASE WHEN import_status = 'Imported' THEN 'Voucher was previously imported' END], lambda x: x IS NOT NULL) AS warnings FROM stmt WHERE NOT ignored),
+    issues AS (SELECT id, row_number, unnest(list_transform(errors, lambda m: {{'severity': 'Error', 'message': m}}) || list_transform(warnings, lambda m: {{'severity': 'Warning', 'message': m}})) AS i, generate_subscripts(errors || warnings, 1) - 1 AS position FROM found)"""
+)
+
+
+@_query("v2_export_issues", _EXPORT + " SELECT id, row_number, CAST(position AS INT) AS position, i.severity AS severity, i.message AS message FROM issues")
+def v2_export_issues(spark, sf_dir):
+    return validation.export_issues(b.statements(spark, sf_dir), "Demo Company", start=date(2024, 1, 3))
+
+
+@_query("v4_exportable", _EXPORT + " SELECT id FROM found WHERE len(errors) = 0")
+def v4_exportable(spark, sf_dir):
+    return validation.exportable(b.statements(spark, sf_dir), "Demo Company", start=date(2024, 1, 3), strict=False).select("id")
+
+
+@_query("a6_issue_counts", _EXPORT + " SELECT i.severity AS severity, count(*) AS issues FROM issues GROUP BY ALL")
+def a6_issue_counts(spark, sf_dir):
+    return summaries.issue_counts(v2_export_issues(spark, sf_dir))
+
+
+@_query("a1_validation_summary", _STMT + "SELECT session_id, count(*) FILTER (validation_status = 'Valid') AS valid, count(*) FILTER (validation_status = 'Warning') AS warnings, count(*) FILTER (validation_status = 'Invalid') AS invalid FROM stmt GROUP BY 1")
+def a1_validation_summary(spark, sf_dir):
+    return summaries.validation_summary(b.statements(spark, sf_dir))
+
+
+@_query(
+    "a2_reconcile",
+    _STMT
+    + f"""SELECT session_id, CAST(1000 AS {_M}) AS opening_balance, CAST(sum(debit_amount) AS {_M}) AS total_debit, CAST(sum(credit_amount) AS {_M}) AS total_credit, CAST(1000 + sum(credit_amount) - sum(debit_amount) AS {_M}) AS expected_closing_balance,
+    CAST(arg_max(balance, row_number) FILTER (balance IS NOT NULL) AS {_M}) AS statement_closing_balance, CAST(arg_max(balance, row_number) FILTER (balance IS NOT NULL) - (1000 + sum(credit_amount) - sum(debit_amount)) AS {_M}) AS difference FROM stmt WHERE NOT ignored GROUP BY 1""",
+)
+def a2_reconcile(spark, sf_dir):
+    rows = b.statements(spark, sf_dir)
+    openings = rows.where("not ignored").select("session_id").distinct().select("session_id", F.lit(1000).cast(values.MONEY).alias("opening_balance"), F.lit(None).cast(values.MONEY).alias("closing_balance"))
+    return summaries.reconcile(rows, openings)
+
+
+_UNMATCHED = "(opposite_ledger = '' OR matching_confidence = 0 OR contains(lower(opposite_ledger), 'suspense'))"
+
+
+@_query(
+    "a3_statement_summary",
+    _STMT
+    + f"""SELECT session_id, count(*) AS transactions, CAST(sum(debit_amount) AS {_M}) AS debit, CAST(sum(credit_amount) AS {_M}) AS credit,
+    CAST(first(balance + debit_amount - credit_amount ORDER BY row_number) AS {_M}) AS opening, CAST(arg_max(balance, row_number) FILTER (balance IS NOT NULL) AS {_M}) AS closing, count(*) FILTER ({_UNMATCHED}) AS unmatched,
+    count(*) FILTER (validation_status = 'Invalid') AS errors, count(*) FILTER (duplicate_status IN ('Suspected', 'Confirmed duplicate')) AS duplicates, count(*) FILTER (validation_status <> 'Invalid') AS valid FROM stmt WHERE NOT ignored GROUP BY 1""",
+)
+def a3_statement_summary(spark, sf_dir):
+    return summaries.statement_summary(b.statements(spark, sf_dir))
+
+
+@_query("a4_match_counts", _STMT + "SELECT session_id, count(*) FILTER (matching_method <> 'Default suspense') AS matched, count(*) FILTER (matching_method = 'Default suspense') AS suspense, count(*) FILTER (matching_rule_id <> '') AS rules FROM stmt WHERE NOT ignored GROUP BY 1")
+def a4_match_counts(spark, sf_dir):
+    return summaries.match_counts(b.statements(spark, sf_dir))
+
+
+@_query("a5_rule_uses", _STMT + "SELECT matching_rule_id, count(*) AS uses FROM stmt WHERE NOT ignored AND matching_rule_id <> '' GROUP BY 1")
+def a5_rule_uses(spark, sf_dir):
+    return summaries.rule_uses(b.statements(spark, sf_dir))
+
+
+@_query("a8_export_summary", _STMT + f"SELECT session_id, count(*) FILTER (NOT ignored) AS transactions, CAST(coalesce(sum(debit_amount) FILTER (NOT ignored), 0) AS {_M}) AS total_debit, CAST(coalesce(sum(credit_amount) FILTER (NOT ignored), 0) AS {_M}) AS total_credit, count(*) FILTER (ignored) AS ignored FROM stmt GROUP BY 1")
+def a8_export_summary(spark, sf_dir):
+    return summaries.export_summary(b.statements(spark, sf_dir))
+
+
+@_query("a10_first_by_name", "SELECT lower(p_name) AS name, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
+def a10_first_by_name(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_partkey")
+    return summaries.first_by_name(parts, "p_name", "p_partkey").select(F.lower("p_name").alias("name"), "p_partkey")
+
+
+@_query("a11_unmatched_count", _STMT + f"SELECT session_id, count(*) FILTER ({_UNMATCHED}) AS unmatched FROM stmt WHERE NOT ignored GROUP BY 1")
+def a11_unmatched_count(spark, sf_dir):
+    return summaries.unmatched_count(b.statements(spark, sf_dir))
+
+
+# --- review ---------------------------------------------------------------------------------------
+
+
+@_query(
+    "p12_filters",
+    _STMT
+    + "SELECT id FROM stmt WHERE contains(lower(description || ' ' || reference_number || ' ' || opposite_ledger || ' ' || narration), 'ref-1') AND debit_amount <> 0 AND voucher_type = 'Payment' AND (opposite_ledger = '' OR matching_confidence = 0 OR TRUE) AND opposite_ledger <> '' AND matching_confidence > 0 AND validation_status = 'Valid' AND transaction_date >= DATE '2024-01-03' AND transaction_date <= DATE '2024-01-25'",
+)
+def p12_filters(spark, sf_dir):
+    return review.apply_filters(b.statements(spark, sf_dir), search=" REF-1", direction="Debit", voucher="Payment", match="Matched", validation="Valid", start=date(2024, 1, 3), end=date(2024, 1, 25)).select("id")
+
+
+@_query("p12_status_filters", _STMT + "SELECT id, 'dup' AS f FROM stmt WHERE duplicate_status = 'Suspected' UNION ALL SELECT id, 'unmatched' FROM stmt WHERE opposite_ledger = '' OR matching_confidence = 0 UNION ALL SELECT id, 'failed' FROM stmt WHERE import_status = 'Failed' UNION ALL SELECT id, 'ignored' FROM stmt WHERE ignored")
+def p12_status_filters(spark, sf_dir):
+    rows, out = b.statements(spark, sf_dir), None
+    for status, f in (("Possible duplicates", "dup"), ("Unmatched", "unmatched"), ("Failed import", "failed"), ("Ignored", "ignored")):
+        one = review.apply_filters(rows, status=status).select("id", F.lit(f).alias("f"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("p13_to_export", _STMT + "SELECT id FROM stmt WHERE NOT ignored AND import_status = 'Failed'")
+def p13_to_export(spark, sf_dir):
+    return review.to_export(b.statements(spark, sf_dir), failed_only=True).select("id")
+
+
+@_query(
+    "p14_display_status",
+    _STMT
+    + """SELECT id, CASE WHEN import_status = 'Failed' THEN 'Import failed' WHEN duplicate_status IN ('Suspected', 'Confirmed duplicate') THEN 'Duplicate' WHEN ignored THEN 'Ignored' WHEN validation_status = 'Invalid' THEN 'Error'
+    WHEN opposite_ledger = '' OR matching_confidence = 0 THEN 'Unmatched' WHEN validation_status = 'Warning' THEN 'Warning' WHEN validation_status = 'Valid' THEN 'Valid' ELSE 'Not checked' END AS display_status,
+    CASE WHEN ignored THEN 'ignored' WHEN validation_status = 'Invalid' OR import_status = 'Failed' THEN 'invalid' WHEN duplicate_status IN ('Suspected', 'Confirmed duplicate') THEN 'duplicate' WHEN opposite_ledger = '' OR matching_confidence = 0 THEN 'unmatched' WHEN matching_confidence < 85 THEN 'medium' ELSE '' END AS row_class FROM stmt""",
+)
+def p14_display_status(spark, sf_dir):
+    return review.row_class(review.display_status(b.statements(spark, sf_dir))).select("id", "display_status", "row_class")
+
+
+def _ids(spark, sf_dir, every: int = 3) -> DataFrame:
+    return b.statements(spark, sf_dir).where(F.col("row_number") % every == 0).select("id")
+
+
+@_query("p17_bulk_update", _STMT + "SELECT id, CASE WHEN row_number % 3 = 0 THEN 'Cash' ELSE opposite_ledger END AS opposite_ledger, CAST(CASE WHEN row_number % 3 = 0 THEN 100 ELSE matching_confidence END AS INT) AS matching_confidence, CASE WHEN row_number % 3 = 0 THEN 'Manual' ELSE matching_method END AS matching_method, CASE WHEN row_number % 3 = 0 THEN 'Contra' ELSE voucher_type END AS voucher_type FROM stmt")
+def p17_bulk_update(spark, sf_dir):
+    return review.bulk_update(b.statements(spark, sf_dir), _ids(spark, sf_dir), ledger=" Cash ", voucher_type="Contra").select("id", "opposite_ledger", "matching_confidence", "matching_method", "voucher_type")
+
+
+@_query("p18_duplicate_status", _STMT + "SELECT id, CASE WHEN row_number % 3 = 0 THEN 'Confirmed unique' ELSE duplicate_status END AS duplicate_status FROM stmt")
+def p18_duplicate_status(spark, sf_dir):
+    return review.set_duplicate_status(b.statements(spark, sf_dir), _ids(spark, sf_dir), "Confirmed unique").select("id", "duplicate_status")
+
+
+@_query("p19_clone", _STMT + ", n AS (SELECT session_id, count(*) AS n FROM stmt GROUP BY 1), c AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY row_number, id) AS k FROM stmt WHERE row_number % 3 = 0) SELECT session_id, n + k AS row_number, description, debit_amount FROM c JOIN n USING (session_id)")
+def p19_clone(spark, sf_dir):
+    return review.clone(b.statements(spark, sf_dir), _ids(spark, sf_dir)).select("session_id", "row_number", "description", "debit_amount")
+
+
+@_query("p20_quarantine", _STMT + "SELECT id, CASE WHEN opposite_ledger = '169' THEN '169' ELSE '' END AS legacy_opposite_ledger_reference, CASE WHEN opposite_ledger = '169' THEN '' ELSE opposite_ledger END AS opposite_ledger, CASE WHEN opposite_ledger = '169' THEN 'Unchecked' ELSE validation_status END AS validation_status FROM stmt")
+def p20_quarantine(spark, sf_dir):
+    return review.quarantine_transactions(b.statements(spark, sf_dir)).select("id", "legacy_opposite_ledger_reference", "opposite_ledger", "validation_status")
+
+
+@_query("p22_bank_ledgers", f"WITH ledgers AS ({b.LEDGERS}) SELECT pos, name FROM ledgers WHERE parent_group IN ('Bank Accounts', 'Cash-in-Hand')")
+def p22_bank_ledgers(spark, sf_dir):
+    return review.bank_ledger_candidates(b.ledgers(spark, sf_dir)).select("pos", "name")
+
+
+@_query("o2_session_page", _STMT + "SELECT session_id, id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY row_number, created_at, id) AS n FROM stmt) WHERE n BETWEEN 6 AND 10")
+def o2_session_page(spark, sf_dir):
+    return review.session_page(b.statements(spark, sf_dir), 1, 5).select("session_id", "id")
+
+
+@_query("o1_sorted_page", _STMT + "SELECT id, balance FROM stmt ORDER BY balance ASC NULLS LAST, session_id, row_number LIMIT 100 OFFSET 100")
+def o1_sorted_page(spark, sf_dir):
+    return review.sorted_page(b.statements(spark, sf_dir), "balance", 1).select("id", "balance")
+
+
+@_query("o2_page_count", _STMT + "SELECT session_id, CAST(greatest(1, ceil(count(*) / 10.0)) AS BIGINT) AS pages FROM stmt GROUP BY 1")
+def o2_page_count(spark, sf_dir):
+    return review.page_count(b.statements(spark, sf_dir), 10)
+
+
+@_query("s10_upsert", _STMT + ", c AS (SELECT * REPLACE (CASE WHEN row_number % 2 = 0 THEN id ELSE 'N' || id END AS id, 'changed' AS description, 'other' AS session_id) FROM stmt WHERE row_number % 3 = 0) SELECT coalesce(s.id, c.id) AS id, coalesce(s.session_id, c.session_id) AS session_id, CASE WHEN c.id IS NOT NULL THEN c.description ELSE s.description END AS description FROM stmt s FULL JOIN c ON s.id = c.id")
+def s10_upsert(spark, sf_dir):
+    rows = b.statements(spark, sf_dir)
+    changes = rows.where("row_number % 3 = 0").withColumns({"id": F.when(F.col("row_number") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("N"), "id")), "description": F.lit("changed"), "session_id": F.lit("other")})
+    return review.upsert(rows, changes).select("id", "session_id", "description")
+
+
+@_query("s12_delete", _STMT + "SELECT id FROM stmt WHERE row_number % 3 <> 0")
+def s12_delete(spark, sf_dir):
+    return review.drop_ids(b.statements(spark, sf_dir), _ids(spark, sf_dir)).select("id")
+
+
+# --- duplicates and ledgers -----------------------------------------------------------------------
+
+
+@_query(
+    "j1_duplicate_pairs",
+    _STMT
+    + """, twice AS (SELECT session_id, row_number, id, transaction_date, debit_amount, credit_amount, reference_number, description, balance, duplicate_status, ignored FROM stmt UNION ALL
+    SELECT session_id, row_number + 1000000, 'C' || id, transaction_date, debit_amount, credit_amount, reference_number, description, balance, duplicate_status, ignored FROM stmt WHERE row_number % 10 = 0),
+    p AS (SELECT l.session_id, l.id AS original_id, r.id AS duplicate_id, 75 + CASE WHEN l.reference_number <> '' THEN 20 ELSE 0 END + CASE WHEN l.balance IS NOT NULL THEN 5 ELSE 0 END AS score FROM twice l JOIN twice r ON r.id = 'C' || l.id WHERE NOT l.ignored AND r.duplicate_status <> 'Confirmed unique' AND l.transaction_date IS NOT NULL AND (CASE WHEN l.debit_amount <> 0 THEN l.debit_amount ELSE l.credit_amount END) <> 0)
+    SELECT session_id, original_id, duplicate_id, CAST(score AS INT) AS score FROM p WHERE score >= 96""",
+)
+def j1_duplicate_pairs(spark, sf_dir):
+    rows = b.statements(spark, sf_dir)
+    copies = rows.where("row_number % 10 = 0").withColumns({"id": F.concat(F.lit("C"), "id"), "row_number": F.col("row_number") + 1_000_000})
+    return duplicates.pairs(rows.unionByName(copies), 96).select("session_id", "original_id", "duplicate_id", "score")
+
+
+@_query("w6_duplicate_of")
+def w6_duplicate_of(spark, sf_dir):
+    rows = b.statements(spark, sf_dir)
+    return duplicates.mark(rows, duplicates.pairs(rows, 75)).select("id", "duplicate_status", "duplicate_of")
+
+
+_PAY = f"WITH ledgers AS ({b.LEDGERS}), payments AS ({b.PAYMENTS}), l AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9&]+', ' ', 'g')) AS basic FROM ledgers), p AS (SELECT *, trim(regexp_replace(lower(description), '[^a-z0-9&]+', ' ', 'g')) AS basic FROM payments) "
+
+
+@_query("j3_exact", _PAY + "SELECT description, arg_max(name, pos) AS ledger FROM p JOIN l USING (basic) GROUP BY 1")
+def j3_exact(spark, sf_dir):
+    return ledgers.by_exact(b.payments(spark, sf_dir), ledgers.prepared(b.ledgers(spark, sf_dir))).select("description", "ledger")
+
+
+@_query(
+    "j4_keyword",
+    _PAY
+    + """, t AS (SELECT pos, name, list_filter(string_split(basic, ' '), lambda w: len(w) >= 3 AND w NOT IN ('account', 'limited', 'ltd', 'private', 'pvt', 'payment', 'receipt', 'bank')) AS words FROM l)
+    SELECT description, arg_max(name, list_sum(list_transform(words, lambda w: len(w))) * 1000000 - pos) AS ledger FROM p JOIN t ON len(words) > 0 AND list_has_all(string_split(p.basic, ' '), words) GROUP BY 1""",
+)
+def j4_keyword(spark, sf_dir):
+    return ledgers.by_keyword(b.payments(spark, sf_dir), ledgers.prepared(b.ledgers(spark, sf_dir))).select("description", "ledger")
+
+
+@_query("j5_substring", _PAY + "SELECT description, arg_max(name, len(l.basic) * 1000000 - pos) AS ledger FROM p JOIN l ON len(l.basic) >= 4 AND contains(p.basic, l.basic) GROUP BY 1")
+def j5_substring(spark, sf_dir):
+    return ledgers.by_substring(b.payments(spark, sf_dir), ledgers.prepared(b.ledgers(spark, sf_dir))).select("description", "ledger")
+
+
+@_query("j6_normalized", _PAY + f", ln AS (SELECT pos, name, replace({_denoised('name')}, ' ', '') AS n FROM ledgers), pn AS (SELECT description, replace({_denoised('description')}, ' ', '') AS n FROM payments) SELECT description, arg_min(name, pos) AS ledger FROM pn JOIN ln USING (n) GROUP BY 1")
+def j6_normalized(spark, sf_dir):
+    return ledgers.by_normalized(b.payments(spark, sf_dir), ledgers.prepared(b.ledgers(spark, sf_dir))).select("description", "ledger")
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each of a few words, on the first ledgers by position."""
+    l = b.ledgers(spark, sf_dir).where("pos <= 7")
+    kind = F.element_at(F.array(*map(F.lit, ["Contains", "Exact", "Starts with", "Regex"])), (F.col("pos") % 4 + 1).cast("int"))
+    return l.select(
+        F.concat(F.lit("R"), "pos").alias("id"), F.concat(F.lit("Rule "), F.col("pos") - 1).alias("pattern"), kind.alias("match_type"), F.col("name").alias("ledger_name"),
+        F.when(F.col("pos") == 3, "Contra").otherwise("Unassigned").alias("voucher_type"), (F.lit(10) - F.col("pos")).cast("int").alias("priority"), (F.col("pos") != 5).alias("enabled"), F.lit(0).alias("use_count"), F.col("pos").alias("created_at"),
+    )
+
+
+@_query(
+    "j2_rules",
+    _PAY
+    + """, r AS (SELECT 'R' || CAST(pos AS STRING) AS rule_id, 'rule ' || CAST(pos - 1 AS STRING) AS pattern, pos % 4 AS kind, name, 10 - pos AS priority, pos FROM ledgers WHERE pos <= 7 AND pos <> 5),
+    hits AS (SELECT description, rule_id, name, row_number() OVER (PARTITION BY description ORDER BY priority, pos) AS n FROM payments JOIN r ON CASE kind WHEN 0 THEN contains(lower(description), pattern) WHEN 1 THEN lower(description) = pattern WHEN 2 THEN starts_with(lower(description), pattern) ELSE regexp_matches(lower(description), pattern) END)
+    SELECT description, rule_id, (SELECT arg_max(l2.name, l2.pos) FROM l AS l2 WHERE l2.basic = (SELECT any_value(l3.basic) FROM l AS l3 WHERE l3.name = hits.name)) AS ledger FROM hits WHERE n = 1""",
+)
+def j2_rules(spark, sf_dir):
+    return ledgers.by_rule(b.payments(spark, sf_dir), _rules(spark, sf_dir), ledgers.prepared(b.ledgers(spark, sf_dir))).select("description", "rule_id", "ledger")
+
+
+@_query("j8_cascade")
+def j8_cascade(spark, sf_dir):
+    return ledgers.match(b.payments(spark, sf_dir), b.ledgers(spark, sf_dir), _rules(spark, sf_dir)).select("description", "ledger", "confidence", "method", "rule_id")
+
+
+@_query("j9_apply")
+def j9_apply(spark, sf_dir):
+    return ledgers.apply(b.statements(spark, sf_dir), b.ledgers(spark, sf_dir), _rules(spark, sf_dir), "Demo Bank A/c").select("id", "opposite_ledger", "matching_confidence", "matching_method", "voucher_type")
+
+
+@_query(
+    "j10_canonical",
+    f"WITH ledgers AS ({b.LEDGERS}), names AS (SELECT DISTINCT upper(p_name) || ' ' AS name FROM part UNION SELECT '169' UNION SELECT '' UNION SELECT 'nobody') SELECT names.name AS name, l.name AS ledger, CASE WHEN names.name = '' THEN 'Select a Tally ledger name.' WHEN names.name = '169' THEN 'A numeric ledger index is invalid. Select the actual Tally ledger name.' WHEN l.name IS NULL THEN 'The ledger is not present in the selected Tally company.' END AS error FROM names LEFT JOIN ledgers l ON lower(trim(names.name)) = lower(l.name)",
+)
+def j10_canonical(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.upper("p_name"), F.lit(" ")).alias("name")).distinct()
+    odd = spark.createDataFrame([("169",), ("",), ("nobody",)], "name string")
+    return review.canonical_ledgers(parts.unionByName(odd), b.ledgers(spark, sf_dir))
+
+
+# --- vouchers -------------------------------------------------------------------------------------
+
+_ENTRIES = _STMT + f", e AS (SELECT id AS transaction_id, CAST(n AS INT) AS entry_no, CASE n WHEN 1 THEN opposite_ledger ELSE bank_ledger END AS ledger_name, CAST(CASE n WHEN 1 THEN -1 ELSE 1 END * CASE WHEN debit_amount <> 0 THEN debit_amount ELSE -credit_amount END AS {_M}) AS amount, n = 1 AS is_party, CASE WHEN n = 2 AND (reference_number <> '' OR cheque_number <> '') THEN CASE WHEN reference_number <> '' THEN reference_number ELSE cheque_number END END AS allocation_name FROM stmt, (VALUES (1), (2)) AS k(n))"
+
+
+@_query("x1_entries", _ENTRIES + " SELECT *, amount < 0 AS deemed_positive FROM e")
+def x1_entries(spark, sf_dir):
+    return vouchers.entries(b.statements(spark, sf_dir)).withColumn("allocation_name", F.col("allocation.name")).drop("allocation")
+
+
+@_query("v3_balances", _ENTRIES + f" SELECT transaction_id, CAST(sum(amount) AS {_M}) AS total, sum(amount) = 0 AS balanced FROM e GROUP BY 1")
+def v3_balances(spark, sf_dir):
+    return vouchers.balances(vouchers.entries(b.statements(spark, sf_dir)))
+
+
+@_query("x3_headers", _STMT + "SELECT id, strftime(transaction_date, '%Y%m%d') AS date_text, CASE WHEN narration <> '' THEN narration ELSE description END AS narration, opposite_ledger AS party_ledger, CASE WHEN voucher_type IN ('Payment', 'Receipt') THEN 'Single Entry' ELSE 'Double Entry' END AS entry_mode FROM stmt")
+def x3_headers(spark, sf_dir):
+    return vouchers.headers(b.statements(spark, sf_dir), single_entry=True).select("id", "date_text", "narration", "party_ledger", "entry_mode")
+
+
+@_query("x4_groups", _STMT + "SELECT strftime(transaction_date, '%Y-%m') AS group_key, 'my_file_' || strftime(transaction_date, '%Y-%m') || '.xml' AS filename, count(*) AS vouchers FROM stmt GROUP BY ALL")
+def x4_groups(spark, sf_dir):
+    return vouchers.grouped(b.statements(spark, sf_dir), "month", " my file.").groupBy("group_key", "filename").agg(F.count("*").alias("vouchers"))
+
+
+@_query("x5_export_outcome", _STMT + "SELECT id, CASE WHEN row_number % 3 = 0 AND import_status <> 'Imported' THEN 'Exported' ELSE import_status END AS import_status FROM stmt")
+def x5_export_outcome(spark, sf_dir):
+    return vouchers.outcome(b.statements(spark, sf_dir), _ids(spark, sf_dir)).select("id", "import_status")
+
+
+_RESPONSES = """SELECT CAST(user_id AS STRING) AS batch_id, event_id AS position, 'T' || CAST(event_id AS STRING) AS id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS created, CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS altered,
+    CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS errors, 0 AS exceptions, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS ignored, 0 AS cancelled, CASE WHEN event_id % 10 = 0 THEN 'bad ' || props ELSE '' END AS message,
+    CASE WHEN event_id % 211 = 3 THEN 'lost' END AS connection_error FROM events"""
+
+
+def _responses(spark, sf_dir):
+    return vouchers.import_outcome(spark.sql(_RESPONSES.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+_OUTCOME = f"""WITH r AS ({_RESPONSES}), o AS (SELECT *, max(connection_error) OVER (PARTITION BY batch_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lost FROM r),
+s AS (SELECT batch_id, position, id, CASE WHEN lost IS NULL AND connection_error IS NULL AND errors + ignored = 0 AND created + altered > 0 THEN 'Imported' ELSE 'Failed' END AS import_status,
+    CASE WHEN lost IS NOT NULL THEN 'Import stopped: ' || lost WHEN connection_error IS NOT NULL THEN connection_error ELSE message END AS message, lost IS NULL AND connection_error IS NULL AS live, created, altered, ignored, errors FROM o)"""
+
+
+@_query("x6_import_outcome", _OUTCOME + " SELECT id, import_status, message FROM s")
+def x6_import_outcome(spark, sf_dir):
+    return _responses(spark, sf_dir).select("id", "import_status", "message")
+
+
+@_query(
+    "a7_import_totals",
+    _OUTCOME + " SELECT batch_id, count(*) AS total_vouchers, CAST(coalesce(sum(created) FILTER (live), 0) AS BIGINT) AS created, CAST(coalesce(sum(altered) FILTER (live), 0) AS BIGINT) AS altered, CAST(coalesce(sum(ignored) FILTER (live), 0) AS BIGINT) AS ignored, CAST(coalesce(sum(errors) FILTER (live), 0) AS BIGINT) AS errors, count(*) FILTER (import_status = 'Failed') AS failed, coalesce(string_agg(message, '|' ORDER BY position) FILTER (message <> ''), '') AS messages FROM s GROUP BY 1",
+)
+def a7_import_totals(spark, sf_dir):
+    return summaries.import_totals(_responses(spark, sf_dir)).withColumn("messages", F.array_join("messages", "|"))
+
+
+@_query("s17_voucher_xml")
+def s17_voucher_xml(spark, sf_dir):
+    return vouchers.voucher_xml(b.statements(spark, sf_dir).where("transaction_date is not null"))
