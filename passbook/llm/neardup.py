@@ -4,7 +4,7 @@ Equal sets are one class. Each independent tree branches the classes by one minw
 another; only nodes that are still large branch further. A small node is compared exhaustively.
 A large node links its members to a pivot, at every depth, so a family of many copies costs one
 pair a member; in a large leaf, those that are left outside the node's main component are then
-compared with all the others there. A sketch of the minwise tokens sieves the pairs (it loses a
+compared with all the others there, on full sets, block by block. A sketch of the minwise tokens sieves the pairs (it loses a
 pair at the threshold with probability below 1e-6), and every link is confirmed on the full sets.
 A pair of similarity s meets in a tree's first node with probability s, so `trees` trees miss it
 with probability (1 - s)**trees there; deeper levels only split nodes above `small`.
@@ -118,6 +118,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+#: Bytes of sets in a block of outsiders and in a block of members.
+BLOCKS = 2 << 20, 6 << 20
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right set."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    l_row, r_row = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right))
+    both, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    lc, rc = code[: len(l_row)], code[len(l_row) :]
+    lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
+    lc, l_row, rc, r_row = lc[lo], l_row[lo], rc[ro], r_row[ro]
+    ln, rn = np.bincount(lc, minlength=len(both)), np.bincount(rc, minlength=len(both))
+    ls, rs = np.cumsum(ln) - ln, np.cumsum(rn) - rn
+    work = ln.astype(np.int64) * rn
+    # few pairs hold a shingle: count them one by one; many do: as products of 0/1 matrices
+    few = np.flatnonzero((work > 0) & (work <= 64))
+    if len(few):
+        k = np.repeat(few, work[few])
+        at = np.arange(len(k)) - np.repeat(np.cumsum(work[few]) - work[few], work[few])
+        np.add.at(counts, (l_row[ls[k] + at // rn[k]], r_row[rs[k] + at % rn[k]]), 1)
+    many = np.flatnonzero(work > 64)
+    for lo_ in range(0, len(many), 1024):
+        cols = many[lo_ : lo_ + 1024]
+        place = np.full(len(both), -1)
+        place[cols] = np.arange(len(cols))
+        a, b = np.zeros((len(left), len(cols)), np.float32), np.zeros((len(right), len(cols)), np.float32)
+        for m, c, r in ((a, lc, l_row), (b, rc, r_row)):
+            at = place[c]
+            m[r[at >= 0], at[at >= 0]] = 1
+        counts += a @ b.T
+    return counts.astype(np.int64)
+
+
+def _across(held: DataFrame, p: Join) -> DataFrame:
+    """held(node, id, c: component, outside, hashes): links (a, b) of each node's outsiders with its members of other components.
+
+    Both are dealt into blocks of bounded bytes, and a task compares one block with another.
+    """
+    size = F.length("hashes")
+    sums = held.groupBy("node").agg(F.sum(F.when(F.col("outside"), size)).alias("o"), F.sum(size).alias("m"))
+    sums = sums.select("node", *(F.ceil(F.col(c) / n).cast("int").alias(c) for c, n in zip("om", BLOCKS)))
+    rows = held.join(apart(sums), "node")
+    split = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.where("outside").select("node", "id", "c", "hashes", F.lit(0).alias("side"), split("o", 1).alias("ob"), every("m").alias("mb"))
+    right = rows.select("node", "id", "c", "hashes", F.lit(1).alias("side"), every("o").alias("ob"), split("m", 2).alias("mb"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids, c = (table.column(x).to_numpy() for x in ("side", "id", "c"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a = b = np.zeros(0, np.int64)
+        if len(l) and len(r):
+            same = shared_counts([sets[i] for i in l], [sets[i] for i in r])
+            n = np.array([len(x) for x in sets])
+            good = (100 * same >= p.percent * (n[l][:, None] + n[r][None, :] - same)) & (c[l][:, None] != c[r][None, :])
+            i, j = np.nonzero(good)
+            a, b = np.minimum(ids[l[i]], ids[r[j]]), np.maximum(ids[l[i]], ids[r[j]])
+        return pa.table({"a": a, "b": b})
+
+    return left.unionByName(right).groupBy("node", "ob", "mb").applyInArrow(run, "a long, b long").distinct()
+
+
 def _nodes(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame]:
     """(node, depth, id) of the nodes of at least two classes that a tree compares, and those rows whose node is large.
 
@@ -178,11 +242,8 @@ def clusters(docs: DataFrame, p: Join = Join()) -> DataFrame:
     leaf = stored(leaf, "leaves")
     main = leaf.groupBy("node", "c").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     if main.limit(1).count():
-        full = leaf.join(apart(main), "node").join(sketch, "id").select("node", "main", "c", F.struct("id", "n", "tokens").alias("m"))
-        outside = stored(full.where("c <> main").select("node", F.col("c").alias("oc"), F.col("m").alias("l")), "outside")
-        rest = outside.join(full.select("node", F.col("c").alias("rc"), F.col("m").alias("r"), "main"), "node")
-        rest = rest.where("oc <> rc and (rc = main or l.id < r.id)").where(_alike("l", "r", p)).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-        more = stored(_confirmed(rest.join(pairs, ["a", "b"], "left_anti"), sets, p), "links")
+        held = leaf.join(apart(main), "node").join(sets.select("id", "hashes"), "id").select("node", "id", "c", (F.col("c") != F.col("main")).alias("outside"), "hashes")
+        more = stored(_across(stored(held, "held"), p), "links")
         found = components(links.unionByName(more))
 
     named = classes.select("digest", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
