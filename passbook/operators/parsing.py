@@ -25,7 +25,11 @@ def built_in_aliases() -> Column:
 
 def template_aliases(aliases: Column) -> Column:
     """A template's map of field to aliases in the form of built_in_aliases; unknown fields are left out."""
-    parts = [F.transform(F.coalesce(F.element_at(aliases, f), F.array().cast("array<string>")), lambda a, i=i, f=f: F.struct(F.lit(i).alias("field"), F.lit(f).alias("name"), normalize_header(a).alias("alias"))) for i, f in enumerate(FIELDS)]
+
+    def entry(i: int, f: str):
+        return lambda a: F.struct(F.lit(i).alias("field"), F.lit(f).alias("name"), normalize_header(a).alias("alias"))
+
+    parts = [F.transform(F.coalesce(F.try_element_at(aliases, F.lit(f)), F.array().cast("array<string>")), entry(i, f)) for i, f in enumerate(FIELDS)]
     return F.concat(*parts).cast(_ALIAS_ARRAY)
 
 
@@ -110,7 +114,9 @@ def data_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     terms = F.array(*map(F.lit, IGNORE_TERMS))
     if "ignore_phrases" in mapping.columns:
         terms = F.concat(terms, F.transform(F.coalesce("ignore_phrases", F.array().cast("array<string>")), lambda t: strip(F.lower(t))))
-    ignored = F.exists(terms, lambda t: (described == t) | described.startswith(F.concat(t, F.lit(" "))))
+    met = F.exists(terms, lambda t: (described == t) | described.startswith(F.concat(t, F.lit(" "))))
+    # columns inside a lambda alone don't keep a condition above the join, so both sides' stand before it too
+    ignored = F.when(F.size("cells") + F.coalesce("description", F.lit(0)) >= 0, met).otherwise(False)
     return joined.where((F.col("row_number") > F.col("header_row") + 1) & some & ~is_header_like(F.col("cells")) & ~ignored)
 
 
