@@ -102,3 +102,16 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with text whose commas are wide gaps, so that lines fall into cells."""
     return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", ", ", "  ").alias("text"))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents as if set on pages of 50 lines: 12 units a line, 40 a word, with a little jitter in height."""
+    docs = _table(spark, sf_dir, "documents")
+    at = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    w = at.select("doc_id", "l", F.posexplode(F.split("line", " ")).alias("i", "text")).where(F.trim("text") != "")
+    return w.select("doc_id", F.floor(F.col("l") / 50).cast("int").alias("page"), "text", (F.col("i") * 40.0).alias("x0"), (F.col("l") % 50 * 12.0 + F.col("i") % 3 * 0.5).alias("top"))
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    rows = [(1, "apache", "Apache Bank", ["apache license"]), (2, "mit", "Mit Bank", ["mit", "MIT License"]), (3, "gnu", "Gnu Bank", ["GNU  General", "gnu"]), (4, "the", "The Bank", ["the"]), (5, "de", "De Bank", ["de", "que"])]
+    return spark.createDataFrame(rows, "pos int, template_id string, bank_name string, detection_keywords array<string>")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.functions import text, values
-from passbook.operators import duplicates, ledgers, parsing, review, summaries, validation, vouchers
+from passbook.operators import duplicates, layout, ledgers, parsing, review, summaries, templates, validation, vouchers
 from passbook.plans import bindings as b
-from passbook.sources import raw
+from passbook.sources import raw, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -533,3 +533,74 @@ def a7_import_totals(spark, sf_dir):
 @_query("s17_voucher_xml")
 def s17_voucher_xml(spark, sf_dir):
     return vouchers.voucher_xml(b.statements(spark, sf_dir).where("transaction_date is not null"))
+
+
+# --- layout and templates -------------------------------------------------------------------------
+
+_WORDS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM documents),
+w AS (SELECT doc_id, l, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS i FROM l),
+words AS (SELECT doc_id, CAST(l // 50 AS INT) AS page, l, text, i * 40.0 AS x0, l % 50 * 12.0 + i % 3 * 0.5 AS top FROM w WHERE trim(text) <> '')"""
+
+
+@_query("l1_line_text", _WORDS + " SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY l) AS INT) AS line, t AS text FROM (SELECT doc_id, page, l, string_agg(text, ' ' ORDER BY x0, top, text) AS t FROM words GROUP BY ALL)")
+def l1_line_text(spark, sf_dir):
+    return layout.line_text(layout.lines(b.words(spark, sf_dir)))
+
+
+@_query("l4_cells", _WORDS + " SELECT doc_id, page, CAST(top // 12 AS INT) AS row, CAST(CASE WHEN x0 + 1 >= 400 THEN 3 WHEN x0 + 1 >= 250 THEN 2 WHEN x0 + 1 >= 100 THEN 1 ELSE 0 END AS INT) AS column, string_agg(trim(text), ' ' ORDER BY top, x0, text) AS cell FROM words GROUP BY ALL")
+def l4_cells(spark, sf_dir):
+    starts = F.array(*map(F.lit, [0.0, 100.0, 250.0, 400.0]))
+    placed = b.words(spark, sf_dir).withColumns({"column": layout.column_of(starts, F.col("x0")), "row": F.floor(F.col("top") / 12).cast("int")})
+    return placed.groupBy("doc_id", "page", "row", "column").agg(layout.joined_words().alias("cell"))
+
+
+@_query("l10_recognised_text", _WORDS + ", t AS (SELECT doc_id, page, l, string_agg(text, ' ' ORDER BY x0, text) AS t, min(top) AS top FROM words GROUP BY ALL) SELECT doc_id, page, string_agg(t, chr(10) ORDER BY top) AS text FROM t GROUP BY ALL")
+def l10_recognised_text(spark, sf_dir):
+    lined = b.words(spark, sf_dir).withColumns({"line": F.floor(F.col("top") / 12), "confidence": F.lit(90.0)})
+    return layout.recognised_text(lined).select("doc_id", "page", "text")
+
+
+@_query("l15_dates", f"WITH raw AS ({b.RAW}) SELECT doc_id, row_number, regexp_full_match(c0, '[0-9]{{1,2}}[-/.][A-Za-z]{{3}}[-/.][0-9]{{2,4}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{2,4}}') AS is_date FROM raw")
+def l15_dates(spark, sf_dir):
+    return b.raw_rows(spark, sf_dir).select("doc_id", "row_number", values.looks_like_date(F.get("cells", F.lit(0))).alias("is_date"))
+
+
+_TEMPLATES = "(VALUES (1, 'apache', 'apache license'), (2, 'mit', 'mit'), (2, 'mit', 'mit license'), (3, 'gnu', 'gnu general'), (3, 'gnu', 'gnu'), (4, 'the', 'the'), (5, 'de', 'de'), (5, 'de', 'que')) AS k(pos, template_id, word)"
+
+
+def _has(c: str) -> str:
+    return f"CASE WHEN len(word) <= 3 THEN regexp_matches({c}, '(^|[^a-z0-9])' || word || '($|[^a-z0-9])') ELSE contains({c}, word) END"
+
+
+@_query(
+    "j11_detect_template",
+    f"WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents), h AS (SELECT doc_id, pos, template_id, {_has('substr(t, 1, 2000)')} AS early, len(word) + CASE WHEN word = 'gnu general' THEN 1 ELSE 0 END AS n FROM d JOIN {_TEMPLATES} ON {_has('t')}), "
+    "s AS (SELECT doc_id, pos, template_id, count(*) FILTER (early) AS e, count(*) AS a, max(n) AS n FROM h GROUP BY ALL) SELECT doc_id, template_id FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e DESC, a DESC, n DESC, pos) = 1",
+)
+def j11_detect_template(spark, sf_dir):
+    return templates.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"), b.templates(spark))
+
+
+@_query("p1_suggest_mapping", "SELECT DISTINCT CAST(user_id AS STRING) AS doc_id, 0 AS transaction_date, 1 AS description, 2 AS reference_number, 3 AS debit, 4 AS credit, 5 AS amount, 6 AS dr_cr, 7 AS balance, 2 AS header_row, 12 AS score FROM events")
+def p1_suggest_mapping(spark, sf_dir):
+    head = ["Txn Date", "Narration of it", "UTR Number", "Withdrawal", "Deposit", "Amount", "DR/CR", "Closing Balance"]
+    rows = b.raw_rows(spark, sf_dir)
+    heads = rows.select("doc_id").distinct().select("doc_id", F.lit(3).cast("long").alias("row_number"), F.array(*map(F.lit, head)).alias("cells"))
+    return parsing.suggest_mapping(rows.unionByName(heads)).select("doc_id", "transaction_date", "description", "reference_number", "debit", "credit", "amount", "dr_cr", "balance", "header_row", "score")
+
+
+@_query("s16_review_table", _STMT + "SELECT session_id, row_number, description, CAST(debit_amount AS STRING) AS debit_amount, coalesce(CAST(balance AS STRING), '') AS balance, matching_confidence FROM stmt")
+def s16_review_table(spark, sf_dir):
+    return tables.review_table(b.statements(spark, sf_dir)).select("session_id", "row_number", "description", "debit_amount", "balance", "matching_confidence")
+
+
+@_query("s13_rules_in_order", f"WITH ledgers AS ({b.LEDGERS}) SELECT 'R' || CAST(pos AS STRING) AS id, CAST(10 - pos AS INT) AS priority FROM ledgers WHERE pos <= 7 AND pos <> 5")
+def s13_rules_in_order(spark, sf_dir):
+    return tables.list_rules(_rules(spark, sf_dir), enabled_only=True).select("id", "priority")
+
+
+@_query("v5_rule_errors", f"WITH ledgers AS ({b.LEDGERS}) SELECT pos, CASE WHEN pos % 3 = 0 THEN 'Rule pattern is required.; Priority must be between 0 and 9999.' WHEN pos % 3 = 1 THEN '' ELSE 'Ledger must be an actual Tally ledger name, not a numeric index.' END AS errors FROM ledgers")
+def v5_rule_errors(spark, sf_dir):
+    pos = F.col("pos")
+    rows = b.ledgers(spark, sf_dir).select("pos", F.when(pos % 3 == 0, " ").otherwise(F.col("name")).alias("pattern"), F.when(pos % 3 == 2, "169").otherwise(F.col("name")).alias("ledger_name"), F.when(pos % 3 == 0, -1).otherwise(5).alias("priority"))
+    return validation.rule_errors(rows).select("pos", F.array_join("errors", "; ").alias("errors"))
