@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -35,3 +36,15 @@ def test_no_documents(spark):
     files = tokenfile.write(docs, P.path("byte_bpe_50k.json"))
     assert tokenfile.summary(spark, files).collect() == []
     assert tokenfile.fetch(spark, files, [1]).collect() == [] and tokenfile.fetch(spark, files, []).collect() == []
+
+
+def test_splitting_equals_the_library(monkeypatch):
+    content = open(P.path("byte_bpe_50k.json"), "rb").read()
+    encoder, rng = tokenfile.Encoder(content), random.Random(5)
+    parts = ["'", "s", "t", "re", "ve", "ll", "m", "d", " ", " ", "\n", "\t", "\xa0", "a", "Z", "é", "1", "٣", "!", "''", "'s", "  ", "日", "🎉", "\r\n"]
+    all_ = texts() + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    want = [encoder.library.encode(t, add_special_tokens=False).ids for t in all_]
+    for chunk, most in ((1 << 17, 1_000_000), (50, 1_000_000), (1 << 12, 10)):
+        monkeypatch.setattr(tokenfile, "CHUNK", chunk)
+        monkeypatch.setattr(tokenfile, "REMEMBERED", most)
+        assert [x.tolist() for x in tokenfile.Encoder(content).encode(all_)] == want
