@@ -83,7 +83,8 @@ def signatures(docs: DataFrame, p: Join) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, p: Join) -> DataFrame:
     """(id, set as bytes) of the wanted ids."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    # read back from a file, so that Spark knows the ids' size and moves the texts only if they are many
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(stored(wanted, "wanted"), "id", "left_semi").dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -253,5 +254,5 @@ def clusters(docs: DataFrame, p: Join = Join()) -> DataFrame:
 
 def deduplicated(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """docs without the rows that another document of their component stands for; columns as in docs."""
-    gone = clusters(docs, p).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(clusters(docs, p).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
