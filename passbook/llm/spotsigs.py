@@ -10,6 +10,8 @@ whose length differs by less than the threshold allows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,8 +36,9 @@ def signatures(text: Column) -> Column:
     """The sorted distinct hashes of a text's signatures; a null text counts as empty and has one, like any without words."""
     anchors = "|".join(sorted({w for ws in ANCHORS.values() for w in ws}))
     words = _words(F.coalesce(text, F.lit("")))
-    marked = F.regexp_replace(words, f"(?: ({anchors}))+(?= )", "\x01$1")
-    chains = F.array_join(F.regexp_extract_all(marked, F.lit("\x01(?=([^ \x01]+ [^ \x01]+(?:\x01[^ \x01]+)? [^ \x01]+))"), 1), "\n")
+    # no group repeats in these patterns, as each turn of one would take stack
+    marked = F.regexp_replace(words, f" ({anchors})(?= )", "\x01$1")
+    chains = F.array_join(F.regexp_extract_all(marked, F.lit("\x01(?=([^ \x01]+ [^ \x01]+(?:\x01[^ ]*)? [^ \x01]+))"), 1), "\n")
     plain = F.array_join(F.regexp_extract_all(words, F.lit(" (?=([^ ]+ [^ ]+ [^ ]+))"), 1), "\n")
     joined = F.when(chains != "", F.regexp_replace(chains, "\x01[^ \n]+", "")).when(plain != "", plain).otherwise(words)
     return F.array_sort(F.array_distinct(F.transform(F.split(joined, "\n"), lambda s: F.xxhash64(s))))
@@ -52,12 +55,12 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs(doc_id, ...) with next: a struct of the carried columns of the next row by descending doc_id; the last row's is the first row.
+def with_next(docs: DataFrame, carried: list[str], extend: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """extend(docs) with next: a struct of the carried columns and of those that extend adds, of the next row by descending doc_id; the last row's is the first row.
 
     Rows lie in buckets of neighbouring ids, so a row's next one is in its bucket or, for a bucket's
     last row, heads the next bucket that has rows. Null ids come last; equal ids are ordered by the
-    carried columns. Of a single row the next is itself.
+    carried columns. Of a single row the next is itself. extend adds what follows from the carried columns.
     """
     spark = docs.sparkSession
     n = 4 * max(16, shuffle_partitions(spark))
@@ -75,16 +78,17 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
         share = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((at - begin) / (end - begin) * fine)))
         bucket = F.coalesce(k.cast("long") * fine + share, F.lit(-1).cast("long"))
     rows = docs.withColumn("_bucket", bucket)
-    value = F.struct(*carried)
     order = F.struct(F.coalesce(at, F.lit(-(2**63))).alias("i"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
     heads = stored(rows.groupBy("_bucket").agg(F.max(order).alias("_head")), "heads")
-    heads = heads.select("_bucket", F.struct(*(F.col(f"_head.c{i}").alias(c) for i, c in enumerate(carried))).alias("_head"))
+    heads = extend(heads.select("_bucket", *(F.col(f"_head.c{i}").alias(c) for i, c in enumerate(carried))))
+    values = [c for c in heads.columns if c != "_bucket"]
+    heads = heads.select("_bucket", F.struct(*values).alias("_head"))
     # as many rows as there are buckets
     every = Window.orderBy("_bucket")
     last = F.last("_head").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("_bucket", F.coalesce(F.lag("_head").over(every), last).alias("_over"))
     w = Window.partitionBy("_bucket").orderBy(F.coalesce(at, F.lit(-(2**63))).desc(), *(F.col(c).desc() for c in carried))
-    led = rows.withColumn("_lead", F.lead(value).over(w))
+    led = extend(rows).withColumn("_lead", F.lead(F.struct(*values)).over(w))
     return led.join(heads.hint("shuffle_hash"), "_bucket", "left").withColumn("next", F.coalesce("_lead", "_over")).drop("_bucket", "_lead", "_over")
 
 
@@ -94,8 +98,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last third (floor of n_chars / 3 code points) replaced by the first as
     many (or all) of the next document's by descending id. Null texts count as empty.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sigs", signatures(F.col("text")))
-    rows = with_next(rows, ["text", "sigs"]).withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(rows, ["text"], lambda df: df.withColumn("sigs", signatures(F.col("text")))).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substr(F.col("next.text"), F.lit(1), third))
     rows = rows.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))

@@ -19,6 +19,11 @@ def test_chains_follow_anchors(spark):
     assert e == f == g
 
 
+def test_long_runs(spark):
+    runs = ["the " * 50_000 + "cat mat", "cat " + "of the " * 50_000 + "mat the hat", "word " * 50_000, "x" * 300_000]
+    assert [len(s) for s in sets(spark, runs)] == [1, 1, 1, 1]
+
+
 def brute(rows):
     order = sorted(((i if i is not None else -(2**63), t or "") for i, t in rows), reverse=True)
     out = []
