@@ -5,13 +5,14 @@ another; only nodes that are still large branch further. A small node is compare
 A large node links its members to a pivot, at every depth, so a family of many copies costs one
 pair a member; in a large leaf, those that are left outside the node's main component are then
 compared with all the others there, on full sets, block by block. A sketch of the minwise tokens sieves the pairs (it loses a
-pair at the threshold with probability below 1e-6), and every link is confirmed on the full sets.
-A pair of similarity s meets in a tree's first node with probability s, so `trees` trees miss it
-with probability (1 - s)**trees there; deeper levels only split nodes above `small`.
+pair at the threshold with probability below `odds`), and every link is confirmed on the full sets.
+A pair of similarity s shares all nodes of a tree with probability s**depth, whatever else they hold, and is
+then compared in one of them. There are as many trees as make (1 - s**depth)**trees at most `odds` at the threshold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +33,16 @@ class Join:
 
     k: int = 5
     percent: int = 80
-    trees: int = 10
     depth: int = 4
     small: int = 12
     seed: int = 11
+    odds: float = 1e-7
+
+    @property
+    def trees(self) -> int:
+        """Trees that all part a pair at the threshold with probability `odds` at most, however large its nodes are."""
+        apart = 1 - (self.percent / 100) ** self.depth
+        return max(1, math.ceil(math.log(self.odds) / math.log(apart))) if apart else 1
 
     @property
     def tokens(self) -> int:
@@ -43,19 +50,24 @@ class Join:
 
     @property
     def sieve(self) -> int:
-        """Equal minwise tokens that a pair at the threshold has but for odds of about 1e-7."""
+        """Equal minwise tokens that a pair at the threshold has but for `odds` at most (a binomial's lower tail)."""
         s, n = self.percent / 100, self.tokens
-        return max(1, int(n * s - 5.3 * (n * s * (1 - s)) ** 0.5))
+        least, below = 0, (1 - s) ** n
+        while least < n and below <= self.odds:
+            least += 1
+            below += math.comb(n, least) * s**least * (1 - s) ** (n - least)
+        return max(1, least)
 
 
 def minwise(hashes: np.ndarray, p: Join) -> np.ndarray:
     """The least hash under each of p.tokens orders of the shingles."""
     seeds = mix(np.arange(p.seed, p.seed + p.tokens, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out = np.empty(p.tokens, np.uint64)
-    for i, s in enumerate(seeds):
-        x = (hashes ^ s) * np.uint64(0xD6E8FEB86659FD93)
+    step = max(1, (1 << 14) // len(hashes))
+    for lo in range(0, p.tokens, step):
+        x = (hashes[None, :] ^ seeds[lo : lo + step, None]) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        out[i] = x.min()
+        out[lo : lo + step] = x.min(axis=1)
     return mix(out)
 
 
@@ -189,7 +201,9 @@ def _nodes(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame]:
     A node's key is a hash of its tree and of the minwise tokens on the path to it.
     """
     at = F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree")
-    level = classes.select("id", "tokens", at).select("id", "tokens", "tree", F.xxhash64("tree", F.get("tokens", F.col("tree") * p.depth)).alias("node"))
+    # a row carries the tokens of its own tree alone
+    level = classes.select("id", "tokens", at).select("id", "tree", F.slice("tokens", F.col("tree") * p.depth + 1, F.lit(p.depth)).alias("path"))
+    level = level.select("id", "path", F.xxhash64("tree", F.get("path", F.lit(0))).alias("node"))
     small, large = [], []
     for depth in range(1, p.depth + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -197,7 +211,7 @@ def _nodes(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame]:
         small.append(kept.where(F.col("size") <= p.small).select("node", "id"))
         above = kept.where(F.col("size") > p.small)
         large.append(above.select("node", F.lit(depth).alias("depth"), "id"))
-        level = above.select("id", "tokens", "tree", F.xxhash64("node", F.get("tokens", F.col("tree") * p.depth + depth)).alias("node"))
+        level = above.select("id", "path", F.xxhash64("node", F.get("path", F.lit(depth))).alias("node"))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -220,6 +234,8 @@ def clusters(docs: DataFrame, p: Join = Join()) -> DataFrame:
     classes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "classes")
     sketch = classes.where("id is not null").select("id", "n", "tokens")
     small, large = _nodes(sketch, p)
+    # the sieve counts equal tokens by their low 16 bits: chance can add a pair, but lose none
+    sketch = stored(sketch.withColumn("tokens", F.transform("tokens", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short"))), "sketch")
 
     # small nodes: at most p.small members, every pair of them
     member = small.join(sketch, "id").select("node", F.struct("id", "n", "tokens").alias("m"))

@@ -49,6 +49,25 @@ def test_equals_brute_force(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80), (1, 70)])
+def test_odds_hold_at_full_depth(k, percent):
+    p = neardup.Join(k=k, percent=percent)
+    assert (1 - (percent / 100) ** p.depth) ** p.trees <= 1e-7
+
+
+def test_single_links_at_the_threshold_in_a_large_family(spark):
+    words = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    core = words("c", 68)
+    members = [f"{core} {words(f'p{i}', 2)}" for i in range(100)]
+    # 70 of 100 words are those of one member; 68 of 102 those of any other
+    tails = [f"{members[i]} {words(f'q{i}', 30)}" for i in range(100)]
+    rows = list(enumerate(members + tails))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.clusters(docs, neardup.Join(k=1, percent=70)).collect()}
+    assert got == brute(rows, 1, 70)
+    assert {c for _, c, _ in got.values()} == {0}
+
+
 def test_deduplicated_keeps_columns_and_one_of_each(spark):
     t = "a b c d e f g h i j"
     docs = spark.createDataFrame([(3, t, "x"), (1, t.upper(), "y"), (None, "other words here now then", "z"), (2, None, None)], "doc_id long, text string, id string")
