@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-A text's lines are cut to sentences and normalised; known sentences become identifiers, others
-none. A licence's rule is an ordered list of identifiers. It is found where the identifiers occur
+A text's lines are cut to pieces at sentence ends. A known sentence is met where the words of one piece or of
+several that follow each other are its words, however its lines are wrapped; it becomes an identifier. A licence's rule is an ordered list of identifiers. It is found where the identifiers occur
 in that order among the known sentences of a text, with at most `gap` other sentences between
 two of them. Sentences and rules are tables of bounded size that travel with the tasks.
 """
@@ -9,7 +9,9 @@ two of them. Sentences and rules are tables of bounded size that travel with the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +43,13 @@ SENTENCES = [
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
 ]
 
+# fixed values: whole official sentences that go on where those above end
+OFFICIAL = [
+    ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("mit-asis", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
+]
+
 # fixed values: rules as (rule, licence, identifiers in order)
 RULES = [
     ("apache-2.0-notice", "Apache-2.0", ["apache-notice"]),
@@ -55,34 +64,98 @@ RULES = [
     ("bsd-2-clause-text", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
 ]
 
-#: A sentence ends at a line's end, or at one of .!?; before a blank; "4.0" and "No." inside a line don't matter to known sentences.
-_ENDS = re.compile(r"\n|(?<=[.!?;])\s")
-_OTHER = re.compile(r"[^\w]+", re.ASCII)
+#: Pieces end at a line's end, or at one of .!?; before a blank; "4.0" inside a line doesn't matter to known sentences.
+_LINES = re.compile(r"\r\n?|\n")
+_ENDS = re.compile(r"(?<=[.!?;])\s")
+_WORD = re.compile(r"\w+")
+#: A list item opens a line; its mark in brackets isn't part of the sentence.
+_ITEM = re.compile(r"\s*(?:[-\u2022](?!-)|\(?\w{1,3}[.)](?:\s|$))")
+_MARK = re.compile(r"\W*\w{1,3}\)\s+")
 
 
 def normalised(sentence: str) -> str:
-    """Lower-case words of letters, digits and underscores with single blanks between them (ASCII marks dropped)."""
-    return _OTHER.sub(" ", sentence.lower()).strip() if sentence.isascii() else re.sub(r"\W+", " ", sentence.lower()).strip()
+    """Lower-case words of letters, digits and underscores with single blanks between them."""
+    return " ".join(_WORD.findall(sentence.lower()))
+
+
+def _pieces(text: str) -> list[tuple[str, bool]]:
+    """(piece, whether a sentence may go on into it from the line before); pieces without words are left out like blank lines."""
+    out: list[tuple[str, bool]] = []
+    open_ = False
+    for line in _LINES.split(text):
+        goes_on = open_ and not _ITEM.match(line)
+        open_ = False
+        for s in _ENDS.split(line):
+            if _WORD.search(s):
+                s = s.strip()
+                out.append((s, goes_on))
+                open_ = s[-1] not in ".!?;:"
+                goes_on = False
+    return out
+
+
+def _known(pieces: list[tuple[str, bool]], known: dict[str, str], ordered: list[str], starts: set[str], most: int) -> list[tuple[int, int, str]]:
+    """(first piece, last piece, identifier) of the places whose words are those of a known sentence; most: its words at most."""
+    out = []
+
+    def words(s: str) -> list[str]:
+        return [m.group() for m in islice(_WORD.finditer(s.lower()), most + 1)]
+
+    for i, (s, _) in enumerate(pieces):
+        if _WORD.search(s).group().lower() not in starts:
+            # few pieces begin with a word that a known sentence begins with
+            mark = _MARK.match(s)
+            if mark is None and s.isascii():
+                continue
+            s = s[mark.end() :] if mark else s
+            if next(iter(words(s)), None) not in starts:
+                continue
+        so_far, j = " ".join(words(s)), i
+        while True:
+            if so_far in known:
+                out.append((i, j, known[so_far]))
+            j += 1
+            so_far += " "
+            at = bisect_left(ordered, so_far)
+            if j == len(pieces) or at == len(ordered) or not ordered[at].startswith(so_far):
+                break
+            so_far += " ".join(words(pieces[j][0]))
+    return out
+
+
+def _numbers(pieces: list[tuple[str, bool]], met: list[tuple[int, int, str]]) -> list[int]:
+    """The number of each piece's sentence: known ones are one each, other lines that go on are one with the line before."""
+    inside = {k for i, j, _ in met for k in range(i + 1, j + 1)}
+    edge = {i for i, _, _ in met} | {j + 1 for _, j, _ in met}
+    out, n = [], -1
+    for k, (_, goes_on) in enumerate(pieces):
+        if k not in inside and (k in edge or not goes_on):
+            n += 1
+        out.append(n)
+    return out
 
 
-def _find(ids: list[tuple[int, str]], rule: list[str], gap: int) -> list[tuple[int, int]]:
-    """Non-overlapping (first, last) sentence numbers where the rule's identifiers follow each other."""
-    out, at = [], 0
-    while at < len(ids):
-        if ids[at][1] != rule[0]:
-            at += 1
+def _find(met: list[tuple[int, int, str]], number: list[int], rule: list[str], gap: int) -> list[tuple[int, int]]:
+    """Non-overlapping (first, last) pieces where the rule's identifiers follow each other; met is in order of its first pieces."""
+    out: list[tuple[int, int]] = []
+    for at, (first, end, i) in enumerate(met):
+        if i != rule[0] or (out and first <= out[-1][1]):
             continue
-        k, i, last = 1, at, ids[at][0]
-        while k < len(rule):
-            nxt = next((j for j in range(i + 1, len(ids)) if ids[j][0] - last <= gap + 1 and ids[j][1] == rule[k]), None)
-            if nxt is None:
+        # every piece in which the identifiers so far can end
+        ends = {end}
+        for x in rule[1:]:
+            far = max(number[e] for e in ends) + gap + 1
+            after: set[int] = set()
+            for f, e, y in islice(met, at + 1, None):
+                if number[f] > far:
+                    break
+                if y == x and any(f > b and number[f] - number[b] <= gap + 1 for b in ends):
+                    after.add(e)
+            ends = after
+            if not ends:
                 break
-            i, last, k = nxt, ids[nxt][0], k + 1
-        if k == len(rule):
-            out.append((ids[at][0], last))
-            at = i + 1
-        else:
-            at += 1
+        if ends:
+            out.append((first, min(ends)))
     return out
 
 
@@ -93,6 +166,7 @@ def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 3)
     MOST_RULES rows. first and last number a text's sentences from 0. Among rules met at places
     that share a sentence only those with the most sentences stay. Null and empty texts have no sentences;
     rows that repeat a document repeat its rows. Rules with no or null ids are ignored.
+    A line that goes on in the next one ends no sentence, but for the lines of known sentences.
     """
     spark = docs.sparkSession
     for df in (sentences, rules):
@@ -101,12 +175,12 @@ def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 3)
     known = {normalised(r.text): r.id for r in sentences.where("text is not null and id is not null").orderBy(F.desc("id")).collect()}
     known.pop("", None)
     all_rules = sorted((r.rule, r.licence, list(r.ids)) for r in rules.collect() if r.ids and None not in r.ids)
-    longest = max(map(len, known), default=0)
     shared = spark.sparkContext.broadcast((known, all_rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, all_rules = shared.value
         starts = {k.split(" ", 1)[0] for k in known}
+        ordered, most = sorted(known), max((k.count(" ") + 1 for k in known), default=0)
         by_first: dict[str, list] = {}
         for r in all_rules:
             by_first.setdefault(r[2][0], []).append(r)
@@ -115,25 +189,15 @@ def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 3)
                 b = whole.slice(lo, 512)
                 out: list[list] = [[], [], [], [], []]
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids: list[tuple[int, str]] = []
-                    n = 0
-                    for s in _ENDS.split(text or ""):
-                        s = s.strip()
-                        if not s:
-                            continue
-                        # few sentences begin with a word that a known one begins with
-                        word = _OTHER.sub(" ", s[:80].lower()).split(" ", 2)
-                        if (word[0] or (word[1] if len(word) > 1 else "")) in starts and len(s) <= 4 * longest + 80:
-                            found = known.get(normalised(s))
-                            if found:
-                                ids.append((n, found))
-                        n += 1
+                    pieces = _pieces(text or "")
+                    ids = _known(pieces, known, ordered, starts, most)
                     if not ids:
                         continue
-                    met = [(r, l, *span, len(i)) for x in sorted({x for _, x in ids}) for r, l, i in by_first.get(x, []) for span in _find(ids, i, gap)]
+                    number = _numbers(pieces, ids)
+                    met = [(r, l, *span, len(i)) for x in sorted({x for _, _, x in ids}) for r, l, i in by_first.get(x, []) for span in _find(ids, number, i, gap)]
                     for r, l, first, last, size in met:
                         if not any(f <= last and first <= t and k > size for _, _, f, t, k in met):
-                            for c, v in zip(out, (doc, r, l, first, last)):
+                            for c, v in zip(out, (doc, r, l, number[first], number[last])):
                                 c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "rule", "licence", "first", "last"])
 
@@ -141,4 +205,4 @@ def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 3)
 
 
 def known_rules(spark) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(SENTENCES, "id string, text string"), spark.createDataFrame(RULES, "rule string, licence string, ids array<string>")
+    return spark.createDataFrame(SENTENCES + OFFICIAL, "id string, text string"), spark.createDataFrame(RULES, "rule string, licence string, ids array<string>")

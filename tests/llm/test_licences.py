@@ -33,3 +33,76 @@ def test_longest_rule_wins_and_odd_rules(spark):
     got = sorted(tuple(r) for r in licences.scan(docs, sentences, rules).collect())
     assert got == [(1, "a", "A", 3, 3)] * 2 + [(1, "ab", "AB", 0, 2)] * 2
     assert licences.scan(docs, sentences.limit(0), rules.limit(0)).collect() == []
+
+
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+(2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_official_wrapped_texts(spark):
+    bare = [APACHE, MIT, BSD, GPL]
+    marked = ["\r\n".join(f" * {line}" for line in x.split("\n")) for x in bare]
+    lines = "Some words\nLicensed under CC BY 4.0\nReleased under the MIT License\nmore words"
+    docs = spark.createDataFrame(list(enumerate([*bare, *marked, lines, "*" * 500 + " " + MIT])), "doc_id long, text string")
+    rows = licences.scan(docs, *licences.known_rules(spark)).collect()
+    names = ["apache-2.0-header", "mit-text", "bsd-2-clause-text", "gpl-3.0-header"]
+    want = [*enumerate(names), *enumerate(names, 4), (8, "cc-by-4.0-notice"), (8, "mit-notice"), (9, "mit-text")]
+    assert sorted((r.doc_id, r.rule) for r in rows) == want
+    assert [(r.first, r.last) for r in rows if r.doc_id in (0, 3)] == [(1, 4), (0, 1)]
+
+
+def test_every_reachable_position(spark):
+    sentences = spark.createDataFrame([(x, x) for x in "abc"], "id string, text string")
+    rules = spark.createDataFrame([("abc", "X", ["a", "b", "c"])], "rule string, licence string, ids array<string>")
+    docs = spark.createDataFrame([(1, "a. b. x. b. x. c. x.")], "doc_id long, text string")
+    assert [tuple(r) for r in licences.scan(docs, sentences, rules, 2).collect()] == [(1, "abc", "X", 0, 5)]
