@@ -1,10 +1,11 @@
-"""Exact top-k search by MaxScore over vectors as documents whose terms are components.
+"""Exact top-k search over vectors as documents whose terms are components, by MaxScore's bounds without its postings.
 
 Each component is a term; its impact is the component's integer value. Vectors lie in shards; in
 a shard every term has the range of its impacts, which bounds what it can add to a query's score.
-A query's terms are put in order of their bounds. Once k scores are known, terms whose bounds
-together stay below the k-th score are non-essential: candidates are those that the essential
-terms leave competitive, and the other terms are probed only while they stay so. Shards are
+A query's terms are put in order of their bounds' widths. All candidates are scored on the first 16 terms; from
+then on, after every 8 terms, those whose partial score and remaining bounds stay below the k-th score of the
+first leaders are dropped. Dense vectors hold every term, so there are no postings that would leave candidates
+out, and terms aren't split into essential and non-essential ones. Shards are
 searched for a block of queries at a time and their k best are merged.
 """
 
