@@ -398,6 +398,12 @@ def j1_duplicate_pairs(spark, sf_dir):
     return duplicates.pairs(rows.unionByName(copies), 96).select("session_id", "original_id", "duplicate_id", "score")
 
 
+@_query("j11_duplicate_pairs_75")
+def j11_duplicate_pairs_75(spark, sf_dir):
+    """The tables' own pairs at the operator's default; SQL has no Ratcliff-Obershelp ratio, so brute force tests it."""
+    return duplicates.pairs(b.statements(spark, sf_dir)).select("session_id", "original_id", "duplicate_id", "score")
+
+
 @_query("w6_duplicate_of")
 def w6_duplicate_of(spark, sf_dir):
     rows = b.statements(spark, sf_dir)

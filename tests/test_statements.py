@@ -112,6 +112,20 @@ def score(a, b):
     return out + (15 if ratio >= 0.9 else 10 if ratio >= 0.7 else 0) + 5 * (a["balance"] is not None and a["balance"] == b["balance"])
 
 
+def test_duplicate_pairs_query_has_all_pairs_from_75(spark, monkeypatch):
+    from passbook.plans import catalogue
+
+    rng = random.Random(3)
+    changes = [dict(debit_amount=D(rng.choice([5, 6])), reference_number=rng.choice(["", "r1"]), description=rng.choice(["demo shop one", "demo shop two", "rent"]), balance=rng.choice([None, D(1)])) for _ in range(40)]
+    full = [BASE | {"id": f"t{i}"} | c for i, c in enumerate(changes)]
+    want = {(a["id"], b["id"]): s for i, a in enumerate(full) for b in full[i + 1 :] if (s := score(a, b)) >= 75}
+    df = transactions(spark, *changes).repartition(3)
+    monkeypatch.setattr(catalogue.b, "statements", lambda spark, sf_dir: df)
+    got = catalogue.queries()["j11_duplicate_pairs_75"](spark, "").collect()
+    assert {(r.original_id, r.duplicate_id): r.score for r in got} == want
+    assert len(got) == len(want) and {75, 80, 100} <= set(want.values())
+
+
 @pytest.mark.parametrize("threshold", [40, 55, 75])
 def test_duplicate_pairs_equal_brute_force(spark, threshold):
     rng = random.Random(threshold)
