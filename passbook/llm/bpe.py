@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Merged pre-tokens that a worker remembers before it starts over; bounds memory, never results.
-REMEMBERED = 400_000
+from passbook.llm import pretokens
 
 
 class PerfectHash:
@@ -131,43 +130,64 @@ def merge(ids: list[int], pairs: dict[int, int]) -> tuple[int, ...]:
     return tuple([i for i in ids if i >= 0])
 
 
+@lru_cache(maxsize=1)
+def library_kinds() -> np.ndarray:
+    """The kind of each code point by the tiktoken library's own patterns."""
+    import tiktoken
+
+    def matches(pattern: str, text: str) -> str:
+        # what a pattern leaves out of a text, the library leaves out of its ids
+        of = tiktoken.Encoding("kinds", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        return bytes(of.encode_ordinary(text)).decode()
+
+    return pretokens.kinds(matches)
+
+
 class Codec:
-    """Encodes and decodes with one vocabulary; holds the perfect hash and a bounded memory of merged pre-tokens."""
+    """Encodes and decodes with one vocabulary; holds the perfect hash and a bounded memory of resolved pre-tokens.
+
+    Pre-tokens of pretokens.PATTERN are split as the tiktoken library splits them; those of other patterns by the
+    regex module, whose version of Unicode may differ.
+    """
 
     def __init__(self, vocabulary: bytes, pattern: str):
-        self.ranks = read_ranks(vocabulary)
-        self.split = regex.compile(pattern).findall
-        tokens = list(self.ranks)
+        ranks = read_ranks(vocabulary)
+        tokens = list(ranks)
         hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
         self.table = PerfectHash(hashes)
         slot = self.table.slots(hashes)
         self.entry: list[bytes] = [b""] * len(tokens)
         self.id_at: list[int] = [0] * len(tokens)
         for t, s in zip(tokens, slot.tolist()):
-            self.entry[s], self.id_at[s] = t, self.ranks[t]
-        self.token = {i: t for t, i in self.ranks.items()}
-        self.pairs = pair_ranks(self.ranks)
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Resolves pre-tokens that are not remembered."""
+            self.entry[s], self.id_at[s] = t, ranks[t]
+        self.pairs = pair_ranks(ranks)
+        self.byte = [ranks[bytes([i])] for i in range(256)]
+        most = max(ranks.values()) + 1
+        #: Of each id its bytes, and its number in decimal.
+        self.token: list[bytes] = [b""] * most
+        for t, i in ranks.items():
+            self.token[i] = t
+        self.decimal = [b"%d" % i for i in range(most)]
+        self.memory = pretokens.Memory(library_kinds(), self._resolve) if pattern == pretokens.PATTERN else None
+        self.split = regex.compile(pattern).findall
+
+    def _resolve(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens: by the perfect hash if they are entries, else by merges."""
         raw = [p.encode() for p in pieces]
         slots = self.table.slots(np.array([xxhash.xxh3_64_intdigest(p) for p in raw], np.uint64)).tolist()
-        entry, id_at, known, pairs, byte = self.entry, self.id_at, self.known, self.pairs, self.byte
-        for text, p, s in zip(pieces, raw, slots):
-            known[text] = (id_at[s],) if s >= 0 and entry[s] == p else merge([byte[x] for x in p], pairs)
+        entry, id_at, pairs, byte = self.entry, self.id_at, self.pairs, self.byte
+        found = [(id_at[s],) if s >= 0 and entry[s] == p else merge([byte[x] for x in p], pairs) for p, s in zip(raw, slots)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if self.memory:
+            yield from self.memory.encode(texts)
+        else:
+            for t in texts:
+                yield self._resolve(self.split(t))[0]
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        known = self.known
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > REMEMBERED and known:
-                known.clear()
-                new = set(pieces)
-            self._learn(list(new))
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        return next(self.encode_all([text])).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -208,27 +228,24 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, digest: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value, pattern)
-        text_of = {i: str(i) for i in codec.token} if digest else {}
         sha = hashlib.sha256
         for whole in batches:
             for lo in range(0, max(whole.num_rows, 1), 512):
                 b = whole.slice(lo, 512)
-                ids = (codec.encode(t or "") for t in b.column(at).to_pylist())
+                found = codec.encode_all([t or "" for t in b.column(at).to_pylist()])
                 if digest:
                     made: list[list] = [[], [], []]
-                    for x in ids:
+                    for ids in found:
+                        x = ids.tolist()
                         made[0].append(len(x))
-                        made[1].append(sha(",".join(map(text_of.__getitem__, x)).encode()).hexdigest())
+                        made[1].append(sha(b",".join(map(codec.decimal.__getitem__, x))).hexdigest())
                         made[2].append(sha(codec.decode(x)).hexdigest())
                     cols = [pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.string(), pa.string()))]
                 else:
-                    flat, offsets, raw = [], [0], []
-                    for x in ids:
-                        flat.append(np.array(x, np.int32))
-                        offsets.append(offsets[-1] + len(x))
-                        raw.append(codec.decode(x))
-                    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-                    cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(raw, pa.binary())]
+                    flat = list(found)
+                    offsets = np.cumsum([0, *map(len, flat)])
+                    values = pa.array(np.concatenate([*flat, np.zeros(0, np.uint32)]).astype(np.int32))
+                    cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array([codec.decode(x.tolist()) for x in flat], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + cols, names=schema.names)
 
     return src.mapInArrow(run, schema)

@@ -20,7 +20,9 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    """The first n powers of an odd base and of its inverse, modulo 2**64; those of a very long text aren't kept."""
+    if n > 16 * CHUNK:
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
     if "up" not in _powers or len(_powers["up"]) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             a = np.full(max(n, 2 * CHUNK), base, np.uint64)

@@ -7,7 +7,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 
-from passbook.llm import bpe  # noqa: E402
+from passbook.llm import bpe, pretokens  # noqa: E402
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,12 +38,41 @@ def test_equals_the_library_and_decodes(spark):
     assert bpe.encode_texts(docs.limit(0), PATH, P.PATTERN).collect() == []
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+def every_code_point():
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    return ["".join(f"a{chr(c)}1 " for c in points[lo : lo + 4096]) for lo in range(0, len(points), 4096)]
+
+
+def test_every_code_point_equals_the_library():
+    codec, own = bpe.Codec(open(PATH, "rb").read(), P.PATTERN), library()
+    all_ = every_code_point()
+    for t, ids in zip(all_, codec.encode_all(all_)):
+        assert ids.tolist() == own.encode_ordinary(t)
+
+
+def test_forgetting_and_chunks_change_nothing(monkeypatch):
+    own, all_ = library(), texts() + [" ".join(texts()), "é1" * 4000, "1a" * 3000 + " " * 50]
+    for names, value in ((("REMEMBERED",), 3), (("REMEMBERED_POINTS",), 40), (("CHUNK",), 50)):
+        for name in names:
+            monkeypatch.setattr(pretokens, name, value)
+        codec = bpe.Codec(open(PATH, "rb").read(), P.PATTERN)
+        assert [x.tolist() for x in codec.encode_all(all_)] == [own.encode_ordinary(t) for t in all_]
+
+
+def test_hashes_that_collide_change_nothing(monkeypatch):
+    monkeypatch.setattr(pretokens, "mix", lambda h: h & type(h[0])(63))
     codec, own = bpe.Codec(open(PATH, "rb").read(), P.PATTERN), library()
     assert all(codec.encode(t) == own.encode_ordinary(t) for t in texts())
 
 
+def test_other_patterns():
+    pattern = r"\S+|\s+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(open(PATH, "rb").read(), pattern)
+    assert all(codec.encode(t) == own.encode_ordinary(t) for t in texts()[:8])
+
+
 def test_perfect_hash_is_minimal():
     import numpy as np
     import xxhash
