@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,18 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
+    """The folder that driver and executors share; a session in one process that names none gets a local one, a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/passbook/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has stored; only once no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows of df, written to the shared folder and read back: cuts the lineage and gives true sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/passbook/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,12 +51,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def apart(df: DataFrame) -> DataFrame:
     """df dealt out anew, so that a join above gets a shuffle of its own on this side and Spark can split its hot keys."""
     return df.repartition(shuffle_partitions(df.sparkSession))
-
-
-def row_key() -> list:
-    """Columns that tell a document's rows apart: null ids are kept, and ids that repeat with other texts differ."""
-    return [
-        F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("_id"),
-        F.col("doc_id").isNull().cast("int").alias("_null"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tk"),
-    ]

@@ -18,24 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passbook.llm import pretokens
 from passbook.llm.bpe import PerfectHash, read_file
-from passbook.llm.common import shared_dir, shuffle_partitions
-from passbook.llm.words import mix, powers, prefix_sums
-
-#: Bytes of ids after which a shard is closed, and pre-tokens that a worker remembers; bound memory, never results.
-SHARD_BYTES, REMEMBERED = 4 << 20, 1_000_000
-#: Code points that are split at once.
-CHUNK = 1 << 17
-#: A place where a long text can be cut, as no pre-token reaches across.
-_CUT = regex.compile(r"(?<=\p{L}) ")
-# fixed values: what an apostrophe at a pre-token's beginning takes with it
-_CONTRACTIONS = ["s", "t", "m", "d", "re", "ve", "ll"]
-_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+from passbook.llm.common import run_dir, shuffle_partitions
+from passbook.llm.words import mix
+
+#: Bytes of ids after which a shard is closed; bounds memory, never results.
+SHARD_BYTES = 4 << 20
 
 SCHEMA = "part int, seq int, before long, n_ids long, n_docs int, first long, last long, width int, keys binary, missing binary, index binary, slots binary, payload binary"
 #: What a slot stores.
@@ -43,49 +36,15 @@ _SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Of each code point: blank, letter, number or other, by Unicode's properties."""
-    out = np.full(0x110000, _OTHER, np.uint8)
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, name in ((_BLANK, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
-        for m in regex.finditer(f"{name}+", points):
-            out[np.frombuffer(m.group().encode("utf-32-le"), np.uint32)] = kind
-    return out
+def library_kinds() -> np.ndarray:
+    """The kind of each code point by the tokenizers library's own patterns."""
+    from tokenizers import Regex, pre_tokenizers
 
+    def matches(pattern: str, text: str) -> str:
+        cut = pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True)
+        return "".join(piece for lo in range(0, len(text), 4096) for piece, _ in cut.pre_tokenize_str(text[lo : lo + 4096]))
 
-def split(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where pre-tokens of texts side by side begin (points: code points; ends: where each text ends).
-
-    A pre-token is a run of letters, of numbers or of other signs, each with one space before it; a
-    contraction after an apostrophe that begins one; or blanks, of which the last before something
-    else stands apart.
-    """
-    n = len(points)
-    kind = _classes()[points]
-    first = np.zeros(n + 1, bool)
-    first[0] = True
-    first[ends] = True
-    blank = kind == _BLANK
-    before = np.r_[True, blank[:-1]]
-    same = np.r_[False, kind[1:] == kind[:-1]]
-    spaced = np.r_[False, points[:-1] == 0x20]
-    last = ~first[1:] & np.r_[~blank[1:], True]  # something else follows in the same text
-    begin = np.where(blank, last | ~before, ~same & ~spaced) | first[:-1]
-    quote = np.flatnonzero((points == 0x27) & begin)
-    if len(quote):
-        # equal neighbours never begin, so a quote that begins stands first in its run
-        text_end = ends[np.searchsorted(ends, quote, side="right")]
-        padded = np.r_[points, np.zeros(2, points.dtype)]
-        for c in _CONTRACTIONS:
-            hit = quote + len(c) + 1 <= text_end
-            for k, x in enumerate(c):
-                hit &= padded[quote + 1 + k] == ord(x)
-            at = quote[hit]
-            for k in range(len(c)):
-                begin[at + 1 + k] = False
-            at = at + 1 + len(c)
-            begin[at[at < n]] = True
-    return np.flatnonzero(begin)
+    return pretokens.kinds(matches)
 
 
 class Encoder:
@@ -95,7 +54,7 @@ class Encoder:
     pre-tokens apart. With any other, and for texts that hold an added token, the library gets whole texts.
     """
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, kinds: bytes | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -111,96 +70,25 @@ class Encoder:
             vocabulary = self.library.get_vocab(with_added_tokens=True)
             self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.offset, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+            self.memory = pretokens.Memory(np.frombuffer(kinds, np.uint8) if kinds else library_kinds(), self._learn)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.array(self.merger.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
         # a piece's ids end where their bytes do
         ends = np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum([len(p.encode()) for p in pieces])) + 1
-        lengths = np.diff(ends, prepend=0)
-        at = len(self.known)
-        while at + len(pieces) > len(self.offset):
-            self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.offset[at : at + len(pieces)] = self.used + np.cumsum(lengths) - lengths
-        self.length[at : at + len(pieces)] = lengths
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(at, at + len(pieces))))
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts that together are about a chunk."""
-        ends = np.cumsum([len(t) for t in texts])
-        joined = "".join(texts)
-        if not joined:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        start = split(points, np.unique(ends[ends > 0]))
-        stop = np.r_[start[1:], len(points)]
-        sums = prefix_sums(points)
-        _, down = powers(len(points))
-        h = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
-        distinct, where, each = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        at = list(map(self.known.get, keys))
-        new = [i for i, x in enumerate(at) if x is None]
-        if new:
-            if self.known and len(self.known) + len(new) > REMEMBERED:
-                self._forget()
-                new = list(range(len(keys)))
-            s, e = start[where].tolist(), stop[where].tolist()
-            self._learn([keys[i] for i in new], [joined[s[i] : e[i]] for i in new])
-            at = list(map(self.known.get, keys))
-        index = np.array(at)[each]
-        lengths = self.length[index]
-        to = np.cumsum(lengths)
-        flat = self.flat[np.repeat(self.offset[index] - (to - lengths), lengths) + np.arange(to[-1])]
-        # a text's ids end where its last pre-token's do
-        tokens = np.searchsorted(start, ends, side="left")
-        cut = np.r_[0, to][tokens]
-        return np.split(flat, cut[:-1])
+        return flat, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        out: dict[int, list[np.ndarray]] = {}
-        batch: list[tuple[int, str]] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal batch, size
-            for (i, _), ids in zip(batch, self._ids([t for _, t in batch])):
-                out.setdefault(i, []).append(ids)
-            batch, size = [], 0
-
-        for i, t in enumerate(texts):
-            if not self.apart or any(a in t for a in self.added):
-                out[i] = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)]
-                continue
-            at = 0
-            while True:
-                m = _CUT.search(t, at + CHUNK) if len(t) - at > CHUNK else None
-                end = m.start() if m else len(t)
-                batch.append((i, t[at:end]))
-                size += end - at
-                if size >= CHUNK:
-                    flush()
-                at = end
-                if at >= len(t):
-                    break
-        if batch:
-            flush()
-        for i in range(len(texts)):
-            yield np.concatenate(out.pop(i))
+        """The ids of each text."""
+        whole = [not self.apart or any(a in t for a in self.added) for t in texts]
+        split = self.memory.encode([t for t, w in zip(texts, whole) if not w]) if self.apart else iter(())
+        for t, w in zip(texts, whole):
+            yield np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if w else next(split)
 
 
 @lru_cache(maxsize=2)
-def _encoder(content: bytes) -> Encoder:
-    return Encoder(content)
+def _encoder(content: bytes, kinds: bytes) -> Encoder:
+    return Encoder(content, kinds)
 
 
 def _hashes(keys: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -255,12 +143,13 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, path: st
     """
     spark = docs.sparkSession
     content = spark.sparkContext.broadcast(read_file(spark, tokenizer_path))
-    path = path or f"{shared_dir(spark)}/passbook/ids-{uuid.uuid4().hex}"
+    kinds = spark.sparkContext.broadcast(library_kinds().tobytes())  # a megabyte
+    path = path or f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(content.value)
+        encoder = _encoder(content.value, kinds.value)
         width = 2 if max(encoder.size, (end_id or 0) + 1) <= 1 << 16 else 4
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         schema = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in SCHEMA.split(", ")])

@@ -7,8 +7,8 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
-from passbook.llm import tokenfile  # noqa: E402
-from tests.llm.test_bpe import texts  # noqa: E402
+from passbook.llm import pretokens, tokenfile  # noqa: E402
+from tests.llm.test_bpe import every_code_point, texts  # noqa: E402
 
 
 @pytest.mark.parametrize("name,shard", [("byte_bpe_50k.json", 300), ("byte_bpe_50k.json", 1 << 22), ("word_bpe_49k.json", 1 << 22)])
@@ -45,6 +45,12 @@ def test_splitting_equals_the_library(monkeypatch):
     all_ = texts() + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     want = [encoder.library.encode(t, add_special_tokens=False).ids for t in all_]
     for chunk, most in ((1 << 17, 1_000_000), (50, 1_000_000), (1 << 12, 10)):
-        monkeypatch.setattr(tokenfile, "CHUNK", chunk)
-        monkeypatch.setattr(tokenfile, "REMEMBERED", most)
+        monkeypatch.setattr(pretokens, "CHUNK", chunk)
+        monkeypatch.setattr(pretokens, "REMEMBERED", most)
         assert [x.tolist() for x in tokenfile.Encoder(content).encode(all_)] == want
+
+
+def test_every_code_point_equals_the_library():
+    encoder, all_ = tokenfile.Encoder(open(P.path("byte_bpe_50k.json"), "rb").read()), every_code_point()
+    want = [x.ids for x in encoder.library.encode_batch(all_, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(all_)] == want
