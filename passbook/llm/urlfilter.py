@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from passbook.llm.common import shuffle_partitions
 
-#: Keys that are sampled for the cuts of the ranges, at most; bounds what the driver sees.
-SAMPLE = 20_000
+#: Keys that are sampled for the cuts of the ranges (about as many as this), and the characters of each that count; bound what the driver sees.
+SAMPLE, SHOWN = 20_000, 256
 
 
 def host_of(url: Column) -> Column:
@@ -59,8 +59,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     known = rules.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path", "verdict"))).groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     known = known.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn("_key", _reversed(F.col("host")))
 
-    sample = keyed.select("_key", F.xxhash64("_key").alias("h")).orderBy("h").limit(SAMPLE)
-    got = sorted(r[0] for r in sample.select("_key").collect())  # at most SAMPLE keys
+    rows = pages.count()
+    some = keyed if rows <= SAMPLE else keyed.sample(fraction=SAMPLE / rows, seed=3)
+    got = sorted(r[0] for r in some.select(F.substring("_key", 1, SHOWN)).collect())
     cuts = sorted({got[i * len(got) // n] for i in range(1, n)}) if got else []
     shared = spark.sparkContext.broadcast(cuts)
 
@@ -102,7 +103,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
                         stack.append((k, []))
                     stack[-1][1].append((len(host) + len(path), len(host), host, path, v))
                     continue
-                best = max((x for _, level in stack for x in level if path.startswith(x[3])), default=None)
+                # a host may hold the bytes that part labels in keys, so the rule's host is looked for in it
+                best = max((x for _, level in stack for x in level if path.startswith(x[3]) and (not x[2] or host == x[2] or host.endswith("." + x[2]))), default=None)
                 keep.append(i)
                 rule.append(best and best[2] + best[3])
                 verdict.append(best[4] if best else default)

@@ -26,6 +26,7 @@ def test_equals_brute_force(spark):
     rules = sorted({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host().lower(), path()) for _ in range(40))}.values())
     urls = [None, "", "nothing", "http://", "http:///x", "http://A.com?q#f", "http://com:80/en/", "://net#x"]
     urls += [rng.choice(["http://", "HTTPS://"]) + rng.choice([host(), host().upper()]) + path() + rng.choice(["", "?a=/en/", "#b"]) for _ in range(500)]
+    urls += ["http://com\x01example/en/x", "http://example.com\x01/en/x", "http://a\x02b.example.com/en/x", "http://example\x03.com/en/" + "y" * 5000]
     urls += ["http://hot.com/en/"] * 200
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
