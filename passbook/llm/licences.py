@@ -9,9 +9,9 @@ two of them. Sentences and rules are tables of bounded size that travel with the
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -159,13 +159,28 @@ def _find(met: list[tuple[int, int, str]], number: list[int], rule: list[str], g
     return out
 
 
+def _longest(met: list[tuple[str, str, int, int, int]]) -> Iterator[tuple[str, str, int, int]]:
+    """Of places (rule, licence, first, last, sentences) those that share no piece with one of more sentences."""
+    firsts: list[int] = []
+    far: list[int] = []  # of the places so far by their first pieces: the furthest last piece up to each
+    for size in sorted({x[4] for x in met}, reverse=True):
+        own = [x[:4] for x in met if x[4] == size]
+        for x in own:
+            at = bisect_right(firsts, x[3])
+            if not at or far[at - 1] < x[2]:
+                yield x
+        spans = sorted([*((f, l) for _, _, f, l in own), *zip(firsts, far)])
+        firsts, far = [f for f, _ in spans], list(accumulate((l for _, l in spans), max))
+
+
 def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 3) -> DataFrame:
     """docs(doc_id, text): (doc_id, rule, licence, first, last) of each place where a rule is met.
 
     sentences(id, text) and rules(rule, licence, ids array<string>) are checked to hold at most
     MOST_RULES rows. first and last number a text's sentences from 0. Among rules met at places
     that share a sentence only those with the most sentences stay. Null and empty texts have no sentences;
-    rows that repeat a document repeat its rows. Rules with no or null ids are ignored.
+    rows that repeat a document repeat its rows, and other columns are left out. Rules with no or null ids are ignored;
+    rules with equally many sentences that share some are all given.
     A line that goes on in the next one ends no sentence, but for the lines of known sentences.
     """
     spark = docs.sparkSession
@@ -195,10 +210,9 @@ def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 3)
                         continue
                     number = _numbers(pieces, ids)
                     met = [(r, l, *span, len(i)) for x in sorted({x for _, _, x in ids}) for r, l, i in by_first.get(x, []) for span in _find(ids, number, i, gap)]
-                    for r, l, first, last, size in met:
-                        if not any(f <= last and first <= t and k > size for _, _, f, t, k in met):
-                            for c, v in zip(out, (doc, r, l, number[first], number[last])):
-                                c.append(v)
+                    for r, l, first, last in _longest(met):
+                        for c, v in zip(out, (doc, r, l, number[first], number[last])):
+                            c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "rule", "licence", "first", "last"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, rule string, licence string, first int, last int")

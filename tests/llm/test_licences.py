@@ -106,3 +106,28 @@ def test_every_reachable_position(spark):
     rules = spark.createDataFrame([("abc", "X", ["a", "b", "c"])], "rule string, licence string, ids array<string>")
     docs = spark.createDataFrame([(1, "a. b. x. b. x. c. x.")], "doc_id long, text string")
     assert [tuple(r) for r in licences.scan(docs, sentences, rules, 2).collect()] == [(1, "abc", "X", 0, 5)]
+
+
+def test_banners_blanks_and_many_notices(spark):
+    import time
+
+    notice = "Released under the MIT License."
+    texts = ["*" * 90 + " " + notice, "Released under" + " " * 3000 + "the MIT License.", "\n".join([notice] * 100_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = licences.scan(docs, *licences.known_rules(spark)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {0: 1, 1: 1, 2: 100_000}
+    assert time.time() - began < 60
+
+
+def test_longest_equals_brute_force():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        met = []
+        for _ in range(rng.randrange(12)):
+            first = rng.randrange(20)
+            met.append(("r", "l", first, first + rng.randrange(4), rng.randint(1, 3)))
+        want = [x[:4] for x in met if not any(f <= x[3] and x[2] <= t and k > x[4] for _, _, f, t, k in met)]
+        assert sorted(licences._longest(met)) == sorted(want)
