@@ -89,13 +89,11 @@ def _rake_numpy(cells: list[tuple], targets: dict[str, dict], p: Mix) -> np.ndar
         sides.append((np.array([values[c[k]] for c in cells]), np.array([targets[d].get(v, 0.0) for v in values])))
     total = w.sum()
     for _ in range(p.rounds):
-        worst = 0.0
         for at, share in sides:
             sums = np.bincount(at, w, len(share))
-            factor = np.divide(share * total, sums, out=np.zeros_like(sums), where=sums > 0)
-            worst = max(worst, float(np.abs(factor[sums > 0] - 1).max(initial=0)))
-            w = w * factor[at]
-        if worst < p.tolerance:
+            w = w * np.divide(share * total, sums, out=np.zeros_like(sums), where=sums > 0)[at]
+        gaps = [np.abs(np.bincount(at, w, len(share))[share > 0] / (share[share > 0] * total) - 1).max(initial=0) for at, share in sides]
+        if max(gaps) < p.tolerance:
             break
     return w
 
@@ -150,13 +148,16 @@ def _scale(cells: DataFrame, budget: float) -> float:
 
 
 def mixed(docs: DataFrame, p: Mix = Mix(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs(doc_id, text, lang, source, ...) with n_tokens, topic, weight (fitted over own), probability and kept.
+    """docs(doc_id, text, lang, source, ...) with n_tokens, topic, weight (fitted over own), probability, repeats and kept.
+
+    A cell whose fitted weight exceeds what it has is kept whole; repeats says how often a kept document
+    counts (1, or more in such a cell), so that kept tokens times repeats have the raked shares.
 
     targets: (value, share) for source, lang and topic; by default the own shares, flattened.
-    Documents without words have weight and probability 1 and are kept. One row for each row of docs;
+    Documents without words have weight, probability and repeats 1 and are kept. One row for each row of docs;
     equal rows share one decision. Columns of docs with the names of new ones are replaced.
     """
-    new = ("weight", "probability", "kept")
+    new = ("weight", "probability", "repeats", "kept")
     docs = docs.select(*(c for c in docs.columns if c.lower() not in new))
     rows = measured(docs, p)
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("weight")).where("weight > 0"), "cells")
@@ -164,10 +165,10 @@ def mixed(docs: DataFrame, p: Mix = Mix(), targets: dict[str, DataFrame] | None
     c = _scale(fitted, p.budget)
     ratio = F.col("fitted") / F.col("weight")
     # the table of cells is read back from a file, so that Spark knows its size
-    rates = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), ratio.alias("_ratio"), F.least(F.lit(1.0), ratio * c).alias("_rate"))
+    rates = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), ratio.alias("_ratio"), F.least(F.lit(1.0), ratio * c).alias("_rate"), F.greatest(F.lit(1.0), ratio * c).alias("_repeats"))
     same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS]
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(p.seed)), F.lit(1 << 40)) / float(1 << 40)
     out = rows.join(rates, same[0] & same[1] & same[2], "left")
     empty = F.col("n_tokens") == 0
-    weight, rate = (F.when(empty, 1.0).otherwise(F.coalesce(x, F.lit(0.0))) for x in ("_ratio", "_rate"))
-    return out.select(*rows.columns, weight.alias("weight"), rate.alias("probability"), (u < rate).alias("kept"))
+    weight, rate, repeats = (F.when(empty, 1.0).otherwise(F.coalesce(x, F.lit(y))) for x, y in (("_ratio", 0.0), ("_rate", 0.0), ("_repeats", 1.0)))
+    return out.select(*rows.columns, weight.alias("weight"), rate.alias("probability"), repeats.alias("repeats"), (u < rate).alias("kept"))

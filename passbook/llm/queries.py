@@ -43,7 +43,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's calibrated probability under raked source, language and topic weights, and whether it is kept."""
     rows = mixing.mixed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "repeats", "kept")
 
 
 def op4_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
