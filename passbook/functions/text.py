@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from passbook.functions.vocabulary import NOISE_PATTERNS, STOP_WORDS
 
+# fixed values: the code points that Unicode calls white space
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end, Unicode blanks and tabs included."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(_WHITE))
 
 
 def collapse(c: Column | str) -> Column:

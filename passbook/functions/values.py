@@ -39,15 +39,19 @@ def format_decimal(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast(MONEY).cast("string"), F.lit(""))
 
 
-#: Tried in this order where no format is given: day first, then month first, then ISO; four-digit years before two.
-AUTO_FORMATS = [
-    f"{a}{s}{b}{s}{y}" + t
-    for y in ("yyyy", "yy")
-    for t in ("", " H:mm", " H:mm:ss", " h:mm a")
-    for a, b in (("d", "M"), ("M", "d"), ("d", "MMM"))
-    for s in "/-. "
-    if (b == "MMM") or s != " "
-] + ["yyyy-M-d", "yyyy-M-d H:mm:ss", "MMM d, yyyy", "d MMMM yyyy"]
+# fixed values: months' names
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+_TIME = r"(?: (?:(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?|(?:0?[1-9]|1[0-2]):[0-5]\d [AaPp][Mm]))?$"
+_MONTH = r"(0?[1-9]|1[0-2])"
+#: Shapes that are read where no format is given, and where their year, month and day stand: day first, then month first, then ISO and month names.
+_SHAPES = [
+    (r"^(\d{1,2})([-/.])" + _MONTH + r"\2(\d{4}|\d{2})" + _TIME, ("$4", "$3", "$1")),
+    (r"^" + _MONTH + r"([-/.])(\d{1,2})\2(\d{4}|\d{2})" + _TIME, ("$4", "$1", "$3")),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _TIME, ("$1", "$2", "$3")),
+    (r"^(\d{1,2})([-/. ])([A-Za-z]{3,9})\2(\d{4}|\d{2})" + _TIME, ("$4", "$3", "$1")),
+    (r"^([A-Za-z]{3,9}) (\d{1,2}), (\d{4})" + _TIME, ("$3", "$1", "$2")),
+]
 
 #: Codes of the other convention for date formats, which templates use.
 STRPTIME = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%H": "HH", "%M": "mm", "%S": "ss", "%I": "hh", "%p": "a"}
@@ -61,32 +65,31 @@ def java_format(code: str) -> str:
 
 
 def parse_date(c: Column | str, date_format: str = "AUTO") -> Column:
-    """The date of a text by one format, or by AUTO_FORMATS; null if none fits or the text is empty."""
+    """The date of a text by one format, or by its shape: day first, else month first, ISO, or with a month's name; two-digit years are of this century.
+
+    A time of day may follow. Null if nothing fits, there is no such day, or the text is empty.
+    """
     raw = strip(filled(c))
     if date_format and date_format != "AUTO":
         return F.try_to_timestamp(raw, F.lit(java_format(date_format))).cast("date")
-    # a shape decides which formats can fit, so that a row tries a few only
-    named = raw.rlike("[A-Za-z]{3}")
-    iso = raw.rlike(r"^\d{4}-")
+    names = {n: i + 1 for i, full in enumerate(MONTHS) for n in (full, full[:3])} | {"sept": 9}
+    number = F.create_map(*(F.lit(x) for n, i in names.items() for x in (n, str(i))))
 
-    def first(formats: list[str]) -> Column:
-        return F.coalesce(*(F.try_to_timestamp(raw, F.lit(f)) for f in formats)).cast("date")
+    def ordered(t: Column) -> Column:
+        """Year, month and day with lines between them; null if no shape fits."""
+        out = None
+        for pattern, order in _SHAPES:
+            out = (F if out is None else out).when(t.rlike(pattern), F.regexp_replace(t, pattern, "-".join(order)))
+        return out
 
-    def of(year: str, timed: bool) -> list[str]:
-        return [f for f in AUTO_FORMATS if ("MMM" in f) is False and not f.startswith("yyyy") and (("yyyy" in f) == (year == "yyyy")) and (("H" in f or "h" in f) == timed)]
+    def day(ymd: Column) -> Column:
+        year, month = F.get(ymd, F.lit(0)), F.lower(F.get(ymd, F.lit(1)))
+        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+        month = F.when(month.rlike("^[a-z]"), F.try_element_at(number, month)).otherwise(month)
+        return F.concat(year, F.lit("-"), month, F.lit("-"), F.get(ymd, F.lit(2))).try_cast("date")
 
-    long = raw.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}")
-    timed = F.contains(raw, F.lit(":"))
-    months = [f for f in AUTO_FORMATS if "MMM" in f]
-    return (
-        F.when(raw == "", None)
-        .when(iso, first([f for f in AUTO_FORMATS if f.startswith("yyyy")]))
-        .when(named, first(months))
-        .when(long & ~timed, first(of("yyyy", False)))
-        .when(long, first(of("yyyy", True)))
-        .when(~timed, first(of("yy", False)))
-        .otherwise(first(of("yy", True)))
-    )
+    # a transform over an array of one gives what is used several times a name
+    return F.get(F.transform(F.transform(F.array(raw), lambda t: F.split(ordered(t), "-")), day), F.lit(0))
 
 
 def normalize_amounts(debit: Column, credit: Column, amount: Column, direction: Column) -> Column:
@@ -95,7 +98,12 @@ def normalize_amounts(debit: Column, credit: Column, amount: Column, direction:
     Split cells win; else a direction cell (or a trailing DR or CR), or the sign, says which side
     an amount is on, and debit is asked first.
     """
-    d, c, a = parse_decimal(debit), parse_decimal(credit), parse_decimal(amount)
+    return normalize_parsed(F.array(parse_decimal(debit), parse_decimal(credit), parse_decimal(amount)), debit, credit, amount, direction)
+
+
+def normalize_parsed(parsed: Column, debit: Column, credit: Column, amount: Column, direction: Column) -> Column:
+    """normalize_amounts where debit, credit and amount are parsed already, as the first three of an array."""
+    d, c, a = (F.get(parsed, F.lit(i)) for i in range(3))
     dv, cv, av = d["value"], c["value"], a["value"]
     split = (dv != 0) | (cv != 0)
     has = strip(filled(amount)) != ""

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from passbook.functions.text import normalize_table_header, strip
 from passbook.functions.values import looks_like_date
-from passbook.sources.raw import choose_rows, pages_without_text, usable_tables  # noqa: F401  the page predicates belong here too
+from passbook.sources.raw import choose_rows, pages_without_text, text_rows, usable_tables  # noqa: F401  the page predicates belong here too
+from passbook.sources.steps import written
 
 # fixed values: labels of statement columns and what headers call them
 LABELS = {
@@ -45,9 +46,10 @@ def lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
     """words with line: on its page the number, from 1, of the line that a word is on.
 
     In order of top and x0 a word joins the line of the word before it if it lies within `gap` of
-    that line's first word, else it begins a line; so a page's words are folded in order.
+    that line's first word, else it begins a line; so a page's words are folded in order. A column bottom stays.
     """
-    page = words.where(strip("text") != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("ws"))
+    own = ["top", "x0", "text", *(["bottom"] if "bottom" in words.columns else [])]
+    page = words.where(strip("text") != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("ws"))
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, w: Column) -> Column:
@@ -56,7 +58,7 @@ def lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
         return F.struct(F.when(new, w["top"].cast("double")).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
 
     numbered = page.withColumn("ns", F.aggregate("ws", start, step)["out"])
-    return numbered.select("doc_id", "page", F.explode(F.arrays_zip("ws", "ns")).alias("z")).select("doc_id", "page", F.col("z.ns").alias("line"), "z.ws.top", "z.ws.x0", "z.ws.text")
+    return numbered.select("doc_id", "page", F.explode(F.arrays_zip("ws", "ns")).alias("z")).select("doc_id", "page", F.col("z.ns").alias("line"), *(f"z.ws.{c}" for c in own))
 
 
 def line_text(lined: DataFrame) -> DataFrame:
@@ -106,18 +108,17 @@ def carried_headers(pages: DataFrame, found: DataFrame) -> DataFrame:
     return out.where("c is not null").select("doc_id", "page", "c.labels", "c.starts", F.when(F.col("h").isNotNull(), F.col("c.top")).alias("top"), F.when(F.col("h").isNotNull(), F.col("c.line")).alias("line"), F.col("h").isNotNull().alias("own"))
 
 
-def banded_rows(words: DataFrame, header: DataFrame, anchor: Column, slack: float = 2.0, stop: Column | None = None, least: int = 1, lead: bool = True) -> DataFrame:
+def banded_rows(words: DataFrame, header: DataFrame, anchor: Column, slack: float = 2.0, ends: DataFrame | None = None, least: int = 1, lead: bool = True) -> DataFrame:
     """(doc_id, page, band, cells): rows of words below the header, each from an anchor word to the next one.
 
     anchor: whether a word (with its column and text) begins a band, which reaches from slack above
-    it. Words above the first anchor make band 0, kept if lead. stop: whether a word ends the
-    page's body at its top. Pages with fewer than `least` anchors give nothing.
+    it. Words above the first anchor make band 0, kept if lead. ends(doc_id, page, end): where a page's
+    body ends, if not at its last word. Pages with fewer than `least` anchors give nothing.
     """
     placed = words.join(header.select("doc_id", "page", "labels", "starts", F.coalesce("top", F.lit(float("-inf"))).alias("_head")), ["doc_id", "page"])
     placed = placed.where(F.col("top") > F.col("_head") + 2).withColumn("column", column_of(F.col("starts"), F.col("x0"))).withColumn("n", F.size("starts"))
-    if stop is not None:
-        ends = placed.where(stop).groupBy("doc_id", "page").agg(F.min("top").alias("_end"))
-        placed = placed.join(ends, ["doc_id", "page"], "left").where(F.col("_end").isNull() | (F.col("top") < F.col("_end")))
+    if ends is not None:
+        placed = placed.join(ends.select("doc_id", "page", F.col("end").alias("_end")), ["doc_id", "page"], "left").where(F.col("_end").isNull() | (F.col("top") < F.col("_end")))
     # an anchor opens its band for all words from slack above it on
     marked = placed.withColumn("_a", F.coalesce(anchor, F.lit(False))).withColumn("_key", F.when(F.col("_a"), F.col("top") - slack).otherwise(F.col("top")))
     page = Window.partitionBy("doc_id", "page")
@@ -136,36 +137,140 @@ def date_rows(words: DataFrame, header: DataFrame, least: int = 2) -> DataFrame:
 
 
 def serial_rows(words: DataFrame, header: DataFrame) -> DataFrame:
-    """Bands that begin at a serial number in the first column; a "statement generated on" line ends the page."""
-    stop = F.lower("text").rlike("^generated$|statement generated on")
-    return banded_rows(words, header, (F.col("column") == 0) & F.col("text").rlike(r"^\d+$"), stop=stop, lead=False)
+    """Bands that begin at a serial number in the first column, of pages whose header starts with one; a line that begins "statement generated on" ends the page."""
+    own = header.where((F.get("labels", F.lit(0)) == "SlNo") & (F.size("labels") >= 6))
+    told = line_heads(lines(words)).join(own.select("doc_id", "page", F.coalesce("top", F.lit(float("-inf"))).alias("_head")), ["doc_id", "page"])
+    ends = told.where((F.col("top") > F.col("_head")) & F.col("norm").startswith("statement generated on")).groupBy("doc_id", "page").agg((F.min("top") - 2).alias("end"))
+    return banded_rows(words, own, (F.col("column") == 0) & strip("text").rlike(r"^\d+$"), ends=ends, lead=False)
 
 
-def rectangle_rows(words: DataFrame, rects: DataFrame, header: DataFrame, page_width: float = 600.0) -> DataFrame:
+def line_heads(lined: DataFrame) -> DataFrame:
+    """(doc_id, page, line, top, bottom, raw, norm): of each line its least top, greatest bottom, text in lower case and text as a header's."""
+    bottom = "bottom" if "bottom" in lined.columns else "top"
+    ws = F.array_sort(F.collect_list(F.struct("x0", "top", "text")))
+    out = lined.groupBy("doc_id", "page", "line").agg(F.min("top").alias("top"), F.max(bottom).alias("bottom"), F.array_join(F.transform(ws, lambda w: w["text"]), " ").alias("_t"))
+    return out.select("doc_id", "page", "line", "top", "bottom", F.lower("_t").alias("raw"), normalize_table_header("_t").alias("norm"))
+
+
+# fixed values: labels of statements whose one date column begins each row, and their words without signs and blanks
+SECTION_LABELS = {
+    "Date": ["date", "transactiondate", "trandate", "txndate"],
+    "Particulars": ["particulars", "description", "narration", "remarks"],
+    "Cheque Number": ["chqno", "chq", "chequeno", "chequenumber", "instrumentno"],
+    "Withdrawals": ["withdrawal", "withdrawals", "debit"],
+    "Deposits": ["deposit", "deposits", "credit"],
+    "Balance Amount": ["balance", "closingbalance"],
+}
+SERIAL_WORDS = ["slno", "sno", "serial"]
+#: Units by which a column starts left of its label; other columns start half-way from the label before.
+LABEL_MARGINS = {"Date": 10.0, "Particulars": 2.0, "Cheque Number": 15.0}
+#: Below this a page's first header leaves room for rows of the page before.
+FIRST_HEADER = 250.0
+# fixed values: lines that end a section, and one that moves its beginning
+SECTION_STOPS, SECTION_SKIP, SECTION_SITE = "cumulative totals", "transaction details page", "finacle.ubi.com"
+
+
+def section_headers(lined: DataFrame) -> DataFrame:
+    """(doc_id, page, section, top, bottom, end, labels, starts): the sections of each page, from each header line to the next.
+
+    A header line has all labels but for the cheque's, no serial column and one date word at most.
+    Where the first header lies low on its page, a section with the same columns begins at the top.
+    """
+    word = F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "")
+    label = F.coalesce(*(F.when(F.col("_w").isin(*names), F.lit(n)) for n, names in SECTION_LABELS.items()))
+    marked = lined.withColumn("_w", word).withColumn("_label", label)
+    kinds = marked.groupBy("doc_id", "page", "line").agg(F.count_if(F.col("_w").isin(*SERIAL_WORDS)).alias("_serials"), F.count_if(F.col("_w") == "date").alias("_dates"))
+    first = marked.where("_label is not null").groupBy("doc_id", "page", "line", "_label").agg(F.min("x0").alias("x"))
+    cols = first.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x", F.col("_label").alias("label")))).alias("cols")).withColumn("labels", F.transform("cols", lambda c: c["label"]))
+    need = F.array(*(F.lit(n) for n in SECTION_LABELS if n != "Cheque Number"))
+    good = cols.join(kinds.where("_serials = 0 and _dates < 2"), ["doc_id", "page", "line"]).where(F.size(F.array_except(need, "labels")) == 0)
+    margin = F.create_map(*(F.lit(x) for kv in LABEL_MARGINS.items() for x in kv))
+
+    def start(c: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("cols", i - 1)["x"], F.element_at("cols", -1)["x"])
+        own = F.try_element_at(margin, c["label"])
+        return F.when(own.isNotNull(), c["x"] - own).otherwise((before + c["x"]) / 2)
+
+    at = line_heads(lined).select("doc_id", "page", "line", "top", "bottom")
+    found = good.withColumn("starts", F.transform("cols", start)).join(at, ["doc_id", "page", "line"]).select("doc_id", "page", "top", "bottom", "labels", "starts")
+    in_page = Window.partitionBy("doc_id", "page").orderBy("top")
+    low = found.withColumn("_n", F.row_number().over(in_page)).where((F.col("_n") == 1) & (F.col("top") > FIRST_HEADER)).drop("_n").withColumns({"top": F.lit(0.0), "bottom": F.lit(0.0)})
+    every = found.unionByName(low)
+    return every.select("doc_id", "page", (F.row_number().over(in_page) - 1).alias("section"), "top", "bottom", (F.lead("top").over(in_page) - 2).alias("end"), "labels", "starts")
+
+
+def section_rows(words: DataFrame, page_height: float = float("inf")) -> DataFrame:
+    """(doc_id, page, section, band, cells) of statements without borders whose one date column begins each row.
+
+    Band -1 is a section's header; 0 what stands above its first date, kept if it has particulars
+    and the section isn't headed by the page's first header; 1 and on the rows, each from its date
+    to the next. Sections without dates give nothing. words: lines' columns, with bottom if there is one.
+    """
+    # what is used again is written, or each use would fold the pages' words anew
+    lined = written(lines(words), "lines")
+    heads = written(section_headers(lined).withColumn("end", F.coalesce("end", F.lit(page_height))), "sections")
+    keys = ["doc_id", "page", "section"]
+    told = line_heads(lined).select("doc_id", "page", F.col("top").alias("_t"), F.col("bottom").alias("_b"), "raw", "norm")
+    marks = F.col("norm").startswith(SECTION_STOPS) | F.contains(F.col("raw"), F.lit(SECTION_SITE)) | F.col("norm").startswith(SECTION_SKIP)
+    told = written(told.where(marks).join(heads.select(*keys, "bottom", "end"), ["doc_id", "page"]), "marks")
+    stop = F.col("norm").startswith(SECTION_STOPS) | F.contains(F.col("raw"), F.lit(SECTION_SITE))
+    stops = told.where(stop & (F.col("_t") > F.col("bottom")) & (F.col("_t") < F.col("end"))).groupBy(*keys).agg((F.min("_t") - 2).alias("_stop"))
+    heads = heads.join(stops, keys, "left").withColumn("end", F.least("end", F.coalesce("_stop", "end"))).drop("_stop")
+    skips = told.drop("end").join(heads.select(*keys, "end"), keys).where(F.col("norm").startswith(SECTION_SKIP) & (F.col("_t") >= F.col("bottom")) & (F.col("_t") < F.col("end"))).groupBy(*keys).agg(F.max("_b").alias("_skip"))
+    heads = heads.join(skips, keys, "left").withColumn("begin", F.greatest("bottom", F.coalesce("_skip", "bottom"))).drop("_skip")
+
+    heads = written(heads, "sections")
+    left = F.get("starts", F.lit(0)) - 2
+    body = lined.select("doc_id", "page", "text", "x0", "top").join(heads.select(*keys, F.col("top").alias("_head"), "begin", "end", "labels", "starts"), ["doc_id", "page"])
+    body = body.where((F.col("top") > F.col("begin")) & (F.col("top") < F.col("end")) & (F.col("x0") >= left))
+    anchor = F.when((F.col("x0") < F.get("starts", F.lit(1))) & looks_like_date("text"), F.col("top") - 2)
+    marked = body.withColumn("_a", anchor).withColumn("_key", F.coalesce("_a", "top"))
+    section = Window.partitionBy(*keys)
+    placed = marked.withColumns({"_at": F.max("_a").over(section.orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)), "_any": F.max("_a").over(section)}).where("_any is not null")
+    placed = placed.withColumn("band", F.when(F.col("_at").isNull(), 0).otherwise(F.dense_rank().over(section.orderBy("_at")) - F.max(F.col("_at").isNull().cast("int")).over(section)))
+    placed = placed.where((F.col("band") > 0) | (F.col("top") >= F.col("begin") + 1))
+    placed = placed.withColumns({"column": column_of(F.col("starts"), F.col("x0")), "n": F.size("starts")})
+    rows = _cells(placed, [*keys, "band", "labels", "_head"])
+    lead = F.get("cells", F.array_position("labels", F.lit("Particulars")).cast("int") - 1) != ""
+    rows = rows.where((F.col("band") > 0) | (lead & ((F.col("section") > 0) | (F.col("_head") == 0))))
+    named = rows.select(*keys).distinct().join(heads.select(*keys, F.lit(-1).alias("band"), F.col("labels").alias("cells")), keys)
+    return named.unionByName(rows.select(*keys, "band", "cells"))
+
+
+def rectangle_rows(words: DataFrame, rects: DataFrame, header: DataFrame, pages: DataFrame | float = 600.0) -> DataFrame:
     """(doc_id, page, top, cells) of shaded rectangles(doc_id, page, x0, x1, top, bottom) that are rows.
 
-    A row's rectangle takes 65 % of the page's width, covers the first and last column, is 10 to
-    120 high and below the header; it stays if its serial is a number and its date looks like one.
-    An interval join within a page.
+    A row's rectangle takes 65 % of the page's width (pages(doc_id, page, width), or one for all), covers the
+    columns, is 10 to 120 high and below the header; it stays if its serial (or first cell) is a
+    number and its date (or second cell) looks like one. An interval join within a page.
     """
     starts = F.col("starts")
-    bands = rects.join(header, ["doc_id", "page"]).where(
-        ((F.col("x1") - F.col("x0")) >= 0.65 * page_width) & (F.col("x0") <= F.get(starts, F.lit(0)) + 1) & (F.col("x1") >= F.get(starts, F.size(starts) - 1)) & (rects["bottom"] - rects["top"]).between(10, 120) & (rects["top"] > F.coalesce(header["top"], F.lit(float("-inf"))))
+    own = rects.select("doc_id", "page", F.col("x0").alias("r_x0"), F.col("x1").alias("r_x1"), F.col("top").alias("r_top"), F.col("bottom").alias("r_bottom")).distinct()
+    own = own.join(pages.select("doc_id", "page", F.col("width").alias("_width")), ["doc_id", "page"]) if isinstance(pages, DataFrame) else own.withColumn("_width", F.lit(pages))
+    bands = own.join(header.select("doc_id", "page", "labels", "starts", F.coalesce("top", F.lit(float("-inf"))).alias("_head")), ["doc_id", "page"]).where(
+        ((F.col("r_x1") - F.col("r_x0")) >= 0.65 * F.col("_width")) & (F.col("r_x0") <= F.get(starts, F.lit(0)) + 10) & (F.col("r_x1") >= F.get(starts, F.size(starts) - 1) + 20) & (F.col("r_bottom") - F.col("r_top")).between(10, 120) & (F.col("r_top") > F.col("_head"))
     )
-    bands = bands.select("doc_id", "page", rects["top"].alias("r_top"), rects["bottom"].alias("r_bottom"), "starts", "labels")
-    inside = words.join(bands, ["doc_id", "page"]).where(F.col("top").between(F.col("r_top") - 1, F.col("r_bottom") + 1))
+    bands = bands.select("doc_id", "page", "r_top", "r_bottom", "starts", "labels").dropDuplicates(["doc_id", "page", "r_top", "r_bottom"])
+    inside = words.join(bands, ["doc_id", "page"]).where((F.col("top") >= F.col("r_top") - 1) & (F.col("top") < F.col("r_bottom") + 1))
     rows = _cells(inside.withColumn("column", column_of(starts, F.col("x0"))).withColumn("n", F.size(starts)), ["doc_id", "page", "r_top", "labels"])
-    at = lambda label: F.get("cells", F.array_position("labels", F.lit(label)).cast("int") - 1)
-    return rows.where(at("SlNo").rlike(r"^\d+$") & looks_like_date(at("Transaction Date"))).select("doc_id", "page", F.col("r_top").alias("top"), "cells")
+    at = lambda label, other: F.get("cells", F.coalesce(F.nullif(F.array_position("labels", F.lit(label)).cast("int"), F.lit(0)) - 1, F.lit(other)))
+    return rows.where(at("SlNo", 0).rlike(r"^\d+$") & looks_like_date(at("Transaction Date", 1))).select("doc_id", "page", F.col("r_top").alias("top"), "cells")
 
 
-def recognised_rows(words: DataFrame) -> DataFrame:
-    """(doc_id, page, line, cells): one row for each line below a page's header, in its columns, with the header as line 0."""
+def recognised_rows(words: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, line, cells): one row for each line below a page's header, in its columns, with the header as line 0.
+
+    Pages without a header have the rows of their text in texts(doc_id, page, text), if it is given.
+    """
     lined = lines(words)
     head = headers(lined)
     below = lined.join(head.select("doc_id", "page", "starts", F.col("line").alias("_h")), ["doc_id", "page"]).where("line > _h")
     rows = _cells(below.withColumn("column", column_of(F.col("starts"), F.col("x0"))).withColumn("n", F.size("starts")), ["doc_id", "page", "line"])
-    return head.select("doc_id", "page", F.lit(0).alias("line"), F.col("labels").alias("cells")).unionByName(rows)
+    out = head.select("doc_id", "page", F.lit(0).alias("line"), F.col("labels").alias("cells")).unionByName(rows)
+    if texts is None:
+        return out
+    plain = text_rows(texts.join(head.select("doc_id", "page"), ["doc_id", "page"], "left_anti"), "doc_id", "page")
+    return out.unionByName(plain.select("doc_id", "page", F.col("row_number").alias("line"), "cells"))
 
 
 def recognised_text(words: DataFrame) -> DataFrame:

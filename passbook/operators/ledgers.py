@@ -6,9 +6,8 @@ tiers before have left. Ledgers and rules are dimensions whose size is checked b
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,14 +15,21 @@ from passbook.functions.text import basic_normalize, collapse, filled, meaningfu
 from passbook.functions.values import is_bank_or_cash, voucher_type
 from passbook.functions.vocabulary import SUSPENSE
 from passbook.operators.duplicates import text_ratio
+from passbook.sources.steps import partitions, written
+
+#: Rows of a dimension, and characters in it, that may be broadcast; larger ones take joins that shuffle, or are refused where only a scan can answer.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 32_000_000
+
 
-#: Rows of a dimension that may be broadcast; larger ones take joins that shuffle, or are refused where only a scan can answer.
-BROADCAST_ROWS = 200_000
+def _fits(df: DataFrame) -> bool:
+    texts = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if kind == "string" or kind.startswith("array")]
+    rows, chars = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(sum(texts, F.lit(0)))).first()
+    return rows <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if its size is within the bounds, else with one for a join that shuffles."""
+    return F.broadcast(df) if _fits(df) else df.hint("merge")
 
 
 def prepared(ledgers: DataFrame) -> DataFrame:
@@ -45,9 +51,9 @@ def usable_rules(rules: DataFrame) -> DataFrame:
     def fine(r) -> bool:
         if r.match_type != "Regex":
             return True
-        try:
-            return re.compile(r.pattern) is not None
-        except re.error:
+        try:  # the engine that will run it judges it
+            return rules.sparkSession._jvm.java.util.regex.Pattern.compile(f"(?i){r.pattern}") is not None
+        except IllegalArgumentException:
             return False
 
     return rules.sparkSession.createDataFrame([r for r in rows if fine(r)], rules.schema)
@@ -101,15 +107,26 @@ def by_keyword(descriptions: DataFrame, ledgers: DataFrame) -> DataFrame:
 
 
 def usable_odd(odd: DataFrame) -> DataFrame:
-    if odd.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} ledgers to scan for")
+    if not _fits(odd):
+        raise ValueError(f"more than {BROADCAST_ROWS} rows or {BROADCAST_CHARS} characters to scan for")
     return odd
 
 
+def _grams(text: Column | str, n: int) -> Column:
+    """A text's strings of n characters, one for each place; none if it is shorter."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def by_substring(descriptions: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Descriptions that hold a ledger's name of four characters or more; the longest, then the first, wins."""
     names = ledgers.where(F.length("basic") >= 4).groupBy("basic").agg(F.min_by("name", "pos").alias("ledger"), F.min("pos").alias("pos"))
-    found = descriptions.withColumn("d", basic_normalize("description")).join(F.broadcast(usable_odd(names)), F.contains(F.col("d"), F.col("basic")))
+    # a name is looked for where its four characters that fewest names share occur
+    held = names.select("basic", "ledger", "pos", F.explode(F.array_distinct(_grams("basic", 4))).alias("gram"))
+    often = held.groupBy("gram").agg(F.count("*").alias("k"))
+    held = held.join(often.hint("merge"), "gram").groupBy("basic", "ledger", "pos").agg(F.min_by("gram", F.struct("k", "gram")).alias("gram"))
+    texts = descriptions.withColumn("d", basic_normalize("description")).select("description", "d", F.explode(F.array_distinct(_grams("d", 4))).alias("gram"))
+    found = texts.join(small(held), "gram").where(F.contains(F.col("d"), F.col("basic")))
     best = found.groupBy("description").agg(F.max_by("ledger", F.struct(F.length("basic"), -F.col("pos"))).alias("ledger"))
     return _tier(best, 88, "Substring")
 
@@ -125,28 +142,52 @@ def by_normalized(descriptions: DataFrame, ledgers: DataFrame) -> DataFrame:
 def by_fuzzy(descriptions: DataFrame, ledgers: DataFrame, threshold: int = 78) -> DataFrame:
     """Descriptions whose best ratio with a ledger's name reaches the threshold (1 to 100); the first of equals wins.
 
-    Only names whose length lets the ratio reach the threshold are compared, and distinct normal forms once.
+    Distinct normal forms are compared once. A ratio r of two texts with n characters together leaves
+    (1 - r) * n of them unmatched, which part at least r * n / 2 matched pairs into as many runs and one;
+    so the texts share (1.5 * r - 1) * n - 1 pairs of neighbours or more. Where that is one or more, the
+    join is on these: of a description's pairs, rarest first, as many are looked up as must hold a
+    shared one. Other descriptions, which are short or have a low threshold, meet every name. Of the
+    pairs found only those whose lengths and counts of characters let the ratio reach the threshold are compared.
     """
     threshold = max(1, min(100, threshold))
-    names = ledgers.groupBy("norm").agg(F.min_by("name", "pos").alias("ledger"), F.min("pos").alias("pos"))
+    r = (threshold - 0.5) / 100  # half a point below the threshold rounds up to it
+    names = written(ledgers.groupBy("norm").agg(F.min_by("name", "pos").alias("ledger"), F.min("pos").alias("pos")), "names")
     texts = descriptions.withColumn("d", normalize("description"))
+    d = texts.select("d").distinct().withColumn("least", F.ceil(F.length("d") * (2 / (2 - r) * (1.5 * r - 1)) - 1 - 1e-6))
+    posts = names.select("norm", F.explode(F.array_distinct(_grams("norm", 2))).alias("gram"))
+    often = posts.groupBy("gram").agg(F.count("*").alias("k"))
+    asked = d.where("least >= 1").select("d", "least", F.explode(_grams("d", 2)).alias("gram")).join(small(often), "gram", "left")
+    asked = asked.groupBy("d", "least").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram"))).alias("gs"))
+    asked = asked.select("d", F.explode(F.array_distinct(F.slice("gs", F.lit(1), F.greatest(F.lit(0), F.size("gs") - F.col("least").cast("int") + 1)))).alias("g")).select("d", "g.gram")
+    near = asked.join(small(posts), "gram").select("d", "norm").distinct()
+    every = d.where("least < 1").select("d").join(F.broadcast(usable_odd(names)).select("norm"), F.length("d") * (2 - r) >= F.length("norm") * r)
     n, m = F.length("d"), F.length("norm")
-    # half a point below the threshold rounds up to it
-    bound = 200 * F.least(n, m) >= (threshold - 0.5) * (n + m)
-    pairs = texts.select("d").distinct().join(F.broadcast(usable_odd(names)), bound)
+    bound = 2 * F.least(n, m) >= r * (n + m) - 1e-6
+    letters = lambda c: F.sort_array(F.split(F.col(c), ""))
+    shared = n + m - F.size(F.array_union(_numbered(letters("d")), _numbered(letters("norm"))))
+    pairs = near.unionByName(every).where(bound).where(2 * shared >= r * (n + m) - 1e-6)
+    pairs = written(pairs, "pairs").join(small(names), "norm")
     scored = pairs.withColumn("score", F.bround(text_ratio("d", "norm") * 100).cast("int")).where(F.col("score") >= threshold)
     best = scored.groupBy("d").agg(F.max_by(F.struct("ledger", "score"), F.struct("score", -F.col("pos"))).alias("b"))
     found = texts.join(best, "d").select("description", "b.ledger", F.col("b.score").alias("score"))
     return _tier(found, F.col("score"), "Fuzzy")
 
 
+def _numbered(characters: Column) -> Column:
+    """Each of a sorted array's characters with its turn among its equals, so that sets of them count repeats."""
+    return F.transform(characters, lambda c, i: F.concat(c, (i - F.array_position(characters, c)).cast("string")))
+
+
 def match(descriptions: DataFrame, ledgers: DataFrame, rules: DataFrame, threshold: int = 78, suspense: str = SUSPENSE) -> DataFrame:
-    """Of each distinct description: ledger, confidence, method, rule_id and override (a rule's voucher type)."""
-    left = descriptions.select("description").distinct()
+    """Of each distinct description: ledger, confidence, method, rule_id and override (a rule's voucher type).
+
+    What each tier finds is written, so that the next ones and the result read it instead of matching again.
+    """
+    left = written(descriptions.select("description").distinct().repartition(partitions(descriptions.sparkSession)), "descriptions")
     names = prepared(ledgers)
     tiers = []
     for tier in (lambda d: by_rule(d, rules, names), lambda d: by_exact(d, names), lambda d: by_keyword(d, names), lambda d: by_substring(d, names), lambda d: by_normalized(d, names), lambda d: by_fuzzy(d, names, threshold)):
-        found = tier(left)
+        found = written(tier(left), "tier")
         tiers.append(found)
         left = left.join(found.select("description"), "description", "left_anti")
     known = [r.ledger for r in _last_by_basic(names).where(F.col("basic") == basic_normalize(F.lit(suspense))).collect()]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passbook.functions.text import collapse, filled, normalize_header, strip
-from passbook.functions.values import MONEY, normalize_amounts, parse_date, parse_decimal
+from passbook.functions.values import MONEY, normalize_parsed, parse_date, parse_decimal
 from passbook.functions.vocabulary import COLUMN_ALIASES, FIELDS, IGNORE_TERMS
+from passbook.sources.steps import partitions
 
 #: Rows of a document among which its header is sought.
 HEADER_ROWS = 30
@@ -100,7 +101,8 @@ def cleanup(text: Column, rules: Column | None = None) -> Column:
 def is_header_like(cells: Column) -> Column:
     """Whether two cells or more are built-in aliases."""
     known = sorted({a for v in COLUMN_ALIASES.values() for a in v})
-    return F.size(F.filter(cells, lambda c: normalize_header(filled(c)).isin(*known))) >= 2
+    # most cells hold no letter, and need no normal form
+    return F.size(F.filter(cells, lambda c: F.when(filled(c).rlike("[A-Za-z]"), normalize_header(filled(c)).isin(*known)).otherwise(False))) >= 2
 
 
 def data_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -108,7 +110,8 @@ def data_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 
     The columns of mapping (one row a document) are added. ignore_phrases array<string> in it adds terms.
     """
-    joined = rows.join(mapping, "doc_id")
+    # rows are dealt by document before the costly expressions; windows and groups above keep that
+    joined = rows.repartition(partitions(rows.sparkSession), "doc_id").join(mapping, "doc_id")
     some = F.exists("cells", lambda c: strip(filled(c)) != "")
     described = collapse(F.lower(cell(F.col("cells"), F.col("description"))))
     terms = F.array(*map(F.lit, IGNORE_TERMS))
@@ -120,12 +123,12 @@ def data_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.where((F.col("row_number") > F.col("header_row") + 1) & some & ~is_header_like(F.col("cells")) & ~ignored)
 
 
-def _dates(text: Column, formats: list[str]) -> Column:
-    out = None
+def _dates(text: str, at: int, formats: list[str]) -> Column:
+    """A text's date by its row's format; the automatic one is already in days."""
+    auto, out = F.get("days", F.lit(at)), None
     for f in formats:
-        one = parse_date(text, f)
-        out = F.when(F.col("date_format") == f, one) if out is None else out.when(F.col("date_format") == f, one)
-    return out.otherwise(parse_date(text, "AUTO")) if formats else parse_date(text, "AUTO")
+        out = (F if out is None else out).when(F.col("date_format") == f, parse_date(text, f))
+    return out.otherwise(auto) if formats else auto
 
 
 def parse(rows: DataFrame, mapping: DataFrame, formats: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -148,13 +151,16 @@ def parse(rows: DataFrame, mapping: DataFrame, formats: list[str] | None = None)
     )
     formats = [f for f in formats or [] if f != "AUTO"]
     continues = F.col("multiline") & (F.col("date_text") == "") & (F.col("raw_description") != "") & (F.concat("debit_text", "credit_text", "amount_text") == "")
+    texts = [F.col(c) for c in ("debit_text", "credit_text", "amount_text", "balance_text")]
+    # amounts and dates are parsed once for all cells: an expression for each would outgrow what Spark compiles
+    base = base.withColumns({"parsed": F.transform(F.array(*texts), parse_decimal), "days": F.transform(F.array("date_text", "value_text"), lambda t: parse_date(t))})
     typed = base.withColumns(
         {
             "continues": continues,
-            "day": _dates(F.col("date_text"), formats),
-            "sums": normalize_amounts(F.col("debit_text"), F.col("credit_text"), F.col("amount_text"), F.col("direction_text")),
-            "left": parse_decimal("balance_text"),
-            "value_day": _dates(F.col("value_text"), formats),
+            "day": _dates("date_text", 0, formats),
+            "sums": normalize_parsed(F.col("parsed"), *texts[:3], F.col("direction_text")),
+            "left": F.get("parsed", F.lit(3)),
+            "value_day": _dates("value_text", 1, formats),
         }
     )
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))

@@ -65,6 +65,41 @@ SELECT DISTINCT CASE l_orderkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'UPI/' || upp
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 
+#: Events as rows of statements of 40 rows a page: what each cell shows, and its height on the page.
+EVENT_ROWS = """
+SELECT *, CAST(floor(k / 40.0) AS INT) AS page, CAST(k % 40 AS INT) AS i, CAST(100 + 20 * (k % 40) AS DOUBLE) AS y, CAST(k + 1 AS STRING) AS serial,
+    CASE WHEN event_type IN ('purchase', 'error') THEN a ELSE '' END AS w, CASE WHEN event_type IN ('purchase', 'error') THEN '' ELSE a END AS c, CAST(event_id AS STRING) || '.00' AS bal,
+    CASE WHEN event_id % 3 = 0 THEN 'ref' || CAST(event_id AS STRING) ELSE '' END AS ref, event_type || CASE WHEN event_id % 17 = 0 THEN ' generated' ELSE '' END AS narr
+FROM (SELECT CAST(user_id AS STRING) AS doc_id, event_id, event_type, CAST(day(ts) AS STRING) || '-' || CAST(month(ts) AS STRING) || '-' || CAST(year(ts) AS STRING) AS d,
+    CAST(CAST(value AS DECIMAL(18,2)) AS STRING) AS a, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS k FROM events) AS k"""
+
+#: Their words: a header and a footer on each page, references on a line of their own, and a carried line on odd pages.
+STMT_WORDS = f"""
+WITH e AS ({EVENT_ROWS}), p AS (SELECT DISTINCT doc_id, page FROM e), h AS (SELECT * FROM (VALUES ('SlNo', 10, 80), ('Date', 60, 80), ('Particulars', 150, 80), ('Withdrawals', 330, 80), ('Deposits', 410, 80), ('Balance', 490, 80),
+    ('Cumulative', 150, 995), ('totals', 210, 995), ('Statement', 60, 1010), ('generated', 150, 1010), ('on', 200, 1010), ('777', 10, 1030)) AS v(text, x0, top))
+SELECT doc_id, page, serial AS text, CAST(10 AS DOUBLE) AS x0, y AS top FROM e UNION ALL SELECT doc_id, page, d, CAST(60 AS DOUBLE), y FROM e UNION ALL SELECT doc_id, page, event_type, CAST(150 AS DOUBLE), y FROM e
+UNION ALL SELECT doc_id, page, 'generated', CAST(200 AS DOUBLE), y FROM e WHERE event_id % 17 = 0 UNION ALL SELECT doc_id, page, ref, CAST(150 AS DOUBLE), y + 9 FROM e WHERE ref <> ''
+UNION ALL SELECT doc_id, page, a, CAST(CASE WHEN w <> '' THEN 330 ELSE 410 END AS DOUBLE), y FROM e UNION ALL SELECT doc_id, page, bal, CAST(490 AS DOUBLE), y FROM e
+UNION ALL SELECT doc_id, page, text, CAST(x0 AS DOUBLE), CAST(top AS DOUBLE) FROM p CROSS JOIN h UNION ALL SELECT doc_id, page, 'carried', CAST(150 AS DOUBLE), CAST(90 AS DOUBLE) FROM p WHERE page % 2 = 1"""
+
+#: Corrections of single fields, good and bad.
+CORRECTIONS = """
+SELECT 'T' || CAST(event_id AS STRING) AS id, CASE event_id % 5 WHEN 0 THEN 'debit_amount' WHEN 1 THEN 'balance' WHEN 2 THEN 'value_date' WHEN 3 THEN 'voucher_type' ELSE 'narration' END AS field,
+    CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '12.50' WHEN 2 THEN '2024-02-30' WHEN 3 THEN 'Contra' WHEN 4 THEN '2024-01-05' WHEN 5 THEN ' x ' ELSE '1.2.3' END AS value FROM events"""
+
+#: Dates as statements write them, and the day that is meant.
+DATE_TEXTS = """
+SELECT event_id, CASE WHEN event_id % 9 = 8 THEN NULL ELSE CAST(ts AS DATE) END AS day,
+    CASE event_id % 9 WHEN 0 THEN d || '/' || m || '/' || y WHEN 1 THEN CASE WHEN length(d) = 2 AND d > '12' THEN m || '/' || d || '/' || y ELSE d || '/' || m || '/' || y END WHEN 2 THEN d || ' ' || mon || ' ' || y WHEN 3 THEN y || '-' || m || '-' || d
+        WHEN 4 THEN d || '-' || upper(mon) || '-' || substr(y, 3, 2) WHEN 5 THEN d || '.' || m || '.' || y || ' 23:59' WHEN 6 THEN mon || ' ' || d || ', ' || y WHEN 7 THEN d || '-' || m || '-' || substr(y, 3, 2) || ' 9:05 pm' ELSE '31/02/' || y END AS text
+FROM (SELECT event_id, ts, CAST(day(ts) AS STRING) AS d, CAST(month(ts) AS STRING) AS m, CAST(year(ts) AS STRING) AS y, substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(ts) - 2 AS INT), 3) AS mon FROM events) AS x"""
+
+
+def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a query above over events."""
+    return _bound(spark, sf_dir, sql, "events")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from passbook.functions import text, values
 from passbook.operators import duplicates, layout, ledgers, parsing, review, summaries, templates, validation, vouchers
 from passbook.plans import bindings as b
-from passbook.sources import raw, tables
+from passbook.sources import raw, steps, tables, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -156,6 +157,12 @@ a AS (SELECT *, max(CASE WHEN error IS NULL AND NOT cont THEN row_number END) OV
 j AS (SELECT doc_id, anchor, string_agg(d1, ' ' ORDER BY row_number) AS more, string_agg(CASE WHEN c2 <> '' THEN c2 END, ' ' ORDER BY row_number) AS refs FROM a WHERE cont AND anchor IS NOT NULL GROUP BY ALL)"""
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw rows as a stored table of many files, parsed; the driver's table is one file, which one task would read and filter."""
+    rows = b.raw_rows(spark, sf_dir).repartition(steps.partitions(spark), "doc_id")
+    return parsing.parse(steps.written(rows, "raw"), b.raw_mapping(spark, sf_dir))
+
+
 @_query(
     "p7_parse",
     _PARSED
@@ -164,13 +171,13 @@ j AS (SELECT doc_id, anchor, string_agg(d1, ' ' ORDER BY row_number) AS more, st
     FROM a LEFT JOIN j ON a.doc_id = j.doc_id AND a.row_number = j.anchor WHERE error IS NULL AND NOT cont""",
 )
 def p7_parse(spark, sf_dir):
-    good, _ = parsing.parse(b.raw_rows(spark, sf_dir), b.raw_mapping(spark, sf_dir))
+    good, _ = _parsed(spark, sf_dir)
     return good.select("doc_id", "row_number", "transaction_date", "description", "reference_number", "debit_amount", "credit_amount", "balance", "voucher_type")
 
 
 @_query("p7_warnings", _PARSED + " SELECT doc_id, row_number, 'Row ' || CAST(row_number AS STRING) || ': ' || error AS message FROM a WHERE error IS NOT NULL AND NOT (cont AND anchor IS NOT NULL)")
 def p7_warnings(spark, sf_dir):
-    return parsing.parse(b.raw_rows(spark, sf_dir), b.raw_mapping(spark, sf_dir))[1]
+    return _parsed(spark, sf_dir)[1]
 
 
 # --- validation and summaries ---------------------------------------------------------------------
@@ -610,3 +617,342 @@ def v5_rule_errors(spark, sf_dir):
     pos = F.col("pos")
     rows = b.ledgers(spark, sf_dir).select("pos", F.when(pos % 3 == 0, " ").otherwise(F.col("name")).alias("pattern"), F.when(pos % 3 == 2, "169").otherwise(F.col("name")).alias("ledger_name"), F.when(pos % 3 == 0, -1).otherwise(5).alias("priority"))
     return validation.rule_errors(rows).select("pos", F.array_join("errors", "; ").alias("errors"))
+
+
+# --- layout of whole statements -------------------------------------------------------------------
+
+_E = f"WITH e AS ({b.EVENT_ROWS}) "
+_LABELS = "SlNo|Transaction Date|Particulars|Withdrawals|Deposits|Balance Amount"
+_CELLS = "serial || '|' || d || '|' || narr || CASE WHEN ref <> '' THEN ' ' || ref ELSE '' END || '|' || w || '|' || c || '|' || bal"
+_joined = lambda c="cells": F.array_join(c, "|")
+
+
+def _page_words(spark, sf_dir) -> DataFrame:
+    """Words of statements whose header stands on their first page alone."""
+    return steps.written(b.bound(spark, sf_dir, b.STMT_WORDS), "words").where("page = 0 or top <> 80")
+
+
+def _headers(words: DataFrame) -> DataFrame:
+    return layout.carried_headers(words.select("doc_id", "page").distinct(), layout.headers(layout.lines(words)))
+
+
+@_query("l2_headers", f"SELECT DISTINCT CAST(user_id AS STRING) AS doc_id, 0 AS page, '{_LABELS}' AS labels, '10|60|150|330|410|490' AS starts FROM events")
+def l2_headers(spark, sf_dir):
+    found = layout.headers(layout.lines(_page_words(spark, sf_dir)))
+    return found.select("doc_id", "page", _joined("labels").alias("labels"), F.array_join(F.transform("starts", lambda x: x.cast("int").cast("string")), "|").alias("starts"))
+
+
+@_query("l5_date_rows", _E + f"SELECT doc_id, page, i + 1 AS band, {_CELLS} AS cells FROM e QUALIFY count(*) OVER (PARTITION BY doc_id, page) >= 2")
+def l5_date_rows(spark, sf_dir):
+    words = _page_words(spark, sf_dir).where("top < 990 and top <> 90")
+    return layout.date_rows(words, _headers(words)).select("doc_id", "page", F.col("band").cast("int").alias("band"), _joined().alias("cells"))
+
+
+@_query("l6_serial_rows", _E + f"SELECT doc_id, page, i + 1 AS band, {_CELLS} AS cells FROM e")
+def l6_serial_rows(spark, sf_dir):
+    words = _page_words(spark, sf_dir).where("top <> 995")
+    return layout.serial_rows(words, _headers(words)).select("doc_id", "page", F.col("band").cast("int").alias("band"), _joined().alias("cells"))
+
+
+@_query(
+    "l7_section_rows",
+    _E
+    + """, s AS (SELECT *, CAST(floor(page / 2.0) AS INT) AS sheet, page % 2 AS section FROM e)
+    SELECT doc_id, sheet AS page, CAST(section AS INT) AS section, i + 1 AS band, d || '|' || narr || CASE WHEN ref <> '' THEN ' ' || ref ELSE '' END || '|' || w || '|' || c || '|' || bal AS cells FROM s
+    UNION ALL SELECT DISTINCT doc_id, sheet, CAST(section AS INT), -1, 'Date|Particulars|Withdrawals|Deposits|Balance Amount' FROM s UNION ALL SELECT DISTINCT doc_id, sheet, 1, 0, '|carried|||' FROM s WHERE section = 1""",
+)
+def l7_section_rows(spark, sf_dir):
+    """Two pages stand on one sheet, each with its header, as statements without serial numbers."""
+    words = steps.written(b.bound(spark, sf_dir, b.STMT_WORDS), "words").where("x0 <> 10").withColumns({"top": F.col("top") + 2000.0 * (F.col("page") % 2), "page": F.floor(F.col("page") / 2).cast("int")})
+    return layout.section_rows(words).select("doc_id", "page", F.col("section").cast("int").alias("section"), F.col("band").cast("int").alias("band"), _joined().alias("cells"))
+
+
+@_query("l8_rectangle_rows", _E + f"SELECT doc_id, page, y - 3 AS top, {_CELLS} AS cells FROM e WHERE event_id % 5 <> 0")
+def l8_rectangle_rows(spark, sf_dir):
+    words, rows = _page_words(spark, sf_dir), b.bound(spark, sf_dir, b.EVENT_ROWS)
+    rects = rows.select("doc_id", "page", F.lit(0.0).alias("x0"), F.when(F.col("event_id") % 5 == 0, 300.0).otherwise(600.0).alias("x1"), (F.col("y") - 3).alias("top"), (F.col("y") + 15).alias("bottom"))
+    pages = rows.select("doc_id", "page", F.lit(600.0).alias("width")).distinct()
+    return layout.rectangle_rows(words, rects, _headers(words), pages).select("doc_id", "page", "top", _joined().alias("cells"))
+
+
+@_query(
+    "l9_recognised_rows",
+    _E
+    + f"""SELECT doc_id, page, serial || '|' || d || '|' || narr || '|' || w || '|' || c || '|' || bal AS cells FROM e WHERE page = 0 UNION ALL SELECT doc_id, page, '||' || ref || '|||' FROM e WHERE page = 0 AND ref <> ''
+    UNION ALL SELECT DISTINCT doc_id, page, '{_LABELS}' FROM e WHERE page = 0 UNION ALL SELECT DISTINCT doc_id, page, 'Page|' || CAST(page AS STRING) FROM e WHERE page > 0 UNION ALL SELECT DISTINCT doc_id, page, 'next' FROM e WHERE page > 0""",
+)
+def l9_recognised_rows(spark, sf_dir):
+    words = _page_words(spark, sf_dir).where("top < 990 and top <> 90")
+    texts = words.select("doc_id", "page").distinct().withColumn("text", F.concat(F.lit("Page  "), "page", F.lit("\n\nnext ")))
+    return layout.recognised_rows(words, texts).select("doc_id", "page", _joined().alias("cells"))
+
+
+@_query("l11_carried_headers", _E + f"SELECT DISTINCT doc_id, page, page = 0 AS own, '{_LABELS}' AS labels FROM e")
+def l11_carried_headers(spark, sf_dir):
+    return _headers(_page_words(spark, sf_dir)).select("doc_id", "page", "own", _joined("labels").alias("labels"))
+
+
+@_query("l12_projected", _E + "SELECT doc_id, page, i + 1 AS band, bal || '|' || d || '|' AS cells FROM e")
+def l12_projected(spark, sf_dir):
+    words = _page_words(spark, sf_dir)
+    found = layout.headers(layout.lines(words))
+    rows = layout.serial_rows(words, _headers(words)).join(layout.first_headers(found), "doc_id")
+    target = layout.first_headers(found).select("doc_id", F.array(*map(F.lit, ["Balance Amount", "Transaction Date", "Cheque Number"])).alias("labels"))
+    return layout.projected(rows, target).select("doc_id", "page", F.col("band").cast("int").alias("band"), _joined().alias("cells"))
+
+
+@_query("l13_header_rows", "SELECT event_id, event_id % 4 IN (0, 2) AS is_header FROM events")
+def l13_header_rows(spark, sf_dir):
+    kinds = [["Txn  Date", "NARRATION", "Debit"], ["Date", "Narration", "Remarks"], ["posting date", "Particulars", "x", "Closing Balance"], ["Particulars", "Balance"]]
+    cells = F.element_at(F.array(*(F.array(*map(F.lit, k)) for k in kinds)), (F.col("event_id") % 4 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", layout.is_header_row(cells).alias("is_header"))
+
+
+@_query("l14_preferred", "SELECT event_id FROM events QUALIFY event_id % 4 = min(event_id % 4) OVER (PARTITION BY user_id, event_id % 100)")
+def l14_preferred(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("doc_id"), (F.col("event_id") % 100).alias("page"), (F.col("event_id") % 4).alias("source_rank"))
+    return layout.preferred(rows).select("event_id")
+
+
+def _tables_and_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pages = docs.select("doc_id", F.lit(1).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.lit(" \t")).otherwise(F.col("text")).alias("text"))
+    cells = F.array(F.lit("t"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, F.lit("c")))
+    rows = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("table_no"), F.explode(F.array(F.lit(1), F.lit(2))).alias("row_no"), F.filter(cells, lambda c: c.isNotNull()).alias("cells"))
+    return rows, pages
+
+
+@_query("l14_pages_to_recognise", "SELECT doc_id, 1 AS page FROM documents WHERE doc_id % 2 <> 0 AND (doc_id % 3 = 0 OR trim(coalesce(text, '')) = '')")
+def l14_pages_to_recognise(spark, sf_dir):
+    rows, pages = _tables_and_pages(spark, sf_dir)
+    return raw.pages_without_text(pages, rows).select("doc_id", "page")
+
+
+@_query("l14_usable_tables", "SELECT doc_id, 1 AS page, 1 AS table_no FROM documents WHERE doc_id % 4 = 0")
+def l14_usable_tables(spark, sf_dir):
+    return raw.usable_tables(_tables_and_pages(spark, sf_dir)[0])
+
+
+@_query(
+    "s4_choose_rows",
+    _LINES + " SELECT doc_id, CAST(row_number AS INT) AS row_number, array_to_string(cells, '|') AS cells FROM r WHERE doc_id % 2 <> 0 UNION ALL SELECT doc_id, n, 't|' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 4 = 0 THEN '|c' ELSE '' END FROM documents, (VALUES (1), (2)) AS k(n) WHERE doc_id % 2 = 0",
+)
+def s4_choose_rows(spark, sf_dir):
+    texts = raw.text_rows(b.lines(spark, sf_dir).withColumn("page", F.lit(1)), "doc_id", "page")
+    return raw.choose_rows(_tables_and_pages(spark, sf_dir)[0], texts).select("doc_id", "row_number", _joined().alias("cells"))
+
+
+@_query("a12_mean_confidence", _WORDS + ", k AS (SELECT *, CASE i % 4 WHEN 0 THEN -1 ELSE i % 4 * 30 END AS confidence FROM (SELECT doc_id, page, CAST(x0 / 40 AS BIGINT) AS i FROM words) AS x) SELECT doc_id, page, coalesce(CAST(sum(confidence) FILTER (confidence >= 0) AS DOUBLE) / count(*) FILTER (confidence >= 0), 0) AS confidence FROM k GROUP BY ALL")
+def a12_mean_confidence(spark, sf_dir):
+    i = (F.col("x0") / 40).cast("long") % 4
+    return layout.recognised_text(b.words(spark, sf_dir).withColumns({"line": F.floor(F.col("top") / 12), "confidence": F.when(i == 0, -1.0).otherwise(i * 30.0)})).select("doc_id", "page", "confidence")
+
+
+# --- more of the other operators ------------------------------------------------------------------
+
+
+@_query("s3_clean_table_cells", f"WITH raw AS ({b.RAW}) SELECT doc_id, row_number, " + " || '|' || ".join(f"trim(regexp_replace(c{i}, '\\s+', ' ', 'g'))" for i in range(8)) + " AS cells FROM raw")
+def s3_clean_table_cells(spark, sf_dir):
+    return raw.clean_table(b.raw_rows(spark, sf_dir)).select("doc_id", "row_number", _joined().alias("cells"))
+
+
+@_query("s11_list_session", _STMT + "SELECT id, row_number FROM stmt WHERE session_id = (SELECT min(session_id) FROM stmt)")
+def s11_list_session(spark, sf_dir):
+    rows = b.statements(spark, sf_dir)
+    return tables.list_session(rows, rows.agg(F.min("session_id")).first()[0]).select("id", "row_number")
+
+
+def _history(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    old = events.groupBy(F.col("user_id").alias("id")).agg(F.lit("Old").alias("company_name"), F.count("*").alias("created"), F.max("ts").alias("created_at"))
+    new = old.where("id % 3 = 0").select("id", F.lit("New").alias("company_name"), (F.col("created") + 1).alias("created"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    return old, new.unionByName(new.withColumns({"id": F.col("id") + 1_000_000_000}))
+
+
+_HISTORY = "WITH o AS (SELECT user_id AS id, count(*) AS created, max(ts) AS created_at FROM events GROUP BY 1), h AS (SELECT id, 'Old' AS company_name, created + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS created, created_at FROM o UNION ALL SELECT id + 1000000000, 'New', created + 1, NULL FROM o WHERE id % 3 = 0) "
+
+
+@_query("s14_save_history", _HISTORY + "SELECT id, company_name, created FROM h")
+def s14_save_history(spark, sf_dir):
+    return tables.save_history(*_history(spark, sf_dir)).select("id", "company_name", "created")
+
+
+@_query("o3_recent_imports", _HISTORY + "SELECT id, created FROM h ORDER BY created_at DESC NULLS LAST, id LIMIT 7")
+def o3_recent_imports(spark, sf_dir):
+    return tables.recent_imports(tables.save_history(*_history(spark, sf_dir)), 7).select("id", "created")
+
+
+@_query("p2_mapping_errors", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Transaction Date must be mapped.' WHEN 1 THEN 'Description must be mapped.' WHEN 2 THEN 'Map Debit/Credit columns or a single Amount column.' WHEN 3 THEN 'Transaction Date must be mapped.; Description must be mapped.; Map Debit/Credit columns or a single Amount column.' ELSE '' END AS errors FROM events")
+def p2_mapping_errors(spark, sf_dir):
+    k = F.col("event_id") % 5
+    at = lambda i, *without: F.when(~k.isin(3, *without), i)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", at(0, 0).alias("transaction_date"), at(1, 1).alias("description"), F.lit(None).cast("int").alias("debit"), F.lit(None).cast("int").alias("credit"), at(2, 2).alias("amount"))
+    return validation.mapping_errors(rows).select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@_query("p6_cleanup", f"WITH raw AS ({b.RAW}) SELECT doc_id, row_number, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(c1, '\\s+', ' ', 'g')), '([a-z]+) ([0-9]+)', '\\2:\\1', 'g')), '^Pay|:error', '', 'g')) AS text FROM raw")
+def p6_cleanup(spark, sf_dir):
+    rules = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(r).alias("replacement")) for p, r in (("([a-z]+) ([0-9]+)", r"\2:\1"), ("", "x"), ("^Pay|:error", None))))
+    return b.raw_rows(spark, sf_dir).select("doc_id", "row_number", parsing.cleanup(F.get("cells", F.lit(1)), rules).alias("text"))
+
+
+@_query("p8_attach_session", _PARSED + " SELECT doc_id, row_number, 'S-' || doc_id AS session_id, 'Not exported' AS import_status, 'None' AS duplicate_status, 0 AS matching_confidence, FALSE AS ignored FROM a WHERE error IS NULL AND NOT cont")
+def p8_attach_session(spark, sf_dir):
+    good, _ = _parsed(spark, sf_dir)
+    return parsing.attach_session(good, F.concat(F.lit("S-"), "doc_id")).select("doc_id", "row_number", "session_id", "import_status", "duplicate_status", "matching_confidence", "ignored")
+
+
+@_query("p9_many_shapes", f"SELECT event_id, day FROM ({b.DATE_TEXTS}) AS x")
+def p9_many_shapes(spark, sf_dir):
+    return b.bound(spark, sf_dir, b.DATE_TEXTS).select("event_id", values.parse_date("text").alias("day"))
+
+
+@_query(
+    "p16_corrections",
+    f"""WITH c AS ({b.CORRECTIONS}), t AS (SELECT id, field, trim(value) AS v, value, field IN ('debit_amount', 'balance') AS m, field = 'value_date' AS dt, field IN ('balance', 'value_date') AND trim(value) = '' AS empty FROM c)
+    SELECT id, field, CAST(CASE WHEN m AND NOT empty THEN {_value('v')} END AS {_M}) AS money, CASE WHEN dt AND NOT empty THEN CAST(try_strptime(v, '%Y-%m-%d') AS DATE) END AS day, CASE WHEN NOT m AND NOT dt THEN v END AS text,
+    CASE WHEN empty THEN NULL WHEN m AND ({_value('v')}) IS NULL THEN 'Invalid amount: ' || v WHEN dt AND try_strptime(v, '%Y-%m-%d') IS NULL THEN 'Invalid date: ' || v WHEN field = 'voucher_type' AND v <> 'Contra' THEN 'Unknown voucher type: ' || v END AS error FROM t""",
+)
+def p16_corrections(spark, sf_dir):
+    return review.typed_corrections(b.bound(spark, sf_dir, b.CORRECTIONS)).select("id", "field", "money", "day", "text", "error")
+
+
+@_query("p21_first_rows", f"WITH raw AS ({b.RAW}) SELECT doc_id, row_number FROM raw WHERE row_number <= 250")
+def p21_first_rows(spark, sf_dir):
+    return parsing.first_rows(b.raw_rows(spark, sf_dir), 250).select("doc_id", "row_number")
+
+
+@_query("j12_template_by_bank", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'apache' WHEN 1 THEN 'mit' WHEN 2 THEN NULL ELSE 'gnu' END AS template_id FROM events")
+def j12_template_by_bank(spark, sf_dir):
+    names = F.element_at(F.array(*map(F.lit, [" APACHE bank ", "Mit Bank", "none", "gnu BANK"])), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", names.alias("bank_name"))
+    return templates.by_bank(rows, b.templates(spark)).select("event_id", "template_id")
+
+
+@_query("f11_redact", f"SELECT doc_id, regexp_replace({_masked('t')}, '\\b([a-zA-Z0-9._-]{{2}})[a-zA-Z0-9._-]*@([a-zA-Z][a-zA-Z0-9.-]+)\\b', '\\1***@\\2', 'g') AS redacted FROM (SELECT doc_id, 'to pay.' || lang || CAST(doc_id AS STRING) || '@Bank.example, ' || text AS t FROM documents) AS d")
+def f11_redact(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", text.redact(F.concat(F.lit("to pay."), "lang", F.col("doc_id").cast("string"), F.lit("@Bank.example, "), "text")).alias("redacted"))
+
+
+@_query("f13_control", "SELECT event_id, event_id % 5 < 2 AS bad, CASE WHEN event_id % 5 < 2 THEN 'ab' WHEN event_id % 5 = 2 THEN 'a' || chr(9) || 'b' ELSE 'a' || chr(127) || 'b' END AS clean FROM events")
+def f13_control(spark, sf_dir):
+    k = F.col("event_id") % 5
+    t = F.concat(F.lit("a"), F.when(k == 0, "\x0b").when(k == 1, "\x1f").when(k == 2, "\t").otherwise("\x7f"), F.lit("b"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.has_control(t).alias("bad"), text.strip_control(t).alias("clean"))
+
+
+@_query("f14_contra", _STMT + "SELECT id, CASE WHEN contains(lower(description), 'sms charge') THEN 'Payment' WHEN contains(lower(description), 'interest received') THEN 'Receipt' WHEN row_number % 2 = 0 AND row_number % 3 <> 2 THEN 'Contra' WHEN debit_amount <> 0 THEN 'Payment' ELSE 'Receipt' END AS kind FROM stmt")
+def f14_contra(spark, sf_dir):
+    n = F.col("row_number")
+    return b.statements(spark, sf_dir).select("id", values.voucher_type(F.col("description"), F.col("debit_amount"), n % 2 == 0, F.when(n % 3 == 1, True).when(n % 3 == 2, False)).alias("kind"))
+
+
+@_query("f22_messages", "SELECT event_id, '[\"m ' || CAST(event_id AS STRING) || '\",\"a \\\"b\\\"\"]' AS stored, 'm ' || CAST(event_id AS STRING) || '|a \"b\"' AS messages FROM events")
+def f22_messages(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array(F.concat(F.lit("m "), "event_id"), F.lit('a "b"')).alias("m"))
+    return rows.select("event_id", text.to_messages("m").alias("stored")).withColumn("messages", F.array_join(text.from_messages("stored"), "|"))
+
+
+_TWICE = """, twice AS (SELECT id, reference_number, balance, transaction_date, ignored, duplicate_status, duplicate_of, CASE WHEN debit_amount <> 0 THEN debit_amount ELSE credit_amount END AS amount FROM stmt UNION ALL
+    SELECT 'C' || id, reference_number, balance, transaction_date, ignored, duplicate_status, duplicate_of, CASE WHEN debit_amount <> 0 THEN debit_amount ELSE credit_amount END FROM stmt WHERE row_number % 10 = 0)"""
+
+
+@_query(
+    "w6_mark_copies",
+    _STMT
+    + _TWICE
+    + """, m AS (SELECT r.id, l.id AS original FROM twice r JOIN twice l ON r.id = 'C' || l.id WHERE NOT l.ignored AND r.duplicate_status <> 'Confirmed unique' AND l.transaction_date IS NOT NULL AND l.amount <> 0 AND 75 + CASE WHEN l.reference_number <> '' THEN 20 ELSE 0 END + CASE WHEN l.balance IS NOT NULL THEN 5 ELSE 0 END >= 96)
+    SELECT id, CASE WHEN original IS NOT NULL AND duplicate_status <> 'Confirmed duplicate' THEN 'Suspected' WHEN duplicate_status = 'Suspected' THEN 'None' ELSE duplicate_status END AS duplicate_status,
+    CASE WHEN original IS NOT NULL AND duplicate_status <> 'Confirmed duplicate' THEN original ELSE '' END AS duplicate_of FROM twice LEFT JOIN m USING (id)""",
+)
+def w6_mark_copies(spark, sf_dir):
+    """Only copies reach 96 points, so that the ratio of texts decides nothing and SQL can follow."""
+    rows = b.statements(spark, sf_dir)
+    twice = rows.unionByName(rows.where("row_number % 10 = 0").withColumns({"id": F.concat(F.lit("C"), "id"), "row_number": F.col("row_number") + 1_000_000}))
+    return duplicates.mark(twice, duplicates.pairs(twice, 96)).select("id", "duplicate_status", "duplicate_of")
+
+
+_CASCADE = f"""SELECT description, coalesce(r.ledger, x.ledger, k.ledger, s.ledger, n.ledger, 'Suspense A/c') AS ledger,
+    CAST(CASE WHEN r.ledger IS NOT NULL OR x.ledger IS NOT NULL THEN 100 WHEN k.ledger IS NOT NULL THEN 94 WHEN s.ledger IS NOT NULL THEN 88 WHEN n.ledger IS NOT NULL THEN 84 ELSE 0 END AS INT) AS confidence,
+    CASE WHEN r.ledger IS NOT NULL THEN 'Saved Rule' WHEN x.ledger IS NOT NULL THEN 'Exact ledger name' WHEN k.ledger IS NOT NULL THEN 'Keyword' WHEN s.ledger IS NOT NULL THEN 'Substring' WHEN n.ledger IS NOT NULL THEN 'Normalized text' ELSE 'Default suspense' END AS method, r.rule_id AS rule_id
+    FROM (SELECT DISTINCT description FROM ({b.PAYMENTS}) AS q) AS q LEFT JOIN ({_ORACLES['j2_rules']}) AS r USING (description) LEFT JOIN ({_ORACLES['j3_exact']}) AS x USING (description)
+    LEFT JOIN ({_ORACLES['j4_keyword']}) AS k USING (description) LEFT JOIN ({_ORACLES['j5_substring']}) AS s USING (description) LEFT JOIN ({_ORACLES['j6_normalized']}) AS n USING (description)"""
+
+
+@_query("j8_cascade_exact", _CASCADE)
+def j8_cascade_exact(spark, sf_dir):
+    """The cascade with the fuzzy tier at 100, which no text of these reaches that the tiers before have left."""
+    return ledgers.match(b.payments(spark, sf_dir), b.ledgers(spark, sf_dir), _rules(spark, sf_dir), 100).select("description", "ledger", "confidence", "method", "rule_id")
+
+
+@_query(
+    "j9_apply_exact",
+    _STMT
+    + f""", c AS ({_CASCADE.replace(b.PAYMENTS, f"SELECT DISTINCT description FROM ({b.STMT}) AS st WHERE NOT ignored")}), own AS (SELECT lower(name) AS key, arg_max(parent_group, pos) IN ('Bank Accounts', 'Cash-in-Hand') AS own FROM ({b.LEDGERS}) AS l GROUP BY 1)
+    SELECT id, CASE WHEN ignored THEN opposite_ledger ELSE ledger END AS opposite_ledger, CAST(CASE WHEN ignored THEN matching_confidence ELSE confidence END AS INT) AS matching_confidence, CASE WHEN ignored THEN matching_method ELSE method END AS matching_method,
+    CASE WHEN ignored THEN voucher_type WHEN rule_id = 'R3' THEN 'Contra' WHEN contains(lower(description), 'sms charge') THEN 'Payment' WHEN contains(lower(description), 'interest received') THEN 'Receipt' WHEN coalesce(own, FALSE) THEN 'Contra' WHEN debit_amount <> 0 THEN 'Payment' ELSE 'Receipt' END AS voucher_type
+    FROM stmt LEFT JOIN c USING (description) LEFT JOIN own ON key = lower(ledger)""",
+)
+def j9_apply_exact(spark, sf_dir):
+    return ledgers.apply(b.statements(spark, sf_dir), b.ledgers(spark, sf_dir), _rules(spark, sf_dir), "Demo Bank A/c", 100).select("id", "opposite_ledger", "matching_confidence", "matching_method", "voucher_type")
+
+
+@_query("x4_groups_by_type", _STMT + "SELECT lower(voucher_type) AS group_key, 'v_' || lower(voucher_type) || '.xml' AS filename, count(*) AS vouchers FROM stmt GROUP BY ALL")
+def x4_groups_by_type(spark, sf_dir):
+    return vouchers.grouped(b.statements(spark, sf_dir), "voucher_type", "v").groupBy("group_key", "filename").agg(F.count("*").alias("vouchers"))
+
+
+@_query(
+    "s16_review_table_whole",
+    _STMT
+    + """SELECT session_id, row_number, transaction_date, value_date, description, reference_number, cheque_number, CAST(debit_amount AS STRING) AS debit_amount, CAST(credit_amount AS STRING) AS credit_amount, coalesce(CAST(balance AS STRING), '') AS balance, voucher_type, bank_ledger, opposite_ledger, narration,
+    tally_voucher_number, matching_confidence, matching_method, matching_rule_id, validation_status, validation_message, duplicate_status, duplicate_of, import_status, '' AS import_message FROM stmt""",
+)
+def s16_review_table_whole(spark, sf_dir):
+    return tables.review_table(b.statements(spark, sf_dir))
+
+
+@_query("o5_ledgers_in_order", f"WITH ledgers AS ({b.LEDGERS}) SELECT pos, lower(name) AS name FROM ledgers ORDER BY 2")
+def o5_ledgers_in_order(spark, sf_dir):
+    return b.ledgers(spark, sf_dir).select("pos", F.lower("name").alias("name")).orderBy("name")
+
+
+# --- XML that Spark writes from the tables and reads again ------------------------------------------
+
+
+def _as_text(rows: DataFrame) -> str:
+    """The folder of text files to which rows of one text column went."""
+    path = f"{steps.folder(rows.sparkSession)}/xml-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+@_query("s6_xml_ledgers", f"SELECT pos, name, parent_group, 'G' || CAST(pos AS STRING) AS guid FROM ({b.LEDGERS}) AS l")
+def s6_xml_ledgers(spark, sf_dir):
+    """Names as attributes or elements, blanks to collapse, a forbidden reference, and a count that is no ledger."""
+    esc = lambda c: F.regexp_replace(c, "&", "&amp;")
+    own = b.ledgers(spark, sf_dir)
+    name = esc("name")
+    inner = F.concat(F.lit("<PARENT>&#4;"), esc("parent_group"), F.lit("</PARENT><GUID> G"), "pos", F.lit("</GUID></LEDGER>"))
+    one = F.when(F.col("pos") % 2 == 0, F.concat(F.lit('<LEDGER NAME="'), name, F.lit('  ">'), inner)).otherwise(F.concat(F.lit("<LEDGER><NAME> "), name, F.lit("</NAME>"), inner))
+    count = own.agg(F.concat(F.lit("<LEDGER>"), F.count("*"), F.lit("</LEDGER>")).alias("value"))
+    return xml.ledgers(spark, _as_text(own.select(one.alias("value")).unionByName(count)))
+
+
+@_query("s8_xml_responses", "SELECT user_id, count(*) AS created, count(*) FILTER (event_id % 50 = 0) AS errors, CASE WHEN count(*) FILTER (event_id % 50 = 0) > 0 THEN 'bad & ' || CAST(max(event_id) AS STRING) ELSE '' END AS messages, count(*) FILTER (event_id % 50 = 0) = 0 AS succeeded FROM events GROUP BY 1")
+def s8_xml_responses(spark, sf_dir):
+    """A response file for each user's batch."""
+    batches = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 50 == 0).alias("bad"), F.max("event_id").alias("last"))
+    error = F.when(F.col("bad") > 0, F.concat(F.lit("<ERRORS> "), "bad", F.lit(" </ERRORS><LINEERROR>bad &amp;  "), "last", F.lit("</LINEERROR>"))).otherwise(F.lit("<ERRORS>x</ERRORS>"))
+    text_ = F.concat(F.lit("<RESPONSE><CREATED>"), "n", F.lit("</CREATED>"), error, F.lit("<LASTVCHID>"), "user_id", F.lit("</LASTVCHID></RESPONSE>"))
+    path = f"{steps.folder(spark)}/xml-{uuid.uuid4().hex}"
+    batches.select(text_.alias("value"), F.col("user_id").alias("batch")).write.partitionBy("batch").text(path)
+    got = xml.responses(spark, path)
+    return got.select(F.col("last_id").cast("long").alias("user_id"), F.col("created").cast("long").alias("created"), F.col("errors").cast("long").alias("errors"), F.array_join("messages", "|").alias("messages"), "succeeded")
+
+
+@_query("s7_repaired_xml", "SELECT doc_id, 'a ' || text || '  &#38; b' AS text, 3 AS repairs FROM (SELECT doc_id, coalesce(replace(replace(text, '&#', '&'), chr(11), ''), '') AS text FROM documents) AS d")
+def s7_repaired_xml(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.replace(F.replace("text", F.lit("&#"), F.lit("&")), F.lit("\x0b"), F.lit("")), F.lit("")).alias("t"))
+    return docs.select("doc_id", raw.repaired_xml(F.concat(F.lit("a\x0b"), "t", F.lit("&#4;&#x1F;&#38; b"))).alias("x")).select("doc_id", "x.text", "x.repairs")

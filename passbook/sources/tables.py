@@ -50,6 +50,13 @@ def save_template(templates: DataFrame, template_id: str, bank: str, mapping: Da
     return both.select(*(v.alias(c) for c, v in pick.items()))
 
 
+def delete_template(templates: DataFrame, template_id: str, built_in: list[str]) -> DataFrame:
+    """templates without the one of an id; the id of a built-in one raises, an unknown id changes nothing."""
+    if template_id in built_in:
+        raise ValueError("a built-in template can't be deleted")
+    return templates.where(F.col("template_id") != template_id)
+
+
 def start_session(sessions: DataFrame | None, session_id: str, path: str, bank: str, spark: SparkSession) -> DataFrame:
     """sessions with one more, now."""
     one = spark.range(1).select(F.lit(session_id).alias("id"), F.lit(path).alias("source_path"), F.lit(bank).alias("bank_name"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"))

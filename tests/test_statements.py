@@ -262,11 +262,11 @@ def test_recognised_rows_and_date_bands(spark):
 
 def test_serial_bands_and_rectangles(spark):
     head = [("SlNo", 5, 50), ("Date", 30, 50), ("Particulars", 100, 50), ("Debit", 200, 50), ("Credit", 280, 50), ("Balance", 360, 50)]
-    w = words(spark, *head, ("1", 5, 70), ("23-04-2025", 30, 70), ("UPI/", 100, 69), ("reference", 100, 80), ("5", 200, 70), ("2", 5, 100), ("24-04-2025", 30, 100), ("x", 280, 100), ("generated", 30, 130), ("3", 5, 140))
+    w = words(spark, *head, ("1", 5, 70), ("23-04-2025", 30, 70), ("UPI/", 100, 69), ("reference", 100, 80), ("5", 200, 70), ("2", 5, 100), ("24-04-2025", 30, 100), ("x", 280, 100), ("auto", 150, 100), ("generated", 170, 100), ("Statement", 30, 130), ("generated", 60, 130), ("on", 90, 130), ("3", 5, 140))
     h = layout.headers(layout.lines(w))
-    assert [r.cells for r in layout.serial_rows(w, h).orderBy("band").collect()] == [["1", "23-04-2025", "UPI/ reference", "5", "", ""], ["2", "24-04-2025", "", "", "x", ""]]
+    assert [r.cells for r in layout.serial_rows(w, h).orderBy("band").collect()] == [["1", "23-04-2025", "UPI/ reference", "5", "", ""], ["2", "24-04-2025", "auto generated", "", "x", ""]]
     rects = spark.createDataFrame([("d", 1, 0.0, 500.0, 66.0, 90.0), ("d", 1, 0.0, 500.0, 96.0, 110.0), ("d", 1, 0.0, 90.0, 96.0, 110.0), ("d", 1, 0.0, 500.0, 125.0, 135.0)], "doc_id string, page int, x0 double, x1 double, top double, bottom double")
-    assert [r.cells[:3] for r in layout.rectangle_rows(w, rects, h).orderBy("top").collect()] == [["1", "23-04-2025", "UPI/ reference"], ["2", "24-04-2025", ""]]
+    assert [r.cells[:3] for r in layout.rectangle_rows(w, rects, h).orderBy("top").collect()] == [["1", "23-04-2025", "UPI/ reference"], ["2", "24-04-2025", "auto generated"]]
 
 
 def test_headers_are_carried_and_projected(spark):
@@ -300,3 +300,73 @@ def test_corrections(spark):
     c = spark.createDataFrame([("a", "balance", ""), ("a", "debit_amount", "(5)"), ("a", "debit_amount", "inf"), ("a", "transaction_date", "2026-02-30"), ("a", "value_date", ""), ("a", "voucher_type", "Nope"), ("a", "narration", " x ")], "id string, field string, value string")
     got = [(r.field, r.money, r.day, r.text, r.error) for r in review.typed_corrections(c).collect()]
     assert got == [("balance", None, None, None, None), ("debit_amount", D(-5), None, None, None), ("debit_amount", None, None, None, "Invalid amount: inf"), ("transaction_date", None, None, None, "Invalid date: 2026-02-30"), ("value_date", None, None, None, None), ("voucher_type", None, None, "Nope", "Unknown voucher type: Nope"), ("narration", None, None, "x", None)]
+
+
+@pytest.mark.parametrize("threshold", [40, 60, 70, 78, 90, 100])
+def test_fuzzy_equals_brute_force(spark, threshold):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(threshold)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 24))).strip() or "a" for _ in range(40)]
+
+    def worn(t):
+        t = list(t)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(t) + 1)
+            t[k : k + rng.randrange(2)] = rng.choice(["", "a", "f"])
+        return "".join(t).strip()
+
+    names = list(dict.fromkeys(" ".join(b.split()) for b in base if b.split()))
+    texts = list(dict.fromkeys([" ".join(worn(b).split()) for b in base * 3] + ["", "x"]))
+    table = spark.createDataFrame([(i, n, n) for i, n in enumerate(names)], "pos int, name string, norm string")
+    got = {r.description: (r.ledger, r.confidence) for r in ledgers.by_fuzzy(spark.createDataFrame([(t,) for t in texts], "description string"), table, threshold).collect()}
+    want = {}
+    for t in texts:
+        scored = [(round(SequenceMatcher(None, t, n).ratio() * 100), -i, n) for i, n in enumerate(names)]
+        best = max(scored)
+        if best[0] >= threshold:
+            want[t] = (best[2], best[0])
+    assert got == want
+
+
+def test_rules_that_only_another_engine_knows(spark):
+    names = dimension(spark)
+    given = rules(spark, ("R1", "(?P<x>demo)", "Regex", "Cash", "Unassigned", 1, True, 0, 1), ("R2", "demo", "Contains", "Cash", "Unassigned", 2, True, 0, 1))
+    got = ledgers.match(spark.createDataFrame([("pay demo",)], "description string"), names, given).first()
+    assert got.rule_id == "R2"
+
+
+def test_date_sections(spark):
+    head = [("DATE", 10), ("PARTICULARS", 80), ("CHQ.NO.", 300), ("WITHDRAWALS", 380), ("DEPOSITS", 470), ("BALANCE", 560)]
+    at = lambda top, *ws: [(t, float(x), float(top)) for t, x in ws]
+    given = [
+        *at(100, *head), *at(120, ("01-07-2026", 10), ("NEFT", 80), ("in", 115), ("R1", 300), ("500.00", 470), ("1,500.00Cr", 560)), *at(132, ("UTR", 80), ("X", 110)),
+        *at(150, ("02-07-2026", 10), ("PAID", 80), ("R2", 300), ("200.00", 380), ("1,300.00Cr", 560)), *at(180, ("Cumulative", 80), ("Totals:", 145)), *at(190, ("03-07-2026", 10)),
+        *at(300, *head), *at(310, ("rest", 80)), *at(320, ("03-07-2026", 10), ("CASH", 80), ("300.00", 470)), *at(350, ("see", 80), ("finacle.ubi.com", 145)), *at(360, ("04-07-2026", 10)),
+    ]
+    w = spark.createDataFrame([("d", 1, *g) for g in given], "doc_id string, page int, text string, x0 double, top double")
+    got = [(r.section, r.band, r.cells) for r in layout.section_rows(w).orderBy("section", "band").collect()]
+    labels = ["Date", "Particulars", "Cheque Number", "Withdrawals", "Deposits", "Balance Amount"]
+    assert got == [
+        (0, -1, labels), (0, 1, ["01-07-2026", "NEFT in UTR X", "R1", "", "500.00", "1,500.00Cr"]), (0, 2, ["02-07-2026", "PAID", "R2", "200.00", "", "1,300.00Cr"]),
+        (1, -1, labels), (1, 0, ["", "rest", "", "", "", ""]), (1, 1, ["03-07-2026", "CASH", "", "", "300.00", ""]),
+    ]
+    # low first header: what is above it belongs to a section of its own; a page line moves its beginning
+    low = [*at(20, ("Transaction", 80), ("details", 120), ("page", 160)), *at(30, ("left", 80)), *at(40, ("05-07-2026", 10), ("A", 80)), *at(300, *head), *at(310, ("not", 80)), *at(320, ("06-07-2026", 10), ("B", 80))]
+    w = spark.createDataFrame([("d", 1, *g) for g in low], "doc_id string, page int, text string, x0 double, top double")
+    got = [(r.section, r.band, r.cells[1]) for r in layout.section_rows(w).orderBy("section", "band").collect()]
+    assert got == [(0, -1, "Particulars"), (0, 0, "left"), (0, 1, "A"), (1, -1, "Particulars"), (1, 0, "not"), (1, 1, "B")]
+    # a serial column or two date words are another layout's
+    for extra in ([("SlNo", 0)], [("Date", 640)]):
+        w = spark.createDataFrame([("d", 1, *g) for g in [*at(100, *head, *extra), *at(120, ("01-07-2026", 10), ("A", 80))]], "doc_id string, page int, text string, x0 double, top double")
+        assert layout.section_rows(w).collect() == []
+
+
+def test_templates_are_deleted_unless_built_in(spark):
+    from passbook.sources import tables
+
+    t = spark.createDataFrame([("a",), ("b",)], "template_id string")
+    assert [r[0] for r in tables.delete_template(t, "a", ["b"]).collect()] == ["b"]
+    with pytest.raises(ValueError):
+        tables.delete_template(t, "b", ["b"])
