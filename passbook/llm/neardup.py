@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import apart, stored
+from passbook.llm.common import apart, shuffle_partitions, stored
 from passbook.llm.components import components
 from passbook.llm.words import mix, set_digest, shingles
 
@@ -71,39 +71,53 @@ def minwise(hashes: np.ndarray, p: Join) -> np.ndarray:
     return mix(out)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(null, rid, tk, text): a document's rows told apart by whether the id is null, the id (or for null the hash) and a hash of the text."""
+    return docs.select(*(c.alias(n) for n, c in _key().items()), "text")
+
+
+def _key() -> dict[str, Column]:
+    known, hashed = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    return {"null": known.isNull().cast("int"), "rid": F.coalesce(known, hashed), "tk": hashed}
+
+
 def signatures(docs: DataFrame, p: Join) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, tokens: its minwise tokens as array<long>) of each row of docs."""
-    schema = "doc_id long, n_shingles long, digest binary, tokens array<long>"
+    """(null, rid, tk, n_shingles, digest of the set, tokens: its minwise tokens as array<long>) of each row of docs."""
+    schema = "null int, rid long, tk long, n_shingles long, digest binary, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 n, digests, tokens, offsets = [], [], [], [0]
-                for h in shingles([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], p.k):
+                for h in shingles([t or b"" for t in b.column(3).cast(pa.binary()).to_pylist()], p.k):
                     n.append(len(h))
                     digests.append(set_digest(h))
                     if len(h):
                         tokens.append(minwise(h, p).view(np.int64))
                     offsets.append(offsets[-1] + (p.tokens if len(h) else 0))
                 flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "tokens"])
+                cols = [*b.columns[:3], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays(cols, names=["null", "rid", "tk", "n_shingles", "digest", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return _keyed(docs).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, p: Join) -> DataFrame:
-    """(id, set as bytes) of the wanted ids."""
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, p: Join) -> DataFrame:
+    """(id, set as bytes) of the wanted classes, made again from the text that stands for each."""
     # read back from a file, so that Spark knows the ids' size and moves the texts only if they are many
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(stored(wanted, "wanted"), "id", "left_semi").dropDuplicates(["id"])
+    of = stored(classes.join(wanted, "id", "left_semi").select("id", "digest", "at.*"), "wanted")
+    # the ids alone are few bytes, so that most often only the texts that are wanted move
+    texts = _keyed(docs).join(stored(of.select("rid").distinct(), "ids"), "rid", "left_semi").join(of, ["null", "rid", "tk"]).dropDuplicates(["null", "rid", "tk"]).select("id", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                rows = [h.tobytes() for h in shingles([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], p.k)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "hashes"])
+                rows = list(shingles([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()], p.k))
+                if any(set_digest(h) != d for h, d in zip(rows, b.column(1).to_pylist())):
+                    raise ValueError("two texts of one id share a hash")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in rows], pa.binary())], names=["id", "hashes"])
 
     return texts.mapInArrow(run, "id long, hashes binary")
 
@@ -131,8 +145,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-#: Bytes of sets in a block of outsiders and in a block of members.
-BLOCKS = 2 << 20, 6 << 20
+#: Bytes of sets in a block of outsiders and in a block of members, and rows in either.
+BLOCKS, BLOCK_ROWS = (2 << 20, 6 << 20), 512
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -171,8 +185,9 @@ def _across(held: DataFrame, p: Join) -> DataFrame:
     Both are dealt into blocks of bounded bytes, and a task compares one block with another.
     """
     size = F.length("hashes")
-    sums = held.groupBy("node").agg(F.sum(F.when(F.col("outside"), size)).alias("o"), F.sum(size).alias("m"))
-    sums = sums.select("node", *(F.ceil(F.col(c) / n).cast("int").alias(c) for c, n in zip("om", BLOCKS)))
+    outside = F.col("outside")
+    sums = held.groupBy("node").agg(F.sum(F.when(outside, size)).alias("o"), F.sum(size).alias("m"), F.count_if(outside).alias("o_rows"), F.count("*").alias("m_rows"))
+    sums = sums.select("node", *(F.ceil(F.greatest(F.col(c) / n, F.col(f"{c}_rows") / BLOCK_ROWS)).cast("int").alias(c) for c, n in zip("om", BLOCKS)))
     rows = held.join(apart(sums), "node")
     split = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -192,7 +207,9 @@ def _across(held: DataFrame, p: Join) -> DataFrame:
             a, b = np.minimum(ids[l[i]], ids[r[j]]), np.maximum(ids[l[i]], ids[r[j]])
         return pa.table({"a": a, "b": b})
 
-    return left.unionByName(right).groupBy("node", "ob", "mb").applyInArrow(run, "a long, b long").distinct()
+    # dealt by block, as the rows still lie by node
+    both = left.unionByName(right).repartition(shuffle_partitions(held.sparkSession), "node", "ob", "mb")
+    return both.groupBy("node", "ob", "mb").applyInArrow(run, "a long, b long").distinct()
 
 
 def _nodes(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame]:
@@ -222,17 +239,15 @@ def _nodes(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame]:
     return union(small), union(large)
 
 
-def clusters(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """docs(doc_id, text): doc_id, n_shingles, component_id (the least doc_id that links reach) and kept.
+def _classified(docs: DataFrame, p: Join) -> DataFrame:
+    """(null, rid, tk, n_shingles, head) of each row of docs; head is the (null, rid, tk) that stands for its component, null for an empty set.
 
-    One row for each row of docs. Null, empty and blank texts have an empty set and link with
-    nothing: their component is their own id. Repeated rows and texts with equal sets are one
-    class, so all but the least id are dropped; rows that repeat the id of a component are each
-    kept. Rows with a null id take part; a class of such rows alone is no component (null) and kept.
+    Classes of equal sets have numbers of their own, so that an id that repeats with other texts is in several.
     """
     rows = stored(signatures(docs, p), "signatures")
-    classes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    sketch = classes.where("id is not null").select("id", "n", "tokens")
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("null", "rid", "tk")).alias("at"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    sketch = classes.select("id", "n", "tokens")
     small, large = _nodes(sketch, p)
     # the sieve counts equal tokens by their low 16 bits: chance can add a pair, but lose none
     sketch = stored(sketch.withColumn("tokens", F.transform("tokens", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short"))), "sketch")
@@ -250,7 +265,7 @@ def clusters(docs: DataFrame, p: Join = Join()) -> DataFrame:
     pairs = stored(near.unionByName(spokes).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.where(F.col("depth") == p.depth).select("id")).distinct()
-    sets = stored(_sets(docs, wanted, p), "sets")
+    sets = stored(_sets(docs, classes, wanted, p), "sets")
     links = stored(_confirmed(pairs, sets, p), "links")
     found = components(links)
 
@@ -263,12 +278,42 @@ def clusters(docs: DataFrame, p: Join = Join()) -> DataFrame:
         more = stored(_across(stored(held, "held"), p), "links")
         found = components(links.unionByName(more))
 
-    named = classes.select("digest", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
+    heads = classes.select("digest", "id", "at")
+    linked = stored(heads.join(stored(found, "found").select(F.col("node").alias("id"), "component"), "id"), "linked")
+    least = linked.groupBy("component").agg(F.min("at").alias("head"))
+    linked = linked.join(apart(least), "component").select("id", "head")
+    named = heads.join(linked, "id", "left").select("digest", F.coalesce("head", "at").alias("head"))
+    return rows.select("null", "rid", "tk", "n_shingles", "digest").join(named, "digest", "left").drop("digest")
+
+
+def clusters(docs: DataFrame, p: Join = Join()) -> DataFrame:
+    """docs(doc_id, text): doc_id, n_shingles, component_id (the least doc_id that links reach) and kept.
+
+    One row for each row of docs. Null, empty and blank texts have an empty set and link with
+    nothing: their component is their own id. Repeated rows and texts with equal sets are one
+    class, so all but the least id are dropped; rows that repeat the id of a component are each
+    kept. An id that repeats with other texts takes part with each of them. Rows with a null id take
+    part; a component of such rows alone has no id (null), and they are kept.
+    """
+    known = F.when(F.col("null") == 0, F.col("rid"))
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("head.null") == 0, F.col("head.rid"))).otherwise(known)
+    out = _classified(docs, p).select(known.alias("doc_id"), "n_shingles", component.alias("component_id"))
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """docs without the rows that another document of their component stands for; columns as in docs."""
-    gone = stored(clusters(docs, p).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of docs, that of least id (then of least text's hash; null ids come last); columns as in docs.
+
+    Rows with an empty set are all kept, repeated ones too.
+    """
+    key = ["_null", "_rid", "_tk"]
+    rows = _classified(docs, p).where("n_shingles > 0")
+    verdicts = rows.groupBy(*(F.col(c[1:]).alias(c) for c in key)).agg(F.count("*").alias("times"), F.first("head").alias("head"))
+    verdicts = verdicts.withColumn("gone", F.struct(*key) != F.struct("head.null", "head.rid", "head.tk")).where("gone or times > 1").select(*key, "gone")
+    verdicts = stored(verdicts, "gone")
+    keyed = docs.withColumns({f"_{n}": c for n, c in _key().items()})
+    left = keyed.join(verdicts.where("gone").select(*key), key, "left_anti")
+    again = verdicts.where("not gone").select(*key)
+    if again.limit(1).count():
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates(key))
+    return left.select(*docs.columns)

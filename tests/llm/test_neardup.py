@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -7,7 +8,7 @@ from passbook.llm.components import components
 
 
 def sets(text, k):
-    w = text.lower().split() if text else []
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     if not w:
         return frozenset()
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
@@ -68,10 +69,24 @@ def test_single_links_at_the_threshold_in_a_large_family(spark):
     assert {c for _, c, _ in got.values()} == {0}
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, x), (1, y), (2, x + " e"), (3, y + " e"), (None, y), (None, "all of its own words are here"), (5, x)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.clusters(docs).collect())
+    assert got == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False)]
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in neardup.deduplicated(docs).collect()) == [(0, "a"), (1, "x"), (1, "y")]
+
+
+def test_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.clusters(docs, neardup.Join(k=3, percent=85)).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
+
+
 def test_deduplicated_keeps_columns_and_one_of_each(spark):
     t = "a b c d e f g h i j"
-    docs = spark.createDataFrame([(3, t, "x"), (1, t.upper(), "y"), (None, "other words here now then", "z"), (2, None, None)], "doc_id long, text string, id string")
-    assert sorted((r.doc_id or 0, r.id) for r in neardup.deduplicated(docs).collect()) == [(0, "z"), (1, "y"), (2, None)]
+    docs = spark.createDataFrame([(3, t, "x"), (1, t.upper(), "y"), (None, "other words here now then", "z"), (2, None, None), (1, t.upper(), "y"), (2, None, None)], "doc_id long, text string, id string")
+    assert sorted((r.doc_id or 0, r.id) for r in neardup.deduplicated(docs).collect()) == [(0, "z"), (1, "y"), (2, None), (2, None)]
     assert neardup.deduplicated(docs.limit(0)).collect() == []
 
 
