@@ -94,25 +94,31 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
 
     The sample is drawn from the labels alone, at most p.max_rows ids, so its join with the texts
     is a broadcast of a proven size. Null ids and labels are left out, of an id's labels the
-    greatest counts, null texts count as empty, repeated rows count once. Without labelled texts
-    there are no weights.
+    greatest counts, null texts count as empty, and of an id's texts the least counts.
+    Without labelled texts there are no weights.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit(p.seed))
-    toxic = known.where("toxic = 1").orderBy(order, "doc_id").limit(p.max_rows // 2)
-    clean = known.where("toxic <> 1").orderBy(order, "doc_id").limit(p.max_rows - p.max_rows // 2)
+    known = stored(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic")), "labels")
+    sums = known.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    h = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 32))
+
+    def drawn(toxic: int, count: int, most: int) -> DataFrame:
+        # the threshold leaves some more than are wanted, so no partition sends more than its share
+        share = (most + 6 * most**0.5 + 20) / max(1, count)
+        return known.where((F.col("toxic") == toxic) & (h < int(min(1.0, share) * (1 << 32)))).orderBy(h, "doc_id").limit(most)
+
+    chosen = drawn(1, sums[0] or 0, p.max_rows // 2).unionByName(drawn(0, sums[1] or 0, p.max_rows - p.max_rows // 2))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(toxic.unionByName(clean)), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-        f = list(features([t.encode() for t in pdf["text"]], p.bits))
-        w = fit(f, pdf["toxic"].to_numpy(np.float64), p)
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        # texts go to this task rather than their features, which are several times larger
+        w = fit(list(features([t.encode() for t in pdf["text"]], p.bits)), pdf["toxic"].to_numpy(np.float64), p)
         at = np.flatnonzero(w)
         return pd.DataFrame({"feature": at, "weight": w[at]})
 
     # one group of at most max_rows rows, by the parameter above
-    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "feature long, weight double")
+    fitted = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "feature long, weight double")
     return stored(fitted, "toxicity")
 
 
