@@ -80,13 +80,15 @@ def with_next(docs: DataFrame, carried: list[str], extend: Callable[[DataFrame],
     rows = docs.withColumn("_bucket", bucket)
     order = F.struct(F.coalesce(at, F.lit(-(2**63))).alias("i"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
     heads = stored(rows.groupBy("_bucket").agg(F.max(order).alias("_head")), "heads")
+    numbers = heads.select("_bucket")
     heads = extend(heads.select("_bucket", *(F.col(f"_head.c{i}").alias(c) for i, c in enumerate(carried))))
     values = [c for c in heads.columns if c != "_bucket"]
     heads = heads.select("_bucket", F.struct(*values).alias("_head"))
-    # as many rows as there are buckets
+    # one window over the buckets' numbers alone, of which there are but some for each partition
     every = Window.orderBy("_bucket")
-    last = F.last("_head").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("_bucket", F.coalesce(F.lag("_head").over(every), last).alias("_over"))
+    last = F.last("_bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = numbers.select("_bucket", F.coalesce(F.lag("_bucket").over(every), last).alias("_before"))
+    heads = before.join(heads.withColumnRenamed("_bucket", "_before").hint("shuffle_hash"), "_before").select("_bucket", F.col("_head").alias("_over"))
     w = Window.partitionBy("_bucket").orderBy(F.coalesce(at, F.lit(-(2**63))).desc(), *(F.col(c).desc() for c in carried))
     led = extend(rows).withColumn("_lead", F.lead(F.struct(*values)).over(w))
     return led.join(heads.hint("shuffle_hash"), "_bucket", "left").withColumn("next", F.coalesce("_lead", "_over")).drop("_bucket", "_lead", "_over")
