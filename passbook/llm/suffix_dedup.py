@@ -41,6 +41,10 @@ class Repeats:
     hot: int = 500
     shard_bytes: int = 1 << 20
 
+    def __post_init__(self):
+        if not 1 <= self.gram <= self.window or self.window - self.gram + 1 > 256:
+            raise ValueError("a segment has at most 256 starts: window - gram must be 0 to 255")
+
 
 # --- anchors -----------------------------------------------------------------------------------
 
@@ -101,13 +105,13 @@ def _chunks(texts: list[bytes], p: Repeats) -> Iterator[tuple[list[int], list[in
         yield ids, offsets, parts
 
 
-#: A segment's place: 24 bits of its text's hash, 31 of its first start, 8 of its count of starts less one.
-def _place(tag: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (tag.astype(np.int64) & 0xFFFFFF) << 39 | first << 8 | count - 1
+#: A segment's place in its text: its first start, and in 8 bits its count of starts less one.
+def _place(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return first << 8 | count - 1
 
 
 def _occurrences(docs: DataFrame, p: Repeats) -> DataFrame:
-    """(doc_id, place, anchor, seg) of every segment."""
+    """docs(doc_id, tag: hash of the text, text): (doc_id, tag, place, anchor, seg) of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,10 +123,10 @@ def _occurrences(docs: DataFrame, p: Repeats) -> DataFrame:
                     ends = np.cumsum([len(x) for x in parts])
                     t, first, last, anchor, seg = segments(np.frombuffer(b"".join(parts), np.uint8), ends, p)
                     row, begin = np.array(ids)[t], np.array(offsets)[t] - np.r_[0, ends[:-1]][t]
-                    cols = [doc[row], _place(tag[row], first + begin, last - first + 1), anchor.view(np.int64), seg.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "place", "anchor", "seg"])
+                    cols = [doc[row], tag[row], _place(first + begin, last - first + 1), anchor.view(np.int64), seg.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "tag", "place", "anchor", "seg"])
 
-    return docs.mapInArrow(run, "doc_id long, place long, anchor long, seg long")
+    return docs.mapInArrow(run, "doc_id long, tag long, place long, anchor long, seg long")
 
 
 # --- suffix arrays -------------------------------------------------------------------------------
@@ -306,7 +310,7 @@ def _bytes_of(docs: DataFrame, carriers: DataFrame, p: Repeats) -> DataFrame:
                 made: list[list] = [[], [], [], [], []]
                 for text, held in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
                     for x in held:
-                        first, count = (x["place"] >> 8) & 0x7FFFFFFF, (x["place"] & 255) + 1
+                        first, count = x["place"] >> 8, (x["place"] & 255) + 1
                         for c, v in zip(made, (x["anchor"], x["seg"], x["ranges"], x["shard"], text[first : first + count + p.window - 1])):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=names)
@@ -323,7 +327,7 @@ def _starts(docs: DataFrame, p: Repeats) -> DataFrame:
     again = stored(occ.join(apart(seen), "anchor"), "repeats")
 
     # the distinct segments of anchors that have several, each with one occurrence that carries its bytes
-    kinds = again.where("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "place")).alias("at"))
+    kinds = again.where("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tag", "place")).alias("at"))
     kinds = stored(kinds, "kinds")
     counts = kinds.groupBy("anchor").agg(F.count("*").alias("distinct"))
     total = kinds.agg(F.sum(F.col("at.place").bitwiseAND(255) + p.window)).first()[0] or 0
@@ -332,7 +336,7 @@ def _starts(docs: DataFrame, p: Repeats) -> DataFrame:
     ranges = F.when(spread, F.greatest(F.lit(1), (F.col("distinct") / p.hot).cast("int"))).otherwise(0)
     shard = F.when(spread, F.pmod(F.xxhash64("anchor", "seg"), F.lit(shards))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     held = F.struct("anchor", "seg", F.col("at.place").alias("place"), ranges.cast("int").alias("ranges"), shard.cast("int").alias("shard"))
-    carriers = kinds.join(apart(counts), "anchor").select(F.col("at.doc_id").alias("doc_id"), F.shiftright(F.col("at.place"), 39).cast("int").alias("tag"), held.alias("held")).groupBy("doc_id", "tag").agg(F.collect_list("held").alias("held"))
+    carriers = kinds.join(apart(counts), "anchor").select(F.col("at.doc_id").alias("doc_id"), F.col("at.tag").alias("tag"), held.alias("held")).groupBy("doc_id", "tag").agg(F.collect_list("held").alias("held"))
     run, schema = _shard(p)
     arrays = stored(_bytes_of(docs, carriers, p).groupBy("shard").applyInArrow(run, schema), "arrays")
     across = arrays.where("kind = 1").groupBy("anchor", "range").applyInArrow(merged, schema)
@@ -340,10 +344,9 @@ def _starts(docs: DataFrame, p: Repeats) -> DataFrame:
     some = kinds.select("anchor", "seg", "times").join(inside.hint("shuffle_hash"), ["anchor", "seg"], "left").where("times > 1 or starts is not null").select("anchor", "seg", F.when(F.col("times") <= 1, F.col("starts")).alias("starts"))
     some = stored(some, "starts")
 
-    whole = again.where("not mixed").select("doc_id", "place", F.lit(None).cast("array<binary>").alias("starts"))
-    part = again.where("mixed").select("doc_id", "place", "anchor", "seg").join(some, ["anchor", "seg"]).select("doc_id", "place", "starts")
-    place = F.col("place")
-    return whole.unionByName(part).groupBy("doc_id", F.shiftright(place, 39).cast("int").alias("tag")).agg(F.collect_list(F.struct("place", "starts")).alias("held"))
+    whole = again.where("not mixed").select("doc_id", "tag", "place", F.lit(None).cast("array<binary>").alias("starts"))
+    part = again.where("mixed").select("doc_id", "tag", "place", "anchor", "seg").join(some, ["anchor", "seg"]).select("doc_id", "tag", "place", "starts")
+    return whole.unionByName(part).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "starts")).alias("held"))
 
 
 def _spans(held: list[dict] | None, n: int, p: Repeats) -> np.ndarray:
@@ -352,7 +355,7 @@ def _spans(held: list[dict] | None, n: int, p: Repeats) -> np.ndarray:
         return np.zeros((0, 2), np.int64)
     found = []
     for x in held:
-        first, count = (x["place"] >> 8) & 0x7FFFFFFF, (x["place"] & 255) + 1
+        first, count = x["place"] >> 8, (x["place"] & 255) + 1
         if x["starts"] is None:
             found.append(np.array([[first, first + count - 1 + p.window]]))
             continue
@@ -377,7 +380,7 @@ def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), digest: bool = False) -
     new = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()} | ({"kept_sha256": T.StringType()} if digest else {})
     own = ["doc_id"] if digest else [c for c in docs.columns if c.lower() not in new]
     at = own.index("text") if not digest else -1
-    tag = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF).cast("int").alias("tag")
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id")
     texts = docs.where("text is not null").select(key, tag, "text")
     held = _starts(texts, p).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("held").alias("_held"))
