@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,11 +54,21 @@ def features(texts: list[bytes], bits: int) -> Iterator[np.ndarray]:
         at += m
         stems = mix(stems ^ np.arange(1, len(stems) + 1, dtype=np.uint64)[:, None]).ravel()
         found = np.concatenate([own, stems, mix(own[:-1] * two + own[1:]), mix(own[:-2] * skip + own[2:])])
-        yield np.unique((found >> shift).astype(np.uint32)).astype(np.int64)
+        yield np.unique((found >> shift).astype(np.uint32))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, p: Ftrl) -> np.ndarray:
-    """Weights (the last is the bias) after FTRL-proximal passes over the rows in shuffled order."""
+def packed(texts: pa.ChunkedArray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' features in one array and where each text's begin and end: hashes of few texts are held at a time."""
+    parts, sizes = [], [0]
+    for lo in range(0, len(texts), 256):
+        found = list(features([t or b"" for t in texts.slice(lo, 256).cast(pa.binary()).to_pylist()], bits))
+        parts.append(np.concatenate(found))
+        sizes += map(len, found)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.cumsum(sizes)
+
+
+def fit(found: np.ndarray, ends: np.ndarray, y: np.ndarray, p: Ftrl) -> np.ndarray:
+    """Weights (the last is the bias) after FTRL-proximal passes over the rows, packed as above, in shuffled order."""
     size = (1 << p.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     z_bias = n_bias = 0.0
@@ -69,8 +78,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: Ftrl) -> np.ndarray:
         return np.where(np.abs(z) <= p.l1, 0.0, -(z - np.sign(z) * p.l1) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2))
 
     for _ in range(p.epochs):
-        for i in rng.permutation(len(rows)).tolist():
-            f = rows[i]
+        for i in rng.permutation(len(y)).tolist():
+            f = found[ends[i] : ends[i + 1]].astype(np.int64)
             zf, nf = z[f], n[f]
             wf = weights(zf, nf)
             w_bias = -z_bias / ((p.beta + n_bias**0.5) / p.alpha)
@@ -110,15 +119,15 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
+    def run(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("doc_id")
         # texts go to this task rather than their features, which are several times larger
-        w = fit(list(features([t.encode() for t in pdf["text"]], p.bits)), pdf["toxic"].to_numpy(np.float64), p)
+        w = fit(*packed(sample.column("text"), p.bits), sample.column("toxic").to_numpy().astype(np.float64), p)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"feature": at, "weight": w[at]})
+        return pa.table({"feature": at, "weight": w[at]})
 
     # one group of at most max_rows rows, by the parameter above
-    fitted = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "feature long, weight double")
+    fitted = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "feature long, weight double")
     return stored(fitted, "toxicity")
 
 
