@@ -17,7 +17,7 @@ from passbook.llm.words import mix, powers, prefix_sums
 #: Code points that are split at once.
 CHUNK = 1 << 17
 #: Distinct pre-tokens, and code points of theirs, that a worker remembers before it starts over; bound memory, never results.
-REMEMBERED, REMEMBERED_POINTS = 1_000_000, 1 << 24
+REMEMBERED, REMEMBERED_POINTS = 300_000, 1 << 22
 # fixed values: code points that some library calls a blank, with others beside them
 _BLANKS = "".join(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF]))
 #: Where a long text can be cut, as no pre-token reaches across: before a space that follows no blank, and between a letter and a digit.
