@@ -3,7 +3,7 @@
 Equal sets are one class. Each independent tree branches the classes by one minwise token after
 another; only nodes that are still large branch further. A small node is compared exhaustively.
 A large node links its members to a pivot, at every depth, so a family of many copies costs one
-pair a member; in a large leaf, those that are left outside the node's main component are then
+pair a member, and nodes of one tree share pivots and so pairs; in a large leaf, those that are left outside the node's main component are then
 compared with all the others there, on full sets, block by block. A sketch of the minwise tokens sieves the pairs (it loses a
 pair at the threshold with probability below `odds`), and every link is confirmed on the full sets.
 A pair of similarity s shares all nodes of a tree with probability s**depth, whatever else they hold, and is
@@ -122,11 +122,15 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, p: Join) -> Da
     return texts.mapInArrow(run, "id long, hashes binary")
 
 
+def _sized(n: str, m: str, p: Join) -> Column:
+    """Whether sets of these sizes may link."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * p.percent
+
+
 def _alike(a: str, b: str, p: Join) -> Column:
     """Whether two sketches and sizes may belong to a linked pair."""
     equal = F.size(F.filter(F.zip_with(f"{a}.tokens", f"{b}.tokens", lambda x, y: x == y), lambda x: x))
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent) & (equal >= p.sieve)
+    return _sized(f"{a}.n", f"{b}.n", p) & (equal >= p.sieve)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
@@ -213,22 +217,22 @@ def _across(held: DataFrame, p: Join) -> DataFrame:
 
 
 def _nodes(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame]:
-    """(node, depth, id) of the nodes of at least two classes that a tree compares, and those rows whose node is large.
+    """(node, id) of small nodes of at least two classes, and (tree, node, depth, id, n) of the large ones.
 
     A node's key is a hash of its tree and of the minwise tokens on the path to it.
     """
     at = F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree")
     # a row carries the tokens of its own tree alone
-    level = classes.select("id", "tokens", at).select("id", "tree", F.slice("tokens", F.col("tree") * p.depth + 1, F.lit(p.depth)).alias("path"))
-    level = level.select("id", "path", F.xxhash64("tree", F.get("path", F.lit(0))).alias("node"))
+    level = classes.select("id", "n", "tokens", at).select("id", "n", "tree", F.slice("tokens", F.col("tree") * p.depth + 1, F.lit(p.depth)).alias("path"))
+    level = level.select("id", "n", "tree", "path", F.xxhash64("tree", F.get("path", F.lit(0))).alias("node"))
     small, large = [], []
     for depth in range(1, p.depth + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         kept = stored(level.join(apart(sizes), "node"), "nodes")
         small.append(kept.where(F.col("size") <= p.small).select("node", "id"))
         above = kept.where(F.col("size") > p.small)
-        large.append(above.select("node", F.lit(depth).alias("depth"), "id"))
-        level = above.select("id", "path", F.xxhash64("node", F.get("path", F.lit(depth))).alias("node"))
+        large.append(above.select("tree", "node", F.lit(depth).alias("depth"), "id", "n"))
+        level = above.select("id", "n", "tree", "path", F.xxhash64("node", F.get("path", F.lit(depth))).alias("node"))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -257,9 +261,11 @@ def _classified(docs: DataFrame, p: Join) -> DataFrame:
     lists = member.groupBy("node").agg(F.collect_list("m").alias("ms"))
     pairs = lists.select(F.explode("ms").alias("l"), "ms").select("l", F.explode("ms").alias("r")).where("l.id < r.id").where(_alike("l", "r", p))
     near = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    # large nodes of every depth: each member with a pivot, another one in each node
-    pivots = large.groupBy("node", "depth").agg(F.min_by("id", F.xxhash64("node", "id")).alias("pivot"))
-    spokes = large.join(apart(pivots), ["node", "depth"]).where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    # large nodes of every depth: each member with a pivot, the first in an order of the tree's own, so that a node
+    # and the nodes below it that hold its pivot share their pairs
+    pivots = large.groupBy("node", "depth").agg(F.min_by(F.struct("id", "n"), F.xxhash64("tree", "id")).alias("pivot"))
+    spokes = large.join(apart(pivots), ["node", "depth"]).where(F.col("id") != F.col("pivot.id")).where(_sized("n", "pivot.n", p))
+    spokes = spokes.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
     left, right = sketch.select(F.col("id").alias("a"), F.struct("n", "tokens").alias("l")), sketch.select(F.col("id").alias("b"), F.struct("n", "tokens").alias("r"))
     spokes = spokes.join(left, "a").join(right, "b").where(_alike("l", "r", p)).select("a", "b")
     pairs = stored(near.unionByName(spokes).distinct(), "pairs")
