@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +37,35 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> str:
+    """Writes df to a new folder in the shared one, parted by columns; the folder's path."""
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
     """The rows of df, written to the shared folder and read back: cuts the lineage and gives true sizes."""
-    spark = df.sparkSession
-    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, by))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that written() made and nothing reads any more."""
+    if not path.startswith(run_dir(spark)):
+        raise ValueError(f"{path} is not one of this application's folders")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spare(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from all taken ones, whatever their case."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe, licences, maxscore, mixing, neardup, spotsigs, suffix_dedup, tokenfile, toxicity, urlfilter
+from passbook.llm import bpe, licences, linededup, maxscore, mixing, neardup, spotsigs, suffix_dedup, tokenfile, toxicity, urlfilter, vectorcodes
 from passbook.llm.common import table
 
 
@@ -85,8 +85,53 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose key at least 10 documents hold, as digests."""
+    return linededup.cut_lines(table(spark, sf_dir, "documents"), linededup.Lines(documents=10, points=1, first=False), digest=True)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector in 4 parts of 256 entries after 4 Lloyd rounds."""
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_licence_scans, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_licence_scans, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k, op11_line_dedup, op12_vector_codes)}
+
+
+def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds as a chain of views: every part against every entry of its codebook."""
+    steps = [
+        """kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        f"""cut AS MATERIALIZED (
+            SELECT vec_id, label, i AS part, x[i * len(x) // {parts} + 1 : (i + 1) * len(x) // {parts}] AS x FROM kept, range({parts}) AS r(i)
+        )""",
+        f"""book0 AS MATERIALIZED (
+            SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM cut QUALIFY entry < {entries}
+        )""",
+    ]
+    for k in range(rounds + 1):
+        # the part's own square is the same for all entries
+        steps.append(f"""near{k} AS MATERIALIZED (
+            SELECT vec_id, cut.part, label, cut.x, arg_min(entry, (list_inner_product(b.x, b.x) - 2 * list_inner_product(cut.x, b.x), entry)) AS entry,
+                min(list_inner_product(b.x, b.x) - 2 * list_inner_product(cut.x, b.x)) + list_inner_product(cut.x, cut.x) AS error
+            FROM cut JOIN book{k} AS b ON cut.part = b.part GROUP BY vec_id, cut.part, label, cut.x
+        )""")
+        if k < rounds:
+            steps.append(f"""sums{k} AS (
+                SELECT part, entry, list(s ORDER BY j) AS x FROM (
+                    SELECT part, entry, j, floor(sum(x[j]) / count(*)) AS s FROM near{k}, range(1, 1 + len(x)) AS r(j) GROUP BY part, entry, j
+                ) GROUP BY part, entry
+            ), book{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s.x, b.x) AS x FROM book{k} AS b LEFT JOIN sums{k} AS s USING (part, entry))""")
+    return f"""
+        WITH {", ".join(steps)}, coded AS (
+            SELECT vec_id, label, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error
+            FROM near{rounds} GROUP BY vec_id, label
+        ), digest AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: CAST(v AS BIGINT)), ','), ',' ORDER BY part, entry)) AS d FROM book{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM coded, digest"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -117,4 +162,12 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
             FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+        "op11_line_dedup": r"""
+            WITH lines AS (
+                SELECT doc_id, i, s[i] AS line, translate(regexp_replace(s[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+                FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), range(1, 1 + len(s)) AS r(i)
+            ), common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+            SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL), '')) AS kept_sha256
+            FROM lines LEFT JOIN common AS c USING (key) GROUP BY doc_id""",
+        "op12_vector_codes": _lloyd_sql(),
     }
