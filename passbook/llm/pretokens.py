@@ -82,10 +82,16 @@ class Memory:
     A pre-token is found by a 64-bit hash, and then compared with the remembered one, code point by code point.
     """
 
+    #: Where a long text can be cut.
+    cut = _CUT
+
     def __init__(self, kind_of: np.ndarray, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.kind_of, self.learn = kind_of, learn
         self._forget()
 
+    def split(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return split(points, ends, self.kind_of)
+
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.offset, self.length, self.place, self.width = (np.zeros(1 << 12, np.int64) for _ in range(4))
@@ -117,7 +123,7 @@ class Memory:
         if not joined:
             return [np.zeros(0, np.uint32) for _ in texts]
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        start = split(points, np.unique(ends[ends > 0]), self.kind_of)
+        start = self.split(points, np.unique(ends[ends > 0]))
         stop = np.r_[start[1:], len(points)]
         width = stop - start
         sums = prefix_sums(points)
@@ -161,7 +167,7 @@ class Memory:
         for i, t in enumerate(texts):
             at = 0
             while True:
-                m = _CUT.search(t, at + CHUNK) if len(t) - at > CHUNK else None
+                m = self.cut.search(t, at + CHUNK) if len(t) - at > CHUNK else None
                 end = m.start() if m else len(t)
                 batch.append((i, t[at:end]))
                 size += end - at

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import bpe, licences, linededup, maxscore, mixing, neardup, spotsigs, suffix_dedup, tokenfile, toxicity, urlfilter, vectorcodes
+from passbook.llm import alignment, bpe, licences, linededup, maxscore, mixing, neardup, spotsigs, suffix_dedup, tokenfile, toxicity, urlfilter, vectorcodes
 from passbook.llm.common import table
 
 
@@ -95,8 +95,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every text's ids by two tokenizers, with counts of linked ids over the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.aligned(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_licence_scans, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k, op11_line_dedup, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_licence_scans, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k, op11_line_dedup, op12_vector_codes, op13_token_alignment)}
 
 
 def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:

@@ -52,13 +52,15 @@ class Encoder:
 
     That gives the ids of whole texts for byte-level tokenizers without normaliser, which encode
     pre-tokens apart. With any other, and for texts that hold an added token, the library gets whole texts.
+    plain: special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, content: bytes, kinds: bytes | None = None):
+    def __init__(self, content: bytes, kinds: bytes | None = None, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content.decode())
+        self.library.encode_special_tokens = plain
         spec = json.loads(content)
         pre = spec.get("pre_tokenizer") or {}
         self.apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
