@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import apart, stored
+from passbook.llm.common import apart, spare, stored
 from passbook.llm.words import mix, powers, prefix_sums
 
 #: Bytes of text hashed at once; window starts of one call stay below 2**20.
@@ -320,8 +320,11 @@ def _bytes_of(docs: DataFrame, carriers: DataFrame, p: Repeats) -> DataFrame:
 
 
 def _starts(docs: DataFrame, p: Repeats) -> DataFrame:
-    """(doc_id, tag, held): for each document with repeated windows the places and starts; null starts mean all of a place's."""
-    occ = _occurrences(docs, p)
+    """(doc_id, tag, held): for each document with repeated windows the places and starts; null starts mean all of a place's.
+
+    Rows that repeat a document count in `times`, but each place is held once.
+    """
+    occ = stored(_occurrences(docs, p), "occurrences")
     seen = occ.groupBy("anchor").agg(F.count("*").alias("times"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
     seen = seen.where("times > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = stored(occ.join(apart(seen), "anchor"), "repeats")
@@ -345,8 +348,9 @@ def _starts(docs: DataFrame, p: Repeats) -> DataFrame:
     some = stored(some, "starts")
 
     whole = again.where("not mixed").select("doc_id", "tag", "place", F.lit(None).cast("array<binary>").alias("starts"))
-    part = again.where("mixed").select("doc_id", "tag", "place", "anchor", "seg").join(some, ["anchor", "seg"]).select("doc_id", "tag", "place", "starts")
-    return whole.unionByName(part).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "starts")).alias("held"))
+    part = again.where("mixed").select("doc_id", "tag", "place", "anchor", "seg").join(some.hint("shuffle_hash"), ["anchor", "seg"]).select("doc_id", "tag", "place", "starts")
+    # sets are made before the shuffle, so the copies of a repeated row don't meet in one task
+    return whole.unionByName(part).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", "starts")).alias("held"))
 
 
 def _spans(held: list[dict] | None, n: int, p: Repeats) -> np.ndarray:
@@ -375,7 +379,7 @@ def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), digest: bool = False) -
     Matches lie within one document; strings are judged on the input. Null texts count as empty
     (and stay null). With digest, text gives way to kept_sha256 of the bytes that are left, and
     only doc_id of the other columns stays; else a character is removed only if all its bytes are.
-    Rows that repeat a document repeat all its strings. Columns named like a new one are replaced.
+    Rows that repeat a document repeat all its strings; they cost time linear in their bytes. Columns named like a new one are replaced.
     """
     new = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()} | ({"kept_sha256": T.StringType()} if digest else {})
     own = ["doc_id"] if digest else [c for c in docs.columns if c.lower() not in new]
@@ -383,9 +387,10 @@ def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), digest: bool = False) -
     tag = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id")
     texts = docs.where("text is not null").select(key, tag, "text")
-    held = _starts(texts, p).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("held").alias("_held"))
-    src = docs.select(*own, *([docs["text"].alias("_text")] if digest else []), key.alias("_id"), tag.alias("_tag"))
-    both = src.join(held.hint("shuffle_hash"), ["_id", "_tag"], "left").select(*own, *(["_text"] if digest else []), "_held")
+    id_, tag_, held_, text_ = spare(docs.columns, "id", "tag", "held", "body")
+    held = _starts(texts, p).select(F.col("doc_id").alias(id_), F.col("tag").alias(tag_), F.col("held").alias(held_))
+    src = docs.select(*own, *([docs["text"].alias(text_)] if digest else []), key.alias(id_), tag.alias(tag_))
+    both = src.join(held.hint("shuffle_hash"), [id_, tag_], "left").select(*own, *([text_] if digest else []), held_)
     schema = T.StructType([*(src.schema[c] for c in own), *(T.StructField(c, t) for c, t in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +398,8 @@ def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), digest: bool = False) -
             for lo in range(0, max(1, whole.num_rows), 256):
                 b = whole.slice(lo, 256)
                 n_bytes, n_removed, n_spans, left = [], [], [], []
-                texts = b.column("_text" if digest else "text").cast(pa.binary()).to_pylist()
-                for t, h in zip(texts, b.column("_held").to_pylist()):
+                texts = b.column(len(own) if digest else at).cast(pa.binary()).to_pylist()
+                for t, h in zip(texts, b.column(b.num_columns - 1).to_pylist()):
                     raw = t or b""
                     spans = _spans(h, len(raw), p).tolist()
                     n_bytes.append(len(raw))
@@ -408,7 +413,7 @@ def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), digest: bool = False) -
                         to = e
                     kept = b"".join([*parts, raw[to:]])
                     left.append(hashlib.sha256(kept).hexdigest() if digest else None if t is None else kept.decode())
-                cols = [b.column(c) for c in own]
+                cols = [b.column(i) for i in range(len(own))]
                 if not digest:
                     cols[at] = pa.array(left, pa.string())
                 cols += [pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)] + ([pa.array(left, pa.string())] if digest else [])

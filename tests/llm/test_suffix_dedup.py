@@ -91,3 +91,18 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sum(r.text is None for r in rows) == 1
     assert sd.cut_repeats(docs.limit(0), p).collect() == []
     assert sd.cut_repeats(docs.limit(0), p).columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans"]
+
+
+def test_repeated_rows_take_linear_work(spark):
+    """Each copy of a row gets each place once, however many copies there are."""
+    import random
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    for n in (30, 300):
+        docs = spark.createDataFrame([(None if i % 2 else 7, text) for i in range(n)], "doc_id long, text string")
+        key = docs.selectExpr("coalesce(doc_id, -1) as doc_id", "xxhash64(text) as tag", "text")
+        held = sd._starts(key, sd.Repeats()).collect()
+        assert len(held) == 2 and len({len(r.held) for r in held}) == 1 and len(held[0].held) < 120
+        got = sd.cut_repeats(docs).collect()
+        assert len(got) == n and all(r.n_removed == 5000 and r.text == "" for r in got)
