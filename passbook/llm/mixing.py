@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import apart, stored
+from passbook.llm.common import apart, spare, stored
 from passbook.llm.words import word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -165,10 +165,15 @@ def mixed(docs: DataFrame, p: Mix = Mix(), targets: dict[str, DataFrame] | None
     c = _scale(fitted, p.budget)
     ratio = F.col("fitted") / F.col("weight")
     # the table of cells is read back from a file, so that Spark knows its size
-    rates = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), ratio.alias("_ratio"), F.least(F.lit(1.0), ratio * c).alias("_rate"), F.greatest(F.lit(1.0), ratio * c).alias("_repeats"))
-    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS]
+    cell = [*DIMENSIONS, "ratio", "rate", "repeats"]
+    names = dict(zip(cell, spare(rows.columns, *(f"cell_{c}" for c in cell))))
+    of_cell = {"ratio": ratio, "rate": F.least(F.lit(1.0), ratio * c), "repeats": F.greatest(F.lit(1.0), ratio * c)}
+    rates = fitted.select(*((of_cell[k] if k in of_cell else F.col(k)).alias(v) for k, v in names.items()))
+    same = [F.col(d).eqNullSafe(F.col(names[d])) for d in DIMENSIONS]
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(p.seed)), F.lit(1 << 40)) / float(1 << 40)
-    out = rows.join(rates, same[0] & same[1] & same[2], "left")
+    # few cells go to every task; more of them are joined by a shuffle in which hot cells can be split
+    few = rates.limit(p.max_cells + 1).count() <= p.max_cells
+    out = (rows if few else apart(rows)).join(F.broadcast(rates) if few else apart(rates).hint("merge"), same[0] & same[1] & same[2], "left")
     empty = F.col("n_tokens") == 0
-    weight, rate, repeats = (F.when(empty, 1.0).otherwise(F.coalesce(x, F.lit(y))) for x, y in (("_ratio", 0.0), ("_rate", 0.0), ("_repeats", 1.0)))
+    weight, rate, repeats = (F.when(empty, 1.0).otherwise(F.coalesce(names[x], F.lit(y))) for x, y in (("ratio", 0.0), ("rate", 0.0), ("repeats", 1.0)))
     return out.select(*rows.columns, weight.alias("weight"), rate.alias("probability"), repeats.alias("repeats"), (u < rate).alias("kept"))
