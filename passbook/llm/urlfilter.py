@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import shuffle_partitions
+from passbook.llm.common import shuffle_partitions, spare
 
 #: Keys that are sampled for the cuts of the ranges (about as many as this), and the characters of each that count; bound what the driver sees.
 SAMPLE, SHOWN = 20_000, 256
@@ -53,15 +53,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     own = [c for c in pages.columns if c.lower() not in new]
     n = 2 * max(64, shuffle_partitions(spark))
     src = pages.select(*own, host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
-    # the path and a hash of the row break up hosts that hold many rows; neither leaves the host's interval
-    key = F.concat(_reversed(F.col("host")), F.lit("\x02"), F.col("path"), F.lit("\x02"), F.hex(F.xxhash64(*own)))
-    keyed = src.withColumn("_key", key)
+    key_, range_, kind_, lo_, hi_ = spare(src.columns + new, "key", "range", "kind", "lo", "hi")
+    # the path, the url's hash and a draw break up hosts that hold many rows; none of them leaves the host's interval
+    spread = F.hex(F.xxhash64(pages[url], F.rand(7)))
+    keyed = src.withColumn(key_, F.concat(_reversed(F.col("host")), F.lit("\x02"), F.col("path"), F.lit("\x02"), spread))
     known = rules.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path", "verdict"))).groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    known = known.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn("_key", _reversed(F.col("host")))
+    known = known.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn(key_, _reversed(F.col("host")))
 
     rows = pages.count()
     some = keyed if rows <= SAMPLE else keyed.sample(fraction=SAMPLE / rows, seed=3)
-    got = sorted(r[0] for r in some.select(F.substring("_key", 1, SHOWN)).collect())
+    got = sorted(r[0] for r in some.select(F.substring(key_, 1, SHOWN)).collect())
     cuts = sorted({got[i * len(got) // n] for i in range(1, n)}) if got else []
     shared = spark.sparkContext.broadcast(cuts)
 
@@ -70,20 +71,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
             from bisect import bisect_right
 
             for b in batches:
-                keys = [k or "" for k in b.column(b.schema.get_field_index("_key")).to_pylist()]
+                keys = [k or "" for k in b.column(b.schema.get_field_index(key_)).to_pylist()]
                 lo = [bisect_right(shared.value, k) for k in keys]
                 cols = [*b.columns, pa.array(lo, pa.int32())]
                 if last:  # the end of a rule's interval: no key begins with its prefix and byte 3
                     cols.append(pa.array([bisect_right(shared.value, k[:-1] + "\x03") if k else len(shared.value) for k in keys], pa.int32()))
-                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "_lo", *(["_hi"] if last else [])])
+                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, lo_, *([hi_] if last else [])])
 
         return run
 
-    lo, hi = T.StructField("_lo", T.IntegerType()), T.StructField("_hi", T.IntegerType())
-    urls = keyed.mapInArrow(ranged(False), T.StructType([*keyed.schema.fields, lo])).withColumnRenamed("_lo", "_range").withColumn("_kind", F.lit(1))
-    spans = known.mapInArrow(ranged(True), T.StructType([*known.schema.fields, lo, hi])).withColumn("_range", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi").withColumn("_kind", F.lit(0))
+    lo, hi = T.StructField(lo_, T.IntegerType()), T.StructField(hi_, T.IntegerType())
+    urls = keyed.mapInArrow(ranged(False), T.StructType([*keyed.schema.fields, lo])).withColumnRenamed(lo_, range_).withColumn(kind_, F.lit(1))
+    spans = known.mapInArrow(ranged(True), T.StructType([*known.schema.fields, lo, hi])).withColumn(range_, F.explode(F.sequence(lo_, hi_))).drop(lo_, hi_).withColumn(kind_, F.lit(0))
     both = urls.unionByName(spans, allowMissingColumns=True)
-    swept = both.repartition(n, "_range").sortWithinPartitions("_range", "_key", "_kind")
+    swept = both.repartition(n, range_).sortWithinPartitions(range_, key_, kind_)
     schema = T.StructType([*src.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     order = [*own, "host", "path"]
 
@@ -91,7 +92,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         stack: list[tuple[str, list[tuple[int, int, str, str, str]]]] = []
         at = None
         for b in batches:
-            cols = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_range", "_key", "_kind", "host", "path", "verdict")}
+            cols = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in (range_, key_, kind_, "host", "path", "verdict")}
             keep, rule, verdict = [], [], []
             for i, (r, k, kind, host, path, v) in enumerate(zip(*cols.values())):
                 if r != at:
