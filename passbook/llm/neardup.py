@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import apart, shuffle_partitions, stored
+from passbook.llm.common import apart, shuffle_partitions, spare, stored
 from passbook.llm.components import components
 from passbook.llm.words import mix, set_digest, shingles
 
@@ -108,16 +108,18 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, p: Join) -> Da
     # read back from a file, so that Spark knows the ids' size and moves the texts only if they are many
     of = stored(classes.join(wanted, "id", "left_semi").select("id", "digest", "at.*"), "wanted")
     # the ids alone are few bytes, so that most often only the texts that are wanted move
-    texts = _keyed(docs).join(stored(of.select("rid").distinct(), "ids"), "rid", "left_semi").join(of, ["null", "rid", "tk"]).dropDuplicates(["null", "rid", "tk"]).select("id", "digest", "text")
+    texts = _keyed(docs).join(stored(of.select("rid").distinct(), "ids"), "rid", "left_semi").join(of, ["null", "rid", "tk"])
+    # a second hash keeps two texts of one id apart that share the first; the set's digest then says which is wanted
+    texts = texts.withColumn("more", F.xxhash64("text", F.lit(1))).dropDuplicates(["null", "rid", "tk", "more"]).select("id", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 rows = list(shingles([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()], p.k))
-                if any(set_digest(h) != d for h, d in zip(rows, b.column(1).to_pylist())):
-                    raise ValueError("two texts of one id share a hash")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in rows], pa.binary())], names=["id", "hashes"])
+                good = [set_digest(h) == d for h, d in zip(rows, b.column(1).to_pylist())]
+                sets = [h.tobytes() for h, g in zip(rows, good) if g]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
     return texts.mapInArrow(run, "id long, hashes binary")
 
@@ -312,12 +314,13 @@ def deduplicated(docs: DataFrame, p: Join = Join()) -> DataFrame:
 
     Rows with an empty set are all kept, repeated ones too.
     """
-    key = ["_null", "_rid", "_tk"]
+    own = _key()
+    key = spare(docs.columns, *own)
     rows = _classified(docs, p).where("n_shingles > 0")
-    verdicts = rows.groupBy(*(F.col(c[1:]).alias(c) for c in key)).agg(F.count("*").alias("times"), F.first("head").alias("head"))
+    verdicts = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(own, key))).agg(F.count("*").alias("times"), F.first("head").alias("head"))
     verdicts = verdicts.withColumn("gone", F.struct(*key) != F.struct("head.null", "head.rid", "head.tk")).where("gone or times > 1").select(*key, "gone")
     verdicts = stored(verdicts, "gone")
-    keyed = docs.withColumns({f"_{n}": c for n, c in _key().items()})
+    keyed = docs.withColumns(dict(zip(key, own.values())))
     left = keyed.join(verdicts.where("gone").select(*key), key, "left_anti")
     again = verdicts.where("not gone").select(*key)
     if again.limit(1).count():
