@@ -48,8 +48,26 @@ OFFICIAL = [
     ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
     ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
     ("mit-asis", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
+    ("bsd-name", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-name", "Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("lgpl21-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl-hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    ("lgpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("mpl2-subject", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-asis", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain"),
 ]
 
+# fixed values: identifiers that a line of its own may name
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+
 # fixed values: rules as (rule, licence, identifiers in order)
 RULES = [
     ("apache-2.0-notice", "Apache-2.0", ["apache-notice"]),
@@ -62,6 +80,15 @@ RULES = [
     ("cc-by-4.0-notice", "CC-BY-4.0", ["cc-by-notice"]),
     ("cc0-1.0-notice", "CC0-1.0", ["cc0-notice"]),
     ("bsd-2-clause-text", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("bsd-3-clause-text", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
+    ("gpl-2.0-or-later-header", "GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
+    ("gpl-2.0-only-header", "GPL-2.0-only", ["gpl2-only"]),
+    ("lgpl-2.1-header", "LGPL-2.1", ["lgpl21-free", "lgpl-hope"]),
+    ("lgpl-3.0-header", "LGPL-3.0", ["lgpl3-free", "gpl-hope"]),
+    ("agpl-3.0-header", "AGPL-3.0", ["agpl3-free", "gpl-hope"]),
+    ("mpl-2.0-header", "MPL-2.0", ["mpl2-subject", "mpl2-copy"]),
+    ("isc-text", "ISC", ["isc-grant", "isc-asis"]),
+    ("unlicense-text", "Unlicense", ["unlicense-free"]),
 ]
 
 #: Pieces end at a line's end, or at one of .!?; before a blank; "4.0" inside a line doesn't matter to known sentences.
@@ -219,4 +246,6 @@ def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, gap: int = 3)
 
 
 def known_rules(spark) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(SENTENCES + OFFICIAL, "id string, text string"), spark.createDataFrame(RULES, "rule string, licence string, ids array<string>")
+    lines = [(f"spdx-{x}", f"SPDX-License-Identifier: {x}") for x in SPDX]
+    named = [(f"spdx-{x}", x, [f"spdx-{x}"]) for x in SPDX]
+    return spark.createDataFrame(SENTENCES + OFFICIAL + lines, "id string, text string"), spark.createDataFrame(RULES + named, "rule string, licence string, ids array<string>")

@@ -131,3 +131,85 @@ def test_longest_equals_brute_force():
             met.append(("r", "l", first, first + rng.randrange(4), rng.randint(1, 3)))
         want = [x[:4] for x in met if not any(f <= x[3] and x[2] <= t and k > x[4] for _, _, f, t, k in met)]
         assert sorted(licences._longest(met)) == sorted(want)
+
+
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+
+
+def test_each_official_text_gives_its_licence_alone(spark):
+    texts = {
+        "Apache-2.0": APACHE, "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD3, "GPL-3.0": GPL, "GPL-2.0-or-later": GPL2, "LGPL-2.1": LGPL21,
+        "LGPL-3.0": GPL.replace("General", "Lesser General"), "AGPL-3.0": GPL.replace("General", "Affero General"), "MPL-2.0": MPL, "ISC": ISC,
+        "GPL-2.0-only": "// SPDX-License-Identifier: GPL-2.0-only\nint main;", "BSL-1.0": "/* SPDX-License-Identifier: BSL-1.0 */",
+    }
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts.values())], "doc_id long, text string")
+    rows = licences.scan(docs, *licences.known_rules(spark)).collect()
+    assert sorted((r.doc_id, r.licence) for r in rows) == list(enumerate(texts))
+
+
+def naive(ids, rules, gap):
+    """Of a text whose sentences have these identifiers (None: not known) the (rule, first, last) that are met, by trying every way."""
+    met = []
+    for name, rule in rules:
+        def ends(at, left):
+            if not left:
+                return {at}
+            return {e for k in range(at + 1, min(len(ids), at + gap + 2)) if ids[k] == left[0] for e in ends(k, left[1:])}
+
+        over = -1
+        for i, x in enumerate(ids):
+            if x == rule[0] and i > over and (found := ends(i, rule[1:])):
+                over = min(found)
+                met.append((name, i, over, len(rule)))
+    return sorted(m[:3] for m in met if not any(o[3] > m[3] and o[1] <= m[2] and m[1] <= o[2] for o in met))
+
+
+def test_scan_equals_trying_every_way(spark):
+    import random
+
+    rng = random.Random(8)
+    rules = [("r1", ["a"]), ("r2", ["a", "b"]), ("r3", ["b", "a", "c"]), ("r4", ["c", "c"]), ("r5", ["a", "b", "a", "b"])]
+    texts = [[rng.choice(["a", "b", "c", None, None]) for _ in range(rng.randint(0, 14))] for _ in range(300)]
+    names = {"a": "Alpha one", "b": "Beta", "c": "Gamma, ray"}
+    docs = spark.createDataFrame([(i, " ".join(f"{names.get(x, 'Other words')}." for x in t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sentences = spark.createDataFrame(list(names.items()), "id string, text string")
+    table = spark.createDataFrame([(r, r.upper(), ids) for r, ids in rules], "rule string, licence string, ids array<string>")
+    for gap in (0, 2):
+        got = sorted((r.doc_id, r.rule, r.first, r.last) for r in licences.scan(docs, sentences, table, gap).collect())
+        assert got == sorted((i, *m) for i, t in enumerate(texts) for m in naive(t, rules, gap))
