@@ -1,9 +1,9 @@
 """Document fingerprints by SpotSigs, in DataFrame functions alone.
 
 A common word is an anchor; the two content words that follow it (other common words in between
-are skipped) form with it a signature. A run of common words counts as its last one. A text
-without any such chain takes all its three-word chains, and one with fewer than three words is
-one signature. The set of hashed signatures is a text's fingerprint, and the Jaccard index of two
+are skipped) form with it a signature. A run of common words counts as its last one. Three content
+words in a row, which no anchor parts, are a signature as well, so that lists of words have some; each
+signature follows from the words around it alone. A text with neither is one signature. The set of hashed signatures is a text's fingerprint, and the Jaccard index of two
 sets their likeness. Near pairs are found in partitions by set length: a set can only match sets
 whose length differs by less than the threshold allows.
 """
@@ -39,8 +39,9 @@ def signatures(text: Column) -> Column:
     # no group repeats in these patterns, as each turn of one would take stack
     marked = F.regexp_replace(words, f" ({anchors})(?= )", "\x01$1")
     chains = F.array_join(F.regexp_extract_all(marked, F.lit("\x01(?=([^ \x01]+ [^ \x01]+(?:\x01[^ ]*)? [^ \x01]+))"), 1), "\n")
-    plain = F.array_join(F.regexp_extract_all(words, F.lit(" (?=([^ ]+ [^ ]+ [^ ]+))"), 1), "\n")
-    joined = F.when(chains != "", F.regexp_replace(chains, "\x01[^ \n]+", "")).when(plain != "", plain).otherwise(words)
+    rows = F.array_join(F.regexp_extract_all(marked, F.lit(" (?=([^ \x01]+ [^ \x01]+ [^ \x01]+))"), 1), "\n")
+    both = F.concat_ws("\n", F.nullif(F.regexp_replace(chains, "\x01[^ \n]+", ""), F.lit("")), F.nullif(rows, F.lit("")))
+    joined = F.when(both != "", both).otherwise(words)
     return F.array_sort(F.array_distinct(F.transform(F.split(joined, "\n"), lambda s: F.xxhash64(s))))
 
 
@@ -59,17 +60,22 @@ def with_next(docs: DataFrame, carried: list[str], extend: Callable[[DataFrame],
     """extend(docs) with next: a struct of the carried columns and of those that extend adds, of the next row by descending doc_id; the last row's is the first row.
 
     Rows lie in buckets of neighbouring ids, so a row's next one is in its bucket or, for a bucket's
-    last row, heads the next bucket that has rows. Null ids come last; equal ids are ordered by the
-    carried columns. Of a single row the next is itself. extend adds what follows from the carried columns.
+    last row, heads the next bucket that has rows. Null ids come last; equal ids are ordered by a hash of the
+    carried columns, then by these, and an id that many rows have is parted by that hash. Of a single row
+    the next is itself. extend adds what follows from the carried columns.
     """
     spark = docs.sparkSession
     n = 4 * max(16, shuffle_partitions(spark))
     coarse = min(n, 256)
     fine = -(-n // coarse)
     # at most 257 cut points; between two of them a bucket is a fixed share
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 10_000)).first()[0] or []
-    cuts = sorted({int(c) for c in cuts})
-    at = F.col("doc_id")
+    found, nulls, total = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 10_000), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    every_cut = [int(c) for c in found or []]
+    cuts = sorted(set(every_cut))
+    # an id that is several cut points has about so many shares of the rows
+    hot = {c: every_cut.count(c) * fine for c in cuts if every_cut.count(c) > 2}
+    at, turn = F.col("doc_id"), F.xxhash64(*carried)
+    part = lambda n: F.least(F.lit(n - 1), F.floor((turn / 2.0**64 + 0.5) * n).cast("int"))
     bucket = F.lit(0).cast("long")
     if cuts:
         low = F.array(*(F.lit(c).cast("long") for c in cuts))
@@ -77,8 +83,12 @@ def with_next(docs: DataFrame, carried: list[str], extend: Callable[[DataFrame],
         begin, end = F.get(low, k - 1), F.coalesce(F.get(low, k), F.get(low, k - 1) + 1)
         share = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((at - begin) / (end - begin) * fine)))
         bucket = F.coalesce(k.cast("long") * fine + share, F.lit(-1).cast("long"))
-    rows = docs.withColumn("_bucket", bucket)
-    order = F.struct(F.coalesce(at, F.lit(-(2**63))).alias("i"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
+    # rows of a hot id come below the other ids of their bucket
+    of_hot = F.when(at.isNull(), part(max(1, -(-nulls * n // max(1, total)))))
+    for c, shares in hot.items():
+        of_hot = of_hot.when(at == c, part(shares))
+    rows = docs.withColumn("_turn", turn).withColumn("_bucket", bucket * (1 << 20) + of_hot.otherwise((1 << 20) - 1))
+    order = F.struct(F.coalesce(at, F.lit(-(2**63))).alias("i"), F.col("_turn").alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
     heads = stored(rows.groupBy("_bucket").agg(F.max(order).alias("_head")), "heads")
     numbers = heads.select("_bucket")
     heads = extend(heads.select("_bucket", *(F.col(f"_head.c{i}").alias(c) for i, c in enumerate(carried))))
@@ -89,9 +99,9 @@ def with_next(docs: DataFrame, carried: list[str], extend: Callable[[DataFrame],
     last = F.last("_bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     before = numbers.select("_bucket", F.coalesce(F.lag("_bucket").over(every), last).alias("_before"))
     heads = before.join(heads.withColumnRenamed("_bucket", "_before").hint("shuffle_hash"), "_before").select("_bucket", F.col("_head").alias("_over"))
-    w = Window.partitionBy("_bucket").orderBy(F.coalesce(at, F.lit(-(2**63))).desc(), *(F.col(c).desc() for c in carried))
+    w = Window.partitionBy("_bucket").orderBy(F.coalesce(at, F.lit(-(2**63))).desc(), F.desc("_turn"), *(F.col(c).desc() for c in carried))
     led = extend(rows).withColumn("_lead", F.lead(F.struct(*values)).over(w))
-    return led.join(heads.hint("shuffle_hash"), "_bucket", "left").withColumn("next", F.coalesce("_lead", "_over")).drop("_bucket", "_lead", "_over")
+    return led.join(heads.hint("shuffle_hash"), "_bucket", "left").withColumn("next", F.coalesce("_lead", "_over")).drop("_bucket", "_turn", "_lead", "_over")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

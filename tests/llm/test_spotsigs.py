@@ -68,3 +68,54 @@ def test_near_pairs_equal_brute_force(spark):
     s = [set(x) for x in sets(spark, texts)]
     want = {tuple(sorted((of[i], of[j]))) for i in range(len(s)) for j in range(i) if s[i] != s[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])}
     assert got == want and want
+
+
+def chains(text):
+    """A text's signatures, word by word."""
+    import re
+
+    words = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", (text or "").lower()) if w]
+    anchors = {w for ws in spotsigs.ANCHORS.values() for w in ws}
+    out = set()
+    for i, w in enumerate(words):
+        rest = words[i + 1 :]
+        if w in anchors and rest and rest[0] not in anchors:
+            after = [x for x in rest[1:] if x not in anchors][:1]
+            out |= {(w, rest[0], after[0])} if after else set()
+        if w not in anchors and len(rest) > 1 and not {rest[0], rest[1]} & anchors:
+            out.add((w, rest[0], rest[1]))
+    return out or {tuple(words)}
+
+
+def test_likeness_equals_sets_of_chains(spark):
+    rng = random.Random(3)
+    vocabulary = ["the", "of", "und", "les", "cat", "mat", "sat", "hat", "dog", "Über", "x1", "run,", "(far)"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(120)]
+    rows = list(enumerate([*texts, texts[0], None, "one two", "Two. One!", "cat mat sat dog run far", "the cat mat sat dog run far"]))
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    like = lambda a, b: len(a & b) / len(a | b)
+    prints = {}
+    for i, t in rows:
+        nxt = dict(rows)[(i - 1) % len(rows)] or ""
+        t = t or ""
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert got[i].near_next == like(chains(t), chains(nxt)) and got[i].near_edited == like(chains(t), chains(edited))
+        assert prints.setdefault(got[i].fingerprint, chains(t)) == chains(t)
+        assert prints.setdefault(got[i].edited_fingerprint, chains(edited)) == chains(edited)
+    assert len({frozenset(s) for s in prints.values()}) == len(prints)
+    # one anchor before a list of words leaves what it had
+    assert like(chains(rows[-2][1]), chains(rows[-1][1])) > 0.5
+
+
+def test_rows_of_one_id_are_parted(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices(["the", "cat", "of", "mat", "sat"], k=6)) + str(rng.random())
+    rows = [(rng.choice([None, 5, 5, i]), text()) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    led = spotsigs.with_next(docs, ["text"]).collect()
+    # one cycle through all rows, ids descending with null ones last
+    after = {(r.doc_id, r.text): r.next.text for r in led}
+    ids = {t: i for i, t in rows}
+    assert len(after) == 900 and len(set(after.values())) == 900
+    falls = sum((ids[b] is None) < (ids[a] is None) or (ids[a] is not None and ids[b] is not None and ids[b] > ids[a]) for (_, a), b in after.items())
+    assert falls <= 1
