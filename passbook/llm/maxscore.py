@@ -30,7 +30,7 @@ _NONE = -(1 << 62)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, impacts array<long>): floor(scale * x); vectors that are null or hold null or non-finite components are left out."""
+    """(vec_id, impacts array<long>): floor(scale * x), at most 2**63 - 1 in magnitude; vectors that are null or hold null or non-finite components are left out."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~bad)
     return good.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("impacts"))
@@ -112,13 +112,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     A query's own vec_id is no candidate; fewer than k candidates give fewer rows; ties go to the
     smaller vec_id. Vectors of different lengths are compared as if the shorter went on in zeros.
-    Rows that repeat a vec_id count once, with their least impacts. Scores are exact while they and
-    their sums fit 62 bits. A task holds one shard and streams the queries through it.
+    Rows that repeat a vec_id count once, with their least impacts. Impacts whose scores could exceed
+    62 bits raise ValueError, so that none wraps. A task holds one shard and streams the queries through it.
     """
     v = stored(vectors.groupBy("vec_id").agg(F.min("impacts").alias("impacts")), "vectors")
     q = stored(queries.groupBy("vec_id").agg(F.min("impacts").alias("impacts")), "queries")
-    sizes = [df.agg(F.count("*"), F.max(F.size("impacts"))).first() for df in (v, q)]
+    largest = F.max(F.greatest(F.array_max("impacts").cast("double"), -F.array_min("impacts").cast("double")))
+    sizes = [df.agg(F.count("*"), F.max(F.size("impacts")), largest).first() for df in (v, q)]
     width = max(1, *(int(s[1] or 0) for s in sizes))
+    if width * (sizes[0][2] or 0.0) * (sizes[1][2] or 0.0) >= 2**62:
+        raise ValueError("impacts are so large that scores may not fit 62 bits")
     shards = max(1, -(-sizes[0][0] * width // IMPACTS))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     rows = v.select(shard.alias("shard"), F.lit(0).alias("kind"), "vec_id", "impacts")

@@ -42,3 +42,11 @@ def test_terms_that_cannot_decide_are_probed_only_by_candidates_that_can():
     full[np.arange(40), np.arange(40)] = -(10**9)
     want = [sorted(range(3000), key=lambda i: (-full[q, i], i))[:5] for q in range(40)]
     assert who.tolist() == [q for q in range(40) for _ in range(5)] and ids.reshape(40, 5).tolist() == want
+
+
+def test_impacts_that_could_wrap_raise(spark):
+    import pytest
+
+    rows = maxscore.quantised(spark.createDataFrame([(0, [1e30, 1.0]), (50, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="62 bits"):
+        maxscore.top_k(rows, rows)
