@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from passbook.llm import pretokens
+from passbook.llm.common import spare
 
 
 class PerfectHash:
@@ -222,8 +223,8 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, digest: bo
     new = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digest else ["ids array<int>", "decoded binary"]
     names = {x.split()[0] for x in new}
     own = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in names]
-    at = "text" if "text" in own else "_text"
-    src = docs.select(*own, *([] if "text" in own else [docs["text"].alias("_text")]))
+    (at,) = ["text"] if "text" in own else spare(own, "body")
+    src = docs.select(*own, *([] if "text" in own else [docs["text"].alias(at)]))
     schema = T.StructType([src.schema[c] for c in own] + [f for x in new for f in T._parse_datatype_string(x).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
