@@ -6,6 +6,8 @@ tiers before have left. Ledgers and rules are dimensions whose size is checked b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,21 +17,8 @@ from passbook.functions.text import basic_normalize, collapse, filled, meaningfu
 from passbook.functions.values import is_bank_or_cash, voucher_type
 from passbook.functions.vocabulary import SUSPENSE
 from passbook.operators.duplicates import text_ratio
-from passbook.sources.steps import partitions, written
-
-#: Rows of a dimension, and characters in it, that may be broadcast; larger ones take joins that shuffle, or are refused where only a scan can answer.
-BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 32_000_000
-
-
-def _fits(df: DataFrame) -> bool:
-    texts = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if kind == "string" or kind.startswith("array")]
-    rows, chars = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(sum(texts, F.lit(0)))).first()
-    return rows <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its size is within the bounds, else with one for a join that shuffles."""
-    return F.broadcast(df) if _fits(df) else df.hint("merge")
+from passbook.operators.literals import candidates, grams
+from passbook.sources.steps import BROADCAST_CHARS, BROADCAST_ROWS, fits, partitions, small, written
 
 
 def prepared(ledgers: DataFrame) -> DataFrame:
@@ -64,15 +53,23 @@ def by_rule(descriptions: DataFrame, rules: DataFrame, ledgers: DataFrame) -> Da
     r = usable_rules(rules)
     target = r.withColumn("basic", basic_normalize("ledger_name")).join(small(_last_by_basic(ledgers)), "basic")
     target = target.select(F.trim("pattern").alias("pattern"), "match_type", "ledger", F.col("id").alias("rule_id"), F.col("voucher_type").alias("override"), "priority", "created_at")
+    target = written(target, "rules")
     source = collapse(F.col("description"))
     low, want, kind = F.lower(source), F.lower(F.col("pattern")), F.col("match_type")
-    fits = (
-        F.when(kind == "Exact", low == want)
-        .when(kind == "Starts with", low.startswith(want))
-        .when(kind == "Regex", F.regexp_like(source, F.concat(F.lit("(?i)"), "pattern")))
-        .otherwise(F.contains(low, want))
-    )
-    found = descriptions.join(F.broadcast(target), fits)
+    # a literal is looked up: an exact one as it is, others by an index of their rarest characters
+    texts = written(descriptions.withColumn("low", low), "texts")
+    literal = target.where("match_type <> 'Regex'").withColumn("word", want)
+    found = [texts.join(small(literal.where("match_type = 'Exact'").withColumnRenamed("word", "low")), "low").drop("low")]
+    inside = literal.where("match_type <> 'Exact' and word <> ''")
+    maybe = candidates(texts.select(F.col("description").alias("key"), F.col("low").alias("text")), inside).withColumnRenamed("key", "description")
+    held = F.when(kind == "Starts with", F.col("low").startswith(F.col("word"))).otherwise(F.contains("low", "word"))
+    found.append(maybe.join(texts.hint("merge"), "description").join(small(inside), "word").where(held).drop("low", "word"))
+    # expressions, and empty patterns, which every text holds, are tried on each; their number is bounded
+    scan = target.where("match_type = 'Regex' or (match_type <> 'Exact' and pattern = '')")
+    tried = F.when(kind == "Regex", F.regexp_like(source, F.concat(F.lit("(?i)"), "pattern"))).otherwise(True)
+    if scan.limit(1).count():
+        found.append(descriptions.join(F.broadcast(usable_odd(scan)), tried))
+    found = reduce(DataFrame.unionByName, [f.select("description", *target.columns) for f in found])
     first = F.row_number().over(Window.partitionBy("description").orderBy("priority", "created_at", "rule_id"))
     return found.withColumn("_n", first).where("_n = 1").select("description", "ledger", F.lit(100).alias("confidence"), F.lit("Saved Rule").alias("method"), "rule_id", "override")
 
@@ -107,25 +104,19 @@ def by_keyword(descriptions: DataFrame, ledgers: DataFrame) -> DataFrame:
 
 
 def usable_odd(odd: DataFrame) -> DataFrame:
-    if not _fits(odd):
+    if not fits(odd):
         raise ValueError(f"more than {BROADCAST_ROWS} rows or {BROADCAST_CHARS} characters to scan for")
     return odd
 
 
-def _grams(text: Column | str, n: int) -> Column:
-    """A text's strings of n characters, one for each place; none if it is shorter."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
 def by_substring(descriptions: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Descriptions that hold a ledger's name of four characters or more; the longest, then the first, wins."""
     names = ledgers.where(F.length("basic") >= 4).groupBy("basic").agg(F.min_by("name", "pos").alias("ledger"), F.min("pos").alias("pos"))
     # a name is looked for where its four characters that fewest names share occur
-    held = names.select("basic", "ledger", "pos", F.explode(F.array_distinct(_grams("basic", 4))).alias("gram"))
+    held = names.select("basic", "ledger", "pos", F.explode(F.array_distinct(grams("basic", 4))).alias("gram"))
     often = held.groupBy("gram").agg(F.count("*").alias("k"))
     held = held.join(often.hint("merge"), "gram").groupBy("basic", "ledger", "pos").agg(F.min_by("gram", F.struct("k", "gram")).alias("gram"))
-    texts = descriptions.withColumn("d", basic_normalize("description")).select("description", "d", F.explode(F.array_distinct(_grams("d", 4))).alias("gram"))
+    texts = descriptions.withColumn("d", basic_normalize("description")).select("description", "d", F.explode(F.array_distinct(grams("d", 4))).alias("gram"))
     found = texts.join(small(held), "gram").where(F.contains(F.col("d"), F.col("basic")))
     best = found.groupBy("description").agg(F.max_by("ledger", F.struct(F.length("basic"), -F.col("pos"))).alias("ledger"))
     return _tier(best, 88, "Substring")
@@ -146,7 +137,7 @@ def by_fuzzy(descriptions: DataFrame, ledgers: DataFrame, threshold: int = 78) -
     (1 - r) * n of them unmatched, which part at least r * n / 2 matched pairs into as many runs and one;
     so the texts share (1.5 * r - 1) * n - 1 pairs of neighbours or more. Where that is one or more, the
     join is on these: of a description's pairs, rarest first, as many are looked up as must hold a
-    shared one. Other descriptions, which are short or have a low threshold, meet every name. Of the
+    shared one. Other descriptions, which are short or have a low threshold, are joined by letters. Of the
     pairs found only those whose lengths and counts of characters let the ratio reach the threshold are compared.
     """
     threshold = max(1, min(100, threshold))
@@ -154,18 +145,18 @@ def by_fuzzy(descriptions: DataFrame, ledgers: DataFrame, threshold: int = 78) -
     names = written(ledgers.groupBy("norm").agg(F.min_by("name", "pos").alias("ledger"), F.min("pos").alias("pos")), "names")
     texts = descriptions.withColumn("d", normalize("description"))
     d = texts.select("d").distinct().withColumn("least", F.ceil(F.length("d") * (2 / (2 - r) * (1.5 * r - 1)) - 1 - 1e-6))
-    posts = names.select("norm", F.explode(F.array_distinct(_grams("norm", 2))).alias("gram"))
+    posts = names.select("norm", F.explode(F.array_distinct(grams("norm", 2))).alias("gram"))
     often = posts.groupBy("gram").agg(F.count("*").alias("k"))
-    asked = d.where("least >= 1").select("d", "least", F.explode(_grams("d", 2)).alias("gram")).join(small(often), "gram", "left")
+    asked = d.where("least >= 1").select("d", "least", F.explode(grams("d", 2)).alias("gram")).join(small(often), "gram", "left")
     asked = asked.groupBy("d", "least").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram"))).alias("gs"))
     asked = asked.select("d", F.explode(F.array_distinct(F.slice("gs", F.lit(1), F.greatest(F.lit(0), F.size("gs") - F.col("least").cast("int") + 1)))).alias("g")).select("d", "g.gram")
-    near = asked.join(small(posts), "gram").select("d", "norm").distinct()
-    every = d.where("least < 1").select("d").join(F.broadcast(usable_odd(names)).select("norm"), F.length("d") * (2 - r) >= F.length("norm") * r)
+    near = asked.join(small(posts), "gram").select("d", "norm")
+    every = _by_letters(written(d.where("least < 1").select("d"), "short"), names.select("norm"), r)
     n, m = F.length("d"), F.length("norm")
     bound = 2 * F.least(n, m) >= r * (n + m) - 1e-6
     letters = lambda c: F.sort_array(F.split(F.col(c), ""))
     shared = n + m - F.size(F.array_union(_numbered(letters("d")), _numbered(letters("norm"))))
-    pairs = near.unionByName(every).where(bound).where(2 * shared >= r * (n + m) - 1e-6)
+    pairs = near.unionByName(every).distinct().where(bound).where((n + m == 0) | (2 * shared >= r * (n + m) - 1e-6))
     pairs = written(pairs, "pairs").join(small(names), "norm")
     scored = pairs.withColumn("score", F.bround(text_ratio("d", "norm") * 100).cast("int")).where(F.col("score") >= threshold)
     best = scored.groupBy("d").agg(F.max_by(F.struct("ledger", "score"), F.struct("score", -F.col("pos"))).alias("b"))
@@ -173,6 +164,37 @@ def by_fuzzy(descriptions: DataFrame, ledgers: DataFrame, threshold: int = 78) -
     return _tier(found, F.col("score"), "Fuzzy")
 
 
+def _by_letters(texts: DataFrame, names: DataFrame, r: float) -> DataFrame:
+    """(d, norm) of texts(d) and names(norm) that share so many characters, repeats counted, that their ratio may be r; an equi-join.
+
+    A ratio of r needs r / 2 of both lengths as shared characters. Let each side list its characters, numbered
+    among their equals, the rarest first: if a list of n shares t with another, the first n - t + 1 of either hold a
+    shared one. So a text looks up, for each length that a name may have, as many of its first characters, and
+    a name is found under its first ones with that length. Two empty texts are equal.
+    """
+    letters = lambda c: _numbered(F.sort_array(F.split(F.col(c), "")))
+    held = names.where("norm <> ''").select("norm", F.length("norm").alias("m"), F.explode(letters("norm")).alias("letter"))
+    often = written(held.groupBy("letter").agg(F.count("*").alias("k")), "letters")
+
+    def ordered(df: DataFrame, of: str, size: str) -> DataFrame:
+        """Each text's numbered characters by rarity, with their places from 0."""
+        ranked = df.join(small(often), "letter", "left").groupBy(of, size).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "letter"))).alias("ls"))
+        return ranked.select(of, size, F.posexplode("ls").alias("at", "l")).select(of, size, "at", "l.letter")
+
+    n, m = F.col("n"), F.col("m")
+    need = F.greatest(F.lit(1), F.ceil(r * (n + m) / 2 - 1e-6)).cast("int")
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(n * r / (2 - r) - 1e-6).cast("int")), F.floor(n * (2 - r) / r + 1e-6).cast("int"))
+    most = names.agg(F.max(F.length("norm"))).first()[0] or 0
+    asked = ordered(texts.where("d <> ''").select("d", F.length("d").alias("n"), F.explode(letters("d")).alias("letter")), "d", "n")
+    asked = asked.select("d", "n", "at", "letter", F.explode(F.filter(lengths, lambda x: x <= most)).alias("m")).where(F.col("at") <= n - need).withColumnRenamed("at", "d_at")
+    # the least that a name of m characters may share, with the shortest text
+    few = F.greatest(F.lit(1), F.ceil(r * (m + F.ceil(m * r / (2 - r) - 1e-6)) / 2 - 1e-6)).cast("int")
+    posts = ordered(held, "norm", "m").where(F.col("at") <= m - few)
+    found = asked.join(posts.hint("merge"), ["letter", "m"]).where(F.col("at") <= m - need).select("d", "norm")
+    empty = texts.where("d = ''").join(names.where("norm = ''").limit(1).hint("broadcast"), F.lit(True)).select("d", "norm")
+    return found.unionByName(empty)
+
+
 def _numbered(characters: Column) -> Column:
     """Each of a sorted array's characters with its turn among its equals, so that sets of them count repeats."""
     return F.transform(characters, lambda c, i: F.concat(c, (i - F.array_position(characters, c)).cast("string")))

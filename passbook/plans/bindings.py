@@ -82,6 +82,27 @@ UNION ALL SELECT doc_id, page, 'generated', CAST(200 AS DOUBLE), y FROM e WHERE
 UNION ALL SELECT doc_id, page, a, CAST(CASE WHEN w <> '' THEN 330 ELSE 410 END AS DOUBLE), y FROM e UNION ALL SELECT doc_id, page, bal, CAST(490 AS DOUBLE), y FROM e
 UNION ALL SELECT doc_id, page, text, CAST(x0 AS DOUBLE), CAST(top AS DOUBLE) FROM p CROSS JOIN h UNION ALL SELECT doc_id, page, 'carried', CAST(150 AS DOUBLE), CAST(90 AS DOUBLE) FROM p WHERE page % 2 = 1"""
 
+#: Statements whose rows have copies: of some events a second, third and fourth row with longer descriptions, other references and balances. An event has an amount of its own.
+COPIES = f"""
+SELECT session_id, row_number * 4 + k AS row_number, id || '-' || CAST(k AS STRING) AS id, transaction_date, CAST(row_number + 1 AS {_MONEY}) AS debit_amount, CAST(0 AS {_MONEY}) AS credit_amount,
+    CASE WHEN k IN (0, 2) OR row_number % 3 = 0 THEN reference_number ELSE '' END AS reference_number,
+    CASE k WHEN 2 THEN description || ' ' || repeat('x', CAST(row_number % 9 AS INT)) WHEN 3 THEN description || ' ' || repeat('x', CAST(3 + row_number % 23 AS INT)) ELSE description END AS description,
+    CASE WHEN k = 3 THEN balance + 1 ELSE balance END AS balance, duplicate_status, ignored
+FROM (SELECT s.*, k FROM ({STMT}) AS s, (VALUES (0), (1), (2), (3)) AS v(k)) AS x WHERE k = 0 OR row_number % (3 + 2 * k) = 0"""
+
+#: One fee of one day on many rows of one session: descriptions are one letter, again and again.
+FEES = f"""
+SELECT 'fees' AS session_id, event_id AS row_number, 'T' || CAST(event_id AS STRING) AS id, DATE '2024-01-31' AS transaction_date, CAST(25 AS {_MONEY}) AS debit_amount, CAST(0 AS {_MONEY}) AS credit_amount,
+    'F' || CAST(floor(event_id / 20) % 50 AS STRING) AS reference_number, repeat(substr('abcdefghijklmnopqrstuvwxyz', CAST(1 + floor(event_id / 20) % 26 AS INT), 1), 20) AS description,
+    CAST(user_id AS {_MONEY}) AS balance, CASE WHEN event_id % 140 = 0 THEN 'Confirmed unique' ELSE 'None' END AS duplicate_status, event_id % 260 = 0 AS ignored
+FROM events WHERE event_id % 20 = 0"""
+
+#: Payments whose part names have lost, changed or gained letters.
+TYPOS = """
+SELECT DISTINCT CASE l_orderkey % 7 WHEN 0 THEN substr(p_name, 1, 3) || substr(p_name, 5) WHEN 1 THEN p_name || 's' WHEN 2 THEN substr(p_name, 1, 2) || 'zq' || substr(p_name, 5) WHEN 3 THEN 'x' || p_name || ' yy'
+    WHEN 4 THEN substr(p_name, 3) WHEN 5 THEN substr(p_name, 1, 3) ELSE replace(p_name, 'l', 'll') || CAST(l_orderkey % 40 AS STRING) END AS description
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
 #: Corrections of single fields, good and bad.
 CORRECTIONS = """
 SELECT 'T' || CAST(event_id AS STRING) AS id, CASE event_id % 5 WHEN 0 THEN 'debit_amount' WHEN 1 THEN 'balance' WHEN 2 THEN 'value_date' WHEN 3 THEN 'voucher_type' ELSE 'narration' END AS field,
@@ -115,6 +136,18 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bound(spark, sf_dir, STMT, "events").withColumn("import_message", F.lit(""))
 
 
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, sf_dir, COPIES, "events")
+
+
+def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, sf_dir, FEES, "events")
+
+
+def typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, sf_dir, TYPOS, "lineitem", "part")
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bound(spark, sf_dir, RAW, "events")
     return rows.select("doc_id", "row_number", F.array(*(f"c{i}" for i in range(8))).alias("cells"))

@@ -411,6 +411,45 @@ def j11_duplicate_pairs_75(spark, sf_dir):
     return duplicates.pairs(b.statements(spark, sf_dir)).select("session_id", "original_id", "duplicate_id", "score")
 
 
+# of two texts of which one begins the other, the ratio is twice the shorter one's share; other texts here share nothing
+_SCORED = """, t AS (SELECT *, trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')) AS t, trim(regexp_replace(lower(reference_number), '[^a-z0-9]+', ' ', 'g')) AS ref FROM rows WHERE NOT ignored AND transaction_date IS NOT NULL),
+    p AS (SELECT l.session_id, l.id AS original_id, l.row_number AS original_row, r.id AS duplicate_id, 60 + CASE WHEN l.ref <> '' AND l.ref = r.ref THEN 20 ELSE 0 END + CASE WHEN l.balance = r.balance THEN 5 ELSE 0 END AS points,
+        CASE WHEN l.t = r.t THEN 1.0 WHEN starts_with(l.t, r.t) OR starts_with(r.t, l.t) THEN 2.0 * least(length(l.t), length(r.t)) / (length(l.t) + length(r.t)) ELSE 0.0 END AS ratio
+        FROM t AS l JOIN t AS r ON l.session_id = r.session_id AND l.transaction_date = r.transaction_date AND l.debit_amount = r.debit_amount AND (l.row_number, l.id) < (r.row_number, r.id) WHERE r.duplicate_status <> 'Confirmed unique'),
+    scored AS (SELECT session_id, original_id, original_row, duplicate_id, CAST(points + CASE WHEN ratio >= 0.9 THEN 15 WHEN ratio >= 0.7 THEN 10 ELSE 0 END AS INT) AS score FROM p)"""
+_SCORED_COLUMNS = ("session_id", "original_id", "duplicate_id", "score")
+
+
+@_query("j1_scored_copies", f"WITH rows AS ({b.COPIES}){_SCORED} SELECT session_id, original_id, duplicate_id, score FROM scored WHERE score >= 75")
+def j1_scored_copies(spark, sf_dir):
+    """Copies with other references, balances and descriptions: scores from 75 to 100 at the default threshold."""
+    return duplicates.pairs(b.copies(spark, sf_dir)).select(*_SCORED_COLUMNS)
+
+
+@_query("j1_daily_fee", f"WITH rows AS ({b.FEES}){_SCORED} SELECT session_id, original_id, duplicate_id, score FROM scored WHERE score >= 75")
+def j1_daily_fee(spark, sf_dir):
+    """One key that all rows share."""
+    return duplicates.pairs(b.fees(spark, sf_dir)).select(*_SCORED_COLUMNS)
+
+
+@_query("w6_suspected_copies", f"WITH rows AS ({b.COPIES}){_SCORED}, o AS (SELECT duplicate_id, arg_max(original_id, (original_row, original_id)) AS original_id FROM scored WHERE score >= 75 GROUP BY 1) SELECT id, CASE WHEN o.duplicate_id IS NOT NULL AND duplicate_status <> 'Confirmed duplicate' THEN 'Suspected' WHEN duplicate_status = 'Suspected' THEN 'None' ELSE duplicate_status END AS duplicate_status, CASE WHEN o.duplicate_id IS NOT NULL AND duplicate_status <> 'Confirmed duplicate' THEN o.original_id ELSE '' END AS duplicate_of FROM rows LEFT JOIN o ON id = o.duplicate_id")
+def w6_suspected_copies(spark, sf_dir):
+    rows = b.copies(spark, sf_dir).withColumn("duplicate_of", F.lit(""))
+    return duplicates.mark(rows, duplicates.pairs(rows)).select("id", "duplicate_status", "duplicate_of")
+
+
+@_query("j7_fuzzy")
+def j7_fuzzy(spark, sf_dir):
+    """Misspelt names at the default threshold; SQL has no Ratcliff-Obershelp ratio, so a test compares every pair."""
+    return ledgers.by_fuzzy(b.typos(spark, sf_dir), ledgers.prepared(b.ledgers(spark, sf_dir))).select("description", "ledger", "confidence")
+
+
+@_query("j7_fuzzy_half")
+def j7_fuzzy_half(spark, sf_dir):
+    """The same at a threshold of 50, where pairs of neighbours decide nothing and letters do."""
+    return ledgers.by_fuzzy(b.typos(spark, sf_dir), ledgers.prepared(b.ledgers(spark, sf_dir)), 50).select("description", "ledger", "confidence")
+
+
 @_query("w6_duplicate_of")
 def w6_duplicate_of(spark, sf_dir):
     rows = b.statements(spark, sf_dir)

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table, and characters in it, that may be broadcast; larger ones take joins that shuffle, or are refused where only a scan can answer.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 32_000_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,6 +31,24 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written; only once no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether df is small enough for a broadcast."""
+    texts = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if kind == "string" or kind.startswith("array")]
+    rows, chars = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(sum(texts, F.lit(0)))).first()
+    return rows <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its size is within the bounds, else with one for a join that shuffles."""
+    return F.broadcast(df) if fits(df) else df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions, for rows that are few bytes but much work: adaptive execution would put them in one task."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
