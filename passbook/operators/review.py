@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from passbook.functions.text import filled, is_numeric_reference, strip
 from passbook.functions.values import MONEY, is_bank_or_cash, parse_decimal
 from passbook.functions.vocabulary import VOUCHER_TYPES
+from passbook.operators.order import Ranged, ranged
 
 _SEQ = ("row_number", "created_at", "id")
 
@@ -213,9 +214,20 @@ def canonical_ledgers(selected: DataFrame, ledgers: DataFrame) -> DataFrame:
     return out.select(*selected.columns, F.when(wrong.isNull(), F.col("ledger")).alias("ledger"), wrong.alias("error"))
 
 
+#: Rows up to a page's end that one task may gather; pages further on are read from ranges.
+NEAR_ROWS = 10_000
+
+
+def sorted_pages(transactions: DataFrame, by: str) -> Ranged:
+    """All rows in ascending order of a column, nulls last, ties in statement order, sorted once; its pages read only the ranges that hold them."""
+    return ranged(transactions, F.col(by).asc_nulls_last(), F.col("session_id"), *map(F.col, _SEQ))
+
+
 def sorted_page(transactions: DataFrame, by: str, page: int, size: int = 100) -> DataFrame:
-    """Page (from 0) of all rows in ascending order of a column, nulls last, ties in statement order."""
-    return transactions.orderBy(F.col(by).asc_nulls_last(), "session_id", *_SEQ).offset(page * size).limit(size)
+    """Page (from 0) of all rows in that order. For many pages take sorted_pages, which sorts once."""
+    if (page + 1) * size <= NEAR_ROWS:
+        return transactions.orderBy(F.col(by).asc_nulls_last(), "session_id", *_SEQ).offset(page * size).limit(size)
+    return sorted_pages(transactions, by).page(page, size)
 
 
 def page_count(transactions: DataFrame, size: int = 100) -> DataFrame:

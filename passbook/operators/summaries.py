@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from passbook.functions.text import filled, strip
 from passbook.functions.values import MONEY
+from passbook.operators.order import ranged
+from passbook.sources.steps import small
+
 
 def _order() -> Column:
     return F.struct("row_number", "id")
@@ -92,7 +95,10 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 
 
 def import_totals(responses: DataFrame) -> DataFrame:
-    """Per batch: what was created, altered, left out and failed, and the messages in their order."""
+    """Per batch: what was created, altered, left out and failed, and the messages in their order.
+
+    The messages are one array a batch; import_messages gives those of batches of any size as rows.
+    """
     said = F.array_sort(F.collect_list(F.when(filled("message") != "", F.struct("position", "message"))))
     return responses.groupBy("batch_id").agg(
         F.count("*").alias("total_vouchers"),
@@ -105,6 +111,14 @@ def import_totals(responses: DataFrame) -> DataFrame:
     )
 
 
+def import_messages(responses: DataFrame) -> DataFrame:
+    """(batch_id, n, message): the messages of each batch in their order, numbered from 1; a row each, so a batch may have any number."""
+    said = responses.where(filled("message") != "").select("batch_id", "position", "message")
+    placed = ranged(said, F.col("batch_id"), F.col("position"), F.col("message")).numbered("n")
+    first = placed.groupBy("batch_id").agg((F.min("n") - 1).alias("_before"))
+    return placed.join(small(first), "batch_id").select("batch_id", (F.col("n") - F.col("_before")).alias("n"), "message")
+
+
 def export_summary(transactions: DataFrame) -> DataFrame:
     """Per session: active rows and their totals, and the ignored rows."""
     return transactions.groupBy("session_id").agg(

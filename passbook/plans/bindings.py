@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passbook.operators.order import ranged
+
 _MONEY = "DECIMAL(28,2)"
 
 #: One transaction an event: a session is a user, and remainders of the event's number vary what can vary.
@@ -52,11 +54,12 @@ UNION ALL
 SELECT CAST(user_id AS STRING), 2 * event_id + 11, '', 'more ' || CAST(event_id AS STRING), CASE WHEN event_id % 14 = 0 THEN 'X' || CAST(event_id AS STRING) ELSE '' END, '', '', '', '', ''
 FROM events WHERE event_id % 7 = 0"""
 
-#: Ledgers: a name for each part name and customer, by position.
-LEDGERS = """
-SELECT CAST(row_number() OVER (ORDER BY lower(name), name) AS INT) AS pos, name, parent_group, name AS guid FROM (
+_NAMES = """
     SELECT p_name AS name, CASE WHEN min(p_type) = 'ECONOMY' THEN 'Bank Accounts' WHEN min(p_type) = 'SMALL' THEN 'Cash-in-Hand' ELSE 'Sundry Creditors' END AS parent_group FROM part GROUP BY p_name
-    UNION ALL SELECT 'Suspense A/c', 'Suspense A/c' UNION ALL SELECT 'UPI', 'Misc') AS x"""
+    UNION ALL SELECT 'Suspense A/c', 'Suspense A/c' UNION ALL SELECT 'UPI', 'Misc'"""
+
+#: Ledgers: a name for each part name, by position.
+LEDGERS = f"SELECT CAST(row_number() OVER (ORDER BY lower(name), name) AS INT) AS pos, name, parent_group, name AS guid FROM ({_NAMES}) AS x"
 
 #: Payments: descriptions that name a part in several ways.
 PAYMENTS = """
@@ -160,7 +163,8 @@ def raw_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bound(spark, sf_dir, LEDGERS, "part")
+    names = ranged(_bound(spark, sf_dir, _NAMES, "part"), F.lower("name"), F.col("name")).numbered("pos")
+    return names.select(F.col("pos").cast("int").alias("pos"), "name", "parent_group", F.col("name").alias("guid"))
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from passbook.functions import text, values
 from passbook.operators import duplicates, layout, ledgers, parsing, review, summaries, templates, validation, vouchers
 from passbook.plans import bindings as b
-from passbook.sources import raw, steps, tables, xml
+from passbook.sources import raw, steps, tables, versions, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -371,6 +371,17 @@ def o1_sorted_page(spark, sf_dir):
     return review.sorted_page(b.statements(spark, sf_dir), "balance", 1).select("id", "balance")
 
 
+@_query("o1_deep_page", _STMT + "SELECT id, balance FROM stmt ORDER BY balance ASC NULLS LAST, session_id, row_number LIMIT 50 OFFSET 350")
+def o1_deep_page(spark, sf_dir):
+    """A page as it is read from ranges that are sorted once."""
+    return review.sorted_pages(b.statements(spark, sf_dir), "balance").page(7, 50).select("id", "balance")
+
+
+@_query("o1_row_numbers", _STMT + "SELECT id, row_number() OVER (ORDER BY balance ASC NULLS LAST, session_id, row_number, created_at, id) AS n FROM stmt")
+def o1_row_numbers(spark, sf_dir):
+    return review.sorted_pages(b.statements(spark, sf_dir), "balance").numbered("n").select("id", "n")
+
+
 @_query("o2_page_count", _STMT + "SELECT session_id, CAST(greatest(1, ceil(count(*) / 10.0)) AS BIGINT) AS pages FROM stmt GROUP BY 1")
 def o2_page_count(spark, sf_dir):
     return review.page_count(b.statements(spark, sf_dir), 10)
@@ -383,6 +394,94 @@ def s10_upsert(spark, sf_dir):
     return review.upsert(rows, changes).select("id", "session_id", "description")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{steps.folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+@_query("s10_bucket_upsert", _STMT + ", c AS (SELECT * REPLACE (CASE WHEN row_number % 2 = 0 THEN id ELSE 'N' || id END AS id, 'changed' AS description, 'other' AS session_id) FROM stmt WHERE row_number % 300 < 2), u AS (SELECT coalesce(s.id, c.id) AS id, coalesce(s.session_id, c.session_id) AS session_id, CASE WHEN c.id IS NOT NULL THEN c.description ELSE s.description END AS description FROM stmt s FULL JOIN c ON s.id = c.id) SELECT * FROM u WHERE id NOT IN (SELECT id FROM stmt WHERE row_number % 700 = 3)")
+def s10_bucket_upsert(spark, sf_dir):
+    """A table in buckets, an upsert of some ids, and a deletion of others."""
+    rows = b.statements(spark, sf_dir)
+    path = _folder(spark)
+    versions.create(rows, path, buckets=64)
+    changes = rows.where("row_number % 300 < 2").withColumns({"id": F.when(F.col("row_number") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("N"), "id")), "description": F.lit("changed"), "session_id": F.lit("other")})
+    versions.change(changes, path)
+    versions.delete(rows.where("row_number % 700 = 3").select("id"), path)
+    return versions.read(spark, path).select("id", "session_id", "description")
+
+
+_RULES_SQL = f"WITH ledgers AS ({b.LEDGERS}), stmt AS ({b.STMT}), r AS (SELECT 'R' || CAST(pos AS STRING) AS id, 'p' || CAST(pos AS STRING) AS pattern, CAST(pos % 11 AS INT) AS priority, 0 AS use_count FROM ledgers), c AS (SELECT CASE WHEN pos % 2 = 0 THEN 'R' || CAST(pos AS STRING) ELSE 'S' || CAST(pos AS STRING) END AS id, 'q' || CAST(pos AS STRING) AS pattern, CAST(pos AS INT) AS priority FROM ledgers WHERE pos % 3 = 0), "
+
+
+@_query("s13_rules_changed", _RULES_SQL + "u AS (SELECT matching_rule_id AS id, count(*) AS n FROM stmt WHERE matching_rule_id <> '' AND NOT ignored GROUP BY 1) SELECT id, CASE WHEN c.id IS NULL THEN r.pattern ELSE c.pattern END AS pattern, CASE WHEN c.id IS NULL THEN r.priority ELSE c.priority END AS priority, CAST(CASE WHEN r.id IS NULL THEN 7 ELSE 0 END + coalesce(n, 0) AS INT) AS use_count FROM r FULL JOIN c USING (id) LEFT JOIN u USING (id) WHERE id <> 'R5'")
+def s13_rules_changed(spark, sf_dir):
+    """A rule table in buckets: an upsert that is validated, use counts of one run, and a deletion."""
+    l = b.ledgers(spark, sf_dir)
+    text_ = lambda p: F.concat(F.lit(p), F.col("pos"))
+    rule = lambda id_, pattern, priority, uses: [id_.alias("id"), pattern.alias("pattern"), F.lit("Contains").alias("match_type"), F.col("name").alias("ledger_name"), F.lit("Unassigned").alias("voucher_type"), priority.cast("int").alias("priority"), F.lit(True).alias("enabled"), F.lit(uses).alias("use_count"), F.col("pos").alias("created_at")]
+    path = _folder(spark)
+    versions.create(l.select(*rule(text_("R"), text_("p"), F.col("pos") % 11, 0)), path, buckets=16)
+    changes = l.where("pos % 3 = 0").select(*rule(F.when(F.col("pos") % 2 == 0, text_("R")).otherwise(text_("S")), text_("q"), F.col("pos"), 7))
+    versions.change(changes, path, tables.save_rules)
+    uses = summaries.rule_uses(b.statements(spark, sf_dir)).withColumnRenamed("matching_rule_id", "id")
+    versions.change(uses, path, lambda rules, more: summaries.with_uses(rules, more.withColumnRenamed("id", "matching_rule_id")))
+    versions.delete(l.where("pos = 5").select(text_("R").alias("id")), path)
+    return tables.list_rules(versions.read(spark, path)).select("id", "pattern", "priority", F.col("use_count").cast("int").alias("use_count"))
+
+
+def _template_files(spark, sf_dir) -> str:
+    """A folder of JSON: a file with defaults and templates for each region, one template a file for some nations, and one that is no JSON."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    path = _folder(spark)
+    named = t("nation").select("n_regionkey", "n_nationkey", F.struct(F.concat(F.lit("t"), "n_nationkey").alias("template_id"), F.col("n_name").alias("bank_name"), F.array(F.lower("n_name")).alias("detection_keywords"), F.when(F.col("n_nationkey") % 2 == 0, F.struct(F.col("n_nationkey").alias("debit"))).alias("mapping")).alias("t"))
+    whole = named.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("t")).alias("templates"))
+    defaults = F.struct(F.array(F.lit("total")).alias("ignore_phrases"), F.struct(F.col("n_regionkey").alias("debit"), F.lit(3).alias("header_row")).alias("mapping"))
+    whole.select(F.concat(F.lit("a"), "n_regionkey").alias("file"), F.to_json(F.struct(defaults.alias("defaults"), "templates")).alias("value")).write.partitionBy("file").text(f"{path}")
+    single = named.where("n_nationkey % 5 = 0").select(F.concat(F.lit("b"), "n_nationkey").alias("file"), F.to_json(F.struct("t.template_id", F.concat(F.lit("New "), "t.bank_name").alias("bank_name"))).alias("value"))
+    bad = single.agg(F.lit("c").alias("file"), F.lit("{broken").alias("value"))
+    single.unionByName(bad).write.mode("append").partitionBy("file").text(f"{path}")
+    return f"{path}/*/*.txt"
+
+
+_TEMPLATES = "WITH t AS (SELECT 't' || CAST(n_nationkey AS STRING) AS template_id, n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'New ' || n_name ELSE n_name END AS bank_name, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE lower(n_name) END AS keywords, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'total' END AS phrases, CAST(CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE n_regionkey END AS INT) AS debit, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 3 END AS INT) AS header_row, 'AUTO' AS date_format FROM nation) "
+
+
+def _shown_templates(rows: DataFrame) -> DataFrame:
+    joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    return rows.select("template_id", "bank_name", joined("detection_keywords").alias("keywords"), joined("ignore_phrases").alias("phrases"), "mapping.debit", "mapping.header_row", "mapping.date_format")
+
+
+@_query("s5_load_templates", _TEMPLATES + "SELECT template_id, bank_name, keywords, phrases, debit, header_row, date_format FROM t")
+def s5_load_templates(spark, sf_dir):
+    """Entries win over a file's defaults, mappings merge key by key, later files win, and a broken one is left out."""
+    return _shown_templates(tables.load_templates(spark, _template_files(spark, sf_dir)))
+
+
+@_query("s15_save_templates", _TEMPLATES + ", c AS (SELECT CASE WHEN k % 2 = 0 THEN template_id ELSE 'u' || CAST(k AS STRING) END AS template_id, 'Own ' || CAST(k AS STRING) AS bank_name, CAST(k + 100 AS INT) AS debit FROM t WHERE k % 4 <> 3 AND k % 3 = 1) SELECT template_id, coalesce(c.bank_name, t.bank_name) AS bank_name, coalesce(keywords, '') AS keywords, coalesce(phrases, '') AS phrases, CASE WHEN c.bank_name IS NULL THEN t.debit ELSE c.debit END AS debit, CASE WHEN c.bank_name IS NULL THEN header_row ELSE 1 END AS header_row, coalesce(date_format, 'AUTO') AS date_format FROM t FULL JOIN c USING (template_id) WHERE template_id <> 't2'")
+def s15_save_templates(spark, sf_dir):
+    """Corrected mappings saved into a table in buckets, of which those with generic names are left out, and one template deleted."""
+    known = tables.load_templates(spark, _template_files(spark, sf_dir)).drop("pos")
+    path = _folder(spark)
+    versions.create(known, path, key="template_id", buckets=8)
+    k = F.col("template_id").substr(F.lit(2), F.lit(9)).cast("int")
+    fields = [f.name for f in known.schema["mapping"].dataType.fields]
+    values_ = {"debit": k + 100, "header_row": F.lit(1), "date_format": F.lit("AUTO")}
+    mapping = F.struct(*(values_.get(f, F.lit(None)).cast("string" if f == "date_format" else "int").alias(f) for f in fields))
+    own = known.where(k % 3 == 1).select(F.when(k % 2 == 0, F.col("template_id")).otherwise(F.concat(F.lit("u"), k)).alias("template_id"), F.when(k % 4 == 3, F.lit(" Generic bank ")).otherwise(F.concat(F.lit(" Own "), k)).alias("bank_name"), mapping.alias("mapping"))
+    versions.change(own, path, lambda rows, new: tables.save_mappings(rows, new, ["Built In"]))
+    versions.change(known.where("template_id = 't2'").select("template_id"), path, lambda rows, gone: rows.join(gone, "template_id", "left_anti"))
+    return _shown_templates(versions.read(spark, path))
+
+
+@_query("s9_sessions", "SELECT DISTINCT CAST(user_id AS STRING) AS id, 'file-' || CAST(user_id AS STRING) AS source_path, 'Bank' AS bank_name, false AS fresh FROM events UNION ALL SELECT 'new', 'last.pdf', 'Own', true")
+def s9_sessions(spark, sf_dir):
+    """The sessions of all statements, and one that starts now."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    known = events.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.concat(F.lit("file-"), F.first("user_id")).alias("source_path"), F.lit("Bank").alias("bank_name"), F.min("ts").alias("created_at"))
+    both = tables.start_session(known, "new", "last.pdf", "Own", spark)
+    return both.select("id", "source_path", "bank_name", (F.col("created_at") > F.lit("2025-06-01").cast("timestamp_ntz")).alias("fresh"))
+
+
 @_query("s12_delete", _STMT + "SELECT id FROM stmt WHERE row_number % 3 <> 0")
 def s12_delete(spark, sf_dir):
     return review.drop_ids(b.statements(spark, sf_dir), _ids(spark, sf_dir)).select("id")
@@ -582,7 +681,62 @@ def a7_import_totals(spark, sf_dir):
     return summaries.import_totals(_responses(spark, sf_dir)).withColumn("messages", F.array_join("messages", "|"))
 
 
-@_query("s17_voucher_xml")
+@_query("a7_messages", _OUTCOME + " SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY position) AS n, message FROM s WHERE message <> ''")
+def a7_messages(spark, sf_dir):
+    return summaries.import_messages(_responses(spark, sf_dir))
+
+
+# a voucher's message, spelt out; text in it is escaped as XML wants it
+_ESCAPED = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '\"', '\"')"
+_TAG = "'<{t}>' || {c} || '</{t}>'"
+
+
+def _tags(**values: str) -> str:
+    return " || ".join(_TAG.format(t=t.replace("__", "."), c=c) for t, c in values.items())
+
+
+def _entry_sql(ledger: str, amount: str, party: str, extra: str) -> str:
+    inner = _tags(LEDGERNAME=_ESCAPED.format(c=ledger), ISDEEMEDPOSITIVE=f"CASE WHEN {amount} < 0 THEN 'Yes' ELSE 'No' END", LEDGERFROMITEM="'No'", REMOVEZEROENTRIES="'No'", ISPARTYLEDGER=f"'{party}'", AMOUNT=f"CAST(CAST({amount} AS {_M}) AS STRING)")
+    return f"'<ALLLEDGERENTRIES.LIST>' || {inner} || {extra} || '</ALLLEDGERENTRIES.LIST>'"
+
+
+_DAY = "strftime(transaction_date, '%Y%m%d')"
+_ALLOCATED = f"CASE WHEN reference_number <> '' OR cheque_number <> '' THEN '<BANKALLOCATIONS.LIST>' || {_tags(DATE=_DAY, INSTRUMENTDATE=_DAY, NAME="CASE WHEN reference_number <> '' THEN reference_number ELSE cheque_number END", TRANSACTIONTYPE='channel', INSTRUMENTNUMBER="CASE WHEN cheque_number <> '' THEN cheque_number ELSE reference_number END", UNIQUEREFERENCENUMBER='reference_number', STATUS="'No'", AMOUNT=f'CAST(CAST(bank AS {_M}) AS STRING)')} || '</BANKALLOCATIONS.LIST>' ELSE '' END"
+_MESSAGE = (
+    "'<TALLYMESSAGE xmlns:UDF=\"TallyUDF\"><VOUCHER VCHTYPE=\"' || voucher_type || '\" ACTION=\"Create\" OBJVIEW=\"Accounting Voucher View\">' || "
+    + _tags(DATE=_DAY, EFFECTIVEDATE=_DAY, VOUCHERNUMBER="number", NARRATION=_ESCAPED.format(c="CASE WHEN narration <> '' THEN narration ELSE description END"), VOUCHERTYPENAME="voucher_type", PARTYLEDGERNAME=_ESCAPED.format(c="opposite_ledger"), PERSISTEDVIEW="'Accounting Voucher View'", VCHENTRYMODE="'Double Entry'", ISINVOICE="'No'", ISOPTIONAL="'No'")
+    + f" || {_entry_sql('opposite_ledger', '-bank', 'Yes', repr(''))} || {_entry_sql('bank_ledger', 'bank', 'No', _ALLOCATED)} || '</VOUCHER></TALLYMESSAGE>'"
+)
+_EXPORT = _STMT + f""", n AS (SELECT *, CASE WHEN cheque_number <> '' THEN 'Cheque' WHEN contains(upper(description), 'UPI') THEN 'UPI' WHEN contains(upper(description), 'NEFT') THEN 'NEFT' ELSE 'Others' END AS channel,
+    CASE WHEN tally_voucher_number <> '' THEN tally_voucher_number ELSE 'BST-' || {_DAY} || '-' || CASE WHEN row_number = 0 THEN upper(id) WHEN row_number >= 10000 THEN CAST(row_number AS STRING) ELSE lpad(CAST(row_number AS STRING), 5, '0') END END AS number,
+    CASE WHEN debit_amount <> 0 THEN debit_amount WHEN credit_amount <> 0 THEN -credit_amount ELSE 0 END AS bank FROM stmt WHERE transaction_date IS NOT NULL) """
+
+
+@_query("s17_export_text", _EXPORT + f"SELECT strftime(transaction_date, '%Y-%m') AS group_key, {_MESSAGE} AS message FROM n")
+def s17_export_text(spark, sf_dir):
+    """The messages in the files of an export by month, without the envelopes; rows without a date have no month and are no vouchers."""
+    lines = _exported(spark, sf_dir, 256 << 10)
+    return lines.where(F.col("value").startswith("<TALLYMESSAGE")).select("group_key", F.col("value").alias("message"))
+
+
+@_query("s17_export_files", _EXPORT + ", g AS (SELECT strftime(transaction_date, '%Y-%m') AS group_key, count(*) AS messages FROM n GROUP BY 1) SELECT group_key, messages, true AS whole, true AS fits FROM g")
+def s17_export_files(spark, sf_dir):
+    """Of each month's files: their messages, whether each is one envelope, and whether none exceeds its size."""
+    lines = _exported(spark, sf_dir, 64 << 10)
+    is_ = lambda start: F.count_if(F.col("value").startswith(start))
+    files = lines.groupBy("group_key", "file").agg(is_("<TALLYMESSAGE").alias("messages"), is_("<?xml").alias("heads"), is_("</REQUESTDATA>").alias("feet"), (F.sum(F.octet_length("value") + 1)).alias("bytes"))
+    return files.groupBy("group_key").agg(F.sum("messages").alias("messages"), F.bool_and((F.col("heads") == 1) & (F.col("feet") == 1)).alias("whole"), (F.max("bytes") <= 64 << 10).alias("fits"))
+
+
+def _exported(spark: SparkSession, sf_dir: str, part_bytes: int) -> DataFrame:
+    rows = b.statements(spark, sf_dir).where("transaction_date is not null")
+    messages = vouchers.voucher_xml(rows).join(vouchers.grouped(rows, "month").select("id", "group_key", F.col("row_number").alias("at")), "id")
+    path = f"{steps.folder(spark)}/export-{uuid.uuid4().hex}"
+    xml.write_vouchers(messages, "Demo & Sons", path, part_bytes)
+    return xml.exported(spark, path)
+
+
+@_query("s17_voucher_xml", _EXPORT + f"SELECT id, {_MESSAGE} AS xml FROM n")
 def s17_voucher_xml(spark, sf_dir):
     return vouchers.voucher_xml(b.statements(spark, sf_dir).where("transaction_date is not null"))
 
@@ -816,6 +970,15 @@ def s14_save_history(spark, sf_dir):
     return tables.save_history(*_history(spark, sf_dir)).select("id", "company_name", "created")
 
 
+@_query("s14_history_buckets", _HISTORY + "SELECT id, company_name, created FROM h")
+def s14_history_buckets(spark, sf_dir):
+    old, new = _history(spark, sf_dir)
+    path = _folder(spark)
+    versions.create(old, path, buckets=16)
+    versions.change(new, path, tables.save_history)
+    return versions.read(spark, path).select("id", "company_name", "created")
+
+
 @_query("o3_recent_imports", _HISTORY + "SELECT id, created FROM h ORDER BY created_at DESC NULLS LAST, id LIMIT 7")
 def o3_recent_imports(spark, sf_dir):
     return tables.recent_imports(tables.save_history(*_history(spark, sf_dir)), 7).select("id", "created")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,24 @@ def folder(spark: SparkSession) -> str:
     return f"{found}/passbook/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows of df, written and read back."""
+def written(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of df, written (in a folder for each value of some columns) and read back."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from all taken ones, whatever their case."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what this application has written; only once no result that reads it is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))

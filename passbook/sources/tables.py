@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.functions.text import filled, strip_control
+from passbook.functions.text import filled, strip, strip_control
 from passbook.functions.values import format_decimal
 from passbook.operators import review, summaries, validation
 
@@ -38,18 +38,41 @@ def _typed(ddl: str) -> str:
     return ", ".join(f"{p.split(' ', 1)[0]}:{p.split(' ', 1)[1]}" if " " in p and ":" not in p.split(" ", 1)[0] else p for p in ddl.split(", "))
 
 
-def save_template(templates: DataFrame, template_id: str, bank: str, mapping: DataFrame, built_in: list[str]) -> DataFrame:
-    """templates with a corrected mapping (one row) under an id; keywords, aliases and cleanup of an earlier one stay. Generic and built-in names raise."""
-    name = bank.strip()
-    if not name or name.lower() in {"automatic", "generic", "generic bank"} or name.lower() in {b.lower() for b in built_in}:
-        raise ValueError("choose a bank name of your own for the template")
-    columns = [f.name for f in templates.schema["mapping"].dataType.fields]
-    new = mapping.select(F.lit(template_id).alias("template_id"), F.lit(name).alias("bank_name"), F.struct(*(F.col(c).alias(c) for c in columns)).alias("mapping"))
+#: fixed values: names that no template of a user's own may have
+GENERIC = ("automatic", "generic", "generic bank")
+
+
+def _mapping_keys(templates: DataFrame) -> list[str]:
+    return [f.name for f in templates.schema["mapping"].dataType.fields]
+
+
+def save_mappings(templates: DataFrame, corrected: DataFrame, built_in: list[str]) -> DataFrame:
+    """templates with corrected(template_id, bank_name, mapping); keywords, aliases and cleanup of earlier ones stay.
+
+    Rows with a generic, empty or built-in name are left out; rejected_mappings gives them.
+    """
+    fine = corrected.join(rejected_mappings(corrected, built_in).select("template_id"), "template_id", "left_anti")
+    new = fine.select("template_id", strip("bank_name").alias("bank_name"), "mapping")
     both = templates.alias("o").join(new.alias("n"), F.col("o.template_id") == F.col("n.template_id"), "full_outer")
     pick = {c: F.coalesce(f"n.{c}", f"o.{c}") if c in ("template_id", "bank_name", "mapping") else F.col(f"o.{c}") for c in templates.columns}
     return both.select(*(v.alias(c) for c, v in pick.items()))
 
 
+def rejected_mappings(corrected: DataFrame, built_in: list[str]) -> DataFrame:
+    """corrected(template_id, bank_name, ...) whose name is empty, generic or a built-in template's."""
+    name = F.lower(strip(filled("bank_name")))
+    return corrected.where((name == "") | name.isin(*GENERIC, *(b.lower() for b in built_in)))
+
+
+def save_template(templates: DataFrame, template_id: str, bank: str, mapping: DataFrame, built_in: list[str]) -> DataFrame:
+    """templates with a corrected mapping (one row) under an id, as save_mappings; generic and built-in names raise."""
+    name = bank.strip()
+    if not name or name.lower() in GENERIC or name.lower() in {b.lower() for b in built_in}:
+        raise ValueError("choose a bank name of your own for the template")
+    new = mapping.select(F.lit(template_id).alias("template_id"), F.lit(name).alias("bank_name"), F.struct(*(F.col(c).alias(c) for c in _mapping_keys(templates))).alias("mapping"))
+    return save_mappings(templates, new, [])
+
+
 def delete_template(templates: DataFrame, template_id: str, built_in: list[str]) -> DataFrame:
     """templates without the one of an id; the id of a built-in one raises, an unknown id changes nothing."""
     if template_id in built_in:
@@ -64,7 +87,11 @@ def start_session(sessions: DataFrame | None, session_id: str, path: str, bank:
 
 
 def save_snapshot(current: DataFrame, changes: DataFrame, path: str) -> None:
-    """A new snapshot of current with changes by id, in a folder that must not exist."""
+    """A new snapshot of current with changes by id, in a folder that must not exist; it rewrites every row.
+
+    A table that changes often lies in buckets (passbook.sources.versions): versions.change(changes, path) rewrites
+    those that the changes touch. save_rules, save_history and save_mappings can be its merge.
+    """
     review.upsert(current, changes).write.mode("errorifexists").parquet(path)
 
 
