@@ -64,14 +64,22 @@ def java_format(code: str) -> str:
     return code.replace("dd", "d").replace("MM", "M").replace("MMM", "MMM") if "MMM" not in code else code.replace("dd", "d")
 
 
-def parse_date(c: Column | str, date_format: str = "AUTO") -> Column:
-    """The date of a text by one format, or by its shape: day first, else month first, ISO, or with a month's name; two-digit years are of this century.
+#: The year around which two-digit years lie where no format is given; fixed, so that a rerun reads the same.
+REFERENCE_YEAR = 2026
 
-    A time of day may follow. Null if nothing fits, there is no such day, or the text is empty.
+
+def parse_date(c: Column | str, date_format: str = "AUTO", reference_year: int = REFERENCE_YEAR) -> Column:
+    """The date of a text by one format, or by its shape: day first, else month first, ISO, or with a month's name.
+
+    A year of two digits is the one from 50 years before the reference year to 49 after it; by a format's %y it is
+    1969 to 2068. A time of day may follow. Null if nothing fits, there is no such day, or the text is empty.
     """
     raw = strip(filled(c))
     if date_format and date_format != "AUTO":
-        return F.try_to_timestamp(raw, F.lit(java_format(date_format))).cast("date")
+        found = F.try_to_timestamp(raw, F.lit(java_format(date_format))).cast("date")
+        # Spark reads two digits as 2000 to 2099
+        return F.when(F.year(found) > 2068, F.add_months(found, -1200)).otherwise(found) if "%y" in date_format else found
+    oldest = reference_year - 50
     names = {n: i + 1 for i, full in enumerate(MONTHS) for n in (full, full[:3])} | {"sept": 9}
     number = F.create_map(*(F.lit(x) for n, i in names.items() for x in (n, str(i))))
 
@@ -84,7 +92,7 @@ def parse_date(c: Column | str, date_format: str = "AUTO") -> Column:
 
     def day(ymd: Column) -> Column:
         year, month = F.get(ymd, F.lit(0)), F.lower(F.get(ymd, F.lit(1)))
-        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+        year = F.when(F.length(year) == 2, (oldest + F.pmod(year.try_cast("int") - oldest, F.lit(100))).cast("string")).otherwise(year)
         month = F.when(month.rlike("^[a-z]"), F.try_element_at(number, month)).otherwise(month)
         return F.concat(year, F.lit("-"), month, F.lit("-"), F.get(ymd, F.lit(2))).try_cast("date")
 

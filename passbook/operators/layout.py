@@ -46,10 +46,16 @@ def lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
     """words with line: on its page the number, from 1, of the line that a word is on.
 
     In order of top and x0 a word joins the line of the word before it if it lies within `gap` of
-    that line's first word, else it begins a line; so a page's words are folded in order. A column bottom stays.
+    that line's first word, else it begins a line. A step of more than `gap` always begins one, so the words
+    between two such steps are a chain that is folded alone: most often one line. A column bottom stays.
     """
     own = ["top", "x0", "text", *(["bottom"] if "bottom" in words.columns else [])]
-    page = words.where(strip("text") != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("ws"))
+    page = Window.partitionBy("doc_id", "page").orderBy("top", "x0", "text")
+    steps = words.where(strip("text") != "").select("doc_id", "page", *own, F.lag("top").over(page).alias("_before"))
+    begins = F.col("_before").isNull() | (F.col("top") - F.col("_before") > gap)
+    upto = page.rowsBetween(Window.unboundedPreceding, 0)
+    chained = steps.select("doc_id", "page", *own, F.max(F.when(begins, F.col("top"))).over(upto).alias("_chain"))
+    chain = chained.groupBy("doc_id", "page", "_chain").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("ws"), F.max("top").alias("_last"))
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, w: Column) -> Column:
@@ -57,8 +63,11 @@ def lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:
         n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
         return F.struct(F.when(new, w["top"].cast("double")).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
 
-    numbered = page.withColumn("ns", F.aggregate("ws", start, step)["out"])
-    return numbered.select("doc_id", "page", F.explode(F.arrays_zip("ws", "ns")).alias("z")).select("doc_id", "page", F.col("z.ns").alias("line"), *(f"z.ws.{c}" for c in own))
+    one = F.array_repeat(F.lit(1), F.size("ws"))
+    numbered = chain.withColumn("ns", F.when(F.col("_last") - F.col("_chain") <= gap, one).otherwise(F.aggregate("ws", start, step)["out"]))
+    rows = numbered.select("doc_id", "page", "_chain", F.explode(F.arrays_zip("ws", "ns")).alias("z")).select("doc_id", "page", "_chain", F.col("z.ns").alias("_n"), *(f"z.ws.{c}" for c in own))
+    at = F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("_chain", "_n"))
+    return rows.select("doc_id", "page", at.cast("int").alias("line"), *own)
 
 
 def line_text(lined: DataFrame) -> DataFrame:

@@ -119,6 +119,13 @@ SELECT event_id, CASE WHEN event_id % 9 = 8 THEN NULL ELSE CAST(ts AS DATE) END
 FROM (SELECT event_id, ts, CAST(day(ts) AS STRING) AS d, CAST(month(ts) AS STRING) AS m, CAST(year(ts) AS STRING) AS y, substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(ts) - 2 AS INT), 3) AS mon FROM events) AS x"""
 
 
+#: Days of 1950 to 2049 written with two digits for the year, in two shapes.
+TWO_DIGITS = """
+SELECT event_id, k, CASE WHEN event_id % 2 = 0 THEN dd || '/' || mm || '/' || yy ELSE dd || '-' || mon || '-' || yy END AS text, dd || '/' || mm || '/' || yy AS plain, dd, mm, CAST(yy AS INT) AS yy
+FROM (SELECT event_id, CAST(event_id % 100 AS INT) AS k, lpad(CAST(1 + event_id % 28 AS STRING), 2, '0') AS dd, lpad(CAST(1 + event_id % 12 AS STRING), 2, '0') AS mm, lpad(CAST((event_id + 50) % 100 AS STRING), 2, '0') AS yy,
+    substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * (event_id % 12) + 1 AS INT), 3) AS mon FROM events) AS x"""
+
+
 def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a query above over events."""
     return _bound(spark, sf_dir, sql, "events")

@@ -1004,6 +1004,13 @@ def p8_attach_session(spark, sf_dir):
     return parsing.attach_session(good, F.concat(F.lit("S-"), "doc_id")).select("doc_id", "row_number", "session_id", "import_status", "duplicate_status", "matching_confidence", "ignored")
 
 
+@_query("p9_two_digit_years", f"SELECT event_id, CAST(CAST(yy + CASE WHEN yy >= 76 THEN 1900 ELSE 2000 END AS STRING) || '-' || mm || '-' || dd AS DATE) AS day, CAST(CAST(yy + CASE WHEN yy >= 69 THEN 1900 ELSE 2000 END AS STRING) || '-' || mm || '-' || dd AS DATE) AS by_format FROM ({b.TWO_DIGITS}) AS x")
+def p9_two_digit_years(spark, sf_dir):
+    """Every two-digit year, by its shape around 2026 and by a format."""
+    rows = b.bound(spark, sf_dir, b.TWO_DIGITS)
+    return rows.select("event_id", values.parse_date("text", reference_year=2026).alias("day"), values.parse_date("plain", "%d/%m/%y").alias("by_format"))
+
+
 @_query("p9_many_shapes", f"SELECT event_id, day FROM ({b.DATE_TEXTS}) AS x")
 def p9_many_shapes(spark, sf_dir):
     return b.bound(spark, sf_dir, b.DATE_TEXTS).select("event_id", values.parse_date("text").alias("day"))

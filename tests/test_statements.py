@@ -370,3 +370,46 @@ def test_templates_are_deleted_unless_built_in(spark):
     assert [r[0] for r in tables.delete_template(t, "a", ["b"]).collect()] == ["b"]
     with pytest.raises(ValueError):
         tables.delete_template(t, "b", ["b"])
+
+
+def test_lines_equal_a_loop_over_pages(spark):
+    """Heights that creep, jump, repeat or agree, against the rule word by word."""
+    import random
+
+    rng = random.Random(4)
+    given = []
+    for p in range(40):
+        top = 0.0
+        for i in range(rng.randint(1, 40)):
+            top += rng.choice([0.0, 0.0, 0.5, 1.5, 2.0, 2.5, 12.0])
+            given.append(("d", p, rng.choice("abc"), float(rng.randrange(50)), top))
+    want = {}
+    for p in range(40):
+        anchor, n = None, 0
+        for d, _, text, x, top in sorted((g for g in given if g[1] == p), key=lambda g: (g[4], g[3], g[2])):
+            if anchor is None or top - anchor > layout.LINE_GAP:
+                anchor, n = top, n + 1
+            want.setdefault((p, x, top, text), []).append(n)
+    rng.shuffle(given)
+    got = {}
+    for r in layout.lines(spark.createDataFrame(given, "doc_id string, page int, text string, x0 double, top double")).collect():
+        got.setdefault((r.page, r.x0, r.top, r.text), []).append(r.line)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_a_page_of_very_many_words(spark):
+    rows = spark.range(50_000).selectExpr("'d' as doc_id", "0 as page", "'w' as text", "double(id % 10) as x0", "double(id div 10) * 12 as top")
+    lined = layout.lines(rows)
+    assert lined.agg({"line": "max"}).first()[0] == 5000 and lined.count() == 50_000
+
+
+def test_two_digit_years(spark):
+    from passbook.functions.values import parse_date
+
+    texts = ["1-Jul-85", "31/12/99", "01/01/76", "01/01/75", "29/02/00", "29/02/72", "1/1/2026", "29/02/23"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] and str(r[0]) for r in rows.select(parse_date("t")).collect()]
+    assert got == ["1985-07-01", "1999-12-31", "1976-01-01", "2075-01-01", "2000-02-29", "2072-02-29", "2026-01-01", None]
+    assert [str(r[0]) for r in rows.where("t = '01/01/75'").select(parse_date("t", reference_year=1990)).collect()] == ["1975-01-01"]
+    by_format = spark.createDataFrame([("01/02/68",), ("01/02/69",), ("29/02/72",), ("31/12/99",), ("x",)], "t string")
+    assert [r[0] and str(r[0]) for r in by_format.select(parse_date("t", "%d/%m/%y")).collect()] == ["2068-02-01", "1969-02-01", "1972-02-29", "1999-12-31", None]
