@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from passbook.llm import pretokens
-from passbook.llm.common import spare
+from passbook.llm.common import spare, trimmed
 
 
 class PerfectHash:
@@ -249,4 +249,4 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, digest: bo
                     cols = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array([codec.decode(x.tolist()) for x in flat], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + cols, names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)

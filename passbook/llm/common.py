@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+from functools import wraps
+from inspect import isgeneratorfunction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +73,36 @@ def spare(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def _give_back() -> None:
+    """Returns what this process has freed to the system; its allocators would keep it for the next task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, a function for mapInArrow or applyInArrow, so that a worker that goes on to other tasks holds no memory of this one."""
+    if isgeneratorfunction(run):
+
+        @wraps(run)
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+    else:
+
+        @wraps(run)
+        def over(table: pa.Table) -> pa.Table:
+            try:
+                return run(table)
+            finally:
+                _give_back()
+
+    return over
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import apart, spare, stored
+from passbook.llm.common import apart, spare, stored, trimmed
 from passbook.llm.words import word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -67,7 +67,7 @@ def measured(docs: DataFrame, p: Mix) -> DataFrame:
                     topics.append(int(long[first[most]] % np.uint64(p.topics)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(counts), pa.array(topics, pa.int32())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)
 
 
 def own_targets(cells: DataFrame, p: Mix) -> dict[str, DataFrame]:

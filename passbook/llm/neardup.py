@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import apart, shuffle_partitions, spare, stored
+from passbook.llm.common import apart, shuffle_partitions, spare, stored, trimmed
 from passbook.llm.components import components
 from passbook.llm.words import mix, set_digest, shingles
 
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, p: Join) -> DataFrame:
                 cols = [*b.columns[:3], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
                 yield pa.RecordBatch.from_arrays(cols, names=["null", "rid", "tk", "n_shingles", "digest", "tokens"])
 
-    return _keyed(docs).mapInArrow(run, schema)
+    return _keyed(docs).mapInArrow(trimmed(run), schema)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, p: Join) -> DataFrame:
@@ -121,7 +121,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, p: Join) -> Da
                 sets = [h.tobytes() for h, g in zip(rows, good) if g]
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    return texts.mapInArrow(run, "id long, hashes binary")
+    return texts.mapInArrow(trimmed(run), "id long, hashes binary")
 
 
 def _sized(n: str, m: str, p: Join) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import apart, spare, stored
+from passbook.llm.common import apart, spare, stored, trimmed
 from passbook.llm.words import mix, powers, prefix_sums
 
 #: Bytes of text hashed at once; window starts of one call stay below 2**20.
@@ -126,7 +126,7 @@ def _occurrences(docs: DataFrame, p: Repeats) -> DataFrame:
                     cols = [doc[row], tag[row], _place(first + begin, last - first + 1), anchor.view(np.int64), seg.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "tag", "place", "anchor", "seg"])
 
-    return docs.mapInArrow(run, "doc_id long, tag long, place long, anchor long, seg long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, tag long, place long, anchor long, seg long")
 
 
 # --- suffix arrays -------------------------------------------------------------------------------
@@ -316,7 +316,7 @@ def _bytes_of(docs: DataFrame, carriers: DataFrame, p: Repeats) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=names)
 
     both = docs.join(carriers.hint("shuffle_hash"), ["doc_id", "tag"]).select("text", "held")
-    return both.mapInArrow(run, "anchor long, seg long, ranges int, shard int, bytes binary")
+    return both.mapInArrow(trimmed(run), "anchor long, seg long, ranges int, shard int, bytes binary")
 
 
 def _starts(docs: DataFrame, p: Repeats) -> DataFrame:
@@ -341,7 +341,7 @@ def _starts(docs: DataFrame, p: Repeats) -> DataFrame:
     held = F.struct("anchor", "seg", F.col("at.place").alias("place"), ranges.cast("int").alias("ranges"), shard.cast("int").alias("shard"))
     carriers = kinds.join(apart(counts), "anchor").select(F.col("at.doc_id").alias("doc_id"), F.col("at.tag").alias("tag"), held.alias("held")).groupBy("doc_id", "tag").agg(F.collect_list("held").alias("held"))
     run, schema = _shard(p)
-    arrays = stored(_bytes_of(docs, carriers, p).groupBy("shard").applyInArrow(run, schema), "arrays")
+    arrays = stored(_bytes_of(docs, carriers, p).groupBy("shard").applyInArrow(trimmed(run), schema), "arrays")
     across = arrays.where("kind = 1").groupBy("anchor", "range").applyInArrow(merged, schema)
     inside = arrays.where("kind = 0").unionByName(across).groupBy("anchor", "seg").agg(F.collect_list("data").alias("starts"))
     some = kinds.select("anchor", "seg", "times").join(inside.hint("shuffle_hash"), ["anchor", "seg"], "left").where("times > 1 or starts is not null").select("anchor", "seg", F.when(F.col("times") <= 1, F.col("starts")).alias("starts"))
@@ -419,7 +419,7 @@ def cut_repeats(docs: DataFrame, p: Repeats = Repeats(), digest: bool = False) -
                 cols += [pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)] + ([pa.array(left, pa.string())] if digest else [])
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(trimmed(run), schema)
 
 
 def _up(raw: bytes, at: int) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passbook.llm.common import stored
+from passbook.llm.common import stored, trimmed
 from passbook.llm.words import mix, word_hashes
 
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
         return pa.table({"feature": at, "weight": w[at]})
 
     # one group of at most max_rows rows, by the parameter above
-    fitted = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "feature long, weight double")
+    fitted = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(trimmed(run), "feature long, weight double")
     return stored(fitted, "toxicity")
 
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, weights: DataFrame, p: Ftrl = Ftrl(), threshold: floa
                 s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)
 
 
 def held_out() -> F.Column:
