@@ -39,7 +39,8 @@ def label_of(c: Column) -> Column:
 def is_header_row(cells: Column) -> Column:
     """Whether cells name a date, particulars, and withdrawals, deposits or a balance."""
     found = F.transform(cells, label_of)
-    return F.array_contains(found, "Transaction Date") & F.array_contains(found, "Particulars") & F.arrays_overlap(found, F.array(*map(F.lit, ["Withdrawals", "Deposits", "Balance Amount"])))
+    # a cell that is no label is null among them, and a search that doesn't find gives null then
+    return F.coalesce(F.array_contains(found, "Transaction Date") & F.array_contains(found, "Particulars") & F.arrays_overlap(found, F.array(*map(F.lit, ["Withdrawals", "Deposits", "Balance Amount"]))), F.lit(False))
 
 
 def lines(words: DataFrame, gap: float = LINE_GAP) -> DataFrame:

@@ -1165,3 +1165,82 @@ def s8_xml_responses(spark, sf_dir):
 def s7_repaired_xml(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.replace(F.replace("text", F.lit("&#"), F.lit("&")), F.lit("\x0b"), F.lit("")), F.lit("")).alias("t"))
     return docs.select("doc_id", raw.repaired_xml(F.concat(F.lit("a\x0b"), "t", F.lit("&#4;&#x1F;&#38; b"))).alias("x")).select("doc_id", "x.text", "x.repairs")
+
+
+# --- inputs that vary with the tables' own content ----------------------------------------------------
+
+
+@_query("s6_xml_companies", "SELECT c_name AS name, 'G' || CAST(c_custkey AS STRING) AS guid, '20240401' AS starting_from, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '2025' || lpad(CAST(c_nationkey + 1 AS STRING), 4, '0') END AS ending_at FROM customer")
+def s6_xml_companies(spark, sf_dir):
+    """A company for each customer: names as attributes or elements, a second spelling of each that comes later, and scalar counts."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name = F.regexp_replace("c_name", "&", "&amp;")
+    end = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<ENDINGAT>2025"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 4, "0"), F.lit("</ENDINGAT>")))
+    inner = F.concat(F.lit("<GUID>G"), "c_custkey", F.lit("</GUID><STARTINGFROM> 20240401 </STARTINGFROM>"), end, F.lit("</COMPANY>"))
+    one = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<COMPANY NAME=" '), name, F.lit('">'), inner)).otherwise(F.concat(F.lit("<COMPANY><NAME>"), name, F.lit(" </NAME>"), inner))
+    again = F.concat(F.lit('<COMPANY NAME="'), F.upper(name), F.lit('"><GUID>late</GUID></COMPANY><COMPANY>2</COMPANY>'))
+    return xml.companies(spark, _as_text(rows.select(F.concat(one, again).alias("value"))))
+
+
+@_query("s6_xml_voucher_types", "SELECT DISTINCT event_type || ' ' || CAST(user_id % 20 AS STRING) AS name FROM events")
+def s6_xml_voucher_types(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.concat("event_type", F.when(F.col("event_id") % 2 == 0, F.lit("  ")).otherwise(F.lit(" ")), F.col("user_id") % 20)
+    one = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('<VOUCHERTYPE NAME="'), name, F.lit('"/>'))).otherwise(F.concat(F.lit("<VOUCHERTYPE><NAME>"), name, F.lit("</NAME></VOUCHERTYPE>")))
+    return xml.voucher_types(spark, _as_text(rows.select(one.alias("value"))))
+
+
+@_query("p20_quarantine_rules", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS STRING) ELSE '' END AS legacy_ledger_reference, CASE WHEN c_custkey % 3 = 1 THEN '' WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE c_name END AS ledger_name FROM customer")
+def p20_quarantine_rules(spark, sf_dir):
+    key = F.col("c_custkey")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("id"), F.when(key % 3 == 1, F.concat(F.lit(" "), key, F.lit(" "))).when(key % 3 == 2, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("ledger_name"))
+    return review.quarantine_rules(rows).select("id", "legacy_ledger_reference", "ledger_name")
+
+
+@_query("x2_allocations", _EXPORT + f"SELECT id AS transaction_id, {_DAY} AS date, {_DAY} AS instrument_date, CASE WHEN reference_number <> '' THEN reference_number ELSE cheque_number END AS name, channel AS transaction_type, CASE WHEN cheque_number <> '' THEN cheque_number ELSE reference_number END AS instrument_number, reference_number AS unique_reference_number, CAST(bank AS {_M}) AS amount FROM n WHERE reference_number <> '' OR cheque_number <> ''")
+def x2_allocations(spark, sf_dir):
+    rows = vouchers.entries(b.statements(spark, sf_dir).where("transaction_date is not null"))
+    return rows.where("allocation is not null").select("transaction_id", "allocation.*").withColumn("amount", F.col("amount").cast(_M))
+
+
+@_query("l13_varied_headers", "SELECT event_id, value < 30 AND (user_id % 2 = 1 OR event_type = 'error') AND (value > 10 OR user_id % 3 = 0) AS is_header FROM events")
+def l13_varied_headers(spark, sf_dir):
+    """Cells that are labels or not by a row's value, user and type."""
+    c = F.col
+    cells = F.array(
+        F.when(c("value") < 30, "Txn  DATE").otherwise(c("props")), F.when(c("user_id") % 2 == 1, "Narration").otherwise(c("event_type")), F.when(c("event_type") == "error", "remarks").otherwise(c("event_type")),
+        F.when(c("value") > 10, "Debit").otherwise(c("value").cast("string")), F.when(c("user_id") % 3 == 0, "Closing Balance").otherwise(c("props")),
+    )
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", layout.is_header_row(cells).alias("is_header"))
+
+
+@_query("j12_customers_banks", "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN 't' || CAST(n_nationkey AS STRING) END AS template_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def j12_customers_banks(spark, sf_dir):
+    """A bank for each nation, two templates of each name of which the first counts, and customers who spell it in their own way."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    known = t("nation").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "n_nationkey", "n_name")
+    known = known.select((F.col("n_nationkey") + 100 * F.col("k")).alias("pos"), F.concat(F.when(F.col("k") == 0, "t").otherwise("late"), "n_nationkey").alias("template_id"), F.concat(F.initcap("n_name"), F.lit(" Bank")).alias("bank_name"))
+    own = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("c_custkey") % 7 == 0, F.concat("n_name", F.lit(" Bk"))).when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" BANK "))).otherwise(F.concat("n_name", F.lit(" bank")))
+    return templates.by_bank(own.select("c_custkey", name.alias("bank_name")), known).select("c_custkey", "template_id")
+
+
+@_query("p2_varied_mappings", "SELECT event_id, concat_ws('; ', CASE WHEN value >= 60 THEN 'Transaction Date must be mapped.' END, CASE WHEN event_type = 'view' THEN 'Description must be mapped.' END, CASE WHEN user_id % 3 <> 0 AND user_id % 4 <> 1 THEN 'Map Debit/Credit columns or a single Amount column.' END) AS errors FROM events")
+def p2_varied_mappings(spark, sf_dir):
+    c = F.col
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(c("value") < 60, 0).alias("transaction_date"), F.when(c("event_type") != "view", 1).alias("description"), F.when(c("user_id") % 3 == 0, 2).alias("debit"), F.lit(None).cast("int").alias("credit"), F.when(c("user_id") % 4 == 1, 3).alias("amount"))
+    return validation.mapping_errors(rows).select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@_query("f13_documents", "SELECT doc_id, regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS bad, regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS clean FROM (SELECT doc_id, coalesce(text, '') || chr(CAST(1 + doc_id % 40 AS INT)) || lang AS t FROM documents) AS d")
+def f13_documents(spark, sf_dir):
+    """Whole texts, with one of 40 code points behind them."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.chr(1 + F.col("doc_id") % 40), "lang")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.has_control(t).alias("bad"), text.strip_control(t).alias("clean"))
+
+
+@_query("f22_users_messages", "SELECT user_id, CAST(to_json(m) AS STRING) AS stored, array_to_string(m, '|') AS messages FROM (SELECT user_id, list(props || ' \"' || event_type ORDER BY event_id) AS m FROM events GROUP BY 1) AS x")
+def f22_users_messages(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat("props", F.lit(' "'), "event_type").alias("m")))).alias("ms"))
+    rows = rows.select("user_id", F.transform("ms", lambda x: x["m"]).alias("m"))
+    return rows.select("user_id", text.to_messages("m").alias("stored")).withColumn("messages", F.array_join(text.from_messages("stored"), "|"))
