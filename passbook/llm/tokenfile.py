@@ -141,14 +141,16 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, path: st
     """Writes the ids of docs(doc_id, text) in ascending doc_id order (null ids first); the folder's path.
 
     Each document ends with end_id (None: nothing is added). Null texts count as empty. Rows that
-    repeat a doc_id are each written. A document always lies in one shard.
+    repeat a doc_id are each written, in the order of their texts, and may lie in several shards; a
+    document always lies in one.
     """
     spark = docs.sparkSession
     content = spark.sparkContext.broadcast(read_file(spark, tokenizer_path))
     kinds = spark.sparkContext.broadcast(library_kinds().tobytes())  # a megabyte
     path = path or f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 64).alias("begin"))
+    # how texts begin parts the rows of one id, or of none, over several ranges
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "begin").sortWithinPartitions("doc_id", "text").drop("begin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value, kinds.value)
