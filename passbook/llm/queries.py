@@ -61,6 +61,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document its class of equal fingerprints, and how many other classes are alike by 0.8 or more."""
+    return spotsigs.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to files with a perfect-hash index and read back."""
     path = tokenfile.write(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
@@ -102,7 +107,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_licence_scans, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k, op11_line_dedup, op12_vector_codes, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_licence_scans, op5_minhash_near_dedup, op6_document_fingerprints, op7_token_ids, op8_byte_bpe, op9_suffix_array_dedup, op10_top_k, op11_line_dedup, op12_vector_codes, op13_token_alignment, near_fingerprints)}
 
 
 def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:

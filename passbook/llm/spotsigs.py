@@ -126,12 +126,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Sets of one prefix signature that meet each other in one group of the join; more are dealt into blocks.
+BLOCK = 256
+
+
 def near_pairs(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members(doc_id, class), pairs(a, b, likeness)): texts of equal fingerprints are a class, and pairs link classes of likeness percent / 100 or more.
+    """(members(doc_id, class), pairs(a, b, likeness)): texts of equal fingerprints are a class, and pairs link classes of likeness percent / 100 or more, a < b.
 
-    Set lengths are cut at powers of 100 / percent, so a set's partners lie in its own partition or
-    the next. Of two sets that match, the prefixes (the first length - ceil(percent * length / 100) + 1
-    signatures by rarity) share a signature, which the join looks for; lengths prune what it finds.
+    Set lengths are cut at powers of 100 / percent, so a set's partners that are as long or longer lie in its own
+    partition or the next. Of two sets that match, the prefixes (the first length - ceil(percent * length / 100) + 1
+    signatures by rarity) share a signature, which the join looks for; lengths prune what it finds. The sets of a
+    signature that many have are dealt into blocks, and each two blocks meet in a group of their own.
     """
     rows = docs.select("doc_id", signatures(F.col("text")).alias("sigs")).withColumn("class", fingerprint(F.col("sigs")))
     rows = stored(rows, "spots")
@@ -141,14 +146,26 @@ def near_pairs(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
     ranked = stored(held.join(often.hint("shuffle_hash"), "sig"), "ranked")
     sets = ranked.groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("s"))
     sets = stored(sets.select("class", "n", F.transform("s", lambda x: x["sig"]).alias("s")), "sets")
-    base = 100 / percent
-    part = F.floor(F.log(base, F.col("n").cast("double"))).cast("int")
+    part = F.floor(F.log(100 / percent, F.col("n").cast("double"))).cast("int")
     prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
-    keys = sets.withColumn("part", part).select("class", "n", "part", F.explode(prefix).alias("sig"))
-    left = keys.select(F.col("class").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1)).alias("part"))
-    right = keys.select(F.col("class").alias("b"), F.col("n").alias("nb"), "sig", "part")
-    found = left.join(right.hint("merge"), ["sig", "part"]).where("a < b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
-    found = stored(found, "candidates")
+    keys = stored(sets.select("class", "n", part.alias("part"), F.explode(prefix).alias("sig")), "prefixes")
+    many = keys.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > 1)
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    dealt = keys.join(many.select("sig", blocks.alias("blocks")).hint("shuffle_hash"), "sig").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # the shorter set is on the left (of equal lengths the lesser class), so a pair meets once in a signature
+    left = dealt.select(F.col("class").alias("x"), F.col("n").alias("nx"), "sig", F.col("block").alias("i"), F.explode(each).alias("j"), "part")
+    left = left.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    right = dealt.select(F.col("class").alias("y"), F.col("n").alias("ny"), "sig", "part", F.col("block").alias("j"), F.explode(each).alias("i"))
+    found = left.join(right.hint("merge"), ["sig", "part", "i", "j"]).where(F.struct("nx", "x") < F.struct("ny", "y")).where(F.col("nx") * 100 >= F.col("ny") * percent)
+    found = stored(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     both = found.join(sets.select(F.col("class").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
     pairs = both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") * 100 >= percent)
     return rows.select("doc_id", "class"), pairs
+
+
+def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs(doc_id, text): doc_id, class (the fingerprint) and n_links: other classes whose likeness is percent / 100 or more. One row for each row of docs."""
+    members, pairs = near_pairs(docs, percent)
+    links = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    return members.join(links.hint("shuffle_hash"), "class", "left").select("doc_id", "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from passbook.llm import spotsigs
 
 
@@ -50,7 +52,9 @@ def test_edited_texts_equal_brute_force(spark):
     assert [r.near_next for r in twice] == [1.0, 1.0]
 
 
-def test_near_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [2, 256])
+def test_near_pairs_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
     rng = random.Random(9)
     word = lambda: rng.choice(["the", "of", "und"]) if rng.random() < 0.3 else "".join(rng.choice("abcdef") for _ in range(4))
     texts = []
@@ -119,3 +123,19 @@ def test_rows_of_one_id_are_parted(spark):
     assert len(after) == 900 and len(set(after.values())) == 900
     falls = sum((ids[b] is None) < (ids[a] is None) or (ids[a] is not None and ids[b] is not None and ids[b] > ids[a]) for (_, a), b in after.items())
     assert falls <= 1
+
+
+def test_near_classes_of_the_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = spotsigs.near_classes(docs).collect()
+    texts = {r.doc_id: chains(r.text) for r in docs.collect()}
+    classes = {r.doc_id: r["class"] for r in got}
+    distinct = {classes[i]: s for i, s in texts.items()}
+    links = {c: 0 for c in distinct}
+    for a in distinct:
+        for b in distinct:
+            if a != b and 100 * len(distinct[a] & distinct[b]) >= 80 * len(distinct[a] | distinct[b]):
+                links[a] += 1
+    assert {r.doc_id: r.n_links for r in got} == {i: links[c] for i, c in classes.items()}
+    assert len(got) == len(texts) and any(links.values())
+    assert spotsigs.near_classes(docs.limit(0)).collect() == []
