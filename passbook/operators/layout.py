@@ -125,10 +125,10 @@ def banded_rows(words: DataFrame, header: DataFrame, anchor: Column, slack: floa
     it. Words above the first anchor make band 0, kept if lead. ends(doc_id, page, end): where a page's
     body ends, if not at its last word. Pages with fewer than `least` anchors give nothing.
     """
-    placed = words.join(header.select("doc_id", "page", "labels", "starts", F.coalesce("top", F.lit(float("-inf"))).alias("_head")), ["doc_id", "page"])
+    placed = words.join(header.select("doc_id", "page", "labels", "starts", F.coalesce("top", F.lit(float("-inf"))).alias("_head")).hint("shuffle_hash"), ["doc_id", "page"])
     placed = placed.where(F.col("top") > F.col("_head") + 2).withColumn("column", column_of(F.col("starts"), F.col("x0"))).withColumn("n", F.size("starts"))
     if ends is not None:
-        placed = placed.join(ends.select("doc_id", "page", F.col("end").alias("_end")), ["doc_id", "page"], "left").where(F.col("_end").isNull() | (F.col("top") < F.col("_end")))
+        placed = placed.join(ends.select("doc_id", "page", F.col("end").alias("_end")).hint("shuffle_hash"), ["doc_id", "page"], "left").where(F.col("_end").isNull() | (F.col("top") < F.col("_end")))
     # an anchor opens its band for all words from slack above it on
     marked = placed.withColumn("_a", F.coalesce(anchor, F.lit(False))).withColumn("_key", F.when(F.col("_a"), F.col("top") - slack).otherwise(F.col("top")))
     page = Window.partitionBy("doc_id", "page")
@@ -149,7 +149,7 @@ def date_rows(words: DataFrame, header: DataFrame, least: int = 2) -> DataFrame:
 def serial_rows(words: DataFrame, header: DataFrame) -> DataFrame:
     """Bands that begin at a serial number in the first column, of pages whose header starts with one; a line that begins "statement generated on" ends the page."""
     own = header.where((F.get("labels", F.lit(0)) == "SlNo") & (F.size("labels") >= 6))
-    told = line_heads(lines(words)).join(own.select("doc_id", "page", F.coalesce("top", F.lit(float("-inf"))).alias("_head")), ["doc_id", "page"])
+    told = line_heads(lines(words)).join(own.select("doc_id", "page", F.coalesce("top", F.lit(float("-inf"))).alias("_head")).hint("shuffle_hash"), ["doc_id", "page"])
     ends = told.where((F.col("top") > F.col("_head")) & F.col("norm").startswith("statement generated on")).groupBy("doc_id", "page").agg((F.min("top") - 2).alias("end"))
     return banded_rows(words, own, (F.col("column") == 0) & strip("text").rlike(r"^\d+$"), ends=ends, lead=False)
 
@@ -193,7 +193,7 @@ def section_headers(lined: DataFrame) -> DataFrame:
     first = marked.where("_label is not null").groupBy("doc_id", "page", "line", "_label").agg(F.min("x0").alias("x"))
     cols = first.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x", F.col("_label").alias("label")))).alias("cols")).withColumn("labels", F.transform("cols", lambda c: c["label"]))
     need = F.array(*(F.lit(n) for n in SECTION_LABELS if n != "Cheque Number"))
-    good = cols.join(kinds.where("_serials = 0 and _dates < 2"), ["doc_id", "page", "line"]).where(F.size(F.array_except(need, "labels")) == 0)
+    good = cols.join(kinds.where("_serials = 0 and _dates < 2").hint("shuffle_hash"), ["doc_id", "page", "line"]).where(F.size(F.array_except(need, "labels")) == 0)
     margin = F.create_map(*(F.lit(x) for kv in LABEL_MARGINS.items() for x in kv))
 
     def start(c: Column, i: Column) -> Column:
@@ -202,7 +202,7 @@ def section_headers(lined: DataFrame) -> DataFrame:
         return F.when(own.isNotNull(), c["x"] - own).otherwise((before + c["x"]) / 2)
 
     at = line_heads(lined).select("doc_id", "page", "line", "top", "bottom")
-    found = good.withColumn("starts", F.transform("cols", start)).join(at, ["doc_id", "page", "line"]).select("doc_id", "page", "top", "bottom", "labels", "starts")
+    found = good.withColumn("starts", F.transform("cols", start)).join(at.hint("shuffle_hash"), ["doc_id", "page", "line"]).select("doc_id", "page", "top", "bottom", "labels", "starts")
     in_page = Window.partitionBy("doc_id", "page").orderBy("top")
     low = found.withColumn("_n", F.row_number().over(in_page)).where((F.col("_n") == 1) & (F.col("top") > FIRST_HEADER)).drop("_n").withColumns({"top": F.lit(0.0), "bottom": F.lit(0.0)})
     every = found.unionByName(low)
@@ -222,16 +222,16 @@ def section_rows(words: DataFrame, page_height: float = float("inf")) -> DataFra
     keys = ["doc_id", "page", "section"]
     told = line_heads(lined).select("doc_id", "page", F.col("top").alias("_t"), F.col("bottom").alias("_b"), "raw", "norm")
     marks = F.col("norm").startswith(SECTION_STOPS) | F.contains(F.col("raw"), F.lit(SECTION_SITE)) | F.col("norm").startswith(SECTION_SKIP)
-    told = written(told.where(marks).join(heads.select(*keys, "bottom", "end"), ["doc_id", "page"]), "marks")
+    told = written(told.where(marks).join(heads.select(*keys, "bottom", "end").hint("shuffle_hash"), ["doc_id", "page"]), "marks")
     stop = F.col("norm").startswith(SECTION_STOPS) | F.contains(F.col("raw"), F.lit(SECTION_SITE))
     stops = told.where(stop & (F.col("_t") > F.col("bottom")) & (F.col("_t") < F.col("end"))).groupBy(*keys).agg((F.min("_t") - 2).alias("_stop"))
-    heads = heads.join(stops, keys, "left").withColumn("end", F.least("end", F.coalesce("_stop", "end"))).drop("_stop")
-    skips = told.drop("end").join(heads.select(*keys, "end"), keys).where(F.col("norm").startswith(SECTION_SKIP) & (F.col("_t") >= F.col("bottom")) & (F.col("_t") < F.col("end"))).groupBy(*keys).agg(F.max("_b").alias("_skip"))
-    heads = heads.join(skips, keys, "left").withColumn("begin", F.greatest("bottom", F.coalesce("_skip", "bottom"))).drop("_skip")
+    heads = heads.join(stops.hint("shuffle_hash"), keys, "left").withColumn("end", F.least("end", F.coalesce("_stop", "end"))).drop("_stop")
+    skips = told.drop("end").join(heads.select(*keys, "end").hint("shuffle_hash"), keys).where(F.col("norm").startswith(SECTION_SKIP) & (F.col("_t") >= F.col("bottom")) & (F.col("_t") < F.col("end"))).groupBy(*keys).agg(F.max("_b").alias("_skip"))
+    heads = heads.join(skips.hint("shuffle_hash"), keys, "left").withColumn("begin", F.greatest("bottom", F.coalesce("_skip", "bottom"))).drop("_skip")
 
     heads = written(heads, "sections")
     left = F.get("starts", F.lit(0)) - 2
-    body = lined.select("doc_id", "page", "text", "x0", "top").join(heads.select(*keys, F.col("top").alias("_head"), "begin", "end", "labels", "starts"), ["doc_id", "page"])
+    body = lined.select("doc_id", "page", "text", "x0", "top").join(heads.select(*keys, F.col("top").alias("_head"), "begin", "end", "labels", "starts").hint("shuffle_hash"), ["doc_id", "page"])
     body = body.where((F.col("top") > F.col("begin")) & (F.col("top") < F.col("end")) & (F.col("x0") >= left))
     anchor = F.when((F.col("x0") < F.get("starts", F.lit(1))) & looks_like_date("text"), F.col("top") - 2)
     marked = body.withColumn("_a", anchor).withColumn("_key", F.coalesce("_a", "top"))
@@ -243,7 +243,7 @@ def section_rows(words: DataFrame, page_height: float = float("inf")) -> DataFra
     rows = _cells(placed, [*keys, "band", "labels", "_head"])
     lead = F.get("cells", F.array_position("labels", F.lit("Particulars")).cast("int") - 1) != ""
     rows = rows.where((F.col("band") > 0) | (lead & ((F.col("section") > 0) | (F.col("_head") == 0))))
-    named = rows.select(*keys).distinct().join(heads.select(*keys, F.lit(-1).alias("band"), F.col("labels").alias("cells")), keys)
+    named = rows.select(*keys).distinct().join(heads.select(*keys, F.lit(-1).alias("band"), F.col("labels").alias("cells")).hint("shuffle_hash"), keys)
     return named.unionByName(rows.select(*keys, "band", "cells"))
 
 
@@ -257,11 +257,11 @@ def rectangle_rows(words: DataFrame, rects: DataFrame, header: DataFrame, pages:
     starts = F.col("starts")
     own = rects.select("doc_id", "page", F.col("x0").alias("r_x0"), F.col("x1").alias("r_x1"), F.col("top").alias("r_top"), F.col("bottom").alias("r_bottom")).distinct()
     own = own.join(pages.select("doc_id", "page", F.col("width").alias("_width")), ["doc_id", "page"]) if isinstance(pages, DataFrame) else own.withColumn("_width", F.lit(pages))
-    bands = own.join(header.select("doc_id", "page", "labels", "starts", F.coalesce("top", F.lit(float("-inf"))).alias("_head")), ["doc_id", "page"]).where(
+    bands = own.join(header.select("doc_id", "page", "labels", "starts", F.coalesce("top", F.lit(float("-inf"))).alias("_head")).hint("shuffle_hash"), ["doc_id", "page"]).where(
         ((F.col("r_x1") - F.col("r_x0")) >= 0.65 * F.col("_width")) & (F.col("r_x0") <= F.get(starts, F.lit(0)) + 10) & (F.col("r_x1") >= F.get(starts, F.size(starts) - 1) + 20) & (F.col("r_bottom") - F.col("r_top")).between(10, 120) & (F.col("r_top") > F.col("_head"))
     )
     bands = bands.select("doc_id", "page", "r_top", "r_bottom", "starts", "labels").dropDuplicates(["doc_id", "page", "r_top", "r_bottom"])
-    inside = words.join(bands, ["doc_id", "page"]).where((F.col("top") >= F.col("r_top") - 1) & (F.col("top") < F.col("r_bottom") + 1))
+    inside = words.join(bands.hint("shuffle_hash"), ["doc_id", "page"]).where((F.col("top") >= F.col("r_top") - 1) & (F.col("top") < F.col("r_bottom") + 1))
     rows = _cells(inside.withColumn("column", column_of(starts, F.col("x0"))).withColumn("n", F.size(starts)), ["doc_id", "page", "r_top", "labels"])
     at = lambda label, other: F.get("cells", F.coalesce(F.nullif(F.array_position("labels", F.lit(label)).cast("int"), F.lit(0)) - 1, F.lit(other)))
     return rows.where(at("SlNo", 0).rlike(r"^\d+$") & looks_like_date(at("Transaction Date", 1))).select("doc_id", "page", F.col("r_top").alias("top"), "cells")
@@ -274,12 +274,12 @@ def recognised_rows(words: DataFrame, texts: DataFrame | None = None) -> DataFra
     """
     lined = lines(words)
     head = headers(lined)
-    below = lined.join(head.select("doc_id", "page", "starts", F.col("line").alias("_h")), ["doc_id", "page"]).where("line > _h")
+    below = lined.join(head.select("doc_id", "page", "starts", F.col("line").alias("_h")).hint("shuffle_hash"), ["doc_id", "page"]).where("line > _h")
     rows = _cells(below.withColumn("column", column_of(F.col("starts"), F.col("x0"))).withColumn("n", F.size("starts")), ["doc_id", "page", "line"])
     out = head.select("doc_id", "page", F.lit(0).alias("line"), F.col("labels").alias("cells")).unionByName(rows)
     if texts is None:
         return out
-    plain = text_rows(texts.join(head.select("doc_id", "page"), ["doc_id", "page"], "left_anti"), "doc_id", "page")
+    plain = text_rows(texts.join(head.select("doc_id", "page").hint("shuffle_hash"), ["doc_id", "page"], "left_anti"), "doc_id", "page")
     return out.unionByName(plain.select("doc_id", "page", F.col("row_number").alias("line"), "cells"))
 
 
@@ -292,7 +292,7 @@ def recognised_text(words: DataFrame) -> DataFrame:
     per = words.where(strip("text") != "").groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(ws, lambda w: w["text"]), " ").alias("t"), F.min(F.struct("top", "x0")).alias("at"))
     text = per.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "\n").alias("text"))
     sure = words.groupBy("doc_id", "page").agg(F.coalesce(F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))), F.lit(0.0)).alias("confidence"))
-    return text.join(sure, ["doc_id", "page"])
+    return text.join(sure.hint("shuffle_hash"), ["doc_id", "page"])
 
 
 def projected(rows: DataFrame, target: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def by_fuzzy(descriptions: DataFrame, ledgers: DataFrame, threshold: int = 78) -
     pairs = written(pairs, "pairs").join(small(names), "norm")
     scored = pairs.withColumn("score", F.bround(text_ratio("d", "norm") * 100).cast("int")).where(F.col("score") >= threshold)
     best = scored.groupBy("d").agg(F.max_by(F.struct("ledger", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    found = texts.join(best, "d").select("description", "b.ledger", F.col("b.score").alias("score"))
+    found = texts.join(best.hint("merge"), "d").select("description", "b.ledger", F.col("b.score").alias("score"))
     return _tier(found, F.col("score"), "Fuzzy")
 
 
@@ -226,7 +226,7 @@ def apply(transactions: DataFrame, ledgers: DataFrame, rules: DataFrame, bank_le
     own = ledgers.groupBy(F.lower("name").alias("_key")).agg(F.max_by(is_bank_or_cash(F.col("parent_group")), "pos").alias("_own"))
     bank = [r["_own"] for r in own.where(F.col("_key") == bank_ledger.lower()).collect()]
     found = found.withColumn("_key", F.lower("ledger")).join(small(own), "_key", "left").withColumnRenamed("description", "_d")
-    out = rows.join(found, "_d", "left")
+    out = rows.join(found.hint("merge"), "_d", "left")
     on = ~F.col("ignored")
     overridden = F.col("override").isNotNull() & (F.col("override") != "Unassigned")
     kind = F.when(overridden, F.col("override")).otherwise(voucher_type(F.col("_d"), F.col("debit_amount"), F.col("_own"), F.lit(bank[0] if bank else None).cast("boolean")))

@@ -35,7 +35,7 @@ def clean_table(rows: DataFrame) -> DataFrame:
 def choose_rows(tables: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows of tables(doc_id, page, table_no, row_no, cells), and of texts(doc_id, page, row_number, cells) on pages without tables, numbered in reading order."""
     pages = tables.select("doc_id", "page").distinct()
-    rest = texts.join(pages, ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit(0).alias("table_no"), F.col("row_number").alias("row_no"), "cells")
+    rest = texts.join(pages.hint("shuffle_hash"), ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit(0).alias("table_no"), F.col("row_number").alias("row_no"), "cells")
     both = tables.select("doc_id", "page", "table_no", "row_no", "cells").unionByName(rest)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "table_no", "row_no"))
     return both.withColumn("row_number", n)
@@ -48,7 +48,7 @@ def usable_tables(tables: DataFrame) -> DataFrame:
 
 def pages_without_text(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """Pages that have neither text nor tables, which need recognition."""
-    return pages.where(strip(filled("text")) == "").join(tables.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    return pages.where(strip(filled("text")) == "").join(tables.select("doc_id", "page").distinct().hint("shuffle_hash"), ["doc_id", "page"], "left_anti")
 
 
 _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"

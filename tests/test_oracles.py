@@ -35,4 +35,13 @@ def test_equals_sql(spark, duck, name):
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=key)
     want = sorted((tuple(plain(v) for v in r) for r in cursor.fetchall()), key=key)
     assert got == want
-    assert got or name in ("j1_duplicate_pairs",)
+    assert got
+
+
+#: The tables' own statements hold no two rows of one session, day and amount; j1_scored_copies and j1_daily_fee show pairs.
+EMPTY = {"j11_duplicate_pairs_75"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) - EMPTY if not n.startswith("op") and n != "pipeline"))
+def test_queries_without_sql_have_rows(spark, name):
+    assert QUERIES[name](spark, SF).limit(1).count() == 1
