@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from passbook.llm import pretokens
 from passbook.llm.bpe import read_file
-from passbook.llm.common import shuffle_partitions, stored, written
+from passbook.llm.common import stored, written
 from passbook.llm.tokenfile import Encoder, library_kinds
 
 #: Bytes of texts that are aligned at once; links and documents of a block: bound memory, never results.

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from passbook.llm.common import apart, shuffle_partitions, spare, stored, trimmed
 from passbook.llm.components import components
