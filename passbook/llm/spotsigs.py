@@ -38,11 +38,12 @@ def signatures(text: Column) -> Column:
     words = _words(F.coalesce(text, F.lit("")))
     # no group repeats in these patterns, as each turn of one would take stack
     marked = F.regexp_replace(words, f" ({anchors})(?= )", "\x01$1")
-    chains = F.array_join(F.regexp_extract_all(marked, F.lit("\x01(?=([^ \x01]+ [^ \x01]+(?:\x01[^ ]*)? [^ \x01]+))"), 1), "\n")
-    rows = F.array_join(F.regexp_extract_all(marked, F.lit(" (?=([^ \x01]+ [^ \x01]+ [^ \x01]+))"), 1), "\n")
-    both = F.concat_ws("\n", F.nullif(F.regexp_replace(chains, "\x01[^ \n]+", ""), F.lit("")), F.nullif(rows, F.lit("")))
-    joined = F.when(both != "", both).otherwise(words)
-    return F.array_sort(F.array_distinct(F.transform(F.split(joined, "\n"), lambda s: F.xxhash64(s))))
+    chain, row = "\x01(?=([^ \x01]+ [^ \x01]+(?:\x01[^ ]*)? [^ \x01]+))", " (?=([^ \x01]+ [^ \x01]+ [^ \x01]+))"
+    # a transform over an array of one, so that what is used twice is made once
+    both = F.transform(F.array(marked), lambda m: F.array_join(F.concat(F.regexp_extract_all(m, F.lit(chain), 1), F.regexp_extract_all(m, F.lit(row), 1)), "\n"))
+    plain = F.transform(both, lambda t: F.regexp_replace(t, "\x01[^ \n]+", ""))
+    hashed = F.transform(plain, lambda t: F.array_sort(F.array_distinct(F.transform(F.split(F.when(t == "", words).otherwise(t), "\n"), lambda s: F.xxhash64(s)))))
+    return F.get(hashed, F.lit(0))
 
 
 def fingerprint(sigs: Column) -> Column:
