@@ -101,7 +101,8 @@ def with_next(docs: DataFrame, carried: list[str], extend: Callable[[DataFrame],
     before = numbers.select("_bucket", F.coalesce(F.lag("_bucket").over(every), last).alias("_before"))
     heads = before.join(heads.withColumnRenamed("_bucket", "_before").hint("shuffle_hash"), "_before").select("_bucket", F.col("_head").alias("_over"))
     w = Window.partitionBy("_bucket").orderBy(F.coalesce(at, F.lit(-(2**63))).desc(), F.desc("_turn"), *(F.col(c).desc() for c in carried))
-    led = extend(rows).withColumn("_lead", F.lead(F.struct(*values)).over(w))
+    # what extend adds is made behind the shuffle, so that the carried columns alone move
+    led = extend(rows.repartition("_bucket")).withColumn("_lead", F.lead(F.struct(*values)).over(w))
     return led.join(heads.hint("shuffle_hash"), "_bucket", "left").withColumn("next", F.coalesce("_lead", "_over")).drop("_bucket", "_turn", "_lead", "_over")
 
 
