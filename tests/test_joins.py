@@ -56,6 +56,25 @@ def test_pairs_with_a_hot_key_equal_brute_force(spark, monkeypatch, threshold):
     assert got == scored(rows, texts, threshold) and got
 
 
+@pytest.mark.parametrize("threshold", [71, 78, 83])
+def test_pairs_of_a_hot_key_meet_by_reference_or_text(spark, monkeypatch, threshold):
+    monkeypatch.setattr(duplicates, "BLOCK_ROWS", 16)
+    rows = rows_of(random.Random(threshold), 150)
+    df = spark.createDataFrame(rows, STATEMENT)
+    texts = {r[0]: r[1] for r in df.select("description", duplicate_text("description")).union(df.select("reference_number", duplicate_text("reference_number"))).collect()}
+    got = sorted(tuple(r) for r in duplicates.pairs(df, threshold).select("session_id", "original_id", "duplicate_id", "score").collect())
+    assert got == scored(rows, texts, threshold) and got
+
+
+def test_rows_of_a_hot_key_without_a_common_text_or_reference_do_not_meet(spark):
+    n = 1300  # 26 texts of one letter: of 844,350 pairs 31,850 have the same text
+    fee = [("s", i, f"id{i}", date(2024, 1, 31), Decimal(25), Decimal(0), "", chr(97 + i % 26) * 20, None, "None", False) for i in range(n)]
+    rows = duplicates._sided(spark.createDataFrame(fee, STATEMENT))
+    few, hot = duplicates._parted(rows)
+    assert few.count() == 0 and hot.count() == n
+    assert duplicates.met(hot, 75, F.lit(True)).count() == 26 * (50 * 49 // 2)
+
+
 def test_a_hot_key_spreads_over_groups(spark):
     n = 5000
     rows = spark.range(n).selectExpr("string(id % 1) as session_id", "cast(id as int) as row_number", "string(id) as id", "date_add(date'2024-01-31', cast(id % 1 as int)) as day", "false as unique")
