@@ -5,6 +5,8 @@ words(doc_id, page, text, x0, top): a page is one group, small by nature.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 from passbook.functions.text import normalize_table_header, strip
 from passbook.functions.values import looks_like_date
 from passbook.sources.raw import choose_rows, pages_without_text, text_rows, usable_tables  # noqa: F401  the page predicates belong here too
-from passbook.sources.steps import written
+from passbook.sources.steps import small, written
 
 # fixed values: labels of statement columns and what headers call them
 LABELS = {
@@ -32,8 +34,8 @@ LINE_GAP = 2.0
 
 def label_of(c: Column) -> Column:
     """The canonical label of a header cell; null if it is none."""
-    norm = normalize_table_header(c)
-    return F.coalesce(*(F.when(norm.isin(*names), F.lit(label)) for label, names in LABELS.items()))
+    # one lookup, so that the form is made once and not for each label
+    return F.try_element_at(F.create_map(*(F.lit(x) for label, names in LABELS.items() for n in names for x in (n, label))), normalize_table_header(c))
 
 
 def is_header_row(cells: Column) -> Column:
@@ -189,7 +191,7 @@ def section_headers(lined: DataFrame) -> DataFrame:
     word = F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "")
     label = F.coalesce(*(F.when(F.col("_w").isin(*names), F.lit(n)) for n, names in SECTION_LABELS.items()))
     marked = lined.withColumn("_w", word).withColumn("_label", label)
-    kinds = marked.groupBy("doc_id", "page", "line").agg(F.count_if(F.col("_w").isin(*SERIAL_WORDS)).alias("_serials"), F.count_if(F.col("_w") == "date").alias("_dates"))
+    kinds = marked.groupBy("doc_id", "page", "line").agg(F.count_if(F.col("_w").isin(*SERIAL_WORDS)).alias("_serials"), F.count_if(F.col("_w") == "date").alias("_dates"), F.min("top").alias("top"), F.max("bottom" if "bottom" in lined.columns else "top").alias("bottom"))
     first = marked.where("_label is not null").groupBy("doc_id", "page", "line", "_label").agg(F.min("x0").alias("x"))
     cols = first.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x", F.col("_label").alias("label")))).alias("cols")).withColumn("labels", F.transform("cols", lambda c: c["label"]))
     need = F.array(*(F.lit(n) for n in SECTION_LABELS if n != "Cheque Number"))
@@ -201,8 +203,7 @@ def section_headers(lined: DataFrame) -> DataFrame:
         own = F.try_element_at(margin, c["label"])
         return F.when(own.isNotNull(), c["x"] - own).otherwise((before + c["x"]) / 2)
 
-    at = line_heads(lined).select("doc_id", "page", "line", "top", "bottom")
-    found = good.withColumn("starts", F.transform("cols", start)).join(at.hint("shuffle_hash"), ["doc_id", "page", "line"]).select("doc_id", "page", "top", "bottom", "labels", "starts")
+    found = good.withColumn("starts", F.transform("cols", start)).select("doc_id", "page", "top", "bottom", "labels", "starts")
     in_page = Window.partitionBy("doc_id", "page").orderBy("top")
     low = found.withColumn("_n", F.row_number().over(in_page)).where((F.col("_n") == 1) & (F.col("top") > FIRST_HEADER)).drop("_n").withColumns({"top": F.lit(0.0), "bottom": F.lit(0.0)})
     every = found.unionByName(low)
@@ -220,7 +221,11 @@ def section_rows(words: DataFrame, page_height: float = float("inf")) -> DataFra
     lined = written(lines(words), "lines")
     heads = written(section_headers(lined).withColumn("end", F.coalesce("end", F.lit(page_height))), "sections")
     keys = ["doc_id", "page", "section"]
-    told = line_heads(lined).select("doc_id", "page", F.col("top").alias("_t"), F.col("bottom").alias("_b"), "raw", "norm")
+    # a line with one of the marks has a word that holds its first word
+    low = F.lower("text")
+    held = reduce(Column.__or__, [F.contains(low, F.lit(m.split(" ")[0])) for m in (SECTION_STOPS, SECTION_SITE, SECTION_SKIP)])
+    lines_ = written(lined.where(held).select("doc_id", "page", "line").distinct(), "held")
+    told = line_heads(lined.join(small(lines_), ["doc_id", "page", "line"], "left_semi")).select("doc_id", "page", F.col("top").alias("_t"), F.col("bottom").alias("_b"), "raw", "norm")
     marks = F.col("norm").startswith(SECTION_STOPS) | F.contains(F.col("raw"), F.lit(SECTION_SITE)) | F.col("norm").startswith(SECTION_SKIP)
     told = written(told.where(marks).join(heads.select(*keys, "bottom", "end").hint("shuffle_hash"), ["doc_id", "page"]), "marks")
     stop = F.col("norm").startswith(SECTION_STOPS) | F.contains(F.col("raw"), F.lit(SECTION_SITE))
