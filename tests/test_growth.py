@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from passbook.functions import text
 from passbook.operators import layout, literals
 from passbook.plans import bindings
+from passbook.sources import xml
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,27 @@ def test_few_and_many_entries_find_the_same_words(spark, monkeypatch):
     few = literals.candidates(texts, words).where(F.col("word") != "")
     monkeypatch.setattr(literals, "FEW", 0)
     same(few, literals.candidates(texts, words))
+
+
+def test_elements_are_read_piece_by_piece(spark, tmp_path):
+    head = "<C>" + "".join(f'<COMPANY NAME="n{i}"><GUID>G{i}</GUID></COMPANY>\n' for i in range(300))
+    (tmp_path / "a.xml").write_text(head + '<company name="low"><GUID>x</GUID></company><COMPANY NAME="self"/>\n<COMPANY><NAME>cut off</NAME>')
+    (tmp_path / "b.xml").write_text("<COMPANY><NAME>last &#4; one</NAME></COMPANY>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        pieces = xml._pieces(spark, f"file://{tmp_path}", "</COMPANY>")
+        assert pieces.count() == 302 and pieces.agg(F.max(F.length("text"))).first()[0] < 200
+        got = xml._entities(spark, f"file://{tmp_path}", "COMPANY", ["GUID"]).orderBy("path", "at").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.name for r in got if r.name.startswith("n")] == [f"n{i}" for i in range(300)]
+    assert {r.name for r in got} - {f"n{i}" for i in range(300)} == {"low", "self", "last one"}
+
+
+def test_responses_of_a_table_equal_those_of_files(spark, tmp_path):
+    one = "<R><CREATED>2</CREATED><ERRORS>1</ERRORS><LINEERROR>bad &amp; x</LINEERROR>&#4;<LASTVCHID>7</LASTVCHID></R>"
+    (tmp_path / "r.xml").write_text(one)
+    rows = spark.createDataFrame([("p", one)], "path string, raw string")
+    same(xml.responses(spark, f"file://{tmp_path}").drop("path"), xml.stored_responses(rows).drop("path"))
