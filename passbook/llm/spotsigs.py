@@ -135,39 +135,48 @@ BLOCK = 256
 def near_pairs(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members(doc_id, class), pairs(a, b, likeness)): texts of equal fingerprints are a class, and pairs link classes of likeness percent / 100 or more, a < b.
 
+    Of two sets that match, the prefixes (the first length - ceil(percent * length / 100) + 1 signatures by rarity)
+    share a signature. Signatures that no other set has come first in that order and match nothing, so they are counted
+    and left behind: a set with more of them than its prefix has places has no partner, and the others go on with their shared
+    ones. The join looks for a shared signature in the prefixes; what lies behind it in both sets must suffice for the
+    likeness, which holds for a matching pair at the first one that it shares.
     Set lengths are cut at powers of 100 / percent, so a set's partners that are as long or longer lie in its own
-    partition or the next. Of two sets that match, the prefixes (the first length - ceil(percent * length / 100) + 1
-    signatures by rarity) share a signature, which the join looks for; lengths prune what it finds. The sets of a
-    signature that many have are dealt into blocks, and each two blocks meet in a group of their own.
+    partition or the next. The sets of a signature that many have are dealt into blocks, and each two blocks meet in a
+    group of their own. Sets go by a number until the end, as a fingerprint is longer than its set's prefix.
     """
     rows = docs.select("doc_id", signatures(F.col("text")).alias("sigs")).withColumn("class", fingerprint(F.col("sigs")))
-    rows = stored(rows, "spots")
-    classes = rows.groupBy("class").agg(F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs"))
-    held = classes.select("class", "n", F.explode("sigs").alias("sig"))
-    often = held.groupBy("sig").agg(F.count("*").alias("times"))
-    ranked = stored(held.join(often.hint("shuffle_hash"), "sig"), "ranked")
-    sets = ranked.groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("s"))
-    sets = stored(sets.select("class", "n", F.transform("s", lambda x: x["sig"]).alias("s")), "sets")
+    rows = stored(rows.withColumn("id", F.monotonically_increasing_id()), "spots")
+    classes = rows.groupBy("class").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs"))
+    held = classes.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    # a set has a signature once, so no group is larger than the number of sets
+    shared = held.withColumn("times", F.count("*").over(Window.partitionBy("sig"))).where("times > 1")
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    sets = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("s")).where(F.size("s") >= least)
+    sets = stored(sets.select("id", "n", F.transform("s", lambda x: x["sig"]).alias("s")), "sets")
     part = F.floor(F.log(100 / percent, F.col("n").cast("double"))).cast("int")
-    prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
-    keys = stored(sets.select("class", "n", part.alias("part"), F.explode(prefix).alias("sig")), "prefixes")
-    many = keys.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > 1)
+    own = F.col("n") - F.size("s")
+    keys = sets.select("id", "n", part.alias("part"), own.alias("own"), F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1 - own)).alias("at", "sig"))
+    keys = keys.select("id", "n", "part", (F.col("own") + F.col("at")).alias("at"), "sig").withColumn("held", F.count("*").over(Window.partitionBy("sig")))
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    dealt = keys.join(many.select("sig", blocks.alias("blocks")).hint("shuffle_hash"), "sig").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    dealt = stored(keys.where("held > 1").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "prefixes")
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # the shorter set is on the left (of equal lengths the lesser class), so a pair meets once in a signature
-    left = dealt.select(F.col("class").alias("x"), F.col("n").alias("nx"), "sig", F.col("block").alias("i"), F.explode(each).alias("j"), "part")
+    # the shorter set is on the left (of equal lengths the lesser number), so a pair meets once in a signature
+    left = dealt.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), "sig", F.col("block").alias("i"), F.explode(each).alias("j"), "part")
     left = left.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
-    right = dealt.select(F.col("class").alias("y"), F.col("n").alias("ny"), "sig", "part", F.col("block").alias("j"), F.explode(each).alias("i"))
+    right = dealt.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "sig", "part", F.col("block").alias("j"), F.explode(each).alias("i"))
     found = left.join(right.hint("merge"), ["sig", "part", "i", "j"]).where(F.struct("nx", "x") < F.struct("ny", "y")).where(F.col("nx") * 100 >= F.col("ny") * percent)
-    found = stored(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
-    both = found.join(sets.select(F.col("class").alias("a"), F.col("s").alias("x")).hint("merge"), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
-    pairs = both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") * 100 >= percent)
-    return rows.select("doc_id", "class"), pairs
+    behind = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    found = stored(found.where(behind * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent).select("x", "y").distinct(), "candidates")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")).hint("merge")
+    both = F.size(F.array_intersect("sx", "sy"))
+    pairs = found.join(side("x"), "x").join(side("y"), "y").select("x", "y", (both / (F.col("nx") + F.col("ny") - both)).alias("likeness")).where(F.col("likeness") * 100 >= percent)
+    name = lambda c: rows.select(F.col("id").alias(c), F.col("class").alias(f"c{c}")).hint("merge")
+    pairs = stored(pairs, "alike").join(name("x"), "x").join(name("y"), "y")
+    return rows.select("doc_id", "class"), pairs.select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"), "likeness")
 
 
 def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs(doc_id, text): doc_id, class (the fingerprint) and n_links: other classes whose likeness is percent / 100 or more. One row for each row of docs."""
     members, pairs = near_pairs(docs, percent)
-    links = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     return members.join(links.hint("shuffle_hash"), "class", "left").select("doc_id", "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -139,3 +139,26 @@ def test_near_classes_of_the_documents_equal_brute_force(spark):
     assert {r.doc_id: r.n_links for r in got} == {i: links[c] for i, c in classes.items()}
     assert len(got) == len(texts) and any(links.values())
     assert spotsigs.near_classes(docs.limit(0)).collect() == []
+
+
+def test_sets_that_cannot_match_are_left_behind(spark, monkeypatch):
+    kept = {}
+
+    def stored(df, name="step", by=()):
+        kept[name] = keep(df, name, by)
+        return kept[name]
+
+    keep = spotsigs.stored
+    monkeypatch.setattr(spotsigs, "stored", stored)
+    alone = [" ".join(f"w{i}x{j}" for j in range(30)) + " one two three" for i in range(20)]
+    # each two of these share one phrase and nothing else
+    met = [" ".join(f"the p{min(i, j)}q{max(i, j)} a{min(i, j)}b{max(i, j)} c{min(i, j)}d{max(i, j)}" for j in range(25) if j != i) for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate([*alone, *met, met[0] + " more"])), "doc_id long, text string")
+    members, pairs = spotsigs.near_pairs(docs)
+    assert [(r.a, r.b) for r in pairs.collect()] == [tuple(sorted(r["class"] for r in members.where("doc_id in (20, 45)").collect()))]
+    assert kept["sets"].count() <= 26
+    assert all("class" not in kept[k].columns for k in ("sets", "prefixes", "candidates"))
+    # of 325 pairs, those with a shared signature so late that too little lies behind it are none
+    seen = kept["prefixes"]
+    both = seen.alias("a").join(seen.alias("b"), "sig").where("a.id < b.id").select("a.id", "b.id").distinct().count()
+    assert kept["candidates"].count() < both
