@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from passbook.functions import text
-from passbook.operators import layout, literals
+from passbook.operators import layout, ledgers, literals
 from passbook.plans import bindings
 from passbook.sources import xml
 
@@ -77,3 +77,17 @@ def test_responses_of_a_table_equal_those_of_files(spark, tmp_path):
     (tmp_path / "r.xml").write_text(one)
     rows = spark.createDataFrame([("p", one)], "path string, raw string")
     same(xml.responses(spark, f"file://{tmp_path}").drop("path"), xml.stored_responses(rows).drop("path"))
+
+
+def test_descriptions_are_made_once_for_the_fuzzy_tier(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(d):
+        made.add(len(d))
+        return d
+
+    given = spark.createDataFrame([("red bolt",), ("blu gear",), ("zz",), ("x",), ("",)], "d string")
+    given = given.select(F.pandas_udf(count, "string")("d").alias("description"))
+    names = ledgers.prepared(spark.createDataFrame([(1, "red bolts", ""), (2, "blue gear", "")], "pos int, name string, parent_group string"))
+    assert {r.description: r.ledger for r in ledgers.by_fuzzy(given, names).collect()} == {"red bolt": "red bolts", "blu gear": "blue gear"}
+    assert made.value == 5
