@@ -91,3 +91,24 @@ def test_descriptions_are_made_once_for_the_fuzzy_tier(spark):
     names = ledgers.prepared(spark.createDataFrame([(1, "red bolts", ""), (2, "blue gear", "")], "pos int, name string, parent_group string"))
     assert {r.description: r.ledger for r in ledgers.by_fuzzy(given, names).collect()} == {"red bolt": "red bolts", "blu gear": "blue gear"}
     assert made.value == 5
+
+
+def test_tiers_read_what_is_left(spark, monkeypatch):
+    plans = []
+    keep = ledgers.by_fuzzy
+    monkeypatch.setattr(ledgers, "by_fuzzy", lambda d, *a: (plans.append(d._jdf.queryExecution().executedPlan().toString()), keep(d, *a))[1])
+    names = spark.createDataFrame([(1, "Red Bolt", ""), (2, "Suspense A/c", "")], "pos int, name string, parent_group string")
+    rules = spark.createDataFrame([], "id string, pattern string, match_type string, ledger_name string, voucher_type string, priority int, enabled boolean, created_at int")
+    got = ledgers.match(spark.createDataFrame([("red bolt",), ("UPI/RED BOLT/1",), ("redd bolt",), ("?",), (None,)], "description string"), names, rules)
+    assert {r.description: r.method for r in got.collect()} == {"red bolt": "Exact ledger name", "UPI/RED BOLT/1": "Keyword", "redd bolt": "Fuzzy", "?": "Default suspense", None: "Default suspense"}
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_few_and_many_words_find_the_same_ledgers(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "Red Bolt", ""), (2, "Bolt Red", ""), (3, "Bolt", ""), (4, "A&B Bolt", ""), (5, "Red Red Gear", ""), (6, "??", ""), (7, "zinc bank", "")], "pos int, name string, parent_group string")
+    texts = ["a red bolt", "bolt", "a&b bolt", "A & B bolt", "gear red", "Zinc", "redbolt", "", None, "red&bolt"]
+    df = spark.createDataFrame([(t,) for t in texts], "description string")
+    few = ledgers.by_keyword(df, ledgers.prepared(names)).select("description", "ledger")
+    assert {tuple(r) for r in few.collect()} == {("a red bolt", "Red Bolt"), ("bolt", "Bolt"), ("a&b bolt", "A&B Bolt"), ("A & B bolt", "Bolt"), ("gear red", "Red Red Gear"), ("Zinc", "zinc bank"), ("red&bolt", "Red Bolt")}
+    monkeypatch.setattr(ledgers, "FEW", 0)
+    same(few, ledgers.by_keyword(df, ledgers.prepared(names)).select("description", "ledger"))
