@@ -7,7 +7,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.operators import order, review, summaries
+from passbook.operators import order, review, summaries, vouchers
+from passbook.plans import bindings
 from passbook.sources import versions, xml
 
 
@@ -166,3 +167,50 @@ def test_one_message_larger_than_a_file(spark, tmp_path):
     xml.write_vouchers(rows, "A", f"file://{tmp_path}/out", 1000)
     files = list(Path(f"{tmp_path}/out").rglob("part-*"))
     assert sorted(len(list(ET.fromstring(f.read_text()).iter("TALLYMESSAGE"))) for f in files) == [1, 1]
+
+
+def _contents(root):
+    """(group's folder, file's folder, bytes) of an export's files."""
+    return sorted((f.parent.parent.name, f.parent.name, f.read_bytes()) for f in Path(root).rglob("part-*"))
+
+
+def test_files_of_a_mounted_folder_equal_those_of_sparks_writer(spark, tmp_path):
+    keys = ["2024-01", "a/b=c", "50% \"x\" #1?", "[é]{^}:\\*'", "tab\there", "", None]
+    rows = spark.createDataFrame([(keys[i % 7], f"<TALLYMESSAGE>é{i:04}{'x' * (i % 50)}</TALLYMESSAGE>", i) for i in range(700)], "group_key string, xml string, at long")
+    xml.write_vouchers(rows, "A", f"file://{tmp_path}/here/out", 2048)
+    # another file system over the same disk, which gets Spark's writer
+    hadoop = spark._jsc.hadoopConfiguration()
+    (tmp_path / "there").mkdir()
+    hadoop.set("fs.viewfs.mounttable.t.link./m", f"file://{tmp_path}/there")
+    xml.write_vouchers(rows, "A", "viewfs://t/m/out", 2048)
+    assert _contents(f"{tmp_path}/here") == _contents(f"{tmp_path}/there") and len(_contents(f"{tmp_path}/here")) > 14
+    got = xml.exported(spark, f"file://{tmp_path}/here/out").where("value like '<TALLYMESSAGE%'")
+    assert rows_of(got.select("value")) == rows_of(rows.select("xml"))
+    assert {r[0] for r in got.select("group_key").distinct().collect()} == {k or None for k in keys}
+    # a process for each file and for its checksum is what took the time; only the manifest, of which there is one, has a checksum
+    assert len(list(Path(f"{tmp_path}/here").rglob(".*.crc"))) == 1
+
+
+def test_an_export_is_listed_by_few_tasks_and_passes_over_partial_files(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    xml.write_vouchers(_messages(spark, 3000), "A", path, 2048)
+    folders = list(Path(f"{tmp_path}/out").rglob("file=*"))
+    (folders[0] / ".partial").write_text("<TALLYMESSAGE>cut")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    lines = xml.exported(spark, path)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(folders) > 100 and stages and max(s.numTasks for s in stages) <= 2 * spark.sparkContext.defaultParallelism
+    assert lines.where("value like '<TALLYMESSAGE%'").count() == 3000
+
+
+def test_messages_are_made_where_they_are_written(spark, tmp_path):
+    made = _messages(spark, 500).withColumnsRenamed({"xml": "first", "at": "file"}).withColumn("at", F.col("file"))
+    xml.write_vouchers(made, "A", f"file://{tmp_path}/made", 4096, F.concat("first", F.lit("")))
+    xml.write_vouchers(_messages(spark, 500), "A", f"file://{tmp_path}/given", 4096)
+    assert _contents(f"{tmp_path}/made") == _contents(f"{tmp_path}/given") and len(_contents(f"{tmp_path}/made")) > 4
+    # rows go to their files without a join of messages by id, which moved them twice
+    t = bindings.statements(spark, "/root/testdata/sf0.001").where("transaction_date is not null")
+    dated = vouchers.grouped(t, "month").select("group_key", F.col("row_number").alias("at"), *vouchers.MESSAGE_COLUMNS)
+    assert rows_of(dated.select("id", vouchers.message())) == rows_of(vouchers.voucher_xml(t))
