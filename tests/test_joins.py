@@ -87,6 +87,43 @@ def test_a_hot_key_spreads_over_groups(spark):
     assert hot.select("l_id", "r_id").where("cast(l_id as int) % 997 = 0").distinct().count() == sum(n - 1 - i for i in range(0, n, 997))
 
 
+def _fees(spark, n):
+    """Fees of one day whose balances are seven and whose texts are one letter, with two that are alike."""
+    texts = [chr(97 + i) * 20 for i in range(12)] + ["daily fee", "daily fees"]
+    fee = [("s", i, f"id{i}", date(2024, 1, 31), Decimal(25), Decimal(0), f"R{i % 9}" if i % 5 else "", texts[i % 14], Decimal(i % 7), "None", False) for i in range(n)]
+    return spark.createDataFrame(fee, STATEMENT)
+
+
+def test_pairs_of_a_hot_key_are_made_by_all_partitions_from_short_rows(spark):
+    df = _fees(spark, 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = duplicates.pairs(df, 75).select("original_id", "duplicate_id", "score")
+        spark.sparkContext.setJobGroup("pairs", "pairs")
+        found.write.format("noop").mode("overwrite").save()
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("pairs") for s in tracker.getJobInfo(j).stageIds]
+        # few bytes make many pairs: adaptive execution must not put them in a few tasks
+        assert max(s.numTasks for s in stages if s) >= 32
+        # texts, references and the key's columns stay out of the rows that meet; sums are checked for each pair, so there are none
+        hot = duplicates._parted(duplicates._sided(df))[1]
+        plan = duplicates.met(hot, 75, F.lit(True)).select("l_id", "r_id", "_score")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_amount" not in plan and "r_transaction_date" not in plan and "_points" not in plan
+    finally:
+        spark.sparkContext.setJobGroup("rest", "rest")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("threshold", [71, 75, 80, 81, 96])
+def test_reasons_of_a_hot_key_equal_those_of_a_cold_one(spark, monkeypatch, threshold):
+    columns = ("session_id", "original_id", "original_row", "duplicate_id", "duplicate_row", "score", "reasons")
+    df = _fees(spark, 160)
+    cold = sorted(map(str, duplicates.pairs(df, threshold).select(*columns).collect()))
+    monkeypatch.setattr(duplicates, "BLOCK_ROWS", 24)
+    assert sorted(map(str, duplicates.pairs(df, threshold).select(*columns).collect())) == cold and cold
+
+
 @pytest.mark.parametrize("threshold", [1, 30, 50, 78, 95, 100])
 def test_fuzzy_equals_every_pair(spark, threshold):
     rng = random.Random(threshold)
