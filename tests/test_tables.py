@@ -203,6 +203,8 @@ def test_an_export_is_listed_by_few_tasks_and_passes_over_partial_files(spark, t
     spark.sparkContext.setJobGroup("rest", "rest")
     assert len(folders) > 100 and stages and max(s.numTasks for s in stages) <= 2 * spark.sparkContext.defaultParallelism
     assert lines.where("value like '<TALLYMESSAGE%'").count() == 3000
+    # no columns are found out from the folders, which takes the square of their number
+    assert "file_path" in lines._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_messages_are_made_where_they_are_written(spark, tmp_path):
